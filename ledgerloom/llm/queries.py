@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.quality import score_quality
 from ledgerloom.llm.tokens import count_tokens
 from ledgerloom.plans.registry import Registry
 
@@ -25,4 +26,9 @@ def registry() -> Registry:
         counted = count_tokens(docs, public_tokenizers.path(VOCABULARY))
         return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
+    @found.add("op2_quality_rules")
+    def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+        docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+        return score_quality(docs, keep_text=False).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+
     return found
