@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import mixing, neardup
+from ledgerloom.llm import mixing, neardup, packing
 from ledgerloom.llm.quality import score_quality
 from ledgerloom.llm.tokens import count_tokens
 from ledgerloom.plans.registry import Registry
@@ -36,6 +36,11 @@ def registry() -> Registry:
     def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
         return neardup.near_duplicates(_table(spark, sf_dir, "documents"), width=4)
 
+    @found.add("op6_pack_sequences")
+    def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+        packed = packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+        return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
     @found.add("op7_mix_sources", mixing.SQL)
     def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
