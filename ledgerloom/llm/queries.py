@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import mixing, neardup, packing
+from ledgerloom.llm import langid, mixing, neardup, packing
 from ledgerloom.llm.quality import score_quality
 from ledgerloom.llm.tokens import count_tokens
 from ledgerloom.plans.registry import Registry
@@ -32,6 +32,13 @@ def registry() -> Registry:
         docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
         return score_quality(docs, keep_text=False).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
+    @found.add("op4_language_id")
+    def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+        docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+        profiles = langid.fit_profiles(docs.filter(~langid.held_out(F.col("doc_id"))))
+        predicted = langid.predict_language(docs.select("doc_id", "text"), profiles, keep_text=False)
+        return predicted.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
     @found.add("op5_minhash_near_dedup", neardup.SQL)
     def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
         return neardup.near_duplicates(_table(spark, sf_dir, "documents"), width=4)
