@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import langid, mixing, neardup, packing
+from ledgerloom.llm import langid, mixing, neardup, packing, toxicity
 from ledgerloom.llm.quality import score_quality
 from ledgerloom.llm.tokens import count_tokens
 from ledgerloom.plans.registry import Registry
@@ -53,4 +53,12 @@ def registry() -> Registry:
         docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
         return mixing.mix_sources(docs, keep_text=False).select("doc_id", "size", "source_size", "target", "taken")
 
+    @found.add("op9_toxicity")
+    def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+        docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+        labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic")
+        model = toxicity.fit_toxicity(docs.filter(~langid.held_out(F.col("doc_id"))).join(labels, "doc_id"))
+        scored = toxicity.score_toxicity(docs, model, keep_text=False).withColumnRenamed("toxicity", "score")
+        return scored.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
     return found
