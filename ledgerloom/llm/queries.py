@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import langid, mixing, neardup, packing, toxicity
+from ledgerloom.llm import langid, mixing, neardup, packing, toxicity, warc
 from ledgerloom.llm.quality import score_quality
 from ledgerloom.llm.tokens import count_tokens
 from ledgerloom.plans.registry import Registry
@@ -32,6 +32,12 @@ def registry() -> Registry:
         docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
         return score_quality(docs, keep_text=False).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
+    @found.add("op3_warc_round_trip")
+    def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+        pages, folder = _table(spark, sf_dir, "pages").select("page_id", "url", "html"), warc.archive_folder(spark)
+        manifest = warc.write_archives(pages, folder, warc.train_dictionary(pages))
+        return warc.read_archives(manifest, folder, keep_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
     @found.add("op4_language_id")
     def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
