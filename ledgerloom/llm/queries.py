@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import langid, mixing, neardup, packing, toxicity, warc
+from ledgerloom.llm import langid, mixing, neardup, neighbours, packing, toxicity, warc
 from ledgerloom.llm.quality import score_quality
 from ledgerloom.llm.tokens import count_tokens
 from ledgerloom.plans.registry import Registry
@@ -59,6 +59,11 @@ def registry() -> Registry:
         docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
         return mixing.mix_sources(docs, keep_text=False).select("doc_id", "size", "source_size", "target", "taken")
 
+    @found.add("op8_nearest_neighbours", neighbours.SQL)
+    def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+        vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+        return neighbours.nearest_neighbours(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
+
     @found.add("op9_toxicity")
     def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
