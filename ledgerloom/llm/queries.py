@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import langid, mixing, neardup, neighbours, packing, toxicity, warc
+from ledgerloom.llm import langid, licenses, mixing, neardup, neighbours, packing, toxicity, warc
 from ledgerloom.llm.quality import score_quality
 from ledgerloom.llm.tokens import count_tokens
 from ledgerloom.plans.registry import Registry
@@ -72,4 +72,9 @@ def registry() -> Registry:
         scored = toxicity.score_toxicity(docs, model, keep_text=False).withColumnRenamed("toxicity", "score")
         return scored.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
+    @found.add("op10_license_scan", licenses.sql())
+    def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+        docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+        return licenses.scan_licenses(docs).select("doc_id", "license", "dice", "n_hits")
+
     return found
