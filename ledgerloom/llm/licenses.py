@@ -9,12 +9,14 @@ no match can do without. All of it is one projection: no shuffle, no join, rows
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.8
+SLACK = 1e-9  # for bounds that meet a whole number
 # Names and standard wording of public licences and notices.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -55,7 +57,7 @@ def needed_bigrams(bigrams: dict[str, list[str]], threshold: float) -> list[str]
             times[b] = times.get(b, 0) + 1
     out: dict[str, None] = {}
     for own in bigrams.values():
-        least = -(-int(threshold * len(own) * 1_000_000) // int((2 - threshold) * 1_000_000))  # common bigrams of any match
+        least = math.ceil(threshold * len(own) / (2 - threshold) - SLACK)  # common bigrams of any match
         for b in sorted(own, key=lambda b: times[b])[: len(own) - max(1, least) + 1]:
             out[b] = None
     return list(out)
@@ -64,7 +66,7 @@ def needed_bigrams(bigrams: dict[str, list[str]], threshold: float) -> list[str]
 def license_hits(text: Column, templates: dict[str, str], threshold: float = THRESHOLD) -> Column:
     """All matches of a text: array of (dice, license, unit), one for each unit and template."""
     bigrams = template_bigrams(templates)
-    low, high = threshold / (2 - threshold), (2 - threshold) / threshold
+    low, high = threshold / (2 - threshold) - SLACK, (2 - threshold) / threshold + SLACK
     largest, smallest = max(map(len, bigrams.values())), min(map(len, bigrams.values()))
     most, least = int(largest * high) + 1, max(1, int(smallest * low))
     known = F.array(*[F.struct(F.lit(name).alias("license"), F.lit(len(own)).alias("n"), F.array(*map(F.lit, own)).alias("own")) for name, own in bigrams.items()])
@@ -123,7 +125,7 @@ units AS (
 sized AS (SELECT r, {pairs.format("w")} AS own FROM (SELECT r, string_split({spaced.format("u")}, ' ') AS w FROM units)),
 scored AS (
   SELECT r, license, 2.0::DOUBLE * len(list_intersect(s.own, k.own)) / (len(s.own) + len(k.own)) AS dice
-  FROM sized s JOIN known k ON len(s.own) BETWEEN len(k.own) * {threshold / (2 - threshold)}::DOUBLE AND len(k.own) * {(2 - threshold) / threshold}::DOUBLE),
+  FROM sized s JOIN known k ON len(s.own) BETWEEN len(k.own) * {threshold / (2 - threshold) - SLACK}::DOUBLE AND len(k.own) * {(2 - threshold) / threshold + SLACK}::DOUBLE),
 hits AS (SELECT * FROM scored WHERE dice >= {threshold}::DOUBLE),
 best AS (SELECT r, first(license ORDER BY dice DESC, license) AS license, max(dice) AS dice, count(*) AS n_hits FROM hits GROUP BY r)
 SELECT doc_id, license, coalesce(dice, 0.0) AS dice, coalesce(n_hits, 0) AS n_hits FROM whole LEFT JOIN best USING (r)
