@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,4 +78,8 @@ def registry() -> Registry:
         docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
         return licenses.scan_licenses(docs).select("doc_id", "license", "dice", "n_hits")
 
+    @found.add("pipeline", corpus_pipeline.ORACLE_SQL)
+    def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return corpus_pipeline.run(spark, sf_dir)
+
     return found
