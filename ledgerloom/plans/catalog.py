@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from ledgerloom.plans import joined
 from ledgerloom.plans.registry import Registry
-from ledgerloom.session import table
 
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Monthly order counts by status."""
-    orders = table(spark, sf_dir, "orders")
-    return orders.groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month"), "o_orderstatus").agg(F.count("*").alias("n"))
+PARTS = (joined,)
 
 
 def registry() -> Registry:
-    return Registry()
+    reg = Registry()
+    for part in PARTS:
+        part.register(reg)
+    return reg
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return registry().queries["j1_inner_hash"](spark, sf_dir)
