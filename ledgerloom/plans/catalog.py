@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.plans import aggregated, joined
+from ledgerloom.plans import aggregated, joined, sequenced
 from ledgerloom.plans.registry import Registry
 
-PARTS = (joined, aggregated)
+PARTS = (joined, aggregated, sequenced)
 
 
 def registry() -> Registry:
