@@ -31,7 +31,7 @@ from ledgerloom.llm.tokens import text_slices
 from ledgerloom.llm.words import LOWER, hashes, mix, spans, windows
 
 COORDINATES, MATCHES = 64, 34
-HOT = 200
+HOT = 32
 BLOCK = 256
 _MULTIPLIERS = np.random.Generator(np.random.PCG64(71)).integers(1, 1 << 63, COORDINATES, np.uint64) * np.uint64(2) + np.uint64(1)
 _SALTS = np.random.Generator(np.random.PCG64(72)).integers(1, 1 << 63, COORDINATES, np.uint64)
