@@ -31,8 +31,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below TOXIC by a model of the labelled rows that are left and not held out."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    model = fit_toxicity(docs.select("doc_id", "text").filter(~held_out(F.col("doc_id"))).join(labels, "doc_id"))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic").filter(~held_out(F.col("doc_id")))
+    model = fit_toxicity(docs.select("doc_id", "text"), labels)
     return score_toxicity(docs, model).filter(F.col("toxicity") < TOXIC).select(*COLUMNS)
 
 

@@ -68,8 +68,8 @@ def registry() -> Registry:
     @found.add("op9_toxicity")
     def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-        labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic")
-        model = toxicity.fit_toxicity(docs.filter(~langid.held_out(F.col("doc_id"))).join(labels, "doc_id"))
+        labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(~langid.held_out(F.col("doc_id")))
+        model = toxicity.fit_toxicity(docs, labels)
         scored = toxicity.score_toxicity(docs, model, keep_text=False).withColumnRenamed("toxicity", "score")
         return scored.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 

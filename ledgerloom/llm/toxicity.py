@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.components import shared_folder
 from ledgerloom.llm.tokens import text_slices
 from ledgerloom.llm.words import LOWER, hashes, mix
 
@@ -184,12 +185,20 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-(features @ self.weights + self.bias)))
 
 
-def _sample(labelled: DataFrame, rows: int) -> DataFrame:
-    """About `rows` labelled rows of each class at most, by a hash of id and text: the same rows in every run."""
-    sizes = {r.toxic: r.n for r in labelled.groupBy("toxic").agg(F.count("*").alias("n")).collect()}  # two rows
-    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / (1 << 20)
+def _sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
+    """Texts of about `rows` labelled documents of each class at most, chosen by a hash of the id: the same in every run.
+
+    A document labelled twice is toxic if one label says so. The chosen labels are that few, so they go to all tasks and no
+    other text moves.
+    """
+    shared_folder(docs.sparkSession)
+    labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    sizes = {r.toxic: r.n for r in labels.groupBy("toxic").agg(F.count("*").alias("n")).collect()}  # two rows
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / (1 << 20)
     share = F.when(F.col("toxic") == 1, rows / max(rows, sizes.get(1, 0))).otherwise(rows / max(rows, sizes.get(0, 0)))
-    return labelled.filter(draw < share)
+    chosen = labels.filter(draw < share)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).checkpoint()
 
 
 def _items(labelled: DataFrame, wanted: list[str] | None) -> DataFrame:
@@ -246,14 +255,13 @@ def learn_lexicon(sample: DataFrame, least_contexts: int = 12, precision: float
     return sorted(chosen)
 
 
-def fit_toxicity(labelled: DataFrame, rows: int = SAMPLE_ROWS, penalty: float = 1.0) -> ToxicityModel:
-    """Lexicon and logistic weights from labelled rows (doc_id, text, toxic); at most about `rows` of each class.
+def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, penalty: float = 1.0) -> ToxicityModel:
+    """Lexicon and logistic weights from documents (doc_id, text) and labels (doc_id, toxic); about `rows` of each class.
 
-    Rows with a null label are left out; null texts are empty. Weights of hit features are not negative. Without labelled
-    rows the lexicon is empty and every score is one half or less.
+    Rows with a null id or label are left out; null texts are empty. Weights of hit features are not negative. Without
+    labelled rows the lexicon is empty and every score is below one half.
     """
-    labelled = labelled.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic")).filter("toxic IN (0, 1)")
-    sample = _sample(labelled, rows)
+    sample = _sample(docs, labels, rows)
     terms = learn_lexicon(sample)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -47,7 +47,7 @@ def _labelled(n=240):
 def test_lexicon_and_scores_are_learned(spark):
     rows = _labelled()
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
-    model = fit_toxicity(df.filter("doc_id % 3 <> 1"))
+    model = fit_toxicity(df.select("doc_id", "text"), df.filter("doc_id % 3 <> 1").select("doc_id", "toxic"))
     assert "grumbolo" in model.terms and any(t.startswith("vexx") and t.endswith("*") for t in model.terms)
     got = {r.doc_id: r.toxicity for r in score_toxicity(df, model).collect()}
     assert all((got[i] >= 0.7) == bool(y) for i, _, y in rows if i % 3 == 1)
@@ -55,7 +55,8 @@ def test_lexicon_and_scores_are_learned(spark):
 
 def test_copies_are_no_evidence(spark):
     rows = _labelled(80) + [(1000 + i, "zanzibarus opened the long door", 1) for i in range(60)]
-    model = fit_toxicity(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = fit_toxicity(df.drop("toxic"), df.drop("text"))
     assert not any(t.startswith("zanz") for t in model.terms)
 
 
@@ -74,7 +75,7 @@ def test_spans_edits_and_quotation(spark):
 
 def test_empty_and_unlabelled_tables(spark):
     df = spark.createDataFrame([], "doc_id long, text string, toxic int")
-    model = fit_toxicity(df)
+    model = fit_toxicity(df.drop("toxic"), df.drop("text"))
     assert model.terms == [] and score_toxicity(df, model).count() == 0
     one = spark.createDataFrame([(1, "a", None), (2, None, 1), (3, "", 0)], "doc_id long, text string, toxic int")
-    assert score_toxicity(one, fit_toxicity(one)).filter("toxicity between 0 and 1").count() == 3
+    assert score_toxicity(one, fit_toxicity(one.drop("toxic"), one.drop("text"))).filter("toxicity between 0 and 1").count() == 3
