@@ -59,6 +59,20 @@ class Trie:
                 self.term[node] = k
         self.limit = [edits_allowed(t) for t in terms]
         self.most = max(self.limit, default=0)
+        self.letters = [int(np.bitwise_or.reduce(_bits()[list(t.rstrip("*").encode())], initial=0)) for t in terms]
+
+    def possible(self, letters: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Whether some term may match a word with these letters (bits of _bits()) and characters.
+
+        Exact as a bound: an edit takes away one letter of a term at most, adds one at most, and changes the length by one
+        at most. Words of which this is false need no walk.
+        """
+        out = np.zeros(len(letters), bool)
+        for term, limit, mine in zip(self.terms, self.limit, self.letters):
+            size, mine = len(term.rstrip("*")), np.uint64(mine)
+            near = (lengths >= size - limit) & (np.bitwise_count(mine & ~letters) <= limit)
+            out |= near if term.endswith("*") else near & (lengths <= size + limit) & (np.bitwise_count(letters & ~mine) <= limit)
+        return out
 
     def match(self, word: str) -> tuple[int, int] | None:
         """Term and edits of the closest term (ties: the first), or None."""
@@ -93,6 +107,23 @@ class Trie:
         return best
 
 
+@functools.cache
+def _bits() -> np.ndarray:
+    """A bit for each ASCII digit and small letter; none for other bytes."""
+    table = np.zeros(256, np.uint64)
+    for k, byte in enumerate([*range(48, 58), *range(97, 123)]):
+        table[byte] = 1 << k
+    return table
+
+
+def _letter_sets(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Letters of each stretch of bytes, as bits, and its characters; no stretch is empty."""
+    lengths = ends - starts
+    begins = np.cumsum(lengths) - lengths
+    data = low[np.arange(lengths.sum()) + np.repeat(starts - begins, lengths)]
+    return np.bitwise_or.reduceat(_bits()[data], begins), np.add.reduceat((data & 0xC0) != 0x80, begins, dtype=np.int64)
+
+
 @functools.cache
 def _wordy() -> np.ndarray:
     table = np.zeros(256, bool)
@@ -124,7 +155,7 @@ def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 @dataclass
 class Scanner:
-    """Finds lexicon hits in slices of texts; remembers what it found for words it has seen."""
+    """Finds lexicon hits in slices of texts; remembers what it found for words it has walked the trie with."""
 
     trie: Trie
     memory: dict[int, int] = field(default_factory=dict)
@@ -137,11 +168,11 @@ class Scanner:
         if len(self.memory) > _MEMORY:
             self.memory.clear()
         keys, first, which = np.unique(hashes(low, starts, ends), return_index=True, return_inverse=True)
-        codes = np.empty(len(keys), np.int64)
-        for i, key in enumerate(keys.tolist()):
+        codes = np.full(len(keys), -1, np.int64)
+        for i in np.flatnonzero(self.trie.possible(*_letter_sets(low, starts[first], ends[first]))).tolist():
+            key, k = int(keys[i]), first[i]
             code = self.memory.get(key)
             if code is None:
-                k = first[i]
                 found = self.trie.match(low[starts[k] : ends[k]].tobytes().decode("utf-8", "replace"))
                 code = self.memory[key] = -1 if found is None else found[0] * 4 + found[1]
             codes[i] = code
@@ -175,6 +206,12 @@ class Scanner:
         return np.log1p(out)
 
 
+@functools.lru_cache(maxsize=2)
+def scanner(terms: tuple[str, ...]) -> Scanner:
+    """One scanner for all tasks of a Python worker."""
+    return Scanner(Trie(list(terms)))
+
+
 @dataclass(frozen=True)
 class ToxicityModel:
     terms: list[str]
@@ -265,10 +302,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, pe
     terms = learn_lexicon(sample)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(Trie(terms))
+        scan = scanner(tuple(terms))
         for batch in batches:
             for start, end, data, offsets in text_slices(batch.column(0)):
-                found = scanner.features(data, offsets)
+                found = scan.features(data, offsets)
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(start, end - start), *[pa.array(np.ascontiguousarray(c)) for c in found.T]], names=["toxic", *FEATURES])
 
     measured = sample.select("text", "toxic").mapInArrow(measure, "toxic int, " + ", ".join(f"{f} double" for f in FEATURES))
@@ -303,9 +340,9 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", ke
     schema = docs.select(*[F.col(f"`{c}`") for c in kept], F.lit(0.0).alias("toxicity")).schema
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(Trie(model.terms))
+        scan = scanner(tuple(model.terms))
         for batch in batches:
-            parts = [model.score(scanner.features(data, offsets)) for _, _, data, offsets in text_slices(batch.column(batch.schema.get_field_index(text)))]
+            parts = [model.score(scan.features(data, offsets)) for _, _, data, offsets in text_slices(batch.column(batch.schema.get_field_index(text)))]
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in kept] + [pa.array(np.concatenate(parts) if parts else np.zeros(0))], names=[*kept, "toxicity"])
 
     return docs.mapInArrow(score, schema)
@@ -315,10 +352,10 @@ def toxic_spans(docs: DataFrame, model: ToxicityModel, doc_id: str = "doc_id", t
     """One row a hit: doc_id, begin and end (bytes of the UTF-8 text), term, edits, window_score, quoted, addressed."""
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(Trie(model.terms))
+        scan = scanner(tuple(model.terms))
         for batch in batches:
             for start, _, data, offsets in text_slices(batch.column(1)):
-                found = list(scanner.hits(data, offsets))
+                found = list(scan.hits(data, offsets))
                 columns = list(zip(*found)) if found else [[]] * 8
                 ids = batch.column(0).take(pa.array([start + r for r in columns[0]], pa.int64()))
                 types = (pa.int64(), pa.int64(), None, pa.int32(), pa.float64(), pa.bool_(), pa.bool_())

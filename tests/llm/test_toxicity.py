@@ -1,11 +1,12 @@
 import random
 from functools import cache
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from ledgerloom.llm.toxicity import ToxicityModel, Trie, edits_allowed, fit_toxicity, score_toxicity, toxic_spans
+from ledgerloom.llm.toxicity import ToxicityModel, Trie, _letter_sets, edits_allowed, fit_toxicity, score_toxicity, toxic_spans
 
 
 @cache
@@ -30,6 +31,17 @@ def test_automaton_finds_what_plain_distances_find(word):
     assert Trie(TERMS).match(word) == best
 
 
+@given(st.lists(st.text("abcdeé1", min_size=1, max_size=11), min_size=1, max_size=6))
+@settings(max_examples=300, deadline=None)
+def test_words_that_are_not_walked_match_nothing(words):
+    trie = Trie([*TERMS, "bécadéba", "éa1*"])
+    parts = [w.encode() for w in words]
+    ends = np.cumsum([len(p) for p in parts])
+    starts = ends - [len(p) for p in parts]
+    possible = trie.possible(*_letter_sets(np.frombuffer(b"".join(parts), np.uint8), starts, ends))
+    assert all(ok for ok, w in zip(possible, words) if trie.match(w) is not None)
+
+
 def _labelled(n=240):
     rng = random.Random(8)
     plain = ["".join(rng.choice("tionhers") for _ in range(rng.randint(2, 7))) for _ in range(300)]
