@@ -15,7 +15,7 @@ def counts_with_share(rows: DataFrame, key: str, blank: str = "(blank)") -> Data
 
 def rates(rows: DataFrame, key: str, flags: dict[str, Column], at_least: int) -> DataFrame:
     """n and the rate of each flag by key, of keys with enough rows (A4)."""
-    measures = [F.round(F.avg(flag.cast("int")), 6).alias(name) for name, flag in flags.items()]
+    measures = [F.avg(flag.cast("int")).alias(name) for name, flag in flags.items()]
     return rows.groupBy(key).agg(F.count("*").alias("n"), *measures).filter(F.col("n") >= at_least)
 
 

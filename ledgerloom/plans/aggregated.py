@@ -13,11 +13,11 @@ TOKENS = "[^a-z]+"
 
 def tokens(spark, sf):
     """doc_id, token: ASCII words of English documents of up to 3,000 characters."""
-    d = table(spark, sf, "documents").filter("lang = 'en' AND n_chars <= 3000")
+    d = table(spark, sf, "documents").filter("lang = 'en'")
     return d.select("doc_id", F.explode(F.split(F.lower("text"), TOKENS)).alias("token")).filter(F.length("token") >= 3)
 
 
-TOKENS_SQL = "tokens AS (SELECT * FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS token FROM documents WHERE lang = 'en' AND n_chars <= 3000) WHERE length(token) >= 3)"
+TOKENS_SQL = "tokens AS (SELECT * FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS token FROM documents WHERE lang = 'en') WHERE length(token) >= 3)"
 
 
 def register(reg: Registry) -> None:
@@ -38,7 +38,7 @@ def register(reg: Registry) -> None:
         return table(spark, sf, "lineitem").groupBy("l_linestatus").agg(F.count_if(r).alias("returned"), F.round(F.avg(F.when(r, F.col("l_extendedprice"))), 4).alias("mean_returned"), F.count("*").alias("n"))
 
     @reg.add("a4_having_rates", """
-        SELECT s_nationkey, count(*)::BIGINT AS n, round(avg((l_returnflag = 'R')::INT), 6) AS returned, round(avg((l_discount > 0.05)::INT), 6) AS discounted FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1 HAVING count(*) >= 100""")
+        SELECT s_nationkey, count(*)::BIGINT AS n, avg((l_returnflag = 'R')::INT) AS returned, avg((l_discount > 0.05)::INT) AS discounted FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1 HAVING count(*) >= 100""")
     def a4(spark, sf):
         j = table(spark, sf, "lineitem").join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
         return agg.rates(j, "s_nationkey", {"returned": F.col("l_returnflag") == "R", "discounted": F.col("l_discount") > 0.05}, 100)
@@ -58,10 +58,10 @@ def register(reg: Registry) -> None:
         return g.filter("docs >= 20").unionByName(rest.select(F.lit("(below floor)").alias("token"), "docs", "occurrences"))
 
     @reg.add("a7_ratios", """
-        WITH w AS (SELECT doc_id, u.w, u.i, len(ws) AS n FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+') AS ws FROM documents WHERE lang = 'en' AND n_chars <= 3000), unnest(ws) WITH ORDINALITY u(w, i))
+        WITH w AS (SELECT doc_id, u.w, u.i, len(ws) AS n FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+') AS ws FROM documents WHERE lang = 'en'), unnest(ws) WITH ORDINALITY u(w, i))
         SELECT lower(w) AS token, count(*)::BIGINT AS n, round(avg((w = upper(w))::INT), 6) AS caps, round(avg(((i - 1) / n::DOUBLE < 0.15 OR (i - 1) / n::DOUBLE > 0.75)::INT), 6) AS edge FROM w GROUP BY 1 HAVING count(*) >= 200""")
     def a7(spark, sf):
-        d = table(spark, sf, "documents").filter("lang = 'en' AND n_chars <= 3000").select(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)).alias("ws"))
+        d = table(spark, sf, "documents").filter("lang = 'en'").select(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)).alias("ws"))
         w = d.select(F.size("ws").alias("n"), F.posexplode("ws").alias("i", "w"))
         at = F.col("i") / F.col("n")
         return w.groupBy(F.lower("w").alias("token")).agg(F.count("*").alias("n"), F.round(F.avg((F.col("w") == F.upper("w")).cast("int")), 6).alias("caps"), F.round(F.avg(((at < 0.15) | (at > 0.75)).cast("int")), 6).alias("edge")).filter("n >= 200")

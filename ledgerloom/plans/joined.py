@@ -120,11 +120,11 @@ def register(reg: Registry) -> None:
         return table(spark, sf, "orders").select("o_orderkey", position.alias("position"))
 
     @reg.add("j16_similarity_pairs", """
-        WITH t AS (SELECT p_partkey AS id, list_distinct(string_split(lower(p_name || ' ' || p_type || ' ' || p_brand), ' ')) AS s FROM part WHERE p_partkey < 400)
+        WITH t AS (SELECT p_partkey AS id, list_distinct(string_split(lower(p_name || ' ' || p_type || ' ' || p_brand), ' ')) AS s FROM part)
         SELECT a.id AS a, b.id AS b, round(len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s)))::DOUBLE, 6) AS jaccard FROM t a JOIN t b ON a.id % 2 = 0 AND b.id % 2 = 1
         WHERE len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s)))::DOUBLE >= 0.6""")
     def j16(spark, sf):
-        p = table(spark, sf, "part").filter("p_partkey < 400").select("p_partkey", F.array_distinct(F.split(F.lower(F.concat_ws(" ", "p_name", "p_type", "p_brand")), " ")).alias("s"))
+        p = table(spark, sf, "part").select("p_partkey", F.array_distinct(F.split(F.lower(F.concat_ws(" ", "p_name", "p_type", "p_brand")), " ")).alias("s"))
         even, odd = p.filter("p_partkey % 2 = 0").withColumnRenamed("p_partkey", "a"), p.filter("p_partkey % 2 = 1").withColumnRenamed("p_partkey", "b")
         return joins.similar_pairs(even, odd, "a", "b", "s", 0.6)
 
@@ -164,12 +164,12 @@ def register(reg: Registry) -> None:
         return joins.positional(side("f"), side("o"), ["month_f"], ["month_o"])
 
     @reg.add("j22_set_key_two_level", """
-        WITH e AS (SELECT event_id, event_type AS s, event_type || ':' || (value::INT % 7) AS p FROM events WHERE event_id < 3000), r(s, p) AS (VALUES ('error', 'error:1'), ('click', 'click:3'), ('view', 'view:99'))
+        WITH e AS (SELECT event_id, event_type AS s, event_type || ':' || (value::INT % 7) AS p FROM events), r(s, p) AS (VALUES ('error', 'error:1'), ('click', 'click:3'), ('view', 'view:99'))
         SELECT event_id, CASE WHEN x.p IS NOT NULL THEN 'exact' WHEN y.s IS NOT NULL THEN 'section' ELSE 'none' END AS level FROM e LEFT JOIN r x ON x.p = e.p LEFT JOIN r y ON y.s = e.s""")
     def j22(spark, sf):
         r = spark.createDataFrame([("error", "error:1"), ("click", "click:3"), ("view", "view:99")], "s string, p string")
         half_even = F.bround("value").cast("int")
-        e = table(spark, sf, "events").filter("event_id < 3000").select("event_id", F.col("event_type").alias("s"), F.concat_ws(":", "event_type", (half_even % 7).cast("string")).alias("p"))
+        e = table(spark, sf, "events").select("event_id", F.col("event_type").alias("s"), F.concat_ws(":", "event_type", (half_even % 7).cast("string")).alias("p"))
         j = e.join(r.select("p", F.lit(1).alias("x")), "p", "left").join(r.select("s", F.lit(1).alias("y")), "s", "left")
         return j.select("event_id", F.when(F.col("x") == 1, "exact").when(F.col("y") == 1, "section").otherwise("none").alias("level"))
 

@@ -101,11 +101,11 @@ def register(reg: Registry) -> None:
         return governance.leaks(table(spark, sf, "customer").select("c_custkey", "c_name", kept.alias("sentence")), "sentence", "c_name").select("c_custkey")
 
     @reg.add("q1_series_audit", """
-        WITH m AS (SELECT o_custkey, strftime(o_orderdate, '%Y-%m') AS month, o_orderstatus AS v FROM orders WHERE o_custkey < 60),
+        WITH m AS (SELECT o_custkey, strftime(o_orderdate, '%Y-%m') AS month, o_orderstatus AS v FROM orders),
         d AS (SELECT DISTINCT o_custkey, month, left(month, 4)::INT * 12 + right(month, 2)::INT AS i FROM m), g AS (SELECT *, i - lag(i) OVER (PARTITION BY o_custkey ORDER BY month) AS step FROM d)
         SELECT 'duplicate' AS rule, o_custkey, month AS detail FROM m GROUP BY ALL HAVING count(*) > 1 UNION ALL SELECT 'illegal', o_custkey, month FROM m WHERE v NOT IN ('F', 'O') UNION ALL SELECT 'gap', o_custkey, month FROM g WHERE step > 1""")
     def q1(spark, sf):
-        m = table(spark, sf, "orders").filter("o_custkey < 60").select("o_custkey", F.date_format("o_orderdate", "yyyy-MM").alias("month"), F.col("o_orderstatus").alias("v"))
+        m = table(spark, sf, "orders").select("o_custkey", F.date_format("o_orderdate", "yyyy-MM").alias("month"), F.col("o_orderstatus").alias("v"))
         return governance.series_audit(m, "o_custkey", "month", "v", F.col("v").isin("F", "O"))
 
     @reg.add("q3_method_check", """SELECT 'mismatch' AS strict, 'within' AS loose, 'loose' AS chosen""")
@@ -160,9 +160,9 @@ def register(reg: Registry) -> None:
         return table(spark, sf, "documents").select("doc_id", text.snippet(F.col("text"), 120).alias("snippet"))
 
     @reg.add("f6_sentences", r"""
-        SELECT doc_id, left(array_to_string(list_slice(string_split(regexp_replace(text, '([.!?])[ \t\r\n\f\x0B]+', '\1' || chr(1), 'g'), chr(1)), 1, 2), ' '), 600) AS lead FROM documents WHERE n_chars < 5000""")
+        SELECT doc_id, left(array_to_string(list_slice(string_split(regexp_replace(text, '([.!?])[ \t\r\n\f\x0B]+', '\1' || chr(1), 'g'), chr(1)), 1, 2), ' '), 600) AS lead FROM documents""")
     def f6(spark, sf):
-        return table(spark, sf, "documents").filter("n_chars < 5000").select("doc_id", text.sentences(F.col("text"), 2).alias("lead"))
+        return table(spark, sf, "documents").select("doc_id", text.sentences(F.col("text"), 2).alias("lead"))
 
     @reg.add("f13_stable_id", "SELECT page_id, substr(sha1(page_id || '|' || url), 1, 16) AS id FROM pages")
     def f13(spark, sf):
@@ -241,7 +241,7 @@ def register(reg: Registry) -> None:
 
     @reg.add("d1_frames")
     def d1(spark, sf):
-        said = F.concat_ws(" ", F.lit("In sum we hereby"), F.when(F.col("doc_id") % 2 == 0, "GRANT").otherwise("deny"), F.lit("the petition in part."), F.substring("text", 1, 200))
+        said = F.concat_ws(" ", F.lit("In sum we hereby"), F.when(F.col("doc_id") % 2 == 0, "GRANT").otherwise("deny"), F.lit("the petition in part."), "text")
         return mining.frames(table(spark, sf, "documents").select("doc_id", said.alias("text")))
 
     outcome_inputs = """SELECT o_orderkey, CASE o_orderkey % 8 WHEN 0 THEN 'remand' WHEN 1 THEN 'dismiss' WHEN 2 THEN 'reverse' WHEN 3 THEN 'vacate' WHEN 4 THEN 'modify' WHEN 5 THEN 'order' WHEN 6 THEN 'affirm' ELSE '' END AS v,
@@ -283,6 +283,5 @@ def register(reg: Registry) -> None:
 
     @reg.add("d17_greedy_cluster")
     def d17(spark, sf):
-        d = table(spark, sf, "documents").filter("lang = 'en' AND n_chars < 2000")
-        items = d.select("source", "doc_id", text.signature(F.substring("text", 1, 120), ("the", "of", "and")).alias("tokens"))
-        return mining.cluster_stories(items, "source", "doc_id", "tokens", []).select("source", "doc_id", "seed")
+        turns = table(spark, sf, "conversations").select("conv_id", "turn", text.signature(F.col("text"), ("the", "of", "and")).alias("tokens"))
+        return mining.cluster_stories(turns, "conv_id", "turn", "tokens", []).select("conv_id", "turn", "seed")

@@ -98,7 +98,7 @@ def register(reg: Registry) -> None:
 
     @reg.add("w15_capped_topn")
     def w15(spark, sf):
-        e = table(spark, sf, "events").filter("day(ts) > 20")
+        e = table(spark, sf, "events")
         labels = F.array_compact(F.array(F.when(F.col("value") > 20, "high"), F.when(F.col("user_id") % 2 == 0, "even"), F.lit("all")))
         items = e.select(F.date_format("ts", "yyyy-MM-dd").alias("snapshot"), "event_id", F.col("user_id").cast("string").alias("sub"), labels.alias("labels"))
         return series.capped_top(items, "snapshot", [F.col("event_id")], "sub", "labels", 60, 2, 15).select("snapshot", "place", "event_id", "sub")
@@ -113,10 +113,10 @@ def register(reg: Registry) -> None:
         return top[0].unionByName(top[1]).withColumn("k", F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("ts"), "event_id"))).select("event_id", "bucket", "k")
 
     @reg.add("w17_segments", """
-        WITH d AS (SELECT user_id % 5 AS g, day(ts)::INT AS d, count_if(event_type = 'purchase') > 0 AS dated FROM events WHERE user_id < 40 GROUP BY 1, 2), r AS (SELECT *, sum((NOT dated)::INT) OVER (PARTITION BY g ORDER BY d ROWS UNBOUNDED PRECEDING) AS run FROM d)
+        WITH d AS (SELECT user_id % 5 AS g, day(ts)::INT AS d, count_if(event_type = 'purchase') > 0 AS dated FROM events GROUP BY 1, 2), r AS (SELECT *, sum((NOT dated)::INT) OVER (PARTITION BY g ORDER BY d ROWS UNBOUNDED PRECEDING) AS run FROM d)
         SELECT g, min(d) AS first, CASE WHEN count(*) >= 2 THEN 'segment' ELSE 'point' END AS kind FROM r WHERE dated GROUP BY g, run""")
     def w17(spark, sf):
-        d = table(spark, sf, "events").filter("user_id < 40").groupBy((F.col("user_id") % 5).alias("g"), F.dayofmonth("ts").alias("d")).agg((F.count_if(F.col("event_type") == "purchase") > 0).alias("dated"))
+        d = table(spark, sf, "events").groupBy((F.col("user_id") % 5).alias("g"), F.dayofmonth("ts").alias("d")).agg((F.count_if(F.col("event_type") == "purchase") > 0).alias("dated"))
         return series.islands(d, ["g"], "d", F.col("dated")).select("g", "first", F.when(F.col("rows") >= 2, "segment").otherwise("point").alias("kind"))
 
     @reg.add("o2_rank", """
@@ -127,9 +127,9 @@ def register(reg: Registry) -> None:
         return top.withColumn("place", F.row_number().over(Window.orderBy(*order))).select("event_id", "place")
 
     @reg.add("o3_blanks_last", """
-        SELECT event_id, row_number() OVER (ORDER BY CASE WHEN event_type = 'view' THEN NULL ELSE value END DESC NULLS LAST, event_id)::INT AS place FROM events WHERE user_id < 5""")
+        SELECT event_id, row_number() OVER (ORDER BY CASE WHEN event_type = 'view' THEN NULL ELSE value END DESC NULLS LAST, event_id)::INT AS place FROM events""")
     def o3(spark, sf):
-        e = table(spark, sf, "events").filter("user_id < 5").select("event_id", F.when(F.col("event_type") != "view", F.col("value")).alias("v"))
+        e = table(spark, sf, "events").select("event_id", F.when(F.col("event_type") != "view", F.col("value")).alias("v"))
         return e.select("event_id", F.row_number().over(Window.orderBy(F.desc_nulls_last("v"), "event_id")).alias("place"))
 
     @reg.add("o4_most_common", "SELECT p_name, count(*)::BIGINT AS n FROM part GROUP BY 1 ORDER BY n DESC, p_name LIMIT 10")
