@@ -93,3 +93,35 @@ def similar_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str
     pairs = a.join(b, "t").dropDuplicates([left_id, right_id])
     jaccard = F.size(F.array_intersect("__a", "__b")) / F.size(F.array_union("__a", "__b"))
     return pairs.select(left_id, right_id, F.round(jaccard, 6).alias("jaccard")).filter(F.col("jaccard") >= at_least)
+
+
+def similar_self_pairs(rows: DataFrame, id_: str, tokens: str, at_least: float, distinctive: tuple[str, ...] = (), rare: tuple[str, ...] = ()) -> DataFrame:
+    """a, b, jaccard of all pairs a < b of one table that are the same story (J16, RC10).
+
+    Same are a token-set Jaccard of at least `at_least`, or two common distinctive tokens of which one is rare; rare tokens
+    are distinctive. Empty sets have no pairs. Equal sets are compared once and meet the others by a token of their
+    rarest ones, or by a rare and another distinctive token; each pair is kept under the first block both are in.
+    """
+    sets = rows.select(F.col(id_).alias("id"), F.array_sort(F.array_distinct(tokens)).alias("s")).filter(F.size("s") > 0).groupBy("s").agg(F.collect_list("id").alias("ids"))
+    seen = sets.select("s", "ids", F.explode("s").alias("t"))
+    ranked = seen.join(seen.groupBy("t").agg(F.count("*").alias("df")), "t").groupBy("s").agg(F.first("ids").alias("ids"), F.sort_array(F.collect_list(F.struct("df", "t"))).alias("o"))
+    n = F.size("o")
+    rarest = ranked.select("s", "ids", F.slice(F.col("o.t"), F.lit(1), (n - F.ceil(n * F.lit(at_least) - 1e-9) + 1).cast("int")).alias("keys"))
+
+    marked = F.array_intersect("s", F.array(*map(F.lit, {*distinctive, *rare})).cast("array<string>"))
+    pinned = F.array_intersect("s", F.array(*map(F.lit, rare)).cast("array<string>"))
+    two = F.flatten(F.transform(pinned, lambda r: F.transform(F.filter(marked, lambda d: d != r), lambda d: F.concat_ws("\u0001", F.least(r, d), F.greatest(r, d)))))
+    linked = sets.select("s", "ids", F.array_distinct(two).alias("keys"))
+
+    def met(blocks: DataFrame) -> DataFrame:
+        one = blocks.select(F.col("s").alias("sa"), F.col("ids").alias("ia"), F.col("keys").alias("ka"), F.explode("keys").alias("t"))
+        other = blocks.select(F.col("s").alias("sb"), F.col("ids").alias("ib"), F.col("keys").alias("kb"), F.explode("keys").alias("t"))
+        both = one.join(other, (one.t == other.t) & (F.col("sa") < F.col("sb")) & (F.element_at(F.array_intersect("ka", "kb"), 1) == one.t))
+        common = F.size(F.array_intersect("sa", "sb"))
+        return both.select("ia", "ib", (common / (F.size("sa") + F.size("sb") - common)).alias("jaccard"))
+
+    found = met(rarest).filter(F.col("jaccard") >= at_least).unionByName(met(linked).filter(F.col("jaccard") < at_least))
+    found = found.unionByName(sets.select(F.col("ids").alias("ia"), F.col("ids").alias("ib"), F.lit(1.0).alias("jaccard")))
+    pairs = found.select(F.explode("ia").alias("x"), "ib", "jaccard").select("x", F.explode("ib").alias("y"), "jaccard")
+    # Of equal sets each pair comes in both orders, and one is enough; of unlike sets the one order may be either.
+    return pairs.filter((F.col("x") < F.col("y")) | ((F.col("x") > F.col("y")) & (F.col("jaccard") < 1))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.round("jaccard", 6).alias("jaccard"))

@@ -51,6 +51,19 @@ def register(reg: Registry) -> None:
         daily = lambda d: d.groupBy("day").agg(F.count("*").alias("n"))
         return joins.upsert(daily(e.filter("user_id % 2 = 0 AND day(ts) <= 20")), daily(e.filter("user_id % 2 = 1 AND day(ts) > 10")), "day", "n")
 
+    @reg.add("j5_upsert_halves", """
+        WITH e AS (SELECT user_id, CAST(ts AS DATE) AS d FROM events), m AS (SELECT min(d) + ((max(d) - min(d)) // 2)::INT AS m FROM e),
+        s AS (SELECT user_id, count(*)::BIGINT AS n FROM e, m WHERE d <= m GROUP BY 1), f AS (SELECT user_id, count(*)::BIGINT AS n FROM e, m WHERE d > m GROUP BY 1)
+        SELECT coalesce(s.user_id, f.user_id) AS user_id, coalesce(s.n, f.n) AS n,
+          CASE WHEN f.user_id IS NULL THEN 'kept' WHEN s.user_id IS NULL THEN 'added' WHEN s.n = f.n THEN 'same' ELSE 'conflict' END AS status
+        FROM s FULL JOIN f ON s.user_id = f.user_id""")
+    def j5_halves(spark, sf):
+        e = table(spark, sf, "events").select("user_id", F.to_date("ts").alias("d"))
+        ends = e.agg(F.min("d").alias("first"), F.datediff(F.max("d"), F.min("d")).alias("days"))  # one row
+        e = e.join(F.broadcast(ends)).withColumn("early", F.datediff("d", "first") <= F.floor(F.col("days") / 2))
+        total = lambda d: d.groupBy("user_id").agg(F.count("*").alias("n"))
+        return joins.upsert(total(e.filter("early")), total(e.filter("NOT early")), "user_id", "n")
+
     @reg.add("j6_n_way_outer", """
         SELECT n_nationkey, max(CASE WHEN s = 'customer' THEN k END) AS customers, max(CASE WHEN s = 'supplier' THEN k END) AS suppliers FROM (
           SELECT c_nationkey AS n_nationkey, 'customer' AS s, count(*)::BIGINT AS k FROM customer GROUP BY 1
@@ -128,6 +141,18 @@ def register(reg: Registry) -> None:
         even, odd = p.filter("p_partkey % 2 = 0").withColumnRenamed("p_partkey", "a"), p.filter("p_partkey % 2 = 1").withColumnRenamed("p_partkey", "b")
         return joins.similar_pairs(even, odd, "a", "b", "s", 0.6)
 
+    distinctive, rare = ("anvil", "gizmo", "widget", "promo", "economy", "blue"), ("brand#3", "brand#14")
+    listed = lambda names: "[" + ", ".join(f"'{n}'" for n in names) + "]"
+
+    @reg.add("j16_similarity_self_pairs", f"""
+        WITH t AS (SELECT p_partkey AS id, list_distinct(string_split(lower(p_name || ' ' || p_type || ' ' || p_brand), ' ')) AS s FROM part),
+        p AS (SELECT a.id AS a, b.id AS b, list_intersect(a.s, b.s) AS c, len(a.s) + len(b.s) AS n FROM t a JOIN t b ON a.id < b.id)
+        SELECT a, b, round(len(c) / (n - len(c))::DOUBLE, 6) AS jaccard FROM p
+        WHERE len(c) / (n - len(c))::DOUBLE >= 0.6 OR (len(list_intersect(c, {listed(distinctive + rare)})) >= 2 AND len(list_intersect(c, {listed(rare)})) >= 1)""")
+    def j16_self(spark, sf):
+        p = table(spark, sf, "part").select("p_partkey", F.split(F.lower(F.concat_ws(" ", "p_name", "p_type", "p_brand")), " ").alias("s"))
+        return joins.similar_self_pairs(p, "p_partkey", "s", 0.6, distinctive, rare)
+
     @reg.add("j17_asof_latest", """
         SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events WHERE ts < TIMESTAMP '2024-01-15' GROUP BY user_id""")
     def j17(spark, sf):

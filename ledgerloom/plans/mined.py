@@ -6,12 +6,16 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import dates, lexicons, text
-from ledgerloom.operators import governance, mining
+from ledgerloom.operators import governance, joins, mining
 from ledgerloom.plans.registry import Registry
 from ledgerloom.session import table
 
 # Lexicons of the test corpus.
 NOTICES = [("apache", "Apache License"), ("gpl", "General Public License"), ("mit", "MIT License"), ("cc", "CC BY"), ("rights", "rights reserved")]
+STOP = tuple("the a an of to in on for and or but with at by from as is are was were be been being it its this that these those".split())
+# Words that pin a story, and words that many stories share; a link needs two of both, one of which pins.
+STORY_RARE = ("100000", "9-11", "l-1", "l1", "lottery", "litigation", "lawsuit", "proclamation", "injunction", "retrogression", "apache", "gpl", "scum")
+STORY_DISTINCTIVE = ("fee", "fees", "h-1b", "h1b", "renewal", "premium", "processing", "cap", "wage", "license", "licensed", "rights", "reserved", "commons", "mit")
 
 
 def _case(patterns, tail):
@@ -283,5 +287,10 @@ def register(reg: Registry) -> None:
 
     @reg.add("d17_greedy_cluster")
     def d17(spark, sf):
-        turns = table(spark, sf, "conversations").select("conv_id", "turn", text.signature(F.col("text"), ("the", "of", "and")).alias("tokens"))
-        return mining.cluster_stories(turns, "conv_id", "turn", "tokens", []).select("conv_id", "turn", "seed")
+        # A story's headline is the first line of a document. Equal headlines are one item, with the smallest doc_id.
+        headline = F.split_part("text", F.lit("\n"), F.lit(1))
+        docs = table(spark, sf, "documents").select("doc_id", F.array_sort(F.coalesce(text.signature(headline, STOP), F.array().cast("array<string>"))).alias("tokens"))
+        stories = docs.filter(F.size("tokens") > 0).groupBy("tokens").agg(F.min("doc_id").alias("k"))
+        pairs = joins.similar_self_pairs(stories, "k", "tokens", 0.6, STORY_DISTINCTIVE, STORY_RARE)
+        seeds = stories.join(mining.cluster_pairs(stories.select("k").distinct(), "k", pairs), "k").select("tokens", "seed")
+        return docs.join(seeds, "tokens", "left").select("doc_id", F.coalesce("seed", "doc_id").alias("seed"))

@@ -174,6 +174,24 @@ def register(reg: Registry) -> None:
     def u3(spark, sf):
         return copies(spark, sf).groupBy("event_id").agg(F.max_by("event_type", "gen").alias("event_type"))
 
+    whole = "u AS (SELECT event_id, user_id, event_type, 0 AS gen FROM events UNION ALL SELECT event_id + 500, user_id, 'shifted', 1 FROM events)"
+
+    def shifted_copies(spark, sf):
+        e = table(spark, sf, "events").select("event_id", "user_id", "event_type").withColumn("gen", F.lit(0))
+        return e.unionByName(e.withColumn("event_id", F.col("event_id") + 500).withColumn("event_type", F.lit("shifted")).withColumn("gen", F.lit(1)))
+
+    @reg.add("u1_union_all_shifted", f"WITH {whole} SELECT gen, count(*)::BIGINT AS n FROM u GROUP BY 1")
+    def u1_shifted(spark, sf):
+        return shifted_copies(spark, sf).groupBy("gen").agg(F.count("*").alias("n"))
+
+    @reg.add("u2_first_wins_shifted", f"WITH {whole} SELECT event_id, arg_min(event_type, gen) AS event_type FROM u GROUP BY 1")
+    def u2_shifted(spark, sf):
+        return shifted_copies(spark, sf).groupBy("event_id").agg(F.min_by("event_type", "gen").alias("event_type"))
+
+    @reg.add("u3_last_wins_shifted", f"WITH {whole} SELECT event_id, arg_max(event_type, gen) AS event_type FROM u GROUP BY 1")
+    def u3_shifted(spark, sf):
+        return shifted_copies(spark, sf).groupBy("event_id").agg(F.max_by("event_type", "gen").alias("event_type"))
+
     @reg.add("u5_intersect", "SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'")
     def u5(spark, sf):
         o = table(spark, sf, "orders")
