@@ -5,6 +5,9 @@ spaces, and its set of word bigrams is compared with each template's: 2 * common
 unit of n bigrams can only match templates of n * t / (2 - t) to n * (2 - t) / t bigrams, so most units and most templates
 of the others are skipped without looking at a bigram; a unit must also hold one of the few bigrams of some template that
 no match can do without. All of it is one projection: no shuffle, no join, rows stay as they are.
+
+scan_license_windows also compares every run of consecutive words, over line and paragraph ends, so a licence of several
+paragraphs inside a longer file and a notice inside a longer line are found.
 """
 
 from __future__ import annotations
@@ -108,6 +111,50 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, thre
     return found.withColumn("__best", best).select("*", F.col("__best.license").alias("license"), F.coalesce(-F.col("__best.d"), F.lit(0.0)).alias("dice"), F.size("license_hits").cast("long").alias("n_hits")).drop("__best")
 
 
+def window_hits(text: Column, templates: dict[str, str], threshold: float = THRESHOLD) -> Column:
+    """The best run of words for each template: array of (dice, license).
+
+    Runs are all of consecutive words with at most n * (2 - t) / t bigrams, of a template's n. The best of them starts and
+    ends with a bigram of the template, as others could be cut off, so only such runs are compared, and only in texts
+    that hold as many of its bigrams as any match must.
+    """
+    bigrams = template_bigrams(templates)
+    every = F.array(*map(F.lit, dict.fromkeys(b for own in bigrams.values() for b in own)))
+    least, most = lambda n: max(1, math.ceil(threshold * n / (2 - threshold) - SLACK)), lambda n: int(n * (2 - threshold) / threshold + SLACK)
+    known = F.array(*[F.struct(F.lit(name).alias("license"), F.lit(len(own)).alias("n"), F.lit(least(len(own))).alias("least"), F.lit(most(len(own))).alias("most"), F.array(*map(F.lit, own)).alias("own")) for name, own in bigrams.items()])
+    w = F.split(F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " ")), " ")
+    pairs = F.transform(F.array(w), lambda v: F.zip_with(F.slice(v, 1, F.size(v) - 1), F.slice(v, 2, F.size(v) - 1), lambda a, b: F.concat_ws(" ", a, b)))
+    held = F.transform(pairs, lambda p: F.struct(p.alias("p"), F.array_intersect(p, every).alias("seen")))
+
+    def best(p: Column, t: Column, marks: Column) -> Column:
+        def dice(a: Column, b: Column) -> Column:
+            run = F.slice(p, a, b - a + 1)
+            return 2.0 * F.size(F.array_intersect(run, t["own"])) / (F.size(F.array_distinct(run)) + t["n"])
+
+        ends = lambda a, k: F.filter(F.slice(marks, k + t["least"], t["most"]), lambda b: b - a < t["most"])
+        return F.array_max(F.transform(marks, lambda a, k: F.array_max(F.transform(ends(a, k), lambda b: dice(a, b)))))
+
+    def found(d: Column) -> Column:
+        able = F.filter(known, lambda t: F.size(F.array_intersect(t["own"], d["seen"])) >= t["least"])
+        at = lambda t: F.filter(F.sequence(F.lit(1), F.size(d["p"])), lambda i: F.array_contains(t["own"], F.element_at(d["p"], i)))
+        marked = F.transform(able, lambda t: F.struct(t.alias("t"), at(t).alias("marks")))
+        return F.transform(marked, lambda m: F.struct(best(d["p"], m["t"], m["marks"]).alias("dice"), m["t"]["license"].alias("license")))
+
+    return F.filter(F.flatten(F.transform(held, found)), lambda h: h["dice"] >= threshold)
+
+
+def scan_license_windows(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
+    """Adds license, dice and n_hits as scan_licenses does, over its units and all runs of words; n_hits counts licences."""
+    docs = docs.drop("license", "dice", "n_hits")
+    templates = templates or TEMPLATES
+    units = F.transform(license_hits(F.col(text), templates, threshold), lambda h: F.struct(h["dice"].alias("dice"), h["license"].alias("license")))
+    found = docs.withColumn("__hits", F.concat(units, window_hits(F.col(text), templates, threshold)))
+    best = F.array_min(F.transform("__hits", lambda h: F.struct((-h["dice"]).alias("d"), h["license"].alias("license"))))
+    names = F.array_distinct(F.transform("__hits", lambda h: h["license"]))
+    found = found.select(*[F.col(f"`{c}`") for c in docs.columns], best.alias("__best"), F.size(names).cast("long").alias("n_hits"))
+    return found.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("__best.license").alias("license"), F.coalesce(-F.col("__best.d"), F.lit(0.0)).alias("dice"), "n_hits")
+
+
 def sql(templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> str:
     """The same in SQL, every unit against every template."""
     values = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in templates.items())
@@ -130,3 +177,24 @@ hits AS (SELECT * FROM scored WHERE dice >= {threshold}::DOUBLE),
 best AS (SELECT r, first(license ORDER BY dice DESC, license) AS license, max(dice) AS dice, count(*) AS n_hits FROM hits GROUP BY r)
 SELECT doc_id, license, coalesce(dice, 0.0) AS dice, coalesce(n_hits, 0) AS n_hits FROM whole LEFT JOIN best USING (r)
 """
+
+
+def windows_sql(templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> str:
+    """scan_license_windows in SQL: the hits of sql(), and runs between any two bigrams of a template."""
+    units = sql(templates, threshold).rsplit("best AS (", 1)[0]
+    return rf"""{units}
+runs AS (SELECT r, {_RUN.format("w")} AS p FROM (SELECT r, string_split(trim(regexp_replace(lower(t), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS w FROM whole)),
+placed AS (SELECT r, unnest(p) AS b, generate_subscripts(p, 1) AS i FROM runs),
+wanted AS (SELECT license, len(own) AS n, unnest(own) AS b FROM known),
+marks AS (SELECT r, license, n, i, row_number() OVER (PARTITION BY r, license ORDER BY i) AS k FROM placed JOIN wanted USING (b)),
+able AS (
+  SELECT x.r, x.license, x.n, x.i AS a, y.i AS z FROM marks x JOIN marks y ON x.r = y.r AND x.license = y.license
+  AND y.k - x.k + 1 >= x.n * {threshold / (2 - threshold)}::DOUBLE - {SLACK}::DOUBLE AND y.i - x.i + 1 <= x.n * {(2 - threshold) / threshold}::DOUBLE + {SLACK}::DOUBLE),
+compared AS (SELECT able.r, able.license, 2.0::DOUBLE * len(list_intersect(p[a:z], own)) / (len(list_distinct(p[a:z])) + n) AS dice FROM able JOIN runs USING (r) JOIN known USING (license)),
+every AS (SELECT r, license, dice FROM hits UNION ALL SELECT r, license, dice FROM compared WHERE dice >= {threshold}::DOUBLE),
+best AS (SELECT r, first(license ORDER BY dice DESC, license) AS license, max(dice) AS dice, count(DISTINCT license) AS n_hits FROM every GROUP BY r)
+SELECT doc_id, license, coalesce(dice, 0.0) AS dice, coalesce(n_hits, 0) AS n_hits FROM whole LEFT JOIN best USING (r)
+"""
+
+
+_RUN = "list_transform(range(1, len({0})), lambda i: {0}[i] || ' ' || {0}[i + 1])"

@@ -78,6 +78,11 @@ def registry() -> Registry:
         docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
         return licenses.scan_licenses(docs).select("doc_id", "license", "dice", "n_hits")
 
+    @found.add("op10_license_windows", licenses.windows_sql())
+    def op10_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+        docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+        return licenses.scan_license_windows(docs).select("doc_id", "license", "dice", "n_hits")
+
     @found.add("pipeline", corpus_pipeline.ORACLE_SQL)
     def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
         return corpus_pipeline.run(spark, sf_dir)
