@@ -5,8 +5,9 @@ its vectors at the median distance from a vantage point. A query that has k neig
 side if the split lies further than t from its own distance to the vantage point: at t / relaxation instead, a relaxation
 above one skips more and may miss some; one is exact. Queries go down a tree together, as arrays.
 
-Vectors are dealt into shards by a hash of their id; equal vectors of a shard stand once, with the few smallest ids that
-could be returned, so a vector that is repeated very often is no deep tree. The stated queries meet every shard in blocks
+Vectors are dealt into shards by a hash of their id; equal vectors of a shard stand once, with their ids in
+order, so a vector that is repeated very often is no deep tree. Where more vectors tie with the k-th than a search keeps, the
+shard is looked at as a whole for that query. The stated queries meet every shard in blocks
 of QUERY_BLOCK, each (shard, block) a task of bounded size. The best of each are merged by a window over query and rank.
 """
 
@@ -97,17 +98,37 @@ def search_shard(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, qu
     cut = np.searchsorted(which.ravel()[groups], np.arange(len(distinct) + 1))
     lengths = np.sqrt((distinct * distinct).sum(1))
     query_lengths = np.sqrt((queries * queries).sum(1))
+    cap, units = min(k + 4, len(distinct)), distinct / lengths[:, None]
     # One more than k distinct vectors, as one may be the query's own; more for the rounding of matrix products.
-    found = Search(VantageTree(distinct / lengths[:, None]), queries / query_lengths[:, None], min(k + 4, len(distinct)), relaxation)
+    found = Search(VantageTree(units), queries / query_lengths[:, None], cap, relaxation)
+    grouped = ids[groups]
+    smallest = grouped[cut[:-1]]
+
+    def best_of(rows: np.ndarray, i: int) -> list[tuple[float, int]]:
+        """The k best of these groups: minus score and id, the query's own id excluded."""
+        own, exact = query_ids[i], (distinct[rows] * queries[i]).sum(1) / (lengths[rows] * query_lengths[i])
+        best: list[tuple[float, int]] = []
+        firsts = 0
+        # A group's members are behind its smallest id, so the k first groups in this order that give any hold the k best;
+        # a group that starts with the own id stands too early, and so does not count.
+        for j in np.lexsort((smallest[rows], -exact)).tolist():
+            members = grouped[cut[rows[j]] : cut[rows[j] + 1]]
+            low, high = np.searchsorted(members, own), np.searchsorted(members, own, "right")
+            best += [(-float(exact[j]), int(m)) for m in (*members[: min(low, k)], *members[high : high + max(0, k - low)])]
+            firsts += bool(members[0] != own)
+            if firsts == k:
+                break
+        return sorted(best)[:k]
+
     out_q, out_id, out_cos = [], [], []
     for i in range(len(queries)):
         rows = found.row[i][found.row[i] >= 0]
-        exact = (distinct[rows] * queries[i]).sum(1) / (lengths[rows] * query_lengths[i])
-        best: list[tuple[float, int]] = []
-        for row, score in zip(rows.tolist(), exact.tolist()):
-            members = ids[groups[cut[row] : min(cut[row + 1], cut[row] + k + 1)]]
-            best += [(-score, int(m)) for m in members if m != query_ids[i]]
-        for score, m in sorted(best)[:k]:
+        best = best_of(rows, i)
+        if len(rows) == cap < len(distinct) and (len(best) < k or found.cosine[i, -1] >= -best[-1][0] - 2 * _SLACK):
+            # Rows that were not kept may tie with the k-th, or those kept are the query's own: the whole shard is looked at.
+            near = units @ (queries[i] / query_lengths[i])
+            best = best_of(np.flatnonzero(near >= -best[-1][0] - 2 * _SLACK) if len(best) == k else np.arange(len(distinct)), i)
+        for score, m in best:
             out_q.append(int(query_ids[i]))
             out_id.append(m)
             out_cos.append(-score)
@@ -119,7 +140,8 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 5, relax
 
     Ties go to the smaller vec_id. A row with a query's id is not its neighbour. Vectors that are null, zero, or hold null
     or non-finite components, and rows without an id, take no part; vectors of other lengths than a query's neither.
-    Repeated rows are one candidate each; a query id that repeats has one ranking. Counts the rows once to choose the
+    Repeated rows are one candidate each; a query row that repeats is one query, and an id with several vectors has one
+    ranking over all of them. Counts the rows once to choose the
     number of shards and blocks.
     """
 
@@ -129,7 +151,7 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 5, relax
         finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
         return df.filter(finite & F.exists("v", lambda x: x != 0)).withColumn("n", F.size("v"))
 
-    base, asked = usable(vectors), usable(queries)
+    base, asked = usable(vectors), usable(queries).dropDuplicates(["id", "v"])
     shards = max(1, -(-base.count() // SHARD_ROWS))
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     schema = "query_id long, vec_id long, score double"
