@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.session import held
+
 
 def field_diff(stored: DataFrame, computed: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """key, field, stored, computed where two versions of one record differ; only keys in both."""
@@ -103,24 +105,28 @@ def similar_self_pairs(rows: DataFrame, id_: str, tokens: str, at_least: float,
     rarest ones, or by a rare and another distinctive token; each pair is kept under the first block both are in.
     """
     sets = rows.select(F.col(id_).alias("id"), F.array_sort(F.array_distinct(tokens)).alias("s")).filter(F.size("s") > 0).groupBy("s").agg(F.collect_list("id").alias("ids"))
-    seen = sets.select("s", "ids", F.explode("s").alias("t"))
-    ranked = seen.join(seen.groupBy("t").agg(F.count("*").alias("df")), "t").groupBy("s").agg(F.first("ids").alias("ids"), F.sort_array(F.collect_list(F.struct("df", "t"))).alias("o"))
-    n = F.size("o")
-    rarest = ranked.select("s", "ids", F.slice(F.col("o.t"), F.lit(1), (n - F.ceil(n * F.lit(at_least) - 1e-9) + 1).cast("int")).alias("keys"))
+    sets = held(sets.select(F.monotonically_increasing_id().alias("m"), "s", "ids"))
+    seen = sets.select("m", F.explode("s").alias("t"))
+    # Numbers that rise with a token's rows, so sorted sets of them have the rarest first and are short to move.
+    codes = held(seen.groupBy("t").agg(F.count("*").alias("df")).orderBy("df", "t").select("t", F.monotonically_increasing_id().alias("c")))
+    ranked = seen.join(codes, "t").groupBy("m").agg(F.sort_array(F.collect_list("c")).alias("s"))
+    n = F.size("s")
+    rarest = ranked.select("m", "s", F.slice("s", F.lit(1), (n - F.ceil(n * F.lit(at_least) - 1e-9) + 1).cast("int")).alias("keys"))
 
     marked = F.array_intersect("s", F.array(*map(F.lit, {*distinctive, *rare})).cast("array<string>"))
     pinned = F.array_intersect("s", F.array(*map(F.lit, rare)).cast("array<string>"))
     two = F.flatten(F.transform(pinned, lambda r: F.transform(F.filter(marked, lambda d: d != r), lambda d: F.concat_ws("\u0001", F.least(r, d), F.greatest(r, d)))))
-    linked = sets.select("s", "ids", F.array_distinct(two).alias("keys"))
+    linked = sets.select("m", "s", F.array_distinct(two).alias("keys"))
 
     def met(blocks: DataFrame) -> DataFrame:
-        one = blocks.select(F.col("s").alias("sa"), F.col("ids").alias("ia"), F.col("keys").alias("ka"), F.explode("keys").alias("t"))
-        other = blocks.select(F.col("s").alias("sb"), F.col("ids").alias("ib"), F.col("keys").alias("kb"), F.explode("keys").alias("t"))
-        both = one.join(other, (one.t == other.t) & (F.col("sa") < F.col("sb")) & (F.element_at(F.array_intersect("ka", "kb"), 1) == one.t))
+        side = lambda x: blocks.select(F.col("m").alias(f"m{x}"), F.col("s").alias(f"s{x}"), F.size("keys").alias(f"n{x}"), F.explode("keys").alias("t"), *([F.col("keys").alias(f"k{x}")] if blocks is linked else []))
+        keys = lambda x: F.col(f"k{x}") if blocks is linked else F.slice(f"s{x}", F.lit(1), F.col(f"n{x}"))
+        both = side("a").join(side("b"), "t").filter((F.col("ma") < F.col("mb")) & (F.element_at(F.array_intersect(keys("a"), keys("b")), 1) == F.col("t")))
         common = F.size(F.array_intersect("sa", "sb"))
-        return both.select("ia", "ib", (common / (F.size("sa") + F.size("sb") - common)).alias("jaccard"))
+        return both.select("ma", "mb", (common / (F.size("sa") + F.size("sb") - common)).alias("jaccard"))
 
     found = met(rarest).filter(F.col("jaccard") >= at_least).unionByName(met(linked).filter(F.col("jaccard") < at_least))
+    found = found.join(sets.select(F.col("m").alias("ma"), F.col("ids").alias("ia")), "ma").join(sets.select(F.col("m").alias("mb"), F.col("ids").alias("ib")), "mb").select("ia", "ib", "jaccard")
     found = found.unionByName(sets.select(F.col("ids").alias("ia"), F.col("ids").alias("ib"), F.lit(1.0).alias("jaccard")))
     pairs = found.select(F.explode("ia").alias("x"), "ib", "jaccard").select("x", F.explode("ib").alias("y"), "jaccard")
     # Of equal sets each pair comes in both orders, and one is enough; of unlike sets the one order may be either.

@@ -25,3 +25,8 @@ def local_session(cores: int | str = "*", **conf: str) -> SparkSession:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables; columns and filters reach the Parquet scan."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def held(df: DataFrame) -> DataFrame:
+    """The rows as they are now: in the shared checkpoint folder, or without one in the executors."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
