@@ -57,30 +57,33 @@ class LocalSearch:
         """One improving step from the source bin: true if the other bin's fill grew."""
         free = sorted((self.capacity - self.fill[b], b) for b in others)
         rooms = [f for f, _ in free]
-        mine = sorted((int(self.lengths[p]), p) for p in self.bins[source])
+        mine: dict[int, list[int]] = {}
+        for p in self.bins[source]:
+            mine.setdefault(int(self.lengths[p]), []).append(p)
         # Move: the longest piece that fits somewhere goes to the tightest place.
-        for length, piece in reversed(mine):
+        for length in sorted(mine, reverse=True):
             k = bisect_left(rooms, length)
             if k < len(rooms):
-                self._exchange(source, [piece], free[k][1], [])
+                self._exchange(source, [mine[length][0]], free[k][1], [])
                 return True
-        # One of mine for one of theirs, and two of mine for one of theirs: the other bin must grow and still hold.
-        give = [(length, [piece]) for length, piece in mine]
-        give += [(mine[i][0] + mine[j][0], [mine[i][1], mine[j][1]]) for i in range(len(mine)) for j in range(i)][:64]
-        best = None
+        # One of mine for one of theirs, and two of mine for one of theirs: the other bin must grow and still hold. All pairs
+        # are here, one for each sum: a bin has few different lengths, as they add up to a sequence at most.
+        give = {length: [own[0]] for length, own in mine.items()}
+        for long, first in mine.items():
+            for short, second in mine.items():
+                if short < long or short == long and len(first) > 1:
+                    give.setdefault(long + short, [first[-1], second[0]])
+        sums, best = sorted(give), None
         for room, other in reversed(free):
-            if room == 0:
-                break
-            theirs = sorted((int(self.lengths[p]), p) for p in self.bins[other])
-            for length, pieces in give:
-                # The shortest of theirs that makes room: gain = length - its length, from 1 to room.
-                k = bisect_left(theirs, (length - room, -1))
-                if k < len(theirs) and theirs[k][0] < length:
-                    gain = length - theirs[k][0]
-                    if best is None or gain > best[0]:
-                        best = (gain, pieces, other, [theirs[k][1]])
-            if best and best[0] >= room:
-                break
+            if room == 0 or best and best[0] >= room:
+                break  # no bin from here on can gain more
+            for piece in self.bins[other]:
+                # The most that fits for this piece of theirs: gain from 1 to room.
+                theirs = int(self.lengths[piece])
+                k = bisect_left(sums, theirs + room + 1) - 1
+                gain = sums[k] - theirs if k >= 0 else 0
+                if gain > 0 and (best is None or gain > best[0]):
+                    best = (gain, give[sums[k]], other, [piece])
         if best:
             self._exchange(source, best[1], best[2], best[3])
             return True
@@ -98,16 +101,22 @@ class LocalSearch:
         self.fill[two] += moved
 
     def run(self) -> list[list[int]]:
-        """Each step raises the sum of squared fills, as tokens go from the emptiest bin to a fuller one; so it ends."""
-        open_ = [b for b in range(len(self.bins)) if self.fill[b] < self.capacity]
-        while len(open_) > 1 and sum(self.capacity - self.fill[b] for b in open_) >= self.capacity:
-            source = min(open_, key=lambda b: self.fill[b])
-            others = [b for b in open_ if b != source and self.fill[b] < self.capacity and self.fill[b] >= self.fill[source]]
-            if not others or not self._steps(source, others):
-                open_.remove(source)  # stuck: this bin stays as it is
-            elif not self.bins[source]:
-                open_.remove(source)
-            open_ = [b for b in open_ if self.fill[b] < self.capacity]
+        """Steps until none helps or no bin can be saved any more.
+
+        Each step raises the sum of squared fills, as tokens go from the emptiest bin to a fuller one; so it ends. A bin that
+        is stuck is offered again in the next round if a step changed another bin since.
+        """
+        spare = lambda some: sum(self.capacity - self.fill[b] for b in some)
+        open_ = lambda some: [b for b in some if self.bins[b] and self.fill[b] < self.capacity]
+        changed = True
+        while changed and spare(open_(range(len(self.bins)))) >= self.capacity:
+            changed, waiting = False, open_(range(len(self.bins)))
+            while len(waiting) > 1 and spare(waiting) >= self.capacity:
+                source = min(waiting, key=lambda b: self.fill[b])
+                if self._steps(source, [b for b in waiting if b != source]):
+                    changed, waiting = True, open_(waiting)
+                else:
+                    waiting.remove(source)
         return [b for b in self.bins if b]
 
 
