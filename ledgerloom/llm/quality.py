@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.components import shared_folder
 from ledgerloom.llm.tokens import text_slices
 from ledgerloom.llm.words import mix, per_row, spans, windows, hashes
 
@@ -26,10 +27,26 @@ _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
 _LETTERS = np.zeros(256, bool)
 _LETTERS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
+#: Least log(distinct words) / log(words) of a text that isn't said to repeat its words. This measure hardly falls with length:
+#: a text whose vocabulary grows with the square root of its words stays above one half at any length.
+LEAST_VARIETY = 0.6
 _CLOSERS = np.zeros(256, bool)
 _CLOSERS[[ord(c) for c in ".!?\"':;)"]] = True
 
 
+def _is_letter(data: np.ndarray) -> np.ndarray:
+    """Bytes of letters: ASCII ones, and all of other scripts but signs, box drawing, dingbats and emoji."""
+    out = _LETTERS[data]
+    if data.size and data.max() >= 0xC2:
+        after = np.append(data[1:], 0)
+        # Lead bytes of U+0080 to U+00BF, of U+2000 to U+2BFF, of U+3000 to U+303F and of U+1F000 to U+1FFFF.
+        for size, signs in ((2, data == 0xC2), (3, (data == 0xE2) & (after < 0xB0) | (data == 0xE3) & (after == 0x80)), (4, (data == 0xF0) & (after == 0x9F))):
+            at = np.flatnonzero(signs)
+            for k in range(size):
+                out[np.minimum(at + k, len(data) - 1)] = False
+    return out
+
+
 def _features(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     n = len(offsets) - 1
     starts, ends, rows = spans(data, offsets)
@@ -73,7 +90,7 @@ def _features(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
         "n_lines": per_row(line_rows, n),
         "n_closed_lines": per_row(line_rows[closed], n),
         "n_distinct_words": per_row(rows[distinct], n),
-        "n_letter_bytes": per_row(row_of_byte[_LETTERS[data]], n),
+        "n_letter_bytes": per_row(row_of_byte[_is_letter(data)], n),
         "n_word_bytes": per_row(row_of_byte[in_word], n),
     }
 
@@ -105,14 +122,15 @@ def votes() -> dict[str, Column]:
         return vote.otherwise(0).cast("int")
 
     symbols, repeats, lines = share("n_symbols", "n_words"), share("n_repeat_words", "n_words"), F.col("n_lines")
-    length, closed, variety = share("word_chars", "n_words"), share("n_closed_lines", "n_lines"), share("n_distinct_words", "n_words")
+    length, closed = share("word_chars", "n_words"), share("n_closed_lines", "n_lines")
+    variety = F.log(F.greatest("n_distinct_words", F.lit(1))) / F.log(F.greatest("n_words", F.lit(2)))
     letters = share("n_letter_bytes", "n_word_bytes")
     return {
         "symbols": rule(symbols > 0.1),
         "repeats": rule(repeats > 0.4),
         "lines": rule((lines >= 3) & (F.col("n_dup_lines") > 0.5 * lines)),
         "word_length": rule((words == 0) | (length < 2.5) | (length > 14)),
-        "variety": rule((words >= 30) & (words < 2000) & (variety < 0.15)),
+        "variety": rule((words >= 30) & (variety < LEAST_VARIETY)),
         "letters": rule(letters < 0.9, letters > 0.93),
         "prose": rule((lines >= 3) & (closed < 0.1), (closed >= 0.6) & (symbols < 0.02)),
     }
@@ -159,11 +177,18 @@ def base_failed() -> Column:
 
 
 def score_quality(docs: DataFrame, text: str = "text", keep_text: bool = True) -> DataFrame:
-    """Adds FEATURES, base_failed, quality (posterior) and kept. Reads the texts twice: once to fit, once to score.
+    """Adds FEATURES, base_failed, quality (posterior) and kept.
 
-    A document that fails the base rules is not kept; otherwise it is kept if its posterior is at least one half.
+    A document that fails the base rules is not kept; otherwise it is kept if its posterior is at least one half. Texts that
+    are not wanted back are read once, and the counts checkpointed; else they are read twice, to fit and to score, as the
+    texts themselves are not copied.
     """
     featured = text_features(docs, text, keep_text).drop("base_failed", "quality", "kept")
-    model = fit_rules(text_features(docs.select(text), text, False))
+    if keep_text:
+        model = fit_rules(text_features(docs.select(text), text, False))
+    else:
+        shared_folder(docs.sparkSession)
+        featured = featured.checkpoint()
+        model = fit_rules(featured)
     scored = featured.withColumn("base_failed", base_failed()).withColumn("quality", quality_probability(model))
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= 0.5))

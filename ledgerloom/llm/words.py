@@ -9,8 +9,8 @@ IS_GAP = np.zeros(256, bool)
 IS_GAP[[32, *range(9, 14)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_CODES = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+#: A random number for each byte at each of 64 places; further on, the places repeat under other odd factors.
+_CODES = np.random.Generator(np.random.PCG64(20240229)).integers(0, 1 << 64, 64 * 256, np.uint64, endpoint=False)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -33,13 +33,17 @@ def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each stretch of bytes; stretches are in order and don't overlap."""
+    """A 64-bit hash of each stretch of bytes; stretches are in order and don't overlap.
+
+    The sum of the random numbers of its bytes at their places, so no pattern of bytes makes equal sums more likely.
+    """
     if not len(starts):
         return np.zeros(0, np.uint64)
     lengths = ends - starts
     flat = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    powers = np.concatenate([[np.uint64(1)], np.multiply.accumulate(np.full(max(1, int(lengths.max())), _BASE))])
-    values = _CODES[data[np.repeat(starts, lengths) + flat]] * powers[flat]
+    values = _CODES[(flat & 63) << 8 | data[np.repeat(starts, lengths) + flat]]
+    if lengths.max() > 64:
+        values *= mix(flat.astype(np.uint64) >> np.uint64(6)) | np.uint64(1)
     full = lengths > 0
     out = np.zeros(len(starts), np.uint64)
     if full.any():
