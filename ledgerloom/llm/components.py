@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> None:
-    """Checkpoints go to the folder the cluster names; one is set only where there is none, as in tests."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+    """Checkpoints go to the folder the cluster names in spark.checkpoint.dir.
+
+    Only a local session, whose executors are this machine, may do without: it gets a temporary folder. A cluster that
+    names none is an error, as its executors share no folder of one machine.
+    """
+    if spark.sparkContext.getCheckpointDir() is not None:
+        return
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
 #: Links a task takes in a round; few links need few tasks, whatever the session's number of shuffle partitions.
