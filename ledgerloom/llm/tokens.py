@@ -12,6 +12,12 @@ Two deterministic machines read a text.
   starts anew at a fixed size, as memory must not grow with the corpus.
 
 Both machines restart at a pre-token, so all pre-tokens of a batch run side by side, one array step a byte.
+
+A pre-token of more than LONG_BYTES is cut into chunks that run side by side too. A chunk starts WARM_UP bytes early as if
+its word began there; its map sends one entry, the window of last tokens it has by its first byte, to its exit. The maps
+compose in order: where a chunk's entry is the exit of the chunk before, as is nearly always so, its result stands; else it
+runs again from the true entry, and equal chunks with equal entries are run once. These long stretches meet few states
+twice, so their steps are computed from the merge rules directly and nothing is compiled for them.
 """
 
 from __future__ import annotations
@@ -35,6 +41,7 @@ FRESH, IN_LETTERS, IN_NUMBERS, IN_OTHER, IN_BLANKS, AFTER_SPACE, ONE_LEFT, TWO_L
 CHUNK = 2048
 STATE_LIMIT = 400_000
 BATCH_BYTES = 2_000_000
+LONG_BYTES, LONG_CHUNK, LANES, REMEMBERED = 256, 1024, 1024, 512
 _SHIFT, _BIAS = 7, 96
 
 
@@ -164,6 +171,20 @@ class MergeTransducer:
         self.fits: dict[tuple[int, int], bool] = {}
         self.whole: dict[int, bool] = {}
         self._reset()
+        # The same as arrays, for stretches that run without states: tokens as a trie by node * 256 + byte, merges by
+        # left * size + right, and the merge that makes each token.
+        self.size, self.longest = len(self.length), max(map(len, self.bytes_of.values()))
+        node_of = {b"": 0} | {t: i for i, t in enumerate(sorted(self.prefixes), 1)}
+        edges = sorted((node_of[t[:-1]] * 256 + t[-1], node) for t, node in node_of.items() if t)
+        self.edge_key, self.edge_node = (np.array(c, np.int64) for c in zip(*edges))
+        self.token_at = np.full(len(node_of), -1, np.int32)
+        for t, i in self.token_of.items():
+            self.token_at[node_of[t]] = i
+        merges = sorted((left * self.size + right, rank) for (left, right), (rank, _) in self.merge_rank.items())
+        self.merge_key, self.merge_order = (np.array(c, np.int64) for c in zip(*merges))
+        self.made = np.full((3, self.size), -1, np.int64)  # rank, left and right
+        for token, made in self.split.items():
+            self.made[:, token] = made
 
     def _reset(self) -> None:
         """State 0 is the start. Transitions stand in an open-addressing table by state * 256 + byte."""
@@ -288,28 +309,166 @@ class MergeTransducer:
         if len(self.keys) > STATE_LIMIT:
             self._reset()
         lengths = ends - starts
-        shortest = np.argsort(lengths.astype(np.uint16) if lengths.size and lengths.max() < 1 << 16 else lengths, kind="stable")  # radix sort
-        order = shortest[::-1]
+        counts, last = np.zeros(len(starts), np.int64), np.zeros(len(data), np.int32) if keep_last else None
+        short = np.flatnonzero(lengths <= LONG_BYTES)
+        order = short[np.argsort(lengths[short].astype(np.uint16), kind="stable")[::-1]]  # radix sort
         at, left = starts[order], lengths[order]
         active = np.searchsorted(-left, -np.arange(1, (left[0] if left.size else 0) + 1), side="right")
-        state, total = np.zeros(len(at), np.int32), np.zeros(len(at), np.int32)
-        last = np.zeros(len(data), np.int32) if keep_last else None
+        state, total = np.zeros(len(at), np.int32), np.zeros(len(at), np.int64)
+        unfinished = np.zeros(0, np.int64)
         for j, n in enumerate(active):
             here = at[:n] + j
             index = (state[:n].astype(np.int64) << 8) | data[here]
             moved = self._lookup(index)
             if (gaps := moved < 0).any():
                 keys = np.unique(index[gaps])
+                if len(self.keys) + len(keys) > 2 * STATE_LIMIT:  # these stretches fill the table: what is left goes on without
+                    unfinished, order, total = order[:n], order[n:], total[n:]
+                    break
                 self._insert(keys, np.array([self._compile(k >> 8, k & 255) for k in keys.tolist()], np.int32))
                 moved = self._lookup(index)
             state[:n] = moved >> _SHIFT
             total[:n] += (moved & ((1 << _SHIFT) - 1)) - _BIAS
             if keep_last:
                 last[here] = self.last[state[:n]]
-        counts = np.empty_like(total)
         counts[order] = total
+        rest = np.concatenate([unfinished, np.flatnonzero(lengths > LONG_BYTES)])
+        if rest.size:
+            counts[rest] = self._long(data, starts[rest], ends[rest], last)
         return counts, last
 
+    def _stay(self, before: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """_may_follow of many pairs; where there is no token before (-1), whether the token is its own encoding."""
+        out = np.ones(len(token), bool)
+        for i in np.flatnonzero(before < 0):
+            out[i] = self._reachable(int(token[i]))
+        at = np.flatnonzero(before >= 0)
+        left, right, limit = before[at].astype(np.int64), token[at].astype(np.int64), np.full(len(at), 1 << 40)
+        while at.size:
+            key = left * self.size + right
+            place = np.minimum(np.searchsorted(self.merge_key, key), len(self.merge_key) - 1)
+            merged = (self.merge_key[place] == key) & (self.merge_order[place] < limit)
+            out[at[merged]] = False
+            a, b = self.made[0, left], self.made[0, right]
+            go = ~merged & ((a >= 0) | (b >= 0))
+            at, left, right, a, b = at[go], left[go], right[go], a[go], b[go]
+            undo_left = (b < 0) | (a > b)
+            limit = np.where(undo_left, a, b + 1)
+            left, right = np.where(undo_left, self.made[2, left], left), np.where(undo_left, right, self.made[1, right])
+        return out
+
+    def _ending(self, data: np.ndarray, floor: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens that end at each byte, longest first, and where each byte's begin; all within their own stretch."""
+        stop = np.repeat(ends, ends - floor)
+        at, node = np.arange(len(data)), np.zeros(len(data), np.int64)
+        where, tokens = [], []
+        for k in range(self.longest):
+            inside = at + k < stop[at]
+            at, node = at[inside], node[inside]
+            if not at.size:
+                break
+            key = node * 256 + data[at + k]
+            place = np.minimum(np.searchsorted(self.edge_key, key), len(self.edge_key) - 1)
+            hit = self.edge_key[place] == key
+            at, node = at[hit], self.edge_node[place[hit]]
+            token = self.token_at[node]
+            where.append((at + k)[token >= 0])
+            tokens.append(token[token >= 0])
+        where, tokens = np.concatenate(where[::-1]), np.concatenate(tokens[::-1])
+        order = np.argsort(where, kind="stable")
+        return tokens[order], np.searchsorted(where[order], np.arange(len(data) + 1))
+
+    def _lanes(self, begins: np.ndarray, stops: np.ndarray, known: np.ndarray, width: int, tokens: np.ndarray, cut: np.ndarray) -> np.ndarray:
+        """Last tokens of lanes, one step a byte for all: lane i from begins[i] to stops[i], behind `width` known columns
+        (-1: the lane's word starts at its first byte; what lies further back is not asked for)."""
+        steps = int((stops - begins).max())
+        out = np.full((len(begins), width + steps), -1, np.int32)
+        out[:, :width] = known
+        lane_of, reach = np.arange(len(begins)), width - (known >= 0).sum(1)  # first column a token may start behind
+        for j in range(steps):
+            open_ = lane_of[begins + j < stops]
+            pick = cut[begins[open_] + j]
+            while open_.size:
+                token = tokens[pick]
+                column = width + j - self.length[token]  # where the token before ends
+                inside = column >= reach[open_] - 1
+                before = np.where(column >= reach[open_], out[open_, np.maximum(column, 0)], -1)
+                fits = inside.copy()
+                fits[inside] = self._stay(before[inside], token[inside])
+                out[open_[fits], width + j] = token[fits]
+                open_, pick = open_[~fits], pick[~fits] + 1
+                if open_.size and (pick >= cut[begins[open_] + j + 1]).any():
+                    raise ValueError("no token ends here")
+        return out[:, width:]
+
+    def _stretch(self, data: np.ndarray, slices: list[tuple[int, int, int]], tails: list[np.ndarray]) -> list[np.ndarray]:
+        """Last tokens of the bytes from `first` on of each slice (start, first, stop), side by side.
+
+        Up to `first`, the tail says them; a slice without a tail starts with its word.
+        """
+        window, warm_up = self.longest, 2 * self.longest
+        own = np.concatenate([data[a:b] for a, _, b in slices])
+        stop = np.cumsum([b - a for a, _, b in slices])
+        floor = stop - np.array([b - a for a, _, b in slices])
+        first = floor + np.array([f - a for a, f, _ in slices])
+        tokens, cut = self._ending(own, floor, stop)
+        chunks = -(-(stop - first) // LONG_CHUNK)
+        word = np.repeat(np.arange(len(slices)), chunks)
+        begin = first[word] + LONG_CHUNK * (np.arange(len(word)) - np.repeat(np.cumsum(chunks) - chunks, chunks))
+        end = np.minimum(begin + LONG_CHUNK, stop[word])
+        early = np.maximum(begin - warm_up, floor[word])
+        found = np.full(len(own), -1, np.int32)
+        for k, tail in enumerate(tails):
+            found[floor[k] : first[k]] = tail
+        entry = np.full((len(word), window), -1, np.int32)  # each chunk's window before its first byte
+        lanes = self._lanes(early, end, np.full((len(word), 1), -1, np.int32), 1, tokens, cut)
+        for i, lane in enumerate(lanes):
+            shift = int(begin[i] - early[i])
+            found[begin[i] : end[i]] = lane[shift : shift + int(end[i] - begin[i])]
+            back = min(shift, window)
+            entry[i, window - back :] = lane[shift - back : shift]
+        # Compose: a chunk stands if its entry is what the chunk before really leaves.
+        seen: dict[bytes, np.ndarray] = {}
+        for c in np.flatnonzero(begin > floor[word]).tolist():
+            back = min(window, int(begin[c] - floor[word[c]]))
+            true = np.full(window, -1, np.int32)
+            true[window - back :] = found[begin[c] - back : begin[c]]
+            if (true == entry[c]).all():
+                continue
+            key = own[begin[c] - back : end[c]].tobytes() + true.tobytes()
+            if key not in seen:
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
+                seen[key] = self._lanes(begin[c : c + 1], end[c : c + 1], true[None, :], window, tokens, cut)[0].copy()
+            found[begin[c] : end[c]] = seen[key]
+        return [found[a:b] for a, b in zip(first, stop)]
+
+    def _long(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, last: np.ndarray | None) -> np.ndarray:
+        """Token counts of long pre-tokens; writes the last token at each byte into `last`, if given.
+
+        As many as fill the lanes run together; one that is longer goes in parts, each with the tail of the part before.
+        """
+        counts, most, warm_up = np.zeros(len(starts), np.int64), LANES * LONG_CHUNK, 2 * self.longest
+        group = np.cumsum(ends - starts) // most
+        for g in np.unique(group):
+            mine = np.flatnonzero(group == g)
+            small = [i for i in mine if ends[i] - starts[i] <= most]
+            paths = dict(zip(small, self._stretch(data, [(starts[i], starts[i], ends[i]) for i in small], [])) if small else ())
+            for i in set(mine.tolist()) - set(small):
+                parts = [np.zeros(0, np.int32)]
+                for a in range(int(starts[i]), int(ends[i]), most):
+                    tail = parts[-1][-warm_up:]
+                    parts += self._stretch(data, [(a - len(tail), a, min(a + most, int(ends[i])))], [tail])
+                paths[i] = np.concatenate(parts)
+            for i, path in paths.items():
+                pos, step = len(path) - 1, self.length[path].tolist()  # plain numbers: the walk back has one step a token
+                while pos >= 0:
+                    counts[i] += 1
+                    pos -= step[pos]
+                if last is not None:
+                    last[starts[i] : ends[i]] = path
+        return counts
+
     def pieces(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
         """Where the stretches between special strings start and end, and the special strings: (row, byte, id)."""
         found = []
@@ -363,12 +522,19 @@ class MergeTransducer:
         if first.size:
             _, last = self.run(data, first, after, True)
             floor, pos = first, after - 1
-            while pos.size:
+            while pos.size > 64 or pos.size and (pos - floor).max() < LONG_BYTES:
                 token = last[pos]
                 ids[pos] = token
                 pos = pos - self.length[token]
                 going = pos >= floor
                 pos, floor = pos[going], floor[going]
+            for end, low in zip(pos.tolist(), floor.tolist()):  # few long ones: token by token
+                path = last[low : end + 1]
+                step, k, marks = self.length[path].tolist(), end - low, []
+                while k >= 0:
+                    marks.append(k)
+                    k -= step[k]
+                ids[low + np.array(marks)] = path[marks]
         for _, start, token in special:
             ids[start] = token
         where = np.flatnonzero(ids >= 0)
