@@ -22,6 +22,9 @@ from ledgerloom.llm.tokens import text_slices
 DIMENSIONS = 512
 UNKNOWN = "und"
 _EDGE = 32  # the space at a word's edges
+#: Trigrams whose vectors are in memory at once, and texts whose bundles are.
+BLOCK, KNOWN, TEXTS = 20_000, 60_000, 2_000
+MOST_LANGUAGES = 2_000
 
 
 @functools.cache
@@ -79,7 +82,7 @@ class Profiles:
 def fit_profiles(docs: DataFrame, text: str = "text", lang: str = "lang") -> Profiles:
     """Prototypes of all languages that occur; rows with a null text or language say nothing.
 
-    Sends languages x DIMENSIONS numbers to the driver; languages are few, whatever the corpus.
+    Sends languages x DIMENSIONS numbers to the driver: MOST_LANGUAGES at most, more are an error.
     """
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,13 +103,15 @@ def fit_profiles(docs: DataFrame, text: str = "text", lang: str = "lang") -> Pro
                     add(name, *np.unique(codes[own == name], return_counts=True))
         for name, (codes, n) in counts.items():
             total = np.zeros(DIMENSIONS)
-            for k in range(0, len(codes), 20_000):
-                total += n[k : k + 20_000] @ _vectors(codes[k : k + 20_000])
+            for k in range(0, len(codes), BLOCK):
+                total += n[k : k + BLOCK] @ _vectors(codes[k : k + BLOCK])
             yield pa.RecordBatch.from_arrays([pa.array([name] * DIMENSIONS), pa.array(np.arange(DIMENSIONS, dtype=np.int32)), pa.array(total)], names=["lang", "dim", "value"])
 
     known = docs.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
-    sums = known.mapInArrow(bundle, "lang string, dim int, value double").groupBy("lang", "dim").agg(F.sum("value").alias("value")).collect()
+    sums = known.mapInArrow(bundle, "lang string, dim int, value double").groupBy("lang", "dim").agg(F.sum("value").alias("value")).limit((MOST_LANGUAGES + 1) * DIMENSIONS).collect()
     languages = sorted({r.lang for r in sums})
+    if len(languages) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     vectors = np.zeros((len(languages), DIMENSIONS))
     place = {name: i for i, name in enumerate(languages)}
     for r in sums:
@@ -115,6 +120,41 @@ def fit_profiles(docs: DataFrame, text: str = "text", lang: str = "lang") -> Pro
     return Profiles(languages, vectors / np.where(lengths > 0, lengths, 1))
 
 
+class Memory:
+    """Vectors of the trigrams met so far, KNOWN at most."""
+
+    def __init__(self) -> None:
+        self.known, self.table = np.zeros(0, np.int64), np.zeros((0, DIMENSIONS), np.float32)
+
+    def _vectors(self, found: np.ndarray) -> np.ndarray:
+        new = found[~np.isin(found, self.known, assume_unique=True)]
+        if len(self.known) + len(new) > KNOWN:
+            self.known, self.table, new = np.zeros(0, np.int64), np.zeros((0, DIMENSIONS), np.float32), found
+        if len(new):
+            known, table = np.concatenate([self.known, new]), np.concatenate([self.table, _vectors(new)])
+            order = np.argsort(known)
+            self.known, self.table = known[order], table[order]
+        return self.table[np.searchsorted(self.known, found)]
+
+    def bundles(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """A row a text, zero without trigrams. The trigrams of all texts are taken BLOCK different ones at a time."""
+        rows, codes = _trigrams(data, offsets)
+        out = np.zeros((len(offsets) - 1, DIMENSIONS), np.float32)
+        found, which = np.unique(codes, return_inverse=True)
+        if not len(found):
+            return out
+        pairs, n = np.unique(rows * len(found) + which, return_counts=True)
+        row, code, n = pairs // len(found), pairs % len(found), n.astype(np.float32)
+        for k in range(0, len(found), BLOCK):
+            table = self._vectors(found[k : k + BLOCK])
+            here = np.flatnonzero((code >= k) & (code < k + BLOCK)) if len(found) > BLOCK else np.arange(len(code))
+            own, cut = code[here] - k, np.searchsorted(row[here], np.arange(len(out) + 1))
+            for i in np.flatnonzero(np.diff(cut)):
+                a, b = cut[i], cut[i + 1]
+                out[i] += n[here[a:b]] @ table[own[a:b]]
+        return out
+
+
 def predict_language(docs: DataFrame, profiles: Profiles, text: str = "text", keep_text: bool = True) -> DataFrame:
     """Adds lang_pred and score, the cosine with the prototype, at least 0. Ties go to the first language by name.
 
@@ -127,35 +167,22 @@ def predict_language(docs: DataFrame, profiles: Profiles, text: str = "text", ke
     languages, prototypes = [*profiles.languages], profiles.vectors.astype(np.float32)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, table = np.zeros(0, np.int64), np.zeros((0, DIMENSIONS), np.float32)
+        memory = Memory()
         for batch in batches:
             names, scores = [], []
             for start, end, data, offsets in text_slices(batch.column(batch.schema.get_field_index(text))):
-                rows, codes = _trigrams(data, offsets)
-                found, which = np.unique(codes, return_inverse=True)
-                new = found[~np.isin(found, known, assume_unique=True)]
-                if len(known) + len(new) > 60_000:
-                    known, table, new = np.zeros(0, np.int64), np.zeros((0, DIMENSIONS), np.float32), found
-                if len(new):
-                    known, table = np.concatenate([known, new]), np.concatenate([table, _vectors(new)])
-                    order = np.argsort(known)
-                    known, table = known[order], table[order]
-                at = np.searchsorted(known, found)
-                pairs, n = np.unique(rows * len(found) + which, return_counts=True)
-                cut = np.searchsorted(pairs, np.arange(end - start + 1) * len(found)) if len(found) else np.zeros(end - start + 1, int)
-                own, n = at[pairs % max(1, len(found))], n.astype(np.float32)
-                for i in range(end - start):
-                    a, b = cut[i], cut[i + 1]
-                    bundle = n[a:b] @ table[own[a:b]]
-                    length = float(np.linalg.norm(bundle))
-                    if a == b or not languages or length == 0:
-                        names.append(UNKNOWN)
-                        scores.append(0.0)
-                        continue
-                    cosines = prototypes @ bundle / length
-                    best = int(cosines.argmax())
-                    names.append(languages[best])
-                    scores.append(min(1.0, max(0.0, float(cosines[best]))))
+                for a in range(0, end - start, TEXTS):
+                    b = min(end - start, a + TEXTS)
+                    for bundle in memory.bundles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]):
+                        length = float(np.linalg.norm(bundle))
+                        if not languages or length == 0:
+                            names.append(UNKNOWN)
+                            scores.append(0.0)
+                            continue
+                        cosines = prototypes @ bundle / length
+                        best = int(cosines.argmax())
+                        names.append(languages[best])
+                        scores.append(min(1.0, max(0.0, float(cosines[best]))))
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in kept] + [pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*kept, "lang_pred", "score"])
 
     return docs.mapInArrow(predict, schema)
