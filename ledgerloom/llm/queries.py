@@ -37,7 +37,7 @@ def registry() -> Registry:
     def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
         pages, folder = _table(spark, sf_dir, "pages").select("page_id", "url", "html"), warc.archive_folder(spark)
         manifest = warc.write_archives(pages, folder, warc.train_dictionary(pages))
-        return warc.read_archives(manifest, folder, keep_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+        return warc.read_archives(manifest, folder, keep_payload=False, strict=True).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
     @found.add("op4_language_id")
     def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -184,8 +184,9 @@ def write_archives(pages: DataFrame, folder: str, dictionary: bytes, page_id: st
     return rows.mapInArrow(write, "path string, records long").checkpoint()
 
 
-def read_archives(manifest: DataFrame, folder: str, keep_payload: bool = True) -> DataFrame:
-    """RECORD rows of all archives of a manifest. A record that doesn't hold together has its `problem` set and nulls.
+def read_archives(manifest: DataFrame, folder: str, keep_payload: bool = True, strict: bool = False) -> DataFrame:
+    """RECORD rows of all archives of a manifest. A record that doesn't hold together has its `problem` set and nulls; with
+    `strict` it is an error.
 
     An archive without dictionary, with a broken frame, or with another number of records than the manifest says is an
     error.
@@ -207,6 +208,8 @@ def read_archives(manifest: DataFrame, folder: str, keep_payload: bool = True) -
                 with store.open_input_stream(path) as source:
                     for raw in read_records(source):
                         rows.append(parse_record(raw))
+                        if strict and rows[-1][-1] is not None:
+                            raise ValueError(f"{path}, record {seen}: {rows[-1][-1]}")
                         seen += 1
                         size += len(raw)
                         if size > 4_000_000:
