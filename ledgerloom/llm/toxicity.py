@@ -180,11 +180,13 @@ class Scanner:
         at = np.flatnonzero(code >= 0)
         for k in at.tolist():
             a, b = max(0, k - WINDOW), min(len(starts), k + WINDOW + 1)
-            near = [j for j in range(a, b) if rows[j] == rows[k] and j != k]
+            a, b = max(a, int(np.searchsorted(rows, rows[k]))), min(b, int(np.searchsorted(rows, rows[k], "right")))
+            near = [j for j in range(a, b) if j != k]
             words = {low[starts[j] : ends[j]].tobytes().decode("utf-8", "replace") for j in near}
             top, bottom = int(offsets[rows[k]]), int(offsets[rows[k] + 1])
-            left = data[max(top, int(starts[k]) - 120) : starts[k]].tobytes()
-            right = data[ends[k] : min(bottom, int(ends[k]) + 120)].tobytes()
+            # Quotation marks count inside the same window: from the end of the last word before it to the first behind it.
+            left = data[int(ends[a - 1]) if a and rows[a - 1] == rows[k] else top : starts[k]].tobytes()
+            right = data[ends[k] : int(starts[b]) if b < len(starts) and rows[b] == rows[k] else bottom].tobytes()
             quoted = any(left.count(q) % 2 == 1 and q in right for q in (b'"', b"`")) or any(left.rfind(o) > left.rfind(c) and c in right for o, c in ((b"\xe2\x80\x9c", b"\xe2\x80\x9d"), (b"\xc2\xab", b"\xc2\xbb"), (b"\xe2\x80\x9e", b"\xe2\x80\x9c")))
             reported = bool(words & REPORTING)
             addressed = bool(words & ADDRESS)
@@ -225,7 +227,7 @@ class ToxicityModel:
 def _sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     """Texts of about `rows` labelled documents of each class at most, chosen by a hash of the id: the same in every run.
 
-    A document labelled twice is toxic if one label says so. The chosen labels are that few, so they go to all tasks and no
+    A document labelled twice is toxic if one label says so; of several texts under one id the smallest stands. The chosen labels are that few, so they go to all tasks and no
     other text moves.
     """
     shared_folder(docs.sparkSession)
@@ -235,7 +237,7 @@ def _sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     share = F.when(F.col("toxic") == 1, rows / max(rows, sizes.get(1, 0))).otherwise(rows / max(rows, sizes.get(0, 0)))
     chosen = labels.filter(draw < share)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).checkpoint()
+    return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).checkpoint()
 
 
 def _items(labelled: DataFrame, wanted: list[str] | None) -> DataFrame:
