@@ -33,6 +33,8 @@ from ledgerloom.llm.words import LOWER, hashes, mix, spans, windows
 COORDINATES, MATCHES = 64, 34
 HOT = 32
 BLOCK = 256
+#: Values with more than one in HOT_KEYS of all postings; there are no more than this, so their table may go to all tasks.
+HOT_KEYS = 20_000
 _MULTIPLIERS = np.random.Generator(np.random.PCG64(71)).integers(1, 1 << 63, COORDINATES, np.uint64) * np.uint64(2) + np.uint64(1)
 _SALTS = np.random.Generator(np.random.PCG64(72)).integers(1, 1 << 63, COORDINATES, np.uint64)
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -92,11 +94,20 @@ def _signed(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
     return docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).cast("string").alias("text")).mapInArrow(sign, "doc long, n_shingles long, d1 long, d2 long, signature array<long>")
 
 
+def _by_key(rows: DataFrame, table: DataFrame, often: int) -> DataFrame:
+    """Rows joined with a table (key, n, ...) of their keys. Keys with n above `often` go to the rows, which stay where they
+    are; the others meet in a shuffle, where no key is a large share of it."""
+    hot = table.filter(F.col("n") > often)
+    usual = rows.join(F.broadcast(hot.select("key")), "key", "left_anti").join(table.filter(F.col("n") <= often), "key")
+    return rows.join(F.broadcast(hot), "key").unionByName(usual)
+
+
 def _candidates(members: DataFrame, share: int) -> DataFrame:
     """Edges (a, b) of candidate families: colliding pairs under rare values, stars under hot ones."""
     posted = members.select("doc", "n_shingles", F.explode("signature").alias("key"))
-    shared = posted.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    kept = posted.join(shared, "key").groupBy("doc", "n_shingles").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("keys"))  # COORDINATES at most
+    shared = posted.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").checkpoint()
+    often = max(HOT, (shared.agg(F.sum("n")).first()[0] or 0) // HOT_KEYS)
+    kept = _by_key(posted, shared, often).groupBy("doc", "n_shingles").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("keys"))  # COORDINATES at most
     kept = kept.filter(F.size("keys") >= MATCHES).select("doc", "n_shingles", F.slice("keys", 1, F.size("keys") - MATCHES + 1).alias("keys")).checkpoint()
     prefix = kept.select("doc", "n_shingles", F.col("keys.key").alias("prefix"), F.explode("keys").alias("e")).select("doc", "n_shingles", "prefix", "e.key", "e.n")
 
@@ -108,8 +119,9 @@ def _candidates(members: DataFrame, share: int) -> DataFrame:
     agreed = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda same: same))
     pairs = pairs.join(signatures.select(F.col("doc").alias("a"), F.col("signature").alias("sa")), "a").join(signatures.select(F.col("doc").alias("b"), F.col("signature").alias("sb")), "b").filter(agreed >= MATCHES).select("a", "b")
 
-    hot = prefix.filter(F.col("n") > HOT).select("key", "doc")
-    stars = hot.join(hot.groupBy("key").agg(F.min("doc").alias("b")), "key").filter("doc <> b").select(F.col("doc").alias("a"), "b").distinct()
+    hot = prefix.filter(F.col("n") > HOT)
+    centres = hot.groupBy("key").agg(F.min("doc").alias("b"), F.max("n").alias("n"))
+    stars = _by_key(hot.select("key", "doc"), centres, often).filter("doc <> b").select(F.col("doc").alias("a"), "b").distinct()
     return pairs.unionByName(stars)
 
 
