@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.plans import aggregated, joined, mined, sequenced
+from ledgerloom.plans import aggregated, dated, joined, mined, sequenced
 from ledgerloom.plans.registry import Registry
 
-PARTS = (joined, aggregated, sequenced, mined)
+PARTS = (joined, aggregated, sequenced, mined, dated)
 
 
 def registry() -> Registry:
