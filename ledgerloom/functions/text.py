@@ -88,3 +88,208 @@ def relevance(tokens: list[str], title: Column, section: Column, body: Column, q
         hits = hits + ((plain > 0) | in_body | (folded > 0) | folded_body).cast("int")
     score = total + F.least(body_points, F.lit(12)) + F.round(22 * hits / len(tokens)).cast("int") + F.when(question, 5).otherwise(0)
     return F.when(hits == 0, 0).otherwise(score).cast("int")
+
+
+# Weights of the relevance score above are those of its rule. Word lists of the rules below stand here.
+STOP_WORDS = tuple("the a an is are do does did can i my me of to in on for and or if it what how when why be am was will with that this".split())
+SENTENCE_PRONOUNS = r"(?i)\b(he|she|they|his|her|their|not|which|that|would|will|has|have|is|are|seeks|filed|submitted)\b"
+TRACKING_LINKS = ("unsubscribe", "/subscriber/", "removal", "preferences")
+
+
+def keep_lines(html: Column) -> Column:
+    """Scripts and styles as their own line breaks alone, so line numbers of all else stay.
+
+    The bodies are cut into an array at their tags; only they lose their other characters.
+    """
+    marked = F.regexp_replace(html, r"(?s)(<(script|style)\b.*?</\2>)", "\x01$1\x02")
+    first = F.substring_index(marked, "\x01", 1)
+    rest = F.slice(F.split(marked, "\x01"), 2, 1 << 30)
+    kept = F.transform(rest, lambda p: F.concat(F.regexp_replace(F.substring_index(p, "\x02", 1), r"[^\n]", ""), F.substring_index(p, "\x02", -1)))
+    return F.concat(first, F.array_join(kept, ""))
+
+
+def clause_sentence(text: Column, start: Column, end: Column, cap: int = 320) -> Column:
+    """The sentence around the characters start to end (from 1, end after the last), `cap` to each side at most."""
+    low = F.greatest(F.lit(1), start - cap)
+    left = F.substring(text, low, start - low)
+    cut = F.when(F.instr(left, ". ") > 0, F.length(left) - F.instr(F.reverse(left), " .") + 1).otherwise(0)
+    right = F.substring(text, end, F.lit(cap))
+    stop = F.when(F.instr(right, ". ") > 0, F.instr(right, ". ")).otherwise(F.length(right))
+    return norm(F.concat(F.substring(left, cut + 1, F.length(left)), F.substring(text, start, end - start), F.substring(right, F.lit(1), stop)))
+
+
+def clean_occupation(text: Column) -> Column:
+    """An occupation without a trailing visa class or a dangling 'who', cut at a bracket that is not closed."""
+    cut = F.regexp_replace(text, r"(?i)\s+under\s+the\s+(?:employment[-\s]based\s+)?(?:first|second|third)[-\s]*\s*preference.*$|\s+who\s*$", "")
+    opened, closed = F.regexp_count(cut, F.lit(r"\(")), F.regexp_count(cut, F.lit(r"\)"))
+    place = F.length(cut) - F.instr(F.reverse(cut), "(")
+    even = F.when(opened == closed, cut).when((opened > closed) & (place > 0), F.substring(cut, F.lit(1), place)).otherwise(F.translate(cut, "()", ""))
+    return F.regexp_replace(F.regexp_replace(norm(even), r"^[ ,;-]+", ""), r"[ ,;-]+$", "")
+
+
+def scan_damage(text: Column) -> Column:
+    """Whether a 0 or 1 stands against a letter; a flag only, nothing is mended."""
+    return F.coalesce(text.rlike(r"[A-Za-z][01]|[01][A-Za-z]"), F.lit(False))
+
+
+def first_good(text: Column, patterns: list[str], reject: str, generic: str, head: int = 3000, most_words: int = 12) -> Column:
+    """The first capture of the ordered patterns in the head of a text that passes.
+
+    A capture with a rejected word or too many words does not count; a generic one stands only where no other does.
+    """
+    start = F.substring(text, 1, head)
+    every = F.concat(*[F.transform(F.regexp_extract_all(start, F.lit(p), F.lit(1)), lambda c: clean_occupation(norm(c))) for p in patterns])
+    good = F.filter(every, lambda c: ~c.rlike(reject) & (F.size(F.split(c, " ")) <= most_words))
+    own, plain = F.filter(good, lambda c: ~c.rlike(generic)), F.filter(good, lambda c: c.rlike(generic))
+    return F.coalesce(F.get(own, F.lit(0)), F.get(plain, F.lit(0)), F.lit(""))
+
+
+def status(text: Column) -> Column:
+    """A status without white space around hyphens."""
+    return F.regexp_replace(norm(text), r"\s*-\s*", "-")
+
+
+def docket_parts(docket: Column, known: list[str]) -> Column:
+    """office and kind of a docket 'OF-kind-number'; an office that is not known is blank."""
+    parts = F.split(F.trim(docket), "-")
+    office = F.when(F.size(parts) > 1, parts[0]).otherwise("")
+    return F.struct(F.when(office.isin(*known), office).otherwise("").alias("office"), F.coalesce(F.get(parts, F.lit(1)), F.lit("")).alias("kind"))
+
+
+def query_tokens(query: Column, synonyms: dict[str, str], stop: tuple[str, ...] = STOP_WORDS) -> Column:
+    """Words of a query with their synonyms, each once in order; synonyms of phrases come first."""
+    low = F.lower(query)
+    phrases = [F.when(F.contains(low, F.lit(k)), F.split(F.lit(v), " ")).otherwise(F.array().cast("array<string>")) for k, v in synonyms.items() if " " in k]
+    words = F.filter(F.split(low, r"[^a-z0-9-]+"), lambda w: (w != "") & ~w.isin(*stop))
+    single = {k: v for k, v in synonyms.items() if " " not in k}
+    table = F.create_map(*[F.lit(x) for pair in single.items() for x in pair]) if single else F.create_map().cast("map<string,string>")
+    own = F.flatten(F.transform(words, lambda w: F.concat(F.array(w), F.coalesce(F.split(F.try_element_at(table, w), " "), F.array().cast("array<string>")))))
+    return F.array_distinct(F.concat(*phrases, own))
+
+
+def labelled(cell: Column) -> Column:
+    """Map of the lines 'label: value' of a cell, labels in capitals; the last of equal labels stands."""
+    lines = F.filter(F.split(cell, "\n"), lambda x: F.contains(x, F.lit(":")))
+    pairs = F.transform(lines, lambda x: F.struct(F.upper(F.trim(F.substring_index(x, ":", 1))).alias("k"), F.trim(F.substring(x, F.instr(x, ":") + 1, F.length(x))).alias("v")))
+    pairs = F.filter(pairs, lambda p: p["k"] != "")
+    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"]))
+    return F.map_from_entries(last)
+
+
+def html_escape(text: Column) -> Column:
+    """& < > and double quotes as entities."""
+    out = text
+    for sign, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        out = F.replace(out, F.lit(sign), F.lit(entity))
+    return out
+
+
+def markdown_escape(text: Column) -> Column:
+    """A backslash before each sign that Markdown reads."""
+    return F.regexp_replace(text, r"([\\`*_\[\]<>|])", r"\\$1")
+
+
+def thousands(number: Column) -> Column:
+    return F.format_number(number, 0)
+
+
+def next_patch(version: Column) -> Column:
+    """1.2.4 of 1.2.3; other texts get .1."""
+    last = F.regexp_extract(F.trim(version), r"^\d+\.\d+\.(\d+)$", 1)
+    return F.when(last != "", F.concat(F.regexp_extract(F.trim(version), r"^(\d+\.\d+\.)\d+$", 1), (last.try_cast("long") + 1).cast("string"))).otherwise(F.concat(version, F.lit(".1")))
+
+
+def first_link(links: Column) -> Column:
+    """The first web link that is no tracking or preference link, else the first at all, else empty."""
+    web = F.filter(links, lambda x: F.startswith(x, F.lit("http")))
+    secure = F.filter(web, lambda x: x.rlike("^https?://") & ~F.lower(x).rlike("|".join(TRACKING_LINKS)))
+    return F.coalesce(F.get(secure, F.lit(0)), F.get(web, F.lit(0)), F.lit(""))
+
+
+def bare_title(title: Column) -> Column:
+    """A title without its '(PDF, 120 KB)' (F28)."""
+    return F.trim(F.regexp_replace(title, r"\s*\((?i:pdf)[^)]*\)\s*$", ""))
+
+
+def route(degree: Column, ability: Column) -> Column:
+    """advanced_degree, +exceptional, both or nothing."""
+    return F.concat(F.when(degree, "advanced_degree").otherwise(""), F.when(ability, "+exceptional").otherwise(""))
+
+
+def confidence_tier(verified: Column, note: Column) -> Column:
+    """unverified by flag, else verified or unverified by the note, else aggregator."""
+    low = F.lower(F.coalesce(note, F.lit("")))
+    return F.when(verified.eqNullSafe(F.lit(False)), "unverified").when(F.contains(low, F.lit("tier-1")), "verified").when(F.contains(low, F.lit("single-source")), "unverified").otherwise("aggregator")
+
+
+def relevance_dots(tier: Column, importance: Column, affects: Column) -> Column:
+    """1 to 5 from tier, importance and whether facts change."""
+    base = F.when(tier == 1, 3).when(tier == 2, 2).otherwise(1)
+    return F.greatest(F.lit(1), F.least(F.lit(5), base + F.when(importance == "high", 1).when(importance == "low", -1).otherwise(0) + F.coalesce(affects, F.lit(False)).cast("int")))
+
+
+def digits_listed(digits: Column) -> Column:
+    """Array of the numbers in a string of digits."""
+    return F.transform(F.filter(F.split(digits, ""), lambda d: d.rlike("^[0-9]$")), lambda d: d.cast("int"))
+
+
+def percent(part: Column, whole: Column) -> Column:
+    """Part in a hundred of the whole; 0 where the whole is 0."""
+    return F.coalesce(F.try_divide(100.0 * part, whole.cast("double")), F.lit(0.0))
+
+
+def clamp(value: Column, low: float, high: float) -> Column:
+    return F.greatest(F.lit(low), F.least(F.lit(high), value))
+
+
+def nice_step(span: Column, ticks: int) -> Column:
+    """The least of 1, 2, 5 times a power of ten that cuts a span into at most `ticks` steps."""
+    raw = span / ticks
+    power = F.pow(F.lit(10.0), F.floor(F.log10(raw)))
+    lead = raw / power
+    return F.when(lead <= 1, 1).when(lead <= 2, 2).when(lead <= 5, 5).otherwise(10) * power
+
+
+def useful_summary(summary: Column, headline: Column) -> Column:
+    """Whether a summary says more than its headline: other text, by more than 20 characters."""
+    s, h = F.trim(F.coalesce(summary, F.lit(""))), F.trim(F.coalesce(headline, F.lit("")))
+    return (s != "") & (s != h) & (F.length(s) > F.length(h) + 20)
+
+
+def reason(explicit: Column, flag: Column) -> Column:
+    """The explicit reason, else the flag's text with its mark, else blank."""
+    given = lambda c: F.when(F.trim(F.coalesce(c, F.lit(""))) != "", F.trim(c))
+    return F.coalesce(given(explicit), F.concat(F.lit("Flag: "), given(flag)), F.lit(""))
+
+
+def provenance(parts: dict[str, Column]) -> Column:
+    """'A as of 2026-01-02; B as of 2026-02-03.' of the dates that are known; empty without any."""
+    known = F.array_compact(F.array(*[F.when(d.isNotNull(), F.concat(F.lit(f"{name} as of "), d)) for name, d in parts.items()]))
+    return F.when(F.size(known) == 0, "").otherwise(F.concat(F.array_join(known, "; "), F.lit(".")))
+
+
+def or_dash(text: Column) -> Column:
+    """A blank as a dash."""
+    return F.when(F.trim(F.coalesce(text, F.lit(""))) == "", "—").otherwise(F.trim(text))
+
+
+def only_link(text: Column) -> Column:
+    """The link of a text that is one link and nothing else, else null (F101)."""
+    bare = F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.when(bare.rlike(r"^https?://\S+$"), bare)
+
+
+def first_url(text: Column) -> Column:
+    found = F.regexp_extract(text, r"https?://[^\s<>\"]+", 0)
+    return F.when(found != "", found)
+
+
+def canonical_json(entries: Column) -> Column:
+    """A map as JSON with its keys in order."""
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(entries))))
+
+
+def sparse(**members: Column) -> Column:
+    """JSON of a struct without members that are null, zero or empty."""
+    kept = [F.when(~c.cast("string").isin("0", "0.0", "", "false"), c).alias(n) for n, c in members.items()]
+    return F.to_json(F.struct(*kept))
