@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.plans import aggregated, dated, joined, mined, sequenced, worded
+from ledgerloom.plans import aggregated, dated, joined, mined, ruled, sequenced, worded
 from ledgerloom.plans.registry import Registry
 
-PARTS = (joined, aggregated, sequenced, mined, dated, worded)
+PARTS = (joined, aggregated, sequenced, mined, dated, worded, ruled)
 
 
 def registry() -> Registry:

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import mining, series
+from ledgerloom.operators import mining, series, vocabulary
 
 
 def test_capped_top_skips_without_using_quota(spark):
@@ -38,9 +38,35 @@ def test_a_rare_common_token_makes_one_story_of_two(spark):
 
 
 def test_frames_of_hand_made_clauses(spark):
-    docs = [(1, "Accordingly, we GRANT the petition in part and remand."), (2, "For these reasons we do not affirm the initial decision."), (3, "No clause here."), (4, None), (5, "")]
-    rows = {r.doc_id: r for r in mining.frames(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    assert set(rows) == {1, 2}
-    assert (rows[1].verb, rows[1].caps, rows[1].negated, rows[1].scope) == ("grant", True, False, "partial")
-    assert rows[1].object.startswith("petition in part") and docs[0][1][rows[1].start : rows[1].end] == "GRANT"
-    assert (rows[2].verb, rows[2].negated) == ("affirm", True)
+    docs = [
+        (1, "Accordingly, we hereby GRANT the petition for review and remand."),
+        (2, "There is no basis in law. For these reasons, we do not affirm the finding below."),
+        (3, "No clause here."),
+        (4, None),
+        (5, ""),
+        (6, "We grant petitions such as this one only when new evidence is shown."),
+        (7, "There is nothing in the record, so we decline to vacate. And we order the agency's award"),
+    ]
+    rows = {(r.doc_id, r.verb): r for r in mining.frames(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert set(rows) == {(1, "grant"), (2, "affirm"), (7, "order")}  # the standard's own wording and a verb without object say nothing
+    one, two, seven = rows[1, "grant"], rows[2, "affirm"], rows[7, "order"]
+    assert (one.caps, one.negated, one.scope, one.object) == (True, False, "full", "petition for review and")
+    assert docs[0][1][one.start : one.end] == "GRANT" and one.begin == 0
+    assert (two.negated, two.scope, two.object) == (True, "partial", "finding below")
+    assert docs[1][1][two.begin :].startswith("For these reasons")
+    assert (seven.negated, seven.scope, seven.object) == (False, "unknown", "agency")
+
+
+def test_a_negative_left_context_negates(spark):
+    docs = [(1, "Finding the claim without merit, we deny the appeal."), (2, "It is without merit. Now we deny the appeal.")]
+    got = {r.doc_id: r.negated for r in mining.frames(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: True, 2: False}
+
+
+def test_the_vocabulary_is_written_as_tables(spark, tmp_path):
+    found = spark.createDataFrame([(d, "order" if d % 2 else "deny", f"object {d % 3}", d % 2 == 1, False, "full", d / 40) for d in range(40)], "doc_id long, verb string, object string, caps boolean, negated boolean, scope string, place double")
+    labels = spark.createDataFrame([(d, "REMAND ORDER" if d % 4 == 1 else "", "denied" if d % 2 == 0 else "") for d in range(40)], "doc_id long, title string, petition string")
+    vocabulary.write(found, labels, str(tmp_path), floor=5)
+    verbs = {r.verb: r for r in spark.read.json(f"{tmp_path}/verbs").collect()}
+    assert (verbs["order"].docs, verbs["order"].caps_ratio, verbs["order"].remand_lift) == (20, 1.0, 2.0) and verbs["deny"].remand_lift == 0.0
+    assert spark.read.json(f"{tmp_path}/summary").first().objects_kept == 3
