@@ -75,3 +75,134 @@ def population(rows: DataFrame) -> DataFrame:
     """column, filled: how many rows have a value that is not blank, one row a column."""
     counts = rows.agg(*[F.count_if(F.col(c).isNotNull() & (F.trim(F.col(c).cast("string")) != "")).alias(c) for c in rows.columns])
     return counts.unpivot([], rows.columns, "column", "filled")
+
+
+def quarter_audit(records: DataFrame, quarter: str, numbers: list[str]) -> DataFrame:
+    """Violations (rule, detail) of a table of fiscal quarters: repeats, inner gaps, and values that are no whole numbers (Q2).
+
+    The numbers come as texts; null counts as none.
+    """
+    index = F.substring(quarter, 3, 4).try_cast("int") * 4 + F.substring(quarter, 8, 1).try_cast("int") - 1
+    label = lambda n: F.concat(F.lit("FY"), F.floor(n / 4).cast("string"), F.lit("Q"), (F.pmod(n, F.lit(4)) + 1).cast("string"))
+    twice = records.groupBy(quarter).count().filter("count > 1").select(F.lit("duplicate").alias("rule"), F.col(quarter).alias("detail"))
+    span = records.agg(F.min(index).alias("a"), F.max(index).alias("z")).filter("a IS NOT NULL").select(F.explode(F.sequence("a", "z")).alias("n"))
+    gaps = span.join(records.select(index.alias("n")).distinct(), "n", "left_anti").select(F.lit("gap").alias("rule"), label(F.col("n")).alias("detail"))
+    wrong = records.select(quarter, F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).cast("string").alias("value")) for n in numbers])).alias("v"))
+    wrong = wrong.filter(~F.coalesce(F.col("v.value").rlike(r"^-?[0-9]+$"), F.lit(False))).select(F.lit("type").alias("rule"), F.concat_ws(": ", quarter, "v.name").alias("detail"))
+    return twice.unionByName(gaps).unionByName(wrong)
+
+
+def staleness(last: Column, expected: Column) -> Column:
+    """Quarters that a newest quarter lies behind the expected one, 0 if none (Q12)."""
+    index = lambda q: F.substring(q, 3, 4).try_cast("int") * 4 + F.substring(q, 8, 1).try_cast("int")
+    return F.greatest(F.lit(0), index(expected) - index(last))
+
+
+def identical(a: DataFrame, b: DataFrame) -> bool:
+    """Whether two extracted tables hold the same rows, which says one was read twice (Q9)."""
+    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def health(figures: dict[str, Column]) -> Column:
+    """parse_ok (some figure was read) and notes, one for each that was not (Q10)."""
+    notes = F.array_compact(F.array(*[F.when(c.isNull(), f"{n} is null") for n, c in figures.items()]))
+    ok = F.lit(False)
+    for c in figures.values():
+        ok = ok | c.isNotNull()
+    return F.struct(ok.alias("parse_ok"), notes.alias("notes"))
+
+
+def forbid(rows: DataFrame, names: list[str]) -> DataFrame:
+    """The rows, or an error if a column that must not be there is, in any case of letters."""
+    found = sorted({n.lower() for n in names} & {c.lower() for c in rows.columns})
+    if found:
+        raise ValueError(f"forbidden columns: {', '.join(found)}")
+    return rows
+
+
+def flat_variables(rows: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Exactly the named columns as texts, blank for null; a column that is missing is an error (P25)."""
+    lacking = sorted(set(names.values()) - set(rows.columns))
+    if lacking:
+        raise ValueError(f"missing columns: {', '.join(lacking)}")
+    return rows.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for n, c in names.items()])
+
+
+def column_difference(a: DataFrame, b: DataFrame) -> tuple[list[str], list[str]]:
+    """Columns only in the first table and only in the second."""
+    return sorted(set(a.columns) - set(b.columns)), sorted(set(b.columns) - set(a.columns))
+
+
+def leaf_in(path: Column, names: list[str]) -> Column:
+    """Whether a path's last part is one of the names."""
+    return F.substring_index(path, ".", -1).isin(*names)
+
+
+def quorum_changes(quorum: DataFrame, store: DataFrame) -> DataFrame:
+    """What resolved cells (path, value, confidence) would change in a store (path, value): path, old, new, existed.
+
+    Unresolved cells, of low confidence, are skipped; equal values, null with null, are no change.
+    """
+    joined = quorum.filter("confidence <> 'low'").join(store.select("path", F.col("value").alias("old"), F.lit(True).alias("there")), "path", "left")
+    return joined.filter(~(F.col("there").isNotNull() & F.col("old").eqNullSafe(F.col("value")))).select("path", "old", F.col("value").alias("new"), F.coalesce("there", F.lit(False)).alias("existed"))
+
+
+def tallies(rows: DataFrame, column: str, names: list[str]) -> DataFrame:
+    """One row with the count of each name and of all others."""
+    value = F.coalesce(F.col(column), F.lit(""))
+    return rows.agg(*[F.count_if(value == n).alias(n) for n in names], F.count_if(~value.isin(*names)).alias("other"))
+
+
+def fenced_json(text: Column, member: str) -> Column:
+    """The first fenced JSON block of a text whose object has a member, or null."""
+    blocks = F.regexp_extract_all(text, F.lit(r"(?s)```json\s*\n(.*?)\n```"), F.lit(1))
+    return F.get(F.filter(blocks, lambda b: F.get_json_object(b, f"$.{member}").isNotNull()), F.lit(0))
+
+
+def leaves(documents: DataFrame, key: str, json: str, paths: list[str]) -> DataFrame:
+    """key, path, value of the paths that a JSON document has; a path is names joined by dots."""
+    found = F.array(*[F.struct(F.lit(p).alias("path"), F.get_json_object(json, "$." + p).alias("value")) for p in paths])
+    return documents.select(key, F.inline(F.filter(found, lambda f: f["value"].isNotNull())))
+
+
+def subtree_digest(store: DataFrame, prefixes: list[str]) -> DataFrame:
+    """prefix, digest of all (path, value) at or below each protected prefix, in order of paths."""
+    owner = F.array(*[F.when((F.col("path") == p) | F.startswith("path", F.lit(p + ".")), p) for p in prefixes])
+    own = store.select(F.explode(F.array_compact(owner)).alias("prefix"), F.sha1(F.concat_ws("\x01", "path", F.coalesce("value", F.lit("\x02")))).alias("leaf"))
+    # Order does not matter to a sum of leaf digests, so no subtree is gathered in one place.
+    number = F.conv(F.substring("leaf", 1, 15), 16, 10).cast("decimal(38,0)")
+    return own.groupBy("prefix").agg(F.count("*").alias("n"), F.sum(number).cast("string").alias("digest"))
+
+
+def guarded_apply(store: DataFrame, changes: DataFrame, run_date: str, preserved: list[str]) -> DataFrame:
+    """The store (path, value) after changes (path, value, flip), one a path (Q5).
+
+    A change needs its parent: some path with the same parent, or the parent's own. One with `flip` turns its parent's
+    `verified` from false to true. meta.version gets the next patch number and meta.last_verified the run's date. Changes
+    without a parent, and any difference in a preserved subtree, are errors; nothing is returned then.
+    """
+    from ledgerloom.functions.text import next_patch
+
+    parent = F.regexp_replace("path", r"\.[^.]+$", "")
+    orphans = changes.withColumn("parent", parent).filter(F.instr("path", ".") > 0).join(store.select(parent.alias("parent")).distinct(), "parent", "left_anti")
+    if not orphans.isEmpty():
+        raise ValueError("a change whose parent is missing")
+    flips = changes.filter("flip").select(F.concat(parent, F.lit(".verified")).alias("path")).distinct().withColumn("flipped", F.lit(True))
+    after = store.join(changes.select("path", F.col("value").alias("new"), F.lit(True).alias("set")), "path", "full").join(flips, "path", "left")
+    value = F.when(F.col("set"), F.col("new")).when(F.col("flipped") & (F.col("value") == "false"), "true").otherwise(F.col("value"))
+    value = F.when(F.col("path") == "meta.version", next_patch(F.col("value"))).when(F.col("path") == "meta.last_verified", run_date).otherwise(value)
+    after = after.select("path", value.alias("value"))
+    if not identical(subtree_digest(store, preserved), subtree_digest(after, preserved)):
+        raise ValueError("a preserved subtree would change")
+    return after
+
+
+def append_once(history: DataFrame, entry: DataFrame, month: str) -> DataFrame:
+    """The history with an entry's months that it does not have yet (Q11)."""
+    return history.unionByName(entry.join(history.select(month), month, "left_anti").select(*history.columns))
+
+
+def page_age(stamp: Column, as_of: str, days: int) -> Column:
+    """ACTION for a stamp that is missing or older than `days`, else OK."""
+    age = F.datediff(F.lit(as_of).cast("date"), stamp)
+    return F.when(stamp.isNull() | (age > days), "ACTION").otherwise("OK")

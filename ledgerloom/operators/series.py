@@ -94,3 +94,31 @@ def ring(rows: DataFrame, key: str, order: list[str], value: str, size: int) ->
     newest = F.row_number().over(Window.partitionBy(key).orderBy(*[F.desc(o) for o in order]))
     last = changed.withColumn("__k", newest).filter(F.col("__k") <= size)
     return last.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("__k")).alias("k"), F.col(value).alias("v")))), lambda s: s["v"]).alias("history"))
+
+
+def matrix(rows: DataFrame, key: str, column: str, value: str, columns: list) -> DataFrame:
+    """One row a key with a column for each listed value of `column`."""
+    return rows.groupBy(key).pivot(column, columns).agg(F.max(value))
+
+
+def chart_kind(value: Column) -> Column:
+    """kind (dated, current, gap) and for gaps the reason: unavailable for U, else none."""
+    dated = F.try_to_date(value, "yyyy-MM-dd").isNotNull()
+    kind = F.when(value == "CURRENT", "current").when(dated, "dated").otherwise("gap")
+    return F.struct(kind.alias("kind"), F.when(kind == "gap", F.when(value == "U", "unavailable").otherwise("none")).alias("reason"))
+
+
+def segments(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
+    """Runs of dated values as key, first, last, n, shape: segment, or point for a run of one; each current value is a marker of
+    its own, and gaps and markers break runs (W17)."""
+    rows = rows.withColumn("kind", chart_kind(F.col(value))["kind"])
+    by = Window.partitionBy(key).orderBy(order)
+    broken = rows.withColumn("run", F.sum(F.when(F.lag("kind").over(by).eqNullSafe("dated") & (F.col("kind") == "dated"), 0).otherwise(1)).over(by))
+    drawn = broken.filter("kind <> 'gap'").groupBy(key, "run").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n"), F.first("kind").alias("kind"))
+    return drawn.select(key, "first", "last", "n", F.when(F.col("kind") == "current", "marker").when(F.col("n") > 1, "segment").otherwise("point").alias("shape"))
+
+
+def scenario(has_data: Column, day: Column, cutoff: Column, near_days: float = 0.04 * 365.25) -> Column:
+    """nodata, nopd, current, unavailable or project of a date against a tri-state cutoff."""
+    behind = F.datediff(day, F.try_to_date(cutoff, "yyyy-MM-dd"))
+    return F.when(~has_data, "nodata").when(day.isNull(), "nopd").when(cutoff == "CURRENT", "current").when(cutoff.isNull(), "unavailable").when(behind <= near_days, "current").otherwise("project")
