@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.ordered import carried, numbered
 from ledgerloom.session import held
 
 
@@ -56,13 +57,17 @@ def nearest_preceding(rows: DataFrame, key: str, order: list[str], is_anchor: Co
 
 
 def containing(points: DataFrame, at: str, cells: DataFrame, start: str) -> DataFrame:
-    """Each point with the cell [start, next start) that holds it: one pass over both, no range join.
+    """Each point with the cell [start, next start) that holds it (J20); cells have different starts.
 
-    Cells and points are merged by position; within a day's worth of a partition key this is one sort. Cells are few and
-    their table is sent to all tasks only if Spark finds it small.
+    Points and starts are merged in one order by ranges, the last start is carried to each point, and the cell's other
+    columns come by an equi-join on it. Points before the first start are left out.
     """
-    ordered = cells.withColumn("__end", F.lead(start).over(Window.orderBy(start)))
-    return points.join(ordered, (F.col(at) >= F.col(start)) & (F.col("__end").isNull() | (F.col(at) < F.col("__end"))))
+    point = F.struct(*[F.col(f"`{c}`") for c in points.columns])
+    both = points.select(F.col(at).alias("__at"), F.lit(1).alias("__kind"), point.alias("__point")).filter("__at IS NOT NULL")
+    both = both.unionByName(cells.select(F.col(start).alias("__at"), F.lit(0).alias("__kind"), F.lit(None).cast(both.schema["__point"].dataType).alias("__point")))
+    found = carried(both, ["__at", "__kind"], F.when(F.col("__kind") == 0, F.col("__at")), "__start")
+    found = found.filter((F.col("__kind") == 1) & F.col("__start").isNotNull())
+    return found.join(cells, F.col("__start") == F.col(start)).select("__point.*", *[F.col(f"`{c}`") for c in cells.columns])
 
 
 def queue_ahead(cells: DataFrame, marks: DataFrame, key: str, cell_at: str, count: str, mark_at: str) -> DataFrame:
@@ -74,27 +79,57 @@ def queue_ahead(cells: DataFrame, marks: DataFrame, key: str, cell_at: str, coun
 
 
 def positional(left: DataFrame, right: DataFrame, order_left: list[str], order_right: list[str]) -> DataFrame:
-    """Rows paired by position, as many as the shorter side has (J21); for series short enough to sort in one task."""
-    a = left.withColumn("pos", F.row_number().over(Window.orderBy(*order_left)))
-    b = right.withColumn("pos", F.row_number().over(Window.orderBy(*order_right)))
-    return a.join(b, "pos")
+    """Rows paired by position, as many as the shorter side has."""
+    return numbered(left, order_left, "pos").join(numbered(right, order_right, "pos"), "pos")
+
+
+def _met(ranked: DataFrame, keys: DataFrame, at_least: float | None) -> DataFrame:
+    """ma < mb, common, jaccard of sets that share a key; each pair once, under its first common key.
+
+    ranked: m, s (sorted codes), n; keys: m, keys (sorted). Blocks hold ids, sizes and the few keys alone; the sets are joined
+    to the pairs that are left, as ids. A pair whose sizes can't reach the similarity is not made.
+    """
+    side = lambda x: keys.select(F.col("m").alias(f"m{x}"), F.col("n").alias(f"n{x}"), F.col("keys").alias(f"k{x}"), F.explode("keys").alias("t"))
+    fits = F.lit(True) if at_least is None else (F.least("na", "nb") + 1e-9 >= at_least * F.greatest("na", "nb"))
+    both = side("a").join(side("b"), "t").filter((F.col("ma") < F.col("mb")) & fits & (F.element_at(F.array_intersect("ka", "kb"), 1) == F.col("t"))).select("ma", "mb", "na", "nb")
+    sets = lambda x: ranked.select(F.col("m").alias(f"m{x}"), F.col("s").alias(f"s{x}"))
+    common = F.size(F.array_intersect("sa", "sb"))
+    counted = both.join(sets("a"), "ma").join(sets("b"), "mb").select("ma", "mb", common.alias("common"), "na", "nb")
+    return counted.select("ma", "mb", (F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("jaccard"))
+
+
+def _distinct_sets(members: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """From (id, s): sets (m, s as texts), their members (m, id) and ranked sets (m, s as codes, n); equal sets stand once.
+
+    Codes rise with a token's sets, so sorted sets have the rarest first and are short to move. The members of a set are
+    rows, not a list, as one set may be that of very many.
+    """
+    sets = held(members.select("s").distinct().withColumn("m", F.monotonically_increasing_id()))
+    seen = sets.select("m", F.explode("s").alias("t"))
+    codes = held(numbered(seen.groupBy("t").agg(F.count("*").alias("df")), ["df", "t"], "c").select("t", "c"))
+    ranked = held(seen.join(codes, "t").groupBy("m").agg(F.sort_array(F.collect_list("c")).alias("s")).withColumn("n", F.size("s")))
+    return sets, members.join(sets, "s").select("m", "id"), ranked
+
+
+def _rarest(ranked: DataFrame, at_least: float) -> DataFrame:
+    """The codes of which any pair of that similarity shares one."""
+    return ranked.select("m", "n", F.slice("s", F.lit(1), (F.col("n") - F.ceil(F.col("n") * F.lit(at_least) - 1e-9) + 1).cast("int")).alias("keys"))
 
 
 def similar_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, tokens: str, at_least: float) -> DataFrame:
-    """Pairs with a token-set Jaccard of at least `at_least` (J16), blocked by a token that any such pair must share.
+    """Pairs of two tables with a token-set Jaccard of at least `at_least` (J16), blocked by a token that any such pair must share.
 
-    Tokens are ordered by rarity; a pair at similarity t shares one of the first n - ceil(t * n) + 1 of either side.
+    Tokens are ordered by rarity; a pair at similarity t shares one of the first n - ceil(t * n) + 1 of either side. Equal
+    sets are compared once; pairs of rows come last, by joins with the sets' members.
     """
-    both = left.select(F.lit(0).alias("side"), F.col(left_id).alias("id"), tokens).unionByName(right.select(F.lit(1).alias("side"), F.col(right_id).alias("id"), tokens))
-    seen = both.select("side", "id", F.explode(tokens).alias("t"))
-    ranked = seen.join(seen.groupBy("t").agg(F.count("*").alias("df")), "t").groupBy("side", "id").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("o"))
-    n = F.size("o")
-    prefix = ranked.select("side", "id", F.col("o.t").alias("set"), F.explode(F.slice(F.col("o.t"), F.lit(1), (n - F.ceil(n * F.lit(at_least)) + 1).cast("int"))).alias("t"))
-    a = prefix.filter("side = 0").select(F.col("id").alias(left_id), F.col("set").alias("__a"), "t")
-    b = prefix.filter("side = 1").select(F.col("id").alias(right_id), F.col("set").alias("__b"), "t")
-    pairs = a.join(b, "t").dropDuplicates([left_id, right_id])
-    jaccard = F.size(F.array_intersect("__a", "__b")) / F.size(F.array_union("__a", "__b"))
-    return pairs.select(left_id, right_id, F.round(jaccard, 6).alias("jaccard")).filter(F.col("jaccard") >= at_least)
+    own = lambda df, key: df.select(F.col(key).alias("id"), F.array_sort(F.array_distinct(tokens)).alias("s")).filter(F.size("s") > 0)
+    l, r = own(left, left_id), own(right, right_id)  # noqa: E741
+    sets, _, ranked = _distinct_sets(l.select("s", "id").unionByName(r.select("s", "id")))
+    one_way = _met(ranked, _rarest(ranked, at_least), at_least).filter(F.col("jaccard") >= at_least)
+    both_ways = one_way.unionByName(one_way.select(F.col("mb").alias("ma"), F.col("ma").alias("mb"), "jaccard"))
+    links = both_ways.unionByName(sets.select(F.col("m").alias("ma"), F.col("m").alias("mb"), F.lit(1.0).alias("jaccard")))
+    member = lambda df, key, m: df.join(sets, "s").select(F.col("m").alias(m), F.col("id").alias(key))
+    return links.join(member(l, left_id, "ma"), "ma").join(member(r, right_id, "mb"), "mb").select(left_id, right_id, F.round("jaccard", 6).alias("jaccard"))
 
 
 def similar_self_pairs(rows: DataFrame, id_: str, tokens: str, at_least: float, distinctive: tuple[str, ...] = (), rare: tuple[str, ...] = ()) -> DataFrame:
@@ -104,30 +139,19 @@ def similar_self_pairs(rows: DataFrame, id_: str, tokens: str, at_least: float,
     are distinctive. Empty sets have no pairs. Equal sets are compared once and meet the others by a token of their
     rarest ones, or by a rare and another distinctive token; each pair is kept under the first block both are in.
     """
-    sets = rows.select(F.col(id_).alias("id"), F.array_sort(F.array_distinct(tokens)).alias("s")).filter(F.size("s") > 0).groupBy("s").agg(F.collect_list("id").alias("ids"))
-    sets = held(sets.select(F.monotonically_increasing_id().alias("m"), "s", "ids"))
-    seen = sets.select("m", F.explode("s").alias("t"))
-    # Numbers that rise with a token's rows, so sorted sets of them have the rarest first and are short to move.
-    codes = held(seen.groupBy("t").agg(F.count("*").alias("df")).orderBy("df", "t").select("t", F.monotonically_increasing_id().alias("c")))
-    ranked = seen.join(codes, "t").groupBy("m").agg(F.sort_array(F.collect_list("c")).alias("s"))
-    n = F.size("s")
-    rarest = ranked.select("m", "s", F.slice("s", F.lit(1), (n - F.ceil(n * F.lit(at_least) - 1e-9) + 1).cast("int")).alias("keys"))
-
-    marked = F.array_intersect("s", F.array(*map(F.lit, {*distinctive, *rare})).cast("array<string>"))
-    pinned = F.array_intersect("s", F.array(*map(F.lit, rare)).cast("array<string>"))
-    two = F.flatten(F.transform(pinned, lambda r: F.transform(F.filter(marked, lambda d: d != r), lambda d: F.concat_ws("\u0001", F.least(r, d), F.greatest(r, d)))))
-    linked = sets.select("m", "s", F.array_distinct(two).alias("keys"))
-
-    def met(blocks: DataFrame) -> DataFrame:
-        side = lambda x: blocks.select(F.col("m").alias(f"m{x}"), F.col("s").alias(f"s{x}"), F.size("keys").alias(f"n{x}"), F.explode("keys").alias("t"), *([F.col("keys").alias(f"k{x}")] if blocks is linked else []))
-        keys = lambda x: F.col(f"k{x}") if blocks is linked else F.slice(f"s{x}", F.lit(1), F.col(f"n{x}"))
-        both = side("a").join(side("b"), "t").filter((F.col("ma") < F.col("mb")) & (F.element_at(F.array_intersect(keys("a"), keys("b")), 1) == F.col("t")))
-        common = F.size(F.array_intersect("sa", "sb"))
-        return both.select("ma", "mb", (common / (F.size("sa") + F.size("sb") - common)).alias("jaccard"))
-
-    found = met(rarest).filter(F.col("jaccard") >= at_least).unionByName(met(linked).filter(F.col("jaccard") < at_least))
-    found = found.join(sets.select(F.col("m").alias("ma"), F.col("ids").alias("ia")), "ma").join(sets.select(F.col("m").alias("mb"), F.col("ids").alias("ib")), "mb").select("ia", "ib", "jaccard")
-    found = found.unionByName(sets.select(F.col("ids").alias("ia"), F.col("ids").alias("ib"), F.lit(1.0).alias("jaccard")))
-    pairs = found.select(F.explode("ia").alias("x"), "ib", "jaccard").select("x", F.explode("ib").alias("y"), "jaccard")
+    own = rows.select(F.col(id_).alias("id"), F.array_sort(F.array_distinct(tokens)).alias("s")).filter(F.size("s") > 0)
+    sets, members, ranked = _distinct_sets(own)
+    members = held(members)
+    found = _met(ranked, _rarest(ranked, at_least), at_least).filter(F.col("jaccard") >= at_least)
+    if rare:
+        marked = F.array_intersect("s", F.array(*map(F.lit, sorted({*distinctive, *rare}))))
+        pinned = F.array_intersect("s", F.array(*map(F.lit, sorted(rare))))
+        two = F.flatten(F.transform(pinned, lambda r: F.transform(F.filter(marked, lambda d: d != r), lambda d: F.concat_ws("\u0001", F.least(r, d), F.greatest(r, d)))))
+        linked = sets.select("m", F.size("s").alias("n"), F.array_sort(F.array_distinct(two)).alias("keys"))
+        found = found.unionByName(_met(ranked, linked, None).filter(F.col("jaccard") < at_least))
+    links = found.unionByName(sets.select(F.col("m").alias("ma"), F.col("m").alias("mb"), F.lit(1.0).alias("jaccard")))
+    side = lambda m, name: members.select(F.col("m").alias(m), F.col("id").alias(name))
+    pairs = links.join(side("ma", "x"), "ma").join(side("mb", "y"), "mb")
     # Of equal sets each pair comes in both orders, and one is enough; of unlike sets the one order may be either.
-    return pairs.filter((F.col("x") < F.col("y")) | ((F.col("x") > F.col("y")) & (F.col("jaccard") < 1))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.round("jaccard", 6).alias("jaccard"))
+    pairs = pairs.filter((F.col("x") < F.col("y")) | ((F.col("x") > F.col("y")) & (F.col("ma") != F.col("mb"))))
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.round("jaccard", 6).alias("jaccard"))

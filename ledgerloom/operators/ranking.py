@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.ordered import numbered
+
 
 def rank_of(column: str, order: list[str], default: int) -> Column:
     """Place of a value in a listed order."""
@@ -38,7 +40,7 @@ def stratified(rows: DataFrame, strata: list[str], key: str, n: int, seed: int)
 
 
 def rotation(rows: DataFrame, order: list[str], day: int, budget: int) -> DataFrame:
-    """The `budget` rows whose turn it is on a day of the year, round robin (O9); for source lists of a few hundred rows."""
-    numbered = rows.withColumn("__i", F.row_number().over(Window.orderBy(*order)) - 1).withColumn("__n", F.count("*").over(Window.partitionBy()))
-    turn = F.pmod(F.col("__i") - F.lit(day * budget), F.col("__n"))
-    return numbered.withColumn("turn", turn.cast("int")).filter(F.col("turn") < budget).drop("__i", "__n")
+    """The `budget` rows whose turn it is on a day of the year, round robin."""
+    placed = numbered(rows, order, "__i")
+    turn = F.pmod(F.col("__i") - 1 - F.lit(day * budget), F.lit(max(1, placed.count())))
+    return placed.withColumn("turn", turn.cast("int")).filter(F.col("turn") < budget).drop("__i")

@@ -65,9 +65,14 @@ def streaks(rows: DataFrame, key: str, order: list[str], hit: Column) -> DataFra
 def capped_top(rows: DataFrame, group: str, order: list[Column], sub: str, labels: str, total: int, per_sub: int, per_label: int) -> DataFrame:
     """A greedy pick in order (W15): stop at `total`; skip an item whose sub is full, or all of whose labels are full.
 
-    A skipped item uses no quota, so ranks alone can't tell; it is a fold over a group's items, which the caller bounds
-    (one snapshot). Uses built-in higher-order functions.
+    A skipped item uses no quota, so ranks alone can't tell; it is a fold. Few items come to it, though: what is full stays
+    full, so of the items of one sub and one set of labels only the first `per_sub` can be taken. Of those with one set of
+    labels at most `total` are taken, and at most `total` meet a full sub (total / per_sub full subs with per_sub items
+    each) before the labels or the whole are full; so the first 2 * total decide. Uses built-in functions only.
     """
+    kind = F.array_join(F.array_sort(F.array_distinct(labels)), "\u0001")
+    rows = rows.withColumn("__kind", kind).withColumn("__k", F.row_number().over(Window.partitionBy(group, sub, "__kind").orderBy(*order))).filter(F.col("__k") <= per_sub)
+    rows = rows.withColumn("__k", F.row_number().over(Window.partitionBy(group, "__kind").orderBy(*order))).filter(F.col("__k") <= 2 * total).drop("__kind", "__k")
     item = F.struct(*order, F.struct(*[c for c in rows.columns if c != group]).alias("__item"), F.col(sub).alias("__sub"), F.col(labels).alias("__labels"))
     start = F.struct(F.array().cast(f"array<struct<{', '.join(f'`{f.name}`:{f.dataType.simpleString()}' for f in rows.schema if f.name != group)}>>").alias("taken"), F.create_map().cast("map<string,int>").alias("used"))
 

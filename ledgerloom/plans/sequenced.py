@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import ranking, series
+from ledgerloom.operators.ordered import numbered
 from ledgerloom.plans.registry import Registry
 from ledgerloom.session import table
 
@@ -130,7 +131,7 @@ def register(reg: Registry) -> None:
         SELECT event_id, row_number() OVER (ORDER BY CASE WHEN event_type = 'view' THEN NULL ELSE value END DESC NULLS LAST, event_id)::INT AS place FROM events""")
     def o3(spark, sf):
         e = table(spark, sf, "events").select("event_id", F.when(F.col("event_type") != "view", F.col("value")).alias("v"))
-        return e.select("event_id", F.row_number().over(Window.orderBy(F.desc_nulls_last("v"), "event_id")).alias("place"))
+        return numbered(e, [F.desc_nulls_last("v"), "event_id"]).select("event_id", "place")
 
     @reg.add("o4_most_common", "SELECT p_name, count(*)::BIGINT AS n FROM part GROUP BY 1 ORDER BY n DESC, p_name LIMIT 10")
     def o4(spark, sf):
