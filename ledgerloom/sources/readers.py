@@ -9,19 +9,21 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.functions import dates, text
+
 # Namespace of spreadsheet parts, as the format fixes it.
 _SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
 
 def text_files(spark: SparkSession, folder: str) -> DataFrame:
-    """doc_id (file name without its ending), text: one row a file."""
+    """doc_id (file name without its ending), text: one row a file, in order of names."""
     read = spark.read.text(folder, wholetext=True, pathGlobFilter="*.txt")
     name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.txt$", 1)
-    return read.select(F.url_decode(name).alias("doc_id"), F.col("value").alias("text"))
+    return read.select(F.url_decode(name).alias("doc_id"), F.col("value").alias("text")).orderBy("doc_id")
 
 
 def csv_table(spark: SparkSession, path: str) -> DataFrame:
@@ -49,23 +51,123 @@ def nested_series(spark: SparkSession, path: str) -> DataFrame:
 
 
 def feed_items(spark: SparkSession, path: str) -> DataFrame:
-    """title, link, published, source of RSS 2.0 items."""
-    schema = "title string, link string, pubDate string, source string"
-    return spark.read.format("xml").option("rowTag", "item").schema(schema).load(path).select("title", "link", F.col("pubDate").alias("published"), "source")
+    """title, link, published, source of the items of RSS 2.0 and the entries of Atom feeds, byte order marks or not.
+
+    A feed is one row, as feeds are short; its items are cut out of the text.
+    """
+    whole = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "^\ufeff", "").alias("feed"))
+    items = whole.select(F.explode(F.regexp_extract_all("feed", F.lit(r"(?s)<(item|entry)\b[^>]*>(.*?)</\1>"), F.lit(2))).alias("i"))
+
+    def tag(*names: str) -> Column:
+        found = [F.regexp_extract("i", rf"(?s)<{n}\b[^>]*>(.*?)</{n}>", 1) for n in names]
+        plain = [text.strip_html(F.regexp_replace(c, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1")) for c in found]
+        return F.coalesce(*[F.when(c != "", c) for c in plain])
+
+    link = F.coalesce(tag("link"), F.nullif(F.regexp_extract("i", r"<link\b[^>]*\bhref=[\"']([^\"']+)", 1), F.lit("")))
+    return items.select(tag("title").alias("title"), link.alias("link"), tag("pubDate", "published", "updated").alias("published"), tag("source").alias("source"))
+
+
+def listing_rows(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """key, href, title, date of a listing's rows that link to a PDF and carry a date (S17); others are left out."""
+    rows = pages.select(key, F.explode(F.regexp_extract_all(html, F.lit(r"(?is)<(li|tr)\b[^>]*>(.*?)</\1>"), F.lit(2))).alias("r"))
+    href = F.regexp_extract("r", r"(?i)<a\b[^>]*href=[\"']([^\"']+\.pdf)[\"']", 1)
+    title = text.bare_title(text.strip_html(F.regexp_extract("r", r"(?is)<a\b[^>]*>(.*?)</a>", 1)))
+    dated = F.get(dates.prose_dates(text.strip_html(F.col("r"))), F.lit(0))["date"]
+    return rows.select(key, href.alias("href"), title.alias("title"), dated.alias("date")).filter((F.col("href") != "") & F.col("date").isNotNull())
+
+
+def page_events(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """key, at, kind, text: the text and the tables of a page in the order they stand (S16); a table's text is its rows' cells."""
+    body = F.regexp_replace(html, r"(?s)<!--.*?-->|<(script|style)\b.*?</\1>", " ")
+    parts = F.split(F.regexp_replace(body, r"(?is)(<table\b.*?</table>)", "\x01$1\x01"), "\x01")
+    events = pages.select(key, F.posexplode(parts).alias("at", "part"))
+    is_table = F.col("part").rlike(r"(?i)^<table\b")
+    shown = text.strip_html(F.col("part"))
+    return events.select(key, "at", F.when(is_table, "table").otherwise("text").alias("kind"), shown.alias("text")).filter(F.col("text") != "")
+
+
+def tree_matches(spark: SparkSession, folder: str, endings: list[str], skip: list[str], patterns: dict[str, str]) -> DataFrame:
+    """path, pattern, line, text of each line of a tree's files that a named pattern finds (S27); folders in `skip` are left out."""
+    read = spark.read.text(folder, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    wanted = read.filter(F.col("path").rlike(r"\.(" + "|".join(endings) + ")$"))
+    for name in skip:
+        wanted = wanted.filter(~F.contains("path", F.lit(f"/{name}/")))
+    lines = wanted.select("path", F.posexplode(F.split("value", "\n")).alias("at", "text"))
+    found = F.array_compact(F.array(*[F.when(F.col("text").rlike(p), n) for n, p in patterns.items()]))
+    return lines.select("path", F.explode(found).alias("pattern"), (F.col("at") + 1).alias("line"), "text")
+
+
+def page_index(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """key, kind, section, title, anchor of a page's headings, questions and glossary terms (S28): each stands in the last
+    section heading before it."""
+    tags = r"(?is)<(h2|h3|dt)\b([^>]*)>(.*?)</\1>"
+    found = pages.select(key, F.posexplode(F.regexp_extract_all(html, F.lit(tags), F.lit(0))).alias("at", "t"))
+    name = F.lower(F.regexp_extract("t", tags, 1))
+    shown, anchor = text.strip_html(F.regexp_extract("t", tags, 3)), F.regexp_extract("t", r"(?i)^<[^>]*\bid=[\"']([^\"']+)", 1)
+    above = F.last(F.when(name == "h2", shown), True).over(Window.partitionBy(key).orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    kind = F.when(name == "h2", "section").when(name == "h3", "question").otherwise("term")
+    return found.select(key, kind.alias("kind"), above.alias("section"), shown.alias("title"), F.nullif(anchor, F.lit("")).alias("anchor")).filter(F.col("title") != "")
+
+
+def first_readable(spark: SparkSession, csv_path: str, json_path: str, schema: str) -> tuple[DataFrame, str]:
+    """The CSV table, or the JSON manifest where there is no CSV; with the name of what was read."""
+    path_of, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+    place = path_of(csv_path)
+    if place.getFileSystem(conf).exists(place):
+        return csv_table(spark, csv_path), "csv"
+    return json_manifest(spark, json_path, schema), "json"
+
+
+def country_tables(spark: SparkSession, paths: dict[str, str], month: str, target: str) -> tuple[DataFrame, dict[str, str]]:
+    """One CSV a country as one table with `country`, and each one's status: ok, stale, unavailable.
+
+    A table whose newest month lies before the target is stale and gives no rows. Countries are a short list.
+    """
+    path_of, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+    kept, status = [], {}
+    for country, path in paths.items():
+        if not path_of(path).getFileSystem(conf).exists(path_of(path)):
+            status[country] = "unavailable"
+            continue
+        table = csv_table(spark, path).withColumn("country", F.lit(country))
+        newest = table.agg(F.max(month)).first()[0]
+        status[country] = "ok" if newest is not None and newest >= target else "stale"
+        if status[country] == "ok":
+            kept.append(table)
+    if not kept:
+        raise ValueError(f"no table is up to date: {status}")
+    out = kept[0]
+    for table in kept[1:]:
+        out = out.unionByName(table, allowMissingColumns=True)
+    return out, status
+
+
+def pasted(body: Column) -> Column:
+    """What a pasted text is: link, bulletin (rows of cutoffs), wait (a duration), month (a scheduling month), or other."""
+    lines = F.size(F.regexp_extract_all(body, F.lit(r"(?im)^\s*(?:1st|2nd|3rd|4th|5th)\b.*\b(?:\d{1,2}[A-Z]{3}\d{2}|C|U)\b"), F.lit(0)))
+    return F.when(text.only_link(body).isNotNull(), "link").when(lines > 0, "bulletin").when(dates.duration_days(F.lower(body)).isNotNull(), "wait").when(dates.scheduling_month(body).isNotNull(), "month").otherwise("other")
+
+
+def ordinal_year(year: Column) -> Column:
+    """Number of a year in a listing that counts back from 2026 as 1; null outside 1 to 22."""
+    number = 2027 - year
+    return F.when(number.between(1, 22), number)
 
 
 def html_tables(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """key, table, row, cells: all tables of each page, headers as row 0 (S14, S15); nested tables are read as their text."""
+    """key, table, caption, row, cells: all tables of each page, headers as row 0 (S14, S15); nested tables are read as their text."""
     body = F.regexp_replace(html, r"(?s)<!--.*?-->|<(script|style)[^>]*>.*?</(script|style)>", " ")
     tables = F.regexp_extract_all(body, F.lit(r"(?is)<table[^>]*>(.*?)</table>"), F.lit(1))
-    rows = pages.select(key, F.posexplode(tables).alias("table", "t")).select(key, "table", F.posexplode(F.regexp_extract_all("t", F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1))).alias("row", "r"))
+    caption = text.strip_html(F.regexp_extract("t", r"(?is)<caption[^>]*>(.*?)</caption>", 1))
+    rows = pages.select(key, F.posexplode(tables).alias("table", "t")).select(key, "table", caption.alias("caption"), F.posexplode(F.regexp_extract_all("t", F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1))).alias("row", "r"))
     clean = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"(?i)<br ?/?>|</p>|</li>|</div>", "\n"), r"<[^>]*>", ""), r"[ \t]+", " "))
-    return rows.select(key, "table", "row", F.transform(F.regexp_extract_all("r", F.lit(r"(?is)<t[hd][^>]*>(.*?)</t[hd]>"), F.lit(1)), clean).alias("cells"))
+    return rows.select(key, "table", "caption", "row", F.transform(F.regexp_extract_all("r", F.lit(r"(?is)<t[hd][^>]*>(.*?)</t[hd]>"), F.lit(1)), clean).alias("cells"))
 
 
-def table_by_header(tables: DataFrame, key: str, needed: list[str]) -> DataFrame:
-    """Body rows, as maps by header name, of each page's first table whose header has all the names."""
-    heads = tables.filter("row = 0")
+def table_by_header(tables: DataFrame, key: str, needed: list[str], caption: str = "") -> DataFrame:
+    """Body rows, as maps by header name, of each page's first table whose header has all the names and whose caption starts
+    so, in any case (P26, P15)."""
+    heads = tables.filter("row = 0").filter(F.startswith(F.lower("caption"), F.lit(caption.lower())))
     for name in needed:
         heads = heads.filter(F.exists("cells", lambda c: F.contains(F.lower(c), F.lit(name.lower()))))
     first = heads.groupBy(key).agg(F.min_by(F.struct("table", F.col("cells").alias("names")), "table").alias("h")).select(key, "h.*")
@@ -124,17 +226,37 @@ def header_rows(cells: DataFrame, needed: list[str], within: int = 12) -> DataFr
 
 
 def named_rows(cells: DataFrame, needed: list[str]) -> DataFrame:
-    """file, sheet, row and the needed columns by header name, never by position (S11); sheets without them give none."""
+    """file, sheet, row and the needed columns by header name, never by position (S11); a sheet without them is an error."""
     heads = header_rows(cells, needed)
+    lacking = cells.select("file", "sheet").distinct().join(heads, ["file", "sheet"], "left_anti").limit(5).collect()
+    if lacking:
+        raise ValueError(f"{', '.join(needed)} not found in {', '.join(f'{r.file}:{r.sheet}' for r in lacking)}")
     body = cells.join(heads, ["file", "sheet"]).filter(F.col("row") > F.col("header_row"))
     place = lambda name: F.array_position(F.transform("names", lambda c: F.lower(F.trim(c))), F.lit(name.lower()))
     return body.select("file", "sheet", "row", *[F.get("cells", (place(n) - 1).cast("int")).alias(n) for n in needed])
 
 
+def sheet_year(cells: DataFrame) -> DataFrame:
+    """file, sheet, year: the first year from 1990 to 2100 in a sheet's first rows or else its name."""
+    year = r"\b(199\d|20\d\d|2100)\b"
+    top = cells.filter(F.col("row") <= 12).withColumn("y", F.regexp_extract(F.array_join("cells", " "), year, 1))
+    return top.groupBy("file", "sheet").agg(F.min_by("y", F.when(F.col("y") != "", F.col("row"))).alias("y")).select("file", "sheet", F.coalesce("y", F.nullif(F.regexp_extract("sheet", year, 1), F.lit(""))).try_cast("int").alias("year"))
+
+
 def text_layer(glyphs: DataFrame, page: str, x: str, y: str, run: str, tolerance: float = 3.0) -> DataFrame:
-    """Lines of a page from positioned runs (S25): runs within `tolerance` of the one above them share a line, left to right."""
-    w = Window.partitionBy(page).orderBy(F.desc(y), x)
-    step = (F.lag(y).over(w) - F.col(y)) > tolerance
-    lined = glyphs.withColumn("line", F.sum(F.coalesce(step, F.lit(False)).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    ordered = F.array_sort(F.collect_list(F.struct(x, F.col(run).alias("r"))))
-    return lined.groupBy(page, "line").agg(F.array_join(F.transform(ordered, lambda s: s["r"]), " ").alias("text"))
+    """Lines of a page from positioned runs (S25): a line is what lies within `tolerance` below its first run, left to right.
+
+    The first run of a line fixes its place, so lines don't drift; that is a fold over one page's runs.
+    """
+    item = F.struct((-F.col(y)).alias("down"), F.col(x).alias("x"), F.col(run).alias("r"))
+    none = F.struct(F.lit(None).cast("double").alias("top"), F.lit(-1).alias("line"), F.array().cast("array<struct<line:int,x:double,r:string>>").alias("out"))
+
+    def step(acc: Column, g: Column) -> Column:
+        same = acc["top"].isNotNull() & (g["down"] - acc["top"] <= tolerance)
+        line = F.when(same, acc["line"]).otherwise(acc["line"] + 1)
+        return F.struct(F.when(same, acc["top"]).otherwise(g["down"]).cast("double").alias("top"), line.alias("line"), F.concat(acc["out"], F.array(F.struct(line.alias("line"), g["x"].cast("double").alias("x"), g["r"].alias("r")))).alias("out"))
+
+    folded = glyphs.groupBy(page).agg(F.aggregate(F.array_sort(F.collect_list(item)), none, step)["out"].alias("g"))
+    placed = folded.select(page, F.inline("g"))
+    ordered = F.array_sort(F.collect_list(F.struct("x", "r")))
+    return placed.groupBy(page, "line").agg(F.array_join(F.transform(ordered, lambda g: g["r"]), " ").alias("text"))

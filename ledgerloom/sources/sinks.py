@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -13,19 +13,31 @@ def write_csv(rows: DataFrame, path: str, fields: list[str]) -> None:
     rows.select(*fields).write.mode("overwrite").csv(path, header=True)
 
 
-def envelope(rows: DataFrame, version: int, order: list[str]) -> DataFrame:
-    """One JSON document with its schema version, row count, fields and records (K2); for tables small enough to publish."""
-    records = F.array_sort(F.collect_list(F.struct(*order, F.struct(*rows.columns).alias("__r"))))
-    one = rows.agg(F.count("*").alias("n_records"), F.transform(records, lambda r: r["__r"]).alias("records"))
-    return one.select(F.to_json(F.struct(F.lit(version).alias("schema_version"), "n_records", F.array(*map(F.lit, rows.columns)).alias("fields"), "records"), {"ignoreNullFields": "false"}).alias("value"))
+def _with_header(lines: DataFrame, rows: DataFrame, folder: str, order: list[str], header: dict[str, Column]) -> None:
+    """Lines of JSON in the order given, as files whose names sort, beside a header of one line; a run replaces both."""
+    columns = F.struct(F.array(*map(F.lit, rows.columns)).alias("fields"), *[c.alias(n) for n, c in header.items()])
+    lines.repartitionByRange(*order).sortWithinPartitions(*order).select("line").write.mode("overwrite").text(f"{folder}/records")
+    rows.agg(F.count("*").alias("n_records")).select(F.to_json(F.struct(columns["fields"].alias("fields"), *[columns[n].alias(n) for n in header], "n_records")).alias("value")).write.mode("overwrite").text(f"{folder}/header")
 
 
-def columnar(rows: DataFrame, order: list[str]) -> DataFrame:
-    """One JSON document that states the names once: fields and rows of values as text (K4)."""
-    values = F.array(*[F.col(c).cast("string") for c in rows.columns])
-    listed = F.array_sort(F.collect_list(F.struct(*order, values.alias("__v"))))
-    one = rows.agg(F.transform(listed, lambda r: r["__v"]).alias("rows"))
-    return one.select(F.to_json(F.struct(F.array(*map(F.lit, rows.columns)).alias("fields"), "rows"), {"ignoreNullFields": "false"}).alias("value"))
+def write_envelope(rows: DataFrame, folder: str, version: int, order: list[str]) -> None:
+    """Records as JSON lines in order, and a header with the schema version, fields and number of records (K2)."""
+    line = F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"})
+    _with_header(rows.select(*order, line.alias("line")), rows, folder, order, {"schema_version": F.lit(version)})
+
+
+def write_columnar(rows: DataFrame, folder: str, order: list[str]) -> None:
+    """Records as JSON arrays of texts, their names once in the header (K4)."""
+    line = F.to_json(F.array(*[F.col(c).cast("string") for c in rows.columns]))
+    _with_header(rows.select(*order, line.alias("line")), rows, folder, order, {})
+
+
+def write_search_index(pages: DataFrame, folder: str, body_cap: int = 600) -> None:
+    """Entries of a search index (K12): kind, title, section, url and a body of at most `body_cap` characters, in order of url
+    and title; entries without a title are left out, and of equal (url, title) the first by kind stands."""
+    entries = pages.filter(F.trim("title") != "").groupBy("url", "title").agg(F.min(F.struct("kind", "section", F.substring("body", 1, body_cap).alias("body"))).alias("e"))
+    line = F.to_json(F.struct("e.kind", "title", "e.section", "url", "e.body"))
+    _with_header(entries.select("url", "title", line.alias("line")), entries.select("url", "title"), folder, ["url", "title"], {})
 
 
 def digest(rows: DataFrame, without: list[str] = ()) -> str:
@@ -39,13 +51,58 @@ def digest(rows: DataFrame, without: list[str] = ()) -> str:
 
 
 def write_if_changed(rows: DataFrame, path: str, stored: DataFrame | None, without: list[str] = ()) -> bool:
-    """Writes unless the stored table has the same content, timestamps apart; says whether it wrote (K5)."""
+    """Writes unless the stored table has the same content, timestamps apart; says whether it wrote (K5).
+
+    The rows may be made from the stored table itself: they are written beside it and then take its place.
+    """
     if stored is not None and sorted(stored.columns) == sorted(rows.columns) and digest(stored, without) == digest(rows, without):
         return False
-    rows.write.mode("overwrite").parquet(path)
+    rows.write.mode("overwrite").parquet(f"{path}_staged")
+    _replace(rows.sparkSession, {f"{path}_staged": path})
     return True
 
 
+def write_report(findings: DataFrame, path: str, key: str, severity: str) -> bool:
+    """Writes a report unless the set of (key, severity) is that of the report that stands (K6); says whether it wrote."""
+    stored = _stored(findings.sparkSession, f"{path}/findings")
+    own = findings.select(F.col(key).cast("string").alias("key"), F.col(severity).cast("string").alias("severity")).distinct()
+    if stored is not None and digest(stored.select("key", "severity").distinct()) == digest(own):
+        return False
+    return write_if_changed(findings.withColumns({"key": F.col(key).cast("string"), "severity": F.col(severity).cast("string")}), f"{path}/findings", None)
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return spark.read.parquet(path) if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place) else None
+
+
+def _replace(spark: SparkSession, moves: dict[str, str]) -> None:
+    """Moves each folder into its place. What stood there is moved aside first and comes back if a later move fails."""
+    path_of, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+    files = path_of(next(iter(moves))).getFileSystem(conf)
+    aside: dict[str, str] = {}
+    placed: list[str] = []
+    try:
+        for new, target in moves.items():
+            if files.exists(path_of(target)):
+                old = f"{target}_replaced"
+                files.delete(path_of(old), True)
+                if not files.rename(path_of(target), path_of(old)):
+                    raise OSError(f"{target} could not be moved aside")
+                aside[target] = old
+            if not files.rename(path_of(new), path_of(target)):
+                raise OSError(f"{new} could not be moved to {target}")
+            placed.append(target)
+    except Exception:
+        for target in placed:
+            files.delete(path_of(target), True)
+        for target, old in aside.items():
+            files.rename(path_of(old), path_of(target))
+        raise
+    for old in aside.values():
+        files.delete(path_of(old), True)
+
+
 def write_gated(rows: DataFrame, path: str, audit: Callable[[DataFrame], DataFrame], dry_run: bool = True) -> list:
     """Writes only if the audit of the merged result finds nothing, and never in a dry run (K7); returns some violations."""
     found = audit(rows).limit(20).collect()
@@ -55,16 +112,15 @@ def write_gated(rows: DataFrame, path: str, audit: Callable[[DataFrame], DataFra
 
 
 def write_tables(tables: dict[str, DataFrame], folder: str, valid: dict[str, Column]) -> None:
-    """Several tables or none (K8): each is written under a staging name and read back, then all are moved into place."""
+    """Several tables or none (K8): each is written under a staging name and read back, then all are moved into place.
+
+    What stood there is restored if a move fails; a run that dies between two moves leaves it under a name that ends in
+    `_replaced`.
+    """
     spark = next(iter(tables.values())).sparkSession
     staged = {name: f"{folder}/_staged_{name}" for name in tables}
     for name, rows in tables.items():
         rows.write.mode("overwrite").parquet(staged[name])
         if name in valid and spark.read.parquet(staged[name]).filter(~F.coalesce(valid[name], F.lit(False))).limit(1).count():
             raise ValueError(f"{name} is not valid; nothing was replaced")
-    path_of = spark._jvm.org.apache.hadoop.fs.Path
-    for name in tables:
-        target = path_of(f"{folder}/{name}")
-        files = target.getFileSystem(spark._jsc.hadoopConfiguration())
-        files.delete(target, True)
-        files.rename(path_of(staged[name]), target)
+    _replace(spark, {staged[name]: f"{folder}/{name}" for name in tables})

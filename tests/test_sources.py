@@ -47,18 +47,29 @@ def test_workbooks_by_header_name(spark, tmp_path):
     cells = readers.workbooks(spark, str(tmp_path))
     assert cells.count() == 3
     assert [tuple(r) for r in readers.named_rows(cells, ["case", "status"]).select("row", "case", "status").collect()] == [(3, "12", "D")]
-    assert readers.named_rows(cells, ["missing"]).count() == 0
+    with pytest.raises(ValueError, match="missing"):
+        readers.named_rows(cells, ["missing"])
+    assert [r.year for r in readers.sheet_year(cells).collect()] == [None]
 
 
 def test_text_layer(spark):
-    glyphs = spark.createDataFrame([(1, 5.0, 100.0, "b"), (1, 1.0, 101.5, "a"), (1, 1.0, 90.0, "c")], "page int, x double, y double, run string")
-    assert [r.text for r in readers.text_layer(glyphs, "page", "x", "y", "run").orderBy("line").collect()] == ["a b", "c"]
+    # 98 is within 3 of the run above it, but not of the line's first run.
+    runs = [(1, 5.0, 100.0, "b"), (1, 1.0, 101.5, "a"), (1, 9.0, 98.0, "d"), (1, 1.0, 90.0, "c")]
+    glyphs = spark.createDataFrame(runs, "page int, x double, y double, run string")
+    assert [r.text for r in readers.text_layer(glyphs, "page", "x", "y", "run").orderBy("line").collect()] == ["a b", "d", "c"]
 
 
 def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([(2, "b", "t2"), (1, None, "t1")], "k int, v string, at string")
-    assert json.loads(sinks.envelope(rows, 3, ["k"]).first().value) == {"schema_version": 3, "n_records": 2, "fields": ["k", "v", "at"], "records": [{"k": 1, "v": None, "at": "t1"}, {"k": 2, "v": "b", "at": "t2"}]}
-    assert json.loads(sinks.columnar(rows, ["k"]).first().value) == {"fields": ["k", "v", "at"], "rows": [["1", None, "t1"], ["2", "b", "t2"]]}
+    lines = lambda name: [json.loads(r.value) for r in spark.read.text(str(tmp_path / name)).collect()]
+    sinks.write_envelope(rows, str(tmp_path / "e"), 3, ["k"])
+    assert lines("e/header") == [{"fields": ["k", "v", "at"], "schema_version": 3, "n_records": 2}]
+    assert sorted(lines("e/records"), key=lambda r: r["k"]) == [{"k": 1, "v": None, "at": "t1"}, {"k": 2, "v": "b", "at": "t2"}]
+    sinks.write_columnar(rows, str(tmp_path / "l"), ["k"])
+    assert lines("l/header")[0]["fields"] == ["k", "v", "at"] and sorted(lines("l/records"), key=str) == [["1", None, "t1"], ["2", "b", "t2"]]
+    pages = spark.createDataFrame([("q", "A", "s", "u", "b" * 900), ("a", "A", "s", "u", "x"), ("q", " ", "s", "v", "y")], "kind string, title string, section string, url string, body string")
+    sinks.write_search_index(pages, str(tmp_path / "i"))
+    assert lines("i/records") == [{"kind": "a", "title": "A", "section": "s", "url": "u", "body": "x"}]
     sinks.write_csv(rows, str(tmp_path / "c"), ["k"])
     assert readers.csv_table(spark, str(tmp_path / "c")).columns == ["k"]
     path = str(tmp_path / "p")
@@ -66,6 +77,13 @@ def test_sinks(spark, tmp_path):
     later = rows.withColumn("at", F.lit("now")).repartition(3)
     assert not sinks.write_if_changed(later, path, spark.read.parquet(path), ["at"])
     assert sinks.digest(rows) != sinks.digest(later) and sinks.digest(rows.limit(0)) == "0:0:0:0:0"
+    # The new rows may be read from the table they replace.
+    stored = spark.read.parquet(path)
+    assert sinks.write_if_changed(stored.filter("k = 1"), path, stored) and spark.read.parquet(path).count() == 1
+    findings = spark.createDataFrame([("a", "ACTION", "t1"), ("b", "WATCH", "t1")], "id string, level string, seen string")
+    assert sinks.write_report(findings, str(tmp_path / "r"), "id", "level")
+    assert not sinks.write_report(findings.withColumn("seen", F.lit("t2")), str(tmp_path / "r"), "id", "level")
+    assert sinks.write_report(findings.filter("id = 'a'"), str(tmp_path / "r"), "id", "level")
 
 
 def test_gated_and_joint_sinks(spark, tmp_path):
@@ -80,3 +98,33 @@ def test_gated_and_joint_sinks(spark, tmp_path):
     with pytest.raises(ValueError):
         sinks.write_tables({"a": rows.limit(1), "b": rows}, str(tmp_path / "j"), {"b": F.col("id") > 0})
     assert spark.read.parquet(str(tmp_path / "j/a")).count() == 3
+    # A move that fails brings back what stood there.
+    with pytest.raises(Exception):
+        sinks._replace(spark, {str(tmp_path / "j/b"): str(tmp_path / "j/a"), str(tmp_path / "j/none"): str(tmp_path / "j/c")})
+    assert spark.read.parquet(str(tmp_path / "j/a")).count() == 3
+
+
+def test_atom_listings_events_trees_and_fallbacks(spark, tmp_path):
+    (tmp_path / "a.xml").write_text('\ufeff<feed><entry><title><![CDATA[X & Y]]></title><link href="h"/><updated>2024-01-02</updated></entry></feed>')
+    row = readers.feed_items(spark, str(tmp_path / "a.xml")).first()
+    assert (row.title, row.link, row.published) == ("X & Y", "h", "2024-01-02")
+    html = '<p>intro</p><ul><li><a href="/d/JAN1.pdf">One (PDF, 12 KB)</a> January 2, 2024</li><li><a href="/x.html">no</a> January 3, 2024</li><li><a href="/y.pdf">undated</a></li></ul><table><caption>Times</caption><tr><td>c</td></tr></table><h2 id="s">Sec</h2><h3 id="q-1">Why?</h3>end<dl><dt>Term</dt></dl>'
+    pages = spark.createDataFrame([(1, html), (2, None)], "k int, html string")
+    assert [(r.href, r.title, str(r.date)) for r in readers.listing_rows(pages, "k", "html").collect()] == [("/d/JAN1.pdf", "One", "2024-01-02")]
+    assert [(r.kind, r.text.split()[0]) for r in readers.page_events(pages, "k", "html").orderBy("at").collect()] == [("text", "intro"), ("table", "Times"), ("text", "Sec")]
+    assert sorted((r.kind, r.section, r.title, r.anchor) for r in readers.page_index(pages, "k", "html").collect()) == [("question", "Sec", "Why?", "q-1"), ("section", "Sec", "Sec", "s"), ("term", "Sec", "Term", None)]
+    assert [r.caption for r in readers.html_tables(pages, "k", "html").collect()] == ["Times"]
+    for name, body in (("t/a.py", "x\nTODO me\n"), ("t/skip/b.py", "TODO"), ("t/c.md", "TODO")):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(body)
+    assert [(r.pattern, r.line) for r in readers.tree_matches(spark, str(tmp_path / "t"), ["py"], ["skip"], {"todo": "TODO"}).collect()] == [("todo", 2)]
+    (tmp_path / "in.csv").write_text("month,v\n2024-01,1\n")
+    (tmp_path / "ch.csv").write_text("month,v\n2023-01,1\n")
+    table, status = readers.country_tables(spark, {"in": str(tmp_path / "in.csv"), "ch": str(tmp_path / "ch.csv"), "mx": str(tmp_path / "mx.csv")}, "month", "2024-01")
+    assert status == {"in": "ok", "ch": "stale", "mx": "unavailable"} and [r.country for r in table.collect()] == ["in"]
+    (tmp_path / "m.json").write_text('[{"k": 1}]')
+    assert readers.first_readable(spark, str(tmp_path / "none.csv"), str(tmp_path / "m.json"), "k:int")[1] == "json"
+    assert readers.first_readable(spark, str(tmp_path / "in.csv"), str(tmp_path / "m.json"), "k:int")[1] == "csv"
+    said = spark.createDataFrame([(" https://x.org/a ",), ("1st 01JAN20 C\n2nd C C",), ("1.5 months",), ("Sep-2024",), ("what",)], "t string")
+    assert [r[0] for r in said.select(readers.pasted(F.col("t"))).collect()] == ["link", "bulletin", "wait", "month", "other"]
+    assert [r[0] for r in spark.range(2004, 2028).select(readers.ordinal_year(F.col("id"))).collect()] == [None, *range(22, 0, -1), None]
