@@ -265,33 +265,40 @@ def _items(labelled: DataFrame, wanted: list[str] | None) -> DataFrame:
     return labelled.select(F.col("text").cast("string")).mapInArrow(emit, "item string, context long")
 
 
-def learn_lexicon(sample: DataFrame, least_contexts: int = 12, precision: float = 0.97) -> list[str]:
+def choose_terms(support: dict[str, int]) -> list[str]:
+    """The terms to keep of those that mark toxic rows, with their support; sorted.
+
+    A term falls away only for a chosen wider stem that covers it, and a stem only for a longer term that says as much; what
+    the longer one leaves open stays a candidate of its own.
+    """
+    chosen: list[str] = []
+    for item in sorted(support, key=lambda i: (-support[i], -len(i), i)):
+        stem = item.rstrip("*")
+        if any(c.endswith("*") and stem.startswith(c[:-1]) for c in chosen):
+            continue
+        if item.endswith("*") and any(support[i] >= support[item] / 1.05 for i in support if i != item and i.startswith(stem)):
+            continue
+        chosen.append(item)
+    return sorted(chosen)
+
+
+def learn_lexicon(sample: DataFrame, most_contexts: int = 12, precision: float = 0.97) -> list[str]:
     """Terms that mark toxic rows, from labelled rows (doc_id, text, toxic) of a bounded sample.
 
-    A term must occur in the toxic rows in `least_contexts` different surroundings, so words of one text that was copied
-    often don't count, and nearly never in the others. Of a word and its stems the most specific one that keeps
-    almost all occurrences stays. What is sent to the driver is bounded by the sample's words over `least_contexts`.
+    A term must occur in the toxic rows in so many different surroundings, so words of one text that was copied often don't
+    count, and in half as many rows, so words of one long text don't; and nearly never in the others. How many follows the
+    toxic rows, one in 50, from 4 to `most_contexts`. What is sent to the driver is bounded by the sample's words over that.
     """
+    sizes = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    least = max(4, min(most_contexts, sizes.get(1, 0) // 50))
     toxic, clean = sample.filter("toxic = 1").select("text"), sample.filter("toxic = 0").select("text")
-    often = _items(toxic, None).groupBy("item").agg(F.count_distinct("context").alias("n")).filter(F.col("n") >= least_contexts).collect()
+    often = _items(toxic, None).groupBy("item").agg(F.count_distinct("context").alias("n")).filter(F.col("n") >= least).collect()
     support = {r.item: r.n for r in often}
     if not support:
         return []
     inside, there = ({r.item: r.n for r in _items(rows, sorted(support)).groupBy("item").agg(F.count("*").alias("n")).collect()} for rows in (toxic, clean))
-    sizes = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     scale = max(1, sizes.get(1, 0)) / max(1, sizes.get(0, 0))
-    good = {i: n for i, n in support.items() if inside[i] / (inside[i] + there.get(i, 0) * scale) >= precision}
-    chosen = set()
-    for item in good:
-        stem = item.rstrip("*")
-        parents = [stem[:n] + "*" for n in range(4, len(stem))] + ([stem + "*"] if item == stem and len(stem) >= 4 else [])
-        if any(p in good and good[p] > 1.05 * good[item] for p in parents):
-            continue  # a wider stem says clearly more
-        children = [i for i in good if i != item and i.startswith(stem) and item.endswith("*")]
-        if any(good[c] >= good[item] / 1.05 for c in children):
-            continue  # a longer one says as much
-        chosen.add(item)
-    return sorted(chosen)
+    return choose_terms({i: n for i, n in support.items() if 2 * inside[i] >= least and inside[i] / (inside[i] + there.get(i, 0) * scale) >= precision})
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, penalty: float = 1.0) -> ToxicityModel:

@@ -1,4 +1,5 @@
 import random
+import re
 from functools import cache
 
 import numpy as np
@@ -6,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from ledgerloom.llm.toxicity import ToxicityModel, Trie, _letter_sets, edits_allowed, fit_toxicity, score_toxicity, toxic_spans
+from ledgerloom.llm.toxicity import ADDRESS, REPORTING, WINDOW, ToxicityModel, Trie, _letter_sets, choose_terms, edits_allowed, fit_toxicity, score_toxicity, toxic_spans
 
 
 @cache
@@ -91,3 +92,54 @@ def test_empty_and_unlabelled_tables(spark):
     assert model.terms == [] and score_toxicity(df, model).count() == 0
     one = spark.createDataFrame([(1, "a", None), (2, None, 1), (3, "", 0)], "doc_id long, text string, toxic int")
     assert score_toxicity(one, fit_toxicity(one.drop("toxic"), one.drop("text"))).filter("toxicity between 0 and 1").count() == 3
+
+
+def test_a_term_falls_away_only_for_one_that_covers_it():
+    assert choose_terms({"scum": 300, "scumbag": 12, "scum*": 312}) == ["scum", "scumbag"]
+    assert choose_terms({"vexxab": 30, "vexxcd": 30, "vexx*": 60}) == ["vexx*"]
+    assert choose_terms({"grumbolo": 50, "grum*": 51, "grumb*": 50, "other": 5}) == ["grumbolo", "other"]
+    assert choose_terms({}) == []
+
+
+def _plain_features(text, terms):
+    """FEATURES of an ASCII text, word by word and without a trie."""
+    words = [(m.start(), m.end(), m[0].lower()) for m in re.finditer("[A-Za-z0-9]+", text or "")]
+    found = []
+    for _, _, word in words:
+        best = None
+        for k, term in enumerate(terms):
+            stem = term.rstrip("*")
+            d = min(distance(word[:n], stem) for n in range(len(word) + 1)) if term.endswith("*") else distance(word, stem)
+            if d <= edits_allowed(term) and (best is None or d < best[1]):
+                best = (k, d)
+        found.append(best)
+    sums, kinds = [0.0] * 4, set()
+    for k, hit in enumerate(found):
+        if hit is None:
+            continue
+        a, b = max(0, k - WINDOW), min(len(words), k + WINDOW + 1)
+        near = {words[j][2] for j in range(a, b) if j != k}
+        left = text[words[a - 1][1] if a else 0 : words[k][0]]
+        right = text[words[k][1] : words[b][0] if b < len(words) else len(text)]
+        quoted = any(left.count(q) % 2 == 1 and q in right for q in '"`')
+        addressed = bool(near & ADDRESS)
+        others = sum(found[j] is not None for j in range(a, b) if j != k)
+        score = (0.2 if quoted else 0.5 if near & REPORTING else 1.0) * (1 + 0.5 * addressed + 0.25 * min(others, 4))
+        sums[1 if quoted else 2 if hit[1] else 0] += score
+        sums[3] += addressed and not quoted
+        if not quoted and not hit[1]:
+            kinds.add(hit[0])
+    return np.log1p([*sums, len(kinds)])
+
+
+def test_scores_equal_a_plain_version(spark):
+    rng = random.Random(12)
+    terms = ["grumbolo", "vexx*", "zork", "blimpets"]
+    words = ["grumbolo", "grumbol0", "vexxing", "vexy", "zork", "zorq", "blimpet", "you", "said", "the", "a1", "plain", "word", "house", '"', "`", '"zork"', "."]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 50)))) for i in range(150)] + [(900, None), (901, ""), (902, "word " * 40_000 + "zork"), (902, "zork zork")]
+    weights, bias = np.array([2.0, 0.3, 1.5, 0.7, 1.0]), -2.5
+    model = ToxicityModel(terms, weights, bias)
+    got = score_toxicity(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), model).collect()
+    for r in got:
+        assert r.toxicity == pytest.approx(1 / (1 + np.exp(-(_plain_features(r.text, terms) @ weights + bias)))), r.doc_id
+    assert len(got) == len(rows)
