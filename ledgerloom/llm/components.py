@@ -22,6 +22,12 @@ def shared_folder(spark: SparkSession) -> None:
     spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Removes a folder, wherever it is, if it is there."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 #: Links a task takes in a round; few links need few tasks, whatever the session's number of shuffle partitions.
 TASK_LINKS = 200_000
 

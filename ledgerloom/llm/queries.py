@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import langid, licenses, mixing, neardup, neighbours, packing, toxicity, warc
+from ledgerloom.llm.components import remove_folder
 from ledgerloom.llm.quality import score_quality
 from ledgerloom.llm.tokens import count_tokens
 from ledgerloom.plans.registry import Registry
@@ -37,7 +38,9 @@ def registry() -> Registry:
     def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
         pages, folder = _table(spark, sf_dir, "pages").select("page_id", "url", "html"), warc.archive_folder(spark)
         manifest = warc.write_archives(pages, folder, warc.train_dictionary(pages))
-        return warc.read_archives(manifest, folder, keep_payload=False, strict=True).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+        read = warc.read_archives(manifest, folder, keep_payload=False, strict=True).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").checkpoint()
+        remove_folder(spark, folder)  # what is asked for is held; the archives are not
+        return read
 
     @found.add("op4_language_id")
     def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
