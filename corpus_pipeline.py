@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.components import shared_folder
+from ledgerloom.llm.components import remove_folder, shared_folder
 from ledgerloom.llm.langid import held_out
 from ledgerloom.llm.mixing import mixture
 from ledgerloom.llm.neardup import near_duplicates
@@ -53,22 +53,28 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 1024 tokens with their place: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    """Pieces of at most 1024 tokens with their ids and place: doc_id, piece, start, length, ids_crc32, ids, sequence_id, offset."""
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), keep_ids=True)
 
 
 STAGES = [("quality rules", quality), ("toxicity", toxicity), ("near duplicates", near_duplicate), ("mixing", mix), ("packing", pack)]
 
-#: Trained transducers, learned lexicons and local search have no SQL; tests hold the stages against brute force.
+#: Trained transducers, learned lexicons and local search have no SQL; tests/llm/test_pipeline.py holds the stages against
+#: brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each written as Parquet into the shared folder and read again by the next."""
+    """All stages, each written as Parquet into the shared folder and read again by the next, whose input then goes.
+
+    The product stays in the shared folder; rows and tables may be empty, repeated or null in any column.
+    """
     shared_folder(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
     for number, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{number}")
         docs = spark.read.parquet(f"{folder}/{number}")
+        if number:
+            remove_folder(spark, f"{folder}/{number - 1}")
     return docs
