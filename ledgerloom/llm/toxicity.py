@@ -58,6 +58,12 @@ class Trie:
             if self.term[node] < 0 or term.endswith("*"):
                 self.term[node] = k
         self.limit = [edits_allowed(t) for t in terms]
+        self.below = [0] * len(self.next)  # most edits that a term at or below a node allows
+        for term, limit in zip(terms, self.limit):
+            node = 0
+            for c in ("", *term.rstrip("*")):
+                node = self.next[node][c] if c else node
+                self.below[node] = max(self.below[node], limit)
         self.most = max(self.limit, default=0)
         self.letters = [int(np.bitwise_or.reduce(_bits()[list(t.rstrip("*").encode())], initial=0)) for t in terms]
 
@@ -75,34 +81,37 @@ class Trie:
         return out
 
     def match(self, word: str) -> tuple[int, int] | None:
-        """Term and edits of the closest term (ties: the first), or None."""
+        """Term and edits of the closest term (ties: the first), or None.
+
+        The automaton's states are sets of positions in the word, as bits of one number for each number of edits: those that
+        the node's letters reach with so many edits or fewer. A branch is left when no position is, at the most edits that any
+        of its terms allows and that would be better than what is found.
+        """
         best: tuple[int, int] | None = None
         n = len(word)
-        # Automaton states: position in the word and edits so far, the fewest by position.
-        stack = [(0, {i: i for i in range(min(self.most, n) + 1)})]
+        at: dict[str, int] = {}
+        for p, c in enumerate(word):
+            at[c] = at.get(c, 0) | 1 << p
+        whole, end = (2 << n) - 1, 1 << n
+        stack = [(0, [((2 << e) - 1) & whole for e in range(self.most + 1)])]
         while stack:
             node, states = stack.pop()
             k = self.term[node]
             if k >= 0:
-                ends = states.values() if self.terms[k].endswith("*") else [e for p, e in states.items() if p == n]
-                edits = min(ends, default=99)
+                goal = whole if self.terms[k].endswith("*") else end
+                edits = next((e for e, held in enumerate(states) if held & goal), 99)
                 if edits <= self.limit[k] and (best is None or (edits, k) < (best[1], best[0])):
                     best = (k, edits)
-            cap = self.most if best is None else min(self.most, best[1])
+            cap = len(states) - 1 if best is None else min(len(states) - 1, best[1])
             for c, child in self.next[node].items():
-                moved: dict[int, int] = {}
-                for p, e in states.items():
-                    steps = [(p, e + 1)]  # the term has a letter more
-                    if p < n:
-                        steps.append((p + 1, e + (word[p] != c)))
-                    for q, cost in steps:
-                        if cost <= cap and cost < moved.get(q, 99):
-                            moved[q] = cost
-                for p in sorted(moved):  # the word has letters more
-                    q, cost = p + 1, moved[p] + 1
-                    if q <= n and cost <= cap and cost < moved.get(q, 99):
-                        moved[q] = cost
-                if moved:
+                same = at.get(c, 0)
+                held = (states[0] & same) << 1
+                moved = [held]
+                for e in range(1, min(cap, self.below[child]) + 1):
+                    # A letter met, a letter of the term more, another letter, a letter of the word more.
+                    held = ((states[e] & same) << 1 | states[e - 1] | states[e - 1] << 1 | held << 1) & whole
+                    moved.append(held)
+                if held:
                     stack.append((child, moved))
         return best
 
@@ -178,9 +187,10 @@ class Scanner:
             codes[i] = code
         code = codes[which]
         at = np.flatnonzero(code >= 0)
+        first_word = np.searchsorted(rows, np.arange(len(offsets)))
         for k in at.tolist():
             a, b = max(0, k - WINDOW), min(len(starts), k + WINDOW + 1)
-            a, b = max(a, int(np.searchsorted(rows, rows[k]))), min(b, int(np.searchsorted(rows, rows[k], "right")))
+            a, b = max(a, int(first_word[rows[k]])), min(b, int(first_word[rows[k] + 1]))
             near = [j for j in range(a, b) if j != k]
             words = {low[starts[j] : ends[j]].tobytes().decode("utf-8", "replace") for j in near}
             top, bottom = int(offsets[rows[k]]), int(offsets[rows[k] + 1])
