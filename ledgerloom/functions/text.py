@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from email.header import decode_header, make_header
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -293,3 +296,31 @@ def sparse(**members: Column) -> Column:
     """JSON of a struct without members that are null, zero or empty."""
     kept = [F.when(~c.cast("string").isin("0", "0.0", "", "false"), c).alias(n) for n, c in members.items()]
     return F.to_json(F.struct(*kept))
+
+
+def links(html: Column) -> Column:
+    """Targets of all links of a page in order."""
+    return F.regexp_extract_all(html, F.lit(r"(?i)<a\b[^>]*\bhref=[\"']([^\"']+)"), F.lit(1))
+
+
+def mail_text(html: Column, cap: int = 3000) -> Column:
+    """A mail's text with a line for each block, at most `cap` characters."""
+    blocks = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1>", " "), r"(?i)<br\s*/?>|</(p|div|li|tr|h[1-6])>", "\x01")
+    lines = F.transform(F.split(strip_html(blocks), "\x01"), norm)
+    return F.substring(F.array_join(F.filter(lines, lambda x: x != ""), "\n"), 1, cap)
+
+
+def decoded_header(header: Column) -> Column:
+    """A mail header with its '=?utf-8?B?...?=' words decoded and white space collapsed."""
+
+    @F.pandas_udf("string")
+    def decode(values: pd.Series) -> pd.Series:
+        def one(value: str | None) -> str | None:
+            try:
+                return None if value is None else " ".join(str(make_header(decode_header(value))).split())
+            except (ValueError, LookupError):
+                return " ".join(value.split())
+
+        return values.map(one)
+
+    return F.when(F.contains(header, F.lit("=?")), decode(header)).otherwise(norm(header))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -206,3 +208,32 @@ def page_age(stamp: Column, as_of: str, days: int) -> Column:
     """ACTION for a stamp that is missing or older than `days`, else OK."""
     age = F.datediff(F.lit(as_of).cast("date"), stamp)
     return F.when(stamp.isNull() | (age > days), "ACTION").otherwise("OK")
+
+
+def audit_sections(rows: DataFrame, sections: dict[str, tuple[Column, Column, float]]) -> DataFrame:
+    """section, checked, bad, share, ok for each named check (of which rows, what is wrong, largest share of wrong ones), in one
+    pass (Q8)."""
+    counts = [c for name, (of, wrong, _) in sections.items() for c in (F.count_if(of).alias(f"{name}__n"), F.count_if(of & wrong).alias(f"{name}__bad"))]
+    one = rows.agg(*counts)
+    listed = F.array(*[F.struct(F.lit(name).alias("section"), F.col(f"{name}__n").alias("checked"), F.col(f"{name}__bad").alias("bad"), F.lit(float(most)).alias("most")) for name, (_, _, most) in sections.items()])
+    share = F.coalesce(F.try_divide(F.col("bad").cast("double"), F.col("checked").cast("double")), F.lit(0.0))
+    return one.select(F.inline(listed)).select("section", "checked", "bad", F.round(share, 6).alias("share"), (share <= F.col("most")).alias("ok"))
+
+
+def handled(items: DataFrame, kind: str, handlers: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """The union of what each kind's handler makes of its items (X1); handlers return the same columns, kinds without one an
+    error naming them."""
+    unknown = [r[0] for r in items.filter(~F.coalesce(F.col(kind), F.lit("")).isin(*handlers)).select(kind).distinct().limit(5).collect()]
+    if unknown:
+        raise ValueError(f"no handler for {', '.join(map(str, unknown))}")
+    parts = [make(items.filter(F.col(kind) == name)) for name, make in handlers.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def same_value(a: Column, b: Column) -> Column:
+    """Equality of JSON values in which null equals null and lists are compared item by item, white space apart."""
+    plain = lambda c: F.when(F.trim(c).startswith("["), F.to_json(F.from_json(c, "array<string>"))).otherwise(F.trim(c))
+    return plain(a).eqNullSafe(plain(b))

@@ -12,7 +12,7 @@ TOKENS = "[^a-z]+"
 
 
 def tokens(spark, sf):
-    """doc_id, token: ASCII words of English documents of up to 3,000 characters."""
+    """doc_id, token: ASCII words of English documents."""
     d = table(spark, sf, "documents").filter("lang = 'en'")
     return d.select("doc_id", F.explode(F.split(F.lower("text"), TOKENS)).alias("token")).filter(F.length("token") >= 3)
 

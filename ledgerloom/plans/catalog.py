@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.plans import aggregated, dated, fed, joined, mined, ruled, sequenced, worded
+from ledgerloom.plans import aggregated, dated, fed, joined, listed, mined, ruled, sequenced, worded
 from ledgerloom.plans.registry import Registry
 
-PARTS = (joined, aggregated, sequenced, mined, dated, worded, ruled, fed)
+PARTS = (joined, aggregated, sequenced, mined, dated, worded, ruled, fed, listed)
 
 
 def registry() -> Registry:

@@ -72,9 +72,9 @@ def register(reg: Registry) -> None:
         return entries(spark, sf).select(F.col("at").alias("k"), feeds.together(F.col("title"), RULES.phrase, RULES.context).alias("together"))
 
     @reg.add("p30_item_ids", f"""
-        WITH {ENTRIES} SELECT k, left(sha1(source || '|' || title || '|' || coalesce(published::VARCHAR, '')), 16) AS id FROM e WHERE k % 5 <> 0""")
+        WITH {ENTRIES} SELECT k, left(sha1(CASE WHEN k % 5 = 0 THEN 'The Post' ELSE source END || '|' || title || '|' || coalesce(published::VARCHAR, '')), 16) AS id FROM e""")
     def p30(spark, sf):
-        return feeds.feed_items(entries(spark, sf).filter("at % 5 <> 0"), RULES, AS_OF).select(F.regexp_extract("url", r"(\d+)$", 1).cast("long").alias("k"), "id")
+        return feeds.feed_items(entries(spark, sf), RULES, AS_OF).select(F.regexp_extract("url", r"(\d+)$", 1).cast("long").alias("k"), "id")
 
     @reg.add("p32_mail_funnel", f"""
         WITH {ENTRIES}, m AS (SELECT *, CASE k % 4 WHEN 3 THEN 'unknown' WHEN 2 THEN 'official' WHEN 1 THEN 'law-mail' ELSE 'official-mail' END AS source_id, CASE k % 4 WHEN 1 THEN 2 ELSE 1 END AS t FROM g)
@@ -151,6 +151,7 @@ def register(reg: Registry) -> None:
     def q2(spark, sf):
         later = F.add_months("o_orderdate", 3)
         q = table(spark, sf, "orders").select(dates.fiscal_quarter(F.col("o_orderdate")).alias("quarter"), (F.year(later) * 4 + F.quarter(later)).alias("i")).distinct().filter("i % 5 <> 0")
+        # Every fifth quarter is left out, so that there are gaps to find.
         records = q.select("quarter", F.when(F.col("i") % 5 == 3, "many").otherwise("12").alias("certified"), F.when(F.col("i") % 5 != 2, "0").alias("denied"), F.explode(F.when(F.col("i") % 5 == 1, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("n"))
         return governance.quarter_audit(records, "quarter", ["certified", "denied"])
 
@@ -183,13 +184,13 @@ def register(reg: Registry) -> None:
     @reg.add("j7_quorum_changes", """
         WITH n AS (SELECT o_custkey, count(DISTINCT o_orderstatus) AS states, max(o_orderstatus) AS s, count(*) AS n FROM orders GROUP BY 1),
         q AS (SELECT 'cell.' || o_custkey AS path, CASE WHEN s <> 'P' THEN s END AS value FROM n WHERE states = 1),
-        s AS (SELECT 'cell.' || c_custkey AS path, CASE WHEN c_custkey % 2 = 0 THEN 'F' END AS value FROM customer WHERE c_custkey % 3 <> 0)
+        s AS (SELECT 'cell.' || c_custkey AS path, CASE WHEN c_custkey % 2 = 0 THEN 'F' END AS value FROM customer WHERE c_mktsegment <> 'HOUSEHOLD')
         SELECT q.path, s.value AS old, q.value AS new, s.path IS NOT NULL AS existed FROM q LEFT JOIN s USING (path) WHERE s.path IS NULL OR s.value IS DISTINCT FROM q.value""")
     def j7(spark, sf):
         n = table(spark, sf, "orders").groupBy("o_custkey").agg(F.count_distinct("o_orderstatus").alias("states"), F.max("o_orderstatus").alias("s"))
         path = lambda c: F.concat(F.lit("cell."), c).alias("path")
         quorum = n.select(path("o_custkey"), F.when(F.col("s") != "P", F.col("s")).alias("value"), F.when(F.col("states") == 1, "high").otherwise("low").alias("confidence"))
-        store = table(spark, sf, "customer").filter("c_custkey % 3 <> 0").select(path("c_custkey"), F.when(F.col("c_custkey") % 2 == 0, "F").alias("value"))
+        store = table(spark, sf, "customer").filter("c_mktsegment <> 'HOUSEHOLD'").select(path("c_custkey"), F.when(F.col("c_custkey") % 2 == 0, "F").alias("value"))
         return governance.quorum_changes(quorum, store)
 
     @reg.add("a22_tallies", """

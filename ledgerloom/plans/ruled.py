@@ -83,13 +83,13 @@ def register(reg: Registry) -> None:
 
     @reg.add("d4_petition_result", """
         SELECT l_orderkey AS doc_id, CASE WHEN arg_min(g, (NOT caps, l_linenumber)) THEN 'granted' ELSE 'denied' END AS petition
-        FROM (SELECT l_orderkey, l_linenumber, l_partkey % 3 = 0 AS g, l_suppkey % 2 = 0 AS caps FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey) AS n FROM lineitem WHERE l_partkey % 3 < 2) WHERE n = 1) GROUP BY 1""")
+        FROM (SELECT l_orderkey, l_linenumber, l_partkey % 3 = 0 AS g, l_suppkey % 2 = 0 AS caps FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey) AS n FROM lineitem) WHERE n = 1 AND l_partkey % 3 < 2) GROUP BY 1""")
     def d4(spark, sf):
         from pyspark.sql import Window
 
         first = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey"))
-        line = table(spark, sf, "lineitem").filter("l_partkey % 3 < 2").withColumn("n", first).filter("n = 1")
-        verb = F.when(F.col("l_partkey") % 3 == 0, "granted").otherwise("deny")
+        line = table(spark, sf, "lineitem").withColumn("n", first).filter("n = 1")
+        verb = F.when(F.col("l_partkey") % 3 == 0, "granted").when(F.col("l_partkey") % 3 == 1, "deny").otherwise("find")
         return mining.petition_result(line.select(F.col("l_orderkey").alias("doc_id"), verb.alias("verb"), (F.col("l_suppkey") % 2 == 0).alias("caps"), F.col("l_linenumber").alias("start")))
 
     @reg.add("d9_prongs_failed", """
