@@ -54,3 +54,19 @@ def test_rows_and_clashing_columns_stay(spark):
     got = scan_licenses(df)
     assert sorted(str(r.license) for r in got.collect()) == ["All-Rights-Reserved", "All-Rights-Reserved", "None"] and got.columns == ["doc_id", "text", "license_hits", "license", "dice", "n_hits"]
     assert scan_licenses(df.limit(0)).count() == 0
+
+
+def test_long_units_that_repeat_few_words_are_still_compared(spark):
+    text = "all rights reserved " * 4000
+    other = " ".join(f"w{i}" for i in range(30_000)) + "\nAll rights reserved.\n" + "x" * 100_000
+    got = {r.doc_id: (r.license, r.n_hits) for r in scan_licenses(spark.createDataFrame([(1, text), (2, other), (3, None)], "doc_id long, text string")).collect()}
+    assert got[1] == ("All-Rights-Reserved", 1) and got[2] == ("All-Rights-Reserved", 1) and got[3] == (None, 0)
+
+
+def test_clause_texts_are_told_apart(spark):
+    from ledgerloom.llm.licenses import TEMPLATES
+
+    names = ["BSD-3-Clause-text", "BSD-2-Clause-text", "Zlib", "0BSD", "ISC", "AGPL-3.0-header", "LGPL-2.1-header"]
+    rows = [(i, "Copyright (c) 2020 Acme\n\n" + TEMPLATES[n].replace(". ", ".\n * ")) for i, n in enumerate(names)]
+    got = {r.doc_id: r.license for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(names))] == names
