@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ledgerloom.operators.ordered import carried, numbered
 from ledgerloom.session import held
 
+#: Codes in all sets together, up to which the sets are sent to the pairs; beyond it both are shuffled.
+MOST_SENT = 2_000_000
+
 
 def field_diff(stored: DataFrame, computed: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """key, field, stored, computed where two versions of one record differ; only keys in both."""
@@ -92,7 +95,9 @@ def _met(ranked: DataFrame, keys: DataFrame, at_least: float | None) -> DataFram
     side = lambda x: keys.select(F.col("m").alias(f"m{x}"), F.col("n").alias(f"n{x}"), F.col("keys").alias(f"k{x}"), F.explode("keys").alias("t"))
     fits = F.lit(True) if at_least is None else (F.least("na", "nb") + 1e-9 >= at_least * F.greatest("na", "nb"))
     both = side("a").join(side("b"), "t").filter((F.col("ma") < F.col("mb")) & fits & (F.element_at(F.array_intersect("ka", "kb"), 1) == F.col("t"))).select("ma", "mb", "na", "nb")
-    sets = lambda x: ranked.select(F.col("m").alias(f"m{x}"), F.col("s").alias(f"s{x}"))
+    small = (ranked.agg(F.sum("n")).first()[0] or 0) <= MOST_SENT
+    sent = F.broadcast if small else (lambda df: df)
+    sets = lambda x: sent(ranked.select(F.col("m").alias(f"m{x}"), F.col("s").alias(f"s{x}")))
     common = F.size(F.array_intersect("sa", "sb"))
     counted = both.join(sets("a"), "ma").join(sets("b"), "mb").select("ma", "mb", common.alias("common"), "na", "nb")
     return counted.select("ma", "mb", (F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("jaccard"))
