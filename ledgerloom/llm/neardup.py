@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.components import connected_components, shared_folder
 from ledgerloom.llm.tokens import text_slices
-from ledgerloom.llm.words import LOWER, hashes, mix, spans, windows
+from ledgerloom.llm.words import LOWER, SLICE_BYTES, hashes, mix, spans, windows
 
 COORDINATES, MATCHES = 64, 34
 HOT = 32
@@ -73,7 +73,7 @@ def _signed(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
-            for start, end, data, offsets in text_slices(batch.column(1)):
+            for start, end, data, offsets in text_slices(batch.column(1), SLICE_BYTES):
                 found, cut = shingle_sets(data, offsets, width)
                 size = np.diff(cut)
                 full = np.flatnonzero(size > 0)
@@ -187,7 +187,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             others = [batch.column(batch.schema.get_field_index(c)) for c in rest]
-            for start, end, data, offsets in text_slices(batch.column(batch.schema.get_field_index("text"))):
+            for start, end, data, offsets in text_slices(batch.column(batch.schema.get_field_index("text")), SLICE_BYTES):
                 found, cut = shingle_sets(data, offsets, width)
                 yield pa.RecordBatch.from_arrays([*[c.slice(start, end - start) for c in others], pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(found.view(np.int64)))], names=[*rest, "shingles"])
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.components import shared_folder
 from ledgerloom.llm.tokens import text_slices
-from ledgerloom.llm.words import mix, per_row, spans, windows, hashes
+from ledgerloom.llm.words import SLICE_BYTES, hashes, mix, per_row, spans, windows
 
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_closed_lines", "n_distinct_words", "n_letter_bytes", "n_word_bytes")
 _SYMBOLS = np.zeros(256, bool)
@@ -106,7 +106,7 @@ def text_features(docs: DataFrame, text: str = "text", keep_text: bool = True) -
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [_features(data, offsets) for _, _, data, offsets in text_slices(batch.column(batch.schema.get_field_index(text)))]
+            parts = [_features(data, offsets) for _, _, data, offsets in text_slices(batch.column(batch.schema.get_field_index(text)), SLICE_BYTES)]
             columns = [pa.array(np.concatenate([p[c] for p in parts]) if parts else np.zeros(0, np.int64)) for c in FEATURES]
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in kept] + columns, names=[*kept, *FEATURES])
 

@@ -20,13 +20,14 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.components import shared_folder
 from ledgerloom.llm.tokens import text_slices
-from ledgerloom.llm.words import LOWER, hashes, mix
+from ledgerloom.llm.words import LOWER, SLICE_BYTES, hashes, mix
 
 FEATURES = ("plain", "quoted", "misspelled", "addressed", "kinds")
 WINDOW = 8
 #: Bounds of the labelled sample that the lexicon and the model are learned from, by class.
 SAMPLE_ROWS = 6_000
-_MEMORY = 500_000
+#: Words whose walk of the trie is remembered, in a dictionary of some 10 MB.
+_MEMORY = 100_000
 # Signs of quotation and of address.
 REPORTING = frozenset("said says called calls wrote quote quoted quotes word term insult dit écrit sagte nannte wort dijo llamó palabra".split())
 ADDRESS = frozenset("you your youre yourself u du dich dein ihr tu te toi vous votre usted tú eres".split())
@@ -218,7 +219,7 @@ class Scanner:
         return np.log1p(out)
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def scanner(terms: tuple[str, ...]) -> Scanner:
     """One scanner for all tasks of a Python worker."""
     return Scanner(Trie(list(terms)))
@@ -256,7 +257,7 @@ def _items(labelled: DataFrame, wanted: list[str] | None) -> DataFrame:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only = None if wanted is None else set(wanted)
         for batch in batches:
-            for _, _, data, offsets in text_slices(batch.column(0)):
+            for _, _, data, offsets in text_slices(batch.column(0), SLICE_BYTES):
                 low, starts, ends, rows = _tokens(data, offsets)
                 hashed = hashes(low, starts, ends)
                 near = mix(np.concatenate([[0], hashed[:-1]]).astype(np.uint64)) + np.concatenate([hashed[1:], [0]]).astype(np.uint64) if len(hashed) else hashed
@@ -323,7 +324,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, pe
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = scanner(tuple(terms))
         for batch in batches:
-            for start, end, data, offsets in text_slices(batch.column(0)):
+            for start, end, data, offsets in text_slices(batch.column(0), SLICE_BYTES):
                 found = scan.features(data, offsets)
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(start, end - start), *[pa.array(np.ascontiguousarray(c)) for c in found.T]], names=["toxic", *FEATURES])
 
@@ -361,7 +362,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", ke
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = scanner(tuple(model.terms))
         for batch in batches:
-            parts = [model.score(scan.features(data, offsets)) for _, _, data, offsets in text_slices(batch.column(batch.schema.get_field_index(text)))]
+            parts = [model.score(scan.features(data, offsets)) for _, _, data, offsets in text_slices(batch.column(batch.schema.get_field_index(text)), SLICE_BYTES)]
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in kept] + [pa.array(np.concatenate(parts) if parts else np.zeros(0))], names=[*kept, "toxicity"])
 
     return docs.mapInArrow(score, schema)

@@ -7,6 +7,8 @@ import numpy as np
 #: Between words: space and the five ASCII controls from tab to carriage return.
 IS_GAP = np.zeros(256, bool)
 IS_GAP[[32, *range(9, 14)]] = True
+#: Bytes of text measured at once: the arrays of places and hashes take about 80 times that.
+SLICE_BYTES = 1_000_000
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: A random number for each byte at each of 64 places; further on, the places repeat under other odd factors.
