@@ -55,3 +55,25 @@ def test_undetermined_texts_ties_and_names(spark):
 def test_held_out_rows(spark):
     got = spark.range(50).select("id", held_out(F.col("id")).alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 3 == 1) for r in got)
+
+
+def test_blocks_of_trigrams_give_the_same_answers(spark, monkeypatch):
+    from ledgerloom.llm import langid
+    from ledgerloom.llm.langid import Memory
+
+    rng = random.Random(11)
+    rich = "".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(4000))  # nearly as many trigrams as letters
+    texts = [rich, "the tion ing", "", rich[:200] + " schau keit", "!!!"]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
+    whole = Memory().bundles(data, offsets)
+    monkeypatch.setattr(langid, "BLOCK", 70)
+    monkeypatch.setattr(langid, "KNOWN", 150)
+    memory = Memory()
+    assert memory.bundles(data, offsets) == pytest.approx(whole) and len(memory.known) <= 150
+    assert not whole[2].any() and not whole[4].any()
+    monkeypatch.setattr(langid, "TEXTS", 2)
+    rows = _rows(30) + [(900, rich, None), (901, None, "aa"), (902, "", "bb")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in predict_language(df, fit_profiles(df)).collect()}
+    assert len(got) == 33 and got[901] == got[902] == ("und", 0.0)

@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.quality import fit_rules, score_quality, text_features
+from ledgerloom.llm.quality import fit_rules, score_quality, text_features, votes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -70,3 +70,39 @@ def test_expectation_maximisation_matches_a_plain_loop(spark):
             fresh.append(min(0.99, max(0.5, (right + 0.8) / (sum(abs(row[j]) for row in table) + 1))))
         prior, acc = min(0.95, max(0.05, sum(good) / len(good))), fresh
     assert model.prior == pytest.approx(prior) and list(model.accuracy.values()) == pytest.approx(acc)
+
+
+def test_a_text_of_few_words_is_found_at_any_length(spark):
+    rng = random.Random(1)
+    junk = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(12)]
+    prose = [f"{a}{b}{c}" for a in "tionhers" for b in "aeiou" for c in ("ther", "ing", "man", "ship")]
+    few = lambda n: " ".join(rng.choice(junk) for _ in range(n))
+    many = lambda n: " ".join(rng.choice(prose) + rng.choice(prose) for _ in range(n))
+    rows = [(n, few(n)) for n in (200, 1999, 2000, 60_000)] + [(-n, many(n)) for n in (200, 1999, 2000, 60_000)]
+    df = text_features(spark.createDataFrame(rows, "doc_id long, text string"), keep_text=False)
+    got = {r.doc_id: r.v for r in df.withColumn("v", votes()["variety"]).select("doc_id", "v").collect()}
+    assert all(got[n] == -1 and got[-n] == 0 for n in (200, 1999, 2000, 60_000))
+
+
+def test_hashes_tell_patterned_words_apart():
+    import numpy as np
+
+    from ledgerloom.llm.words import hashes
+
+    thue = "a"
+    while len(thue) < 4096:
+        thue += thue.translate(str.maketrans("ab", "ba"))
+    flipped = thue.translate(str.maketrans("ab", "ba"))
+    rng = random.Random(3)
+    words = {thue, flipped, *("".join(rng.choice("ab") for _ in range(n)) for n in (1, 2, 63, 64, 65, 128, 500) for _ in range(40))}
+    words |= {w[:k] + "c" + w[k + 1 :] for w in (thue, flipped) for k in (0, 63, 64, 2000, 4095)}
+    ordered = sorted(words)
+    data = np.frombuffer("".join(ordered).encode(), np.uint8)
+    ends = np.cumsum([len(w) for w in ordered])
+    assert len(set(hashes(data, ends - [len(w) for w in ordered], ends).tolist())) == len(ordered)
+
+
+def test_signs_and_emoji_are_no_letters(spark):
+    rows = [(1, "abc défg"), (2, "😀😀 ━━ →→ 。。 «»"), (3, "漢字 ß"), (4, "x😀é")]
+    got = {r.doc_id: (r.n_letter_bytes, r.n_word_bytes) for r in text_features(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (8, 8), 2: (0, 30), 3: (8, 8), 4: (3, 7)}
