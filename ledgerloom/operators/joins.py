@@ -81,6 +81,22 @@ def queue_ahead(cells: DataFrame, marks: DataFrame, key: str, cell_at: str, coun
     return summed.filter("mark = 1").select(key, F.col("at").alias(mark_at), (F.col("upto") - F.col("here")).alias("ahead"), F.col("here").alias("level"), (F.col("total") - F.col("upto")).alias("behind")).distinct()
 
 
+def queue_bands(cells: DataFrame, key: str, month: str, known: str, suppressed: str, marks: list[str]) -> DataFrame:
+    """key, mark, known, suppressed, in_month, later, in_year, past_window: what of monthly cells stands around each mark (J14,
+    RC8). Cells of a null month are the open-ended bucket of earlier times and always stand ahead.
+
+    Marks are a short list of months yyyy-MM, so all of them are sums over one pass; there is no join.
+    """
+    at, n, hidden = F.col(month), F.coalesce(F.col(known), F.lit(0)), F.coalesce(F.col(suppressed), F.lit(0))
+    total = lambda of, test: F.coalesce(F.sum(F.when(test, of)), F.lit(0))
+
+    def band(mark: str) -> Column:
+        ahead = at.isNull() | (at < mark)
+        return F.struct(F.lit(mark).alias("mark"), total(n, ahead).alias("known"), total(hidden, ahead).alias("suppressed"), total(n, at == mark).alias("in_month"), total(n, at > mark).alias("later"), total(n, F.substring(at, 1, 4) == mark[:4]).alias("in_year"), F.coalesce(F.lit(mark) > F.max(at), F.lit(True)).alias("past_window"))
+
+    return cells.groupBy(key).agg(F.array(*[band(m) for m in marks]).alias("bands")).select(key, F.inline("bands"))
+
+
 def positional(left: DataFrame, right: DataFrame, order_left: list[str], order_right: list[str]) -> DataFrame:
     """Rows paired by position, as many as the shorter side has."""
     return numbered(left, order_left, "pos").join(numbered(right, order_right, "pos"), "pos")

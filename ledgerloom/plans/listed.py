@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import dates, lexicons, text
-from ledgerloom.operators import governance, ranking
+from ledgerloom.operators import governance, joins, ranking
 from ledgerloom.plans.registry import Registry
 from ledgerloom.session import table
 
@@ -170,3 +170,34 @@ def register(reg: Registry) -> None:
     def x_sliding(spark, sf):
         e = table(spark, sf, "events").select(F.col("ts").cast("timestamp_ntz").alias("ts"))
         return e.groupBy(F.window("ts", "2 days", "1 day").alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "n")
+
+    @reg.add("j14_queue_bands", """
+        WITH c AS (SELECT o_custkey, CASE WHEN o_orderdate >= TIMESTAMP '1994-01-01' THEN strftime(o_orderdate, '%Y-%m') END AS month, count(*) AS n FROM orders GROUP BY 1, 2),
+        k AS (SELECT o_custkey, month, CASE WHEN n > 1 THEN n ELSE 0 END AS known, CASE WHEN n > 1 THEN 0 ELSE 1 END AS hidden FROM c), m(mark) AS (VALUES ('1995-06'), ('1997-01'))
+        SELECT o_custkey, mark, coalesce(sum(known) FILTER (month IS NULL OR month < mark), 0)::BIGINT AS known, coalesce(sum(hidden) FILTER (month IS NULL OR month < mark), 0)::BIGINT AS suppressed, coalesce(sum(known) FILTER (month = mark), 0)::BIGINT AS in_month,
+          coalesce(sum(known) FILTER (month > mark), 0)::BIGINT AS later, coalesce(sum(known) FILTER (left(month, 4) = left(mark, 4)), 0)::BIGINT AS in_year, coalesce(mark > max(month), true) AS past_window FROM k CROSS JOIN m GROUP BY 1, 2""")
+    def j14(spark, sf):
+        month = F.when(F.col("o_orderdate") >= F.lit("1994-01-01").cast("timestamp_ntz"), F.date_format("o_orderdate", "yyyy-MM"))
+        cells = table(spark, sf, "orders").groupBy("o_custkey", month.alias("month")).agg(F.count("*").alias("n"))
+        cells = cells.select("o_custkey", "month", F.when(F.col("n") > 1, F.col("n")).alias("known"), F.when(F.col("n") == 1, 1).alias("hidden"))
+        return joins.queue_bands(cells, "o_custkey", "month", "known", "hidden", ["1995-06", "1997-01"])
+
+    # The score of a search entry, term by term as its rule lists them, over three fields made of parts.
+    fields = "lower(p_name) AS t, lower(p_type || ' ' || p_brand) AS s, lower(p_name || '-' || p_size) AS b, p_size % 2 = 0 AS q"
+    flat = lambda c: f"regexp_replace({c}, '[^a-z0-9]+', '', 'g')"
+    terms = ("ring", "brand1", "g1")
+    plain = lambda w: f"(CASE WHEN strpos(t, '{w}') = 1 THEN 26 WHEN strpos(t, '{w}') > 1 THEN 18 ELSE 0 END + CASE WHEN contains(s, '{w}') THEN 6 ELSE 0 END)"
+    folded = lambda w: f"CASE WHEN strpos({flat('t')}, '{w}') = 1 THEN 22 WHEN strpos({flat('t')}, '{w}') > 1 THEN 16 WHEN contains({flat('s')}, '{w}') THEN 5 ELSE 0 END"
+    none = lambda w: f"({plain(w)} = 0 AND NOT contains(b, '{w}'))"
+    late = lambda w: f"({none(w)} AND {folded(w)} = 0 AND contains({flat('b')}, '{w}'))"
+    points = " + ".join(f"CASE WHEN {none(w)} THEN {folded(w)} ELSE {plain(w)} END" for w in terms)
+    body = " + ".join(f"CASE WHEN contains(b, '{w}') THEN 4 WHEN {late(w)} THEN 3 ELSE 0 END" for w in terms)
+    hits = " + ".join(f"({plain(w)} > 0 OR contains(b, '{w}') OR {folded(w)} > 0 OR {late(w)})::INT" for w in terms)
+
+    @reg.add("f20_relevance_arms", f"""
+        WITH f AS (SELECT p_partkey, {fields} FROM part), h AS (SELECT p_partkey, q, {points} AS points, least(12, {body}) AS body, {hits} AS hits FROM f)
+        SELECT p_partkey, CASE WHEN hits = 0 THEN 0 ELSE points + body + round(22.0 * hits / 3)::INT + CASE WHEN q THEN 5 ELSE 0 END END::INT AS score FROM h""")
+    def f20(spark, sf):
+        p = table(spark, sf, "part")
+        score = text.relevance(list(terms), F.col("p_name"), F.concat_ws(" ", "p_type", "p_brand"), F.concat_ws("-", "p_name", "p_size"), F.col("p_size") % 2 == 0)
+        return p.select("p_partkey", score.alias("score"))
