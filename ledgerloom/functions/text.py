@@ -324,3 +324,19 @@ def decoded_header(header: Column) -> Column:
         return values.map(one)
 
     return F.when(F.contains(header, F.lit("=?")), decode(header)).otherwise(norm(header))
+
+
+def redact_names(text: Column, names: Column, keep: tuple[str, ...] = (), mark: str = "[redacted]") -> Column:
+    """A row's own names struck from its text, in any case, the longest first (P20).
+
+    Names of up to three letters and words that documents of the kind use anyway (`keep`) strike nothing; nor do null lists.
+    """
+    useful = F.filter(F.array_distinct(names), lambda n: (F.length(n) > 3) & ~F.lower(n).isin(*[k.lower() for k in keep]))
+    longest = F.transform(F.array_sort(F.transform(useful, lambda n: F.struct((-F.length(n)).alias("l"), n.alias("n")))), lambda s: F.concat(F.lit(r"\Q"), s["n"], F.lit(r"\E")))
+    pattern = F.concat(F.lit(r"(?i)\b(?:"), F.array_join(longest, "|"), F.lit(r")\b"))
+    return F.coalesce(F.when(F.size(longest) > 0, F.regexp_replace(text, pattern, F.lit(mark))), text)
+
+
+def evidence(text: Column, start: Column, end: Column, names: Column, cap: int = 320) -> Column:
+    """The sentence around a finding, without the row's own names."""
+    return redact_names(clause_sentence(text, start, end, cap), names)

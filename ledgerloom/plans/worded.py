@@ -199,3 +199,20 @@ def register(reg: Registry) -> None:
     def f101(spark, sf):
         given = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit(" "), "url", F.lit("\n"))).otherwise(F.concat(F.lit("see <"), "url", F.lit("> and http://x")))
         return table(spark, sf, "pages").select("page_id", text.only_link(given).alias("only"), text.first_url(given).alias("first"))
+
+    @reg.add("p20_redact_names", """
+        SELECT c_custkey, '[redacted] and [redacted], LEE, of the Agency for ' || c_mktsegment AS sentence FROM customer""")
+    def p20(spark, sf):
+        name = F.concat(F.lit("Smith"), F.col("c_custkey"))
+        sentence = F.concat(F.upper(name), F.lit("-Jones and "), F.initcap(name), F.lit(", LEE, of the Agency for "), "c_mktsegment")
+        names = F.array(name, F.concat(name, F.lit("-Jones")), F.lit("Lee"), F.lit("agency"))
+        return table(spark, sf, "customer").select("c_custkey", text.redact_names(sentence, names, ("Agency",)).alias("sentence"))
+
+    @reg.add("d8_evidence", """
+        SELECT c_custkey, 'We order [redacted] to ' || c_mktsegment || '.' AS evidence FROM customer""")
+    def d8(spark, sf):
+        name = F.concat(F.lit("Smith"), F.col("c_custkey"))
+        lead = F.concat(F.lit("About "), name, F.lit(". "))
+        whole = F.concat(lead, F.lit("We order "), name, F.lit(" to "), "c_mktsegment", F.lit(". "), name, F.lit(" left."))
+        start = F.length(lead) + 1
+        return table(spark, sf, "customer").select("c_custkey", text.evidence(whole, start, start + 8, F.array(name)).alias("evidence"))
