@@ -170,32 +170,27 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, doc_i
 def pack_pieces(cut: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """Adds sequence_id and offset to rows of pieces; bins have consecutive, gapless offsets.
 
-    The pieces are written to the checkpoint folder, counted, and dealt at random (seeded, over fixed files) into shards:
-    their number follows the pieces shorter than a sequence, and all pieces for corpora of mostly full ones. Full pieces
-    get a sequence of their own. A sequence_id is the shard times 2 ** 40 plus a number in the shard.
+    The pieces are written to the checkpoint folder and counted. Full pieces are a sequence of their own, with a negative
+    number, and don't move. The others are dealt at random (seeded, over fixed files) into shards of about shard_pieces, so a
+    shard's columns, token ids included, have a size bound; a sequence_id is the shard times 2 ** 40 plus a number in it.
     """
     shared_folder(cut.sparkSession)
     cut = cut.checkpoint()
-    short, rows = cut.agg(F.count_if(F.col("length") < capacity), F.count("*")).first()
-    shards = max(1, -(-short // shard_pieces), -(-rows // (8 * shard_pieces)))
+    shards = max(1, -(-cut.agg(F.count_if(F.col("length") < capacity)).first()[0] // shard_pieces))
     columns = cut.columns
-    dealt = cut.withColumn("shard", F.floor(F.rand(11) * shards).cast("long"))
-    schema = dealt.select(*columns, F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset")).schema
+    full = cut.filter(F.col("length") >= capacity).select(*columns, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    dealt = cut.filter(F.col("length") < capacity).withColumn("shard", F.floor(F.rand(11) * shards).cast("long"))
 
     def place(batch: pa.Table) -> pa.Table:
         lengths = batch.column("length").to_numpy()
         base = int(batch.column("shard")[0].as_py()) << 40 if len(lengths) else 0
         sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-        full = np.flatnonzero(lengths >= capacity)
-        sequence[full] = base + np.arange(len(full))
-        rest = np.flatnonzero(lengths < capacity)
-        for k, members in enumerate(pack(lengths[rest], capacity)):
-            where = rest[members]
-            sequence[where] = base + len(full) + k
-            offset[where] = np.cumsum(lengths[where]) - lengths[where]
+        for k, members in enumerate(pack(lengths, capacity)):
+            sequence[members] = base + k
+            offset[members] = np.cumsum(lengths[members]) - lengths[members]
         return batch.select(columns).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
-    return dealt.groupBy("shard").applyInArrow(place, schema)
+    return dealt.groupBy("shard").applyInArrow(place, full.schema).unionByName(full)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, keep_ids: bool = False, **columns: str) -> DataFrame:
