@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import langid, licenses, mixing, neardup, neighbours, packing, toxicity, warc
+from ledgerloom.llm import langid, licenses, mixing, mixpack, neardup, neighbours, packing, toxicity, warc
 from ledgerloom.llm.components import remove_folder
 from ledgerloom.llm.quality import score_quality
 from ledgerloom.llm.tokens import count_tokens
@@ -86,6 +86,12 @@ def registry() -> Registry:
         docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
         return licenses.scan_license_windows(docs).select("doc_id", "license", "dice", "n_hits")
 
+    @found.add("op11_mixture_packing")
+    def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+        docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+        packed = mixpack.mix_pack(docs, public_tokenizers.path("word_bpe_49k.json"), keep_ids=False)
+        return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source")
+
     @found.add("pipeline", corpus_pipeline.ORACLE_SQL)
     def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
         return corpus_pipeline.run(spark, sf_dir)
