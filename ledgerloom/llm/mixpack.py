@@ -42,6 +42,8 @@ MOST_STARTS = 200_000
 #: Stretches of text whose ids are remembered, in some 50 MB, and the longest of them.
 MEMORY, LONGEST = 300_000, 64
 SLAB_BYTES = 2_000_000
+#: Added to deficits, as a target that is a whole number may come out a little less in floating point.
+ROUNDING = 0.01
 QUEUED = "doc_id long, source string, queue string, start long, length long, doc_tokens long, ids binary, task int, before long"
 
 
@@ -179,7 +181,7 @@ def round_robin(left: np.ndarray, served: np.ndarray, mixture: Mixture, queues:
     for number, begin, end in windows:
         place, stop = max(begin, first), min(end, last)
         room, offset = stop - place, place - begin
-        deficit = mixture.targets(queues, stop) - served
+        deficit = mixture.targets(queues, stop) - served + ROUNDING
         ring = np.roll(np.arange(len(queues)), -at_ring)
         for q in ring[(deficit[ring] >= turn) & (left[ring] > 0)].tolist():
             take = min(room, int(left[q]), int(deficit[q]))

@@ -94,7 +94,7 @@ def plain_windows(sizes, capacity, turn):
     while at < total:
         room = capacity if total - at >= capacity else 1 << ((total - at).bit_length() - 1)
         at += room
-        owed = {n: sizes[n] * at / total - given[n] for n in names}
+        owed = {n: sizes[n] * at / total - given[n] + 0.01 for n in names}
         order, last = [n for n in ring if owed[n] >= turn and left[n]], None
 
         def serve(n, take):
