@@ -39,19 +39,23 @@ PART_TOKENS = 4_000_000
 MOST_SOURCES = 1_000_000
 #: Rows of (task, source) that are sent to the tasks; more are joined by a shuffle.
 MOST_STARTS = 200_000
-#: Stretches of text whose ids are remembered, in some 50 MB, and the longest of them.
-MEMORY, LONGEST = 300_000, 64
+#: Stretches of text whose ids are remembered, twice so many at most, in some 150 MB, and the longest of them.
+MEMORY, LONGEST = 400_000, 64
 SLAB_BYTES = 2_000_000
 #: Added to deficits, as a target that is a whole number may come out a little less in floating point.
 ROUNDING = 0.01
+_ALNUM = np.array([chr(c).isalnum() and c < 128 for c in range(256)])
+_MARK = np.array([c in b".,;:!?" for c in range(256)])
 QUEUED = "doc_id long, source string, queue string, start long, length long, doc_tokens long, ids binary, task int, before long"
 
 
 class StretchIds:
-    """Ids of whole texts, put together from the ids of the stretches between ASCII white space.
+    """Ids of whole texts, put together from the ids of their stretches, of which those met before are remembered.
 
-    A vocabulary whose normaliser and splitter drop white space never looks across it, so a stretch has the same ids in every
-    text; special tokens hold no white space. That is tried once on a sample; another vocabulary is given whole texts.
+    A vocabulary whose normaliser drops white space and case and whose splitter starts anew where a letter or digit is followed by
+    one of .,;:!? has the same ids for what lies between such places in every text. Only ASCII is lower-cased here, and only
+    in texts without marks that combine with a letter (U+0300 to U+036F, whose first byte is CC or CD) and without `<|`, which begins
+    special tokens. That the vocabulary is of this kind is tried once on a sample; another vocabulary is given whole texts.
     """
 
     def __init__(self, path: str) -> None:
@@ -60,9 +64,10 @@ class StretchIds:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.library = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2") if self.library.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        parts = ["Some", "words,", "it's", "5", "é"]
-        self.splits = self._ids([" ".join(parts)])[0] == b"".join(self._ids(parts)) == self._ids(["\n" + "\t \r\n".join(parts) + " \x0b\x0c"])[0]
+        whole, parts = "Some  WORDS,\tit's\r\n5: é. \x0b\x0c?! ok!?", ["some", "words", ",", "it's", "5", ":", "é.", "?!", "ok", "!?"]
+        self.splits = self._ids([whole])[0] == b"".join(self._ids(parts))
         self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -71,20 +76,44 @@ class StretchIds:
         """The ids of each text as bytes of `kind`. Broken UTF-8 is read with replacement characters."""
         if not self.splits:
             return self._ids([t.decode("utf-8", "replace") for t in texts])
+        plain = [b"<|" not in t and b"\xcc" not in t and b"\xcd" not in t for t in texts]
+        slab = b"\n".join([t for t, p in zip(texts, plain, strict=True) if p]).lower()
+        data = np.frombuffer(slab, np.uint8)
+        cuts = np.flatnonzero(_ALNUM[data[:-1]] & _MARK[data[1:]]) + 1
+        slab = np.insert(data, cuts, 32).tobytes()
+        ends = np.cumsum([len(t) + 1 for t, p in zip(texts, plain, strict=True) if p])
+        ends = iter((ends + np.searchsorted(cuts, ends)).tolist())
+        out, at = [], 0
+        for text, p in zip(texts, plain, strict=True):
+            if p:
+                end = next(ends)
+                out.append(self._joined(slab[at:end].split()))
+                at = end
+            else:
+                out.append(self._joined(text.split()))
+        return out
+
+    def _joined(self, stretches: list[bytes]) -> bytes:
+        """Ids of the stretches in a row. When enough are remembered, they become those of the time before, which go
+        unless they are met again."""
         if len(self.known) > MEMORY:
+            self.known, self.before = {}, self.known
+        new = list(set(stretches).difference(self.known))
+        unmet = []
+        for stretch in new:
+            ids = self.before.get(stretch)
+            if ids is None:
+                unmet.append(stretch)
+            else:
+                self.known[stretch] = ids
+        self.known.update(zip(unmet, self._ids([s.decode("utf-8", "replace") for s in unmet]), strict=True))
+        ids = b"".join(map(self.known.__getitem__, stretches))
+        for stretch in unmet:
+            if len(stretch) > LONGEST:
+                del self.known[stretch]
+        if len(self.known) > 2 * MEMORY:  # one text alone brought so many
             self.known = {}
-        out = []
-        for text in texts:
-            stretches = text.split()
-            new = list(set(stretches).difference(self.known))
-            self.known.update(zip(new, self._ids([s.decode("utf-8", "replace") for s in new]), strict=True))
-            out.append(b"".join(map(self.known.__getitem__, stretches)))
-            for stretch in new:
-                if len(stretch) > LONGEST:
-                    del self.known[stretch]
-            if len(self.known) > 2 * MEMORY:
-                self.known = {}
-        return out
+        return ids
 
 
 @functools.cache

@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import langid, licenses, mixing, mixpack, neardup, neighbours, packing, toxicity, warc
+from ledgerloom.llm import divergence, langid, licenses, mixing, mixpack, neardup, neighbours, packing, toxicity, warc
 from ledgerloom.llm.components import remove_folder
 from ledgerloom.llm.quality import score_quality
 from ledgerloom.llm.tokens import count_tokens
@@ -92,6 +92,10 @@ def registry() -> Registry:
         packed = mixpack.mix_pack(docs, public_tokenizers.path("word_bpe_49k.json"), keep_ids=False)
         return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source")
 
+    @found.add("op12_source_divergence", divergence.SQL)
+    def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return divergence.source_divergence(_table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
     @found.add("pipeline", corpus_pipeline.ORACLE_SQL)
     def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
         return corpus_pipeline.run(spark, sf_dir)
