@@ -18,6 +18,7 @@ import functools
 import os
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -70,7 +71,8 @@ class StretchIds:
         self.before: dict[bytes, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        code = "H" if self.kind.itemsize == 2 else "I"
+        return [array(code, e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as bytes of `kind`. Broken UTF-8 is read with replacement characters."""
@@ -83,37 +85,28 @@ class StretchIds:
         slab = np.insert(data, cuts, 32).tobytes()
         ends = np.cumsum([len(t) + 1 for t, p in zip(texts, plain, strict=True) if p])
         ends = iter((ends + np.searchsorted(cuts, ends)).tolist())
-        out, at = [], 0
+        lists, at = [], 0
         for text, p in zip(texts, plain, strict=True):
             if p:
                 end = next(ends)
-                out.append(self._joined(slab[at:end].split()))
-                at = end
-            else:
-                out.append(self._joined(text.split()))
-        return out
-
-    def _joined(self, stretches: list[bytes]) -> bytes:
-        """Ids of the stretches in a row. When enough are remembered, they become those of the time before, which go
-        unless they are met again."""
+                text, at = slab[at:end], end
+            lists.append(text.split())
+        self._meet(set().union(*lists))
+        found = [b"".join(map(self.known.__getitem__, own)) for own in lists]
         if len(self.known) > MEMORY:
-            self.known, self.before = {}, self.known
-        new = list(set(stretches).difference(self.known))
+            self.known, self.before = {}, {s: i for s, i in self.known.items() if len(s) <= LONGEST} if len(self.known) <= 2 * MEMORY else {}
+        return found
+
+    def _meet(self, stretches: set[bytes]) -> None:
+        """Finds ids for all of these. Once enough are remembered, they are those of the time before, which go unless met again."""
         unmet = []
-        for stretch in new:
+        for stretch in stretches.difference(self.known):
             ids = self.before.get(stretch)
             if ids is None:
                 unmet.append(stretch)
             else:
                 self.known[stretch] = ids
         self.known.update(zip(unmet, self._ids([s.decode("utf-8", "replace") for s in unmet]), strict=True))
-        ids = b"".join(map(self.known.__getitem__, stretches))
-        for stretch in unmet:
-            if len(stretch) > LONGEST:
-                del self.known[stretch]
-        if len(self.known) > 2 * MEMORY:  # one text alone brought so many
-            self.known = {}
-        return ids
 
 
 @functools.cache

@@ -369,7 +369,7 @@ cuts AS (SELECT *, unnest(range(1, m)) AS k FROM phrases),
 scored AS (
   SELECT c.lang, c.m, c.phrase, c.a, k, x.f AS l, y.f AS r, ((2000000::HUGEINT * c.a) // (x.f + y.f))::BIGINT AS score
   FROM cuts c JOIN grams x ON x.lang = c.lang AND x.phrase = array_to_string(c.ws[1:k], ' ')
-  JOIN grams y ON y.lang = c.lang AND y.phrase = array_to_string(c.ws[k + 1 : m], ' ')),
+  JOIN grams y ON y.lang = c.lang AND y.phrase = array_to_string(c.ws[k + 1 : c.m], ' ')),
 weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
 inner_places AS (SELECT lang, m, ws, a, unnest(range(1, m)) AS i FROM phrases),
 inside AS (

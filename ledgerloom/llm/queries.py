@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import divergence, langid, licenses, mixing, mixpack, neardup, neighbours, packing, toxicity, warc
+from ledgerloom.llm import divergence, langid, licenses, mixing, mixpack, neardup, neighbours, packing, phrases, toxicity, warc
 from ledgerloom.llm.components import remove_folder
 from ledgerloom.llm.quality import score_quality
 from ledgerloom.llm.tokens import count_tokens
@@ -96,6 +96,10 @@ def registry() -> Registry:
     def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
         return divergence.source_divergence(_table(spark, sf_dir, "documents").select("text", "lang", "source"))
 
+    @found.add("op13_phrase_collocations", phrases.SQL)
+    def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return phrases.collocations(_table(spark, sf_dir, "documents").select("text", "lang"))
+
     @found.add("pipeline", corpus_pipeline.ORACLE_SQL)
     def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
         return corpus_pipeline.run(spark, sf_dir)
