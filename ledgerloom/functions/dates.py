@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -211,21 +213,33 @@ def sentence_around(text: Column, at: Column) -> Column:
     return F.trim(F.when(from_here > 0, F.substring(text, last + 1, from_here - last)).otherwise(rest))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """What the body makes of a value that is worked out once; an expression named twice is worked out twice inside lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def prose_dates(text: Column) -> Column:
-    """All dates of a text as (date, at, matched), at from 1: month first, day first and ISO ones in that order of layouts; each
-    date once, where it stands first (F53)."""
-    name = "|".join(sorted((*(m.lower() for m in MONTH_NAMES), *MONTHS, "sept"), key=len, reverse=True))
-    layouts = [
-        (rf"(?i)\b({name})\.?\s+(\d{{1,2}}),\s*(\d{{4}})\b", lambda m, p: _day(F.regexp_extract(m, p, 3), _month(F.regexp_extract(m, p, 1)), F.regexp_extract(m, p, 2))),
-        (rf"(?i)\b(\d{{1,2}})\s+({name})\.?,?\s+(\d{{4}})\b", lambda m, p: _day(F.regexp_extract(m, p, 3), _month(F.regexp_extract(m, p, 2)), F.regexp_extract(m, p, 1))),
-        (r"\b(\d{4})-(\d{2})-(\d{2})\b", lambda m, p: _day(F.regexp_extract(m, p, 1), F.regexp_extract(m, p, 2), F.regexp_extract(m, p, 3))),
-    ]
-    none = F.array().cast("array<struct<date:date,at:int,matched:string>>")
-    found = none
-    for pattern, make in layouts:
-        every = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
-        found = F.concat(found, F.filter(F.transform(every, lambda m: F.struct(make(m, pattern).alias("date"), F.instr(text, m).alias("at"), m.alias("matched"))), lambda d: d["date"].isNotNull()))
-    return F.aggregate(found, none, lambda seen, d: F.when(F.exists(seen, lambda s: s["date"] == d["date"]), seen).otherwise(F.concat(seen, F.array(d))))
+    """All dates of a text as (date, at, matched) in order of their places, at from 1: 'May 1, 2020', '1 May 2020' and ISO; each date
+    once, where it stands first (F53).
+
+    Each match is set between marks in one pass, with its year, month and day behind it, so its place is that of the match itself.
+    """
+    names = "|".join(f"{n[:3]}(?:{n[3:]})?" if len(n) > 3 else n for n in MONTH_NAMES) + "|Sept"
+    month, day, year = f"({names})", r"(\d{1,2})(?:st|nd|rd|th)?", r"(\d{4})"
+    shapes = (rf"{month}\.?\s+{day},\s*{year}", rf"{day}\s+{month}\.?,?\s+{year}", r"(\d{4})-(\d{2})-(\d{2})")
+    marked = F.regexp_replace(text, r"(?i)(?<!\w)(?:" + "|".join(shapes) + r")(?!\w)", "\x01$0\x02$3$6$7\x02$1$5$8\x02$2$4$9\x01")
+
+    def dated(parts: Column, k: Column) -> Column:
+        before = F.aggregate(F.slice(parts, F.lit(1), k), F.lit(0), lambda n, p: n + F.length(p[0]))
+        number = lambda part: F.when(part[2].rlike("^[0-9]"), part[2]).otherwise(_month(part[2]))
+        return let(F.get(parts, k), lambda part: F.struct(_day(part[1], number(part), part[3]).alias("date"), (before + 1).alias("at"), part[0].alias("matched")))
+
+    def found(parts: Column) -> Column:
+        odd = F.when(F.size(parts) > 1, F.sequence(F.lit(1), F.size(parts) - 2, F.lit(2))).otherwise(F.array().cast("array<int>"))
+        return F.filter(F.transform(odd, lambda k: dated(parts, k)), lambda d: d["date"].isNotNull())
+
+    every = let(F.transform(F.split(marked, "\x01"), lambda p: F.split(p, "\x02")), found)
+    return let(every, lambda all_: F.filter(all_, lambda d, i: ~F.exists(F.slice(all_, F.lit(1), i), lambda s: s["date"] == d["date"])))
 
 
 def stale(as_of: Column, verified: Column) -> Column:

@@ -59,10 +59,14 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
 
 
+def whole_value(value: Column) -> Column:
+    """A pattern of a value as it is, in any case, where no letter or digit adjoins it."""
+    return F.concat(F.lit(r"(?i)(?<![\p{L}\p{N}])\Q"), F.replace(value, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?![\p{L}\p{N}])"))
+
+
 def redact(text: Column, own: Column, mark: str = "[redacted]") -> Column:
-    """A row's own value struck from its text wherever it stands as a word (P20); a null value strikes nothing."""
-    pattern = F.concat(F.lit(r"\b\Q"), own, F.lit(r"\E\b"))
-    return F.coalesce(F.regexp_replace(text, pattern, F.lit(mark)), text)
+    """A row's own value struck from its text, in any case, where it stands as a word (P20)."""
+    return F.when(F.coalesce(F.trim(own), F.lit("")) == "", text).otherwise(F.regexp_replace(text, whole_value(own), F.lit(mark)))
 
 
 def object_head(text: Column, words: int = 4) -> Column:
@@ -93,9 +97,7 @@ def relevance(tokens: list[str], title: Column, section: Column, body: Column, q
     return F.when(hits == 0, 0).otherwise(score).cast("int")
 
 
-# Weights of the relevance score above are those of its rule. Word lists of the rules below stand here.
-STOP_WORDS = tuple("the a an is are do does did can i my me of to in on for and or if it what how when why be am was will with that this".split())
-SENTENCE_PRONOUNS = r"(?i)\b(he|she|they|his|her|their|not|which|that|would|will|has|have|is|are|seeks|filed|submitted)\b"
+# The weights of the relevance score above are those of its rule.
 TRACKING_LINKS = ("unsubscribe", "/subscriber/", "removal", "preferences")
 
 
@@ -121,13 +123,18 @@ def clause_sentence(text: Column, start: Column, end: Column, cap: int = 320) ->
     return norm(F.concat(F.substring(left, cut + 1, F.length(left)), F.substring(text, start, end - start), F.substring(right, F.lit(1), stop)))
 
 
-def clean_occupation(text: Column) -> Column:
-    """An occupation without a trailing visa class or a dangling 'who', cut at a bracket that is not closed."""
-    cut = F.regexp_replace(text, r"(?i)\s+under\s+the\s+(?:employment[-\s]based\s+)?(?:first|second|third)[-\s]*\s*preference.*$|\s+who\s*$", "")
-    opened, closed = F.regexp_count(cut, F.lit(r"\(")), F.regexp_count(cut, F.lit(r"\)"))
-    place = F.length(cut) - F.instr(F.reverse(cut), "(")
-    even = F.when(opened == closed, cut).when((opened > closed) & (place > 0), F.substring(cut, F.lit(1), place)).otherwise(F.translate(cut, "()", ""))
-    return F.regexp_replace(F.regexp_replace(norm(even), r"^[ ,;-]+", ""), r"[ ,;-]+$", "")
+def clean_occupation(text: Column, tails: tuple[str, ...] = ()) -> Column:
+    """An occupation without what follows the first of the tails (patterns), without what a bracket opens but does not close, without
+    brackets that close nothing, and without marks at its ends (F9)."""
+    cut = text
+    for tail in tails:
+        cut = F.regexp_replace(cut, rf"(?is)\s+{tail}.*$", "")
+    for _ in range(3):  # pairs from the inside out, so what is left of brackets has no partner
+        cut = F.regexp_replace(cut, r"\(([^()]*)\)", "\x01$1\x02")
+    opened = F.instr(cut, "(")
+    cut = F.when(opened > 1, F.substring(cut, F.lit(1), opened - 1)).otherwise(cut)
+    whole = F.translate(F.translate(cut, "()", ""), "\x01\x02", "()")
+    return F.regexp_replace(norm(whole), r"^[\s,;-]+|[\s,;-]+$", "")
 
 
 def scan_damage(text: Column) -> Column:
@@ -135,13 +142,13 @@ def scan_damage(text: Column) -> Column:
     return F.coalesce(text.rlike(r"[A-Za-z][01]|[01][A-Za-z]"), F.lit(False))
 
 
-def first_good(text: Column, patterns: list[str], reject: str, generic: str, head: int = 3000, most_words: int = 12) -> Column:
+def first_good(text: Column, patterns: list[str], reject: str, generic: str, head: int = 3000, most_words: int = 12, tails: tuple[str, ...] = ()) -> Column:
     """The first capture of the ordered patterns in the head of a text that passes.
 
     A capture with a rejected word or too many words does not count; a generic one stands only where no other does.
     """
     start = F.substring(text, 1, head)
-    every = F.concat(*[F.transform(F.regexp_extract_all(start, F.lit(p), F.lit(1)), lambda c: clean_occupation(norm(c))) for p in patterns])
+    every = F.concat(*[F.transform(F.regexp_extract_all(start, F.lit(p), F.lit(1)), lambda c: clean_occupation(norm(c), tails)) for p in patterns])
     good = F.filter(every, lambda c: ~c.rlike(reject) & (F.size(F.split(c, " ")) <= most_words))
     own, plain = F.filter(good, lambda c: ~c.rlike(generic)), F.filter(good, lambda c: c.rlike(generic))
     return F.coalesce(F.get(own, F.lit(0)), F.get(plain, F.lit(0)), F.lit(""))
@@ -159,7 +166,7 @@ def docket_parts(docket: Column, known: list[str]) -> Column:
     return F.struct(F.when(office.isin(*known), office).otherwise("").alias("office"), F.coalesce(F.get(parts, F.lit(1)), F.lit("")).alias("kind"))
 
 
-def query_tokens(query: Column, synonyms: dict[str, str], stop: tuple[str, ...] = STOP_WORDS) -> Column:
+def query_tokens(query: Column, synonyms: dict[str, str], stop: tuple[str, ...]) -> Column:
     """Words of a query with their synonyms, each once in order; synonyms of phrases come first."""
     low = F.lower(query)
     phrases = [F.when(F.contains(low, F.lit(k)), F.split(F.lit(v), " ")).otherwise(F.array().cast("array<string>")) for k, v in synonyms.items() if " " in k]
@@ -332,8 +339,8 @@ def redact_names(text: Column, names: Column, keep: tuple[str, ...] = (), mark:
     Names of up to three letters and words that documents of the kind use anyway (`keep`) strike nothing; nor do null lists.
     """
     useful = F.filter(F.array_distinct(names), lambda n: (F.length(n) > 3) & ~F.lower(n).isin(*[k.lower() for k in keep]))
-    longest = F.transform(F.array_sort(F.transform(useful, lambda n: F.struct((-F.length(n)).alias("l"), n.alias("n")))), lambda s: F.concat(F.lit(r"\Q"), s["n"], F.lit(r"\E")))
-    pattern = F.concat(F.lit(r"(?i)\b(?:"), F.array_join(longest, "|"), F.lit(r")\b"))
+    longest = F.transform(F.array_sort(F.transform(useful, lambda n: F.struct((-F.length(n)).alias("l"), n.alias("n")))), lambda s: F.concat(F.lit(r"\Q"), F.replace(s["n"], F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")))
+    pattern = F.concat(F.lit(r"(?i)(?<![\p{L}\p{N}])(?:"), F.array_join(longest, "|"), F.lit(r")(?![\p{L}\p{N}])"))
     return F.coalesce(F.when(F.size(longest) > 0, F.regexp_replace(text, pattern, F.lit(mark))), text)
 
 

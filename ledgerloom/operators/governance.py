@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.text import whole_value
+
 
 def series_audit(rows: DataFrame, key: str, month: str, value: str, legal: Column) -> DataFrame:
     """Violations (rule, key, detail): duplicate months, illegal values and gaps (Q1)."""
@@ -68,9 +70,12 @@ def dispose(findings: DataFrame, protected: list[str], segment: str, drift: list
     return findings.withColumn("category", category).withColumn("eligible", eligible).withColumn("flip", F.col("category") == "verification_transition")
 
 
-def leaks(records: DataFrame, text: str, own: str) -> DataFrame:
-    """Records whose text still holds their own value as a word (Q6); there must be none."""
-    return records.filter(F.col(own).isNotNull() & F.expr(f"regexp_like({text}, concat('\\\\b\\\\Q', {own}, '\\\\E\\\\b'))"))
+def leaks(records: DataFrame, texts: list[str], own: str) -> DataFrame:
+    """Records of which some text still holds their own value, in any case, where no letter or digit adjoins it (Q6); there must be
+    none. The column `leaks` names the texts. A blank value is none."""
+    pattern = whole_value(F.col(own))
+    found = F.array_compact(F.array(*[F.when(F.regexp_like(t, pattern), t) for t in texts]))
+    return records.filter(F.trim(own) != "").withColumn("leaks", found).filter(F.size("leaks") > 0)
 
 
 def population(rows: DataFrame) -> DataFrame:

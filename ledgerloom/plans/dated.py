@@ -119,6 +119,21 @@ def register(reg: Registry) -> None:
         found = o.select("k", text.alias("text")).select("k", "text", F.explode(dates.prose_dates(F.col("text"))).alias("f"))
         return found.select("k", F.col("f.date").cast("string").alias("date"), dates.sentence_around(F.col("text"), F.col("f.at")).alias("sentence"))
 
+    @reg.add("f53_dates_apart", """
+        WITH o AS (SELECT o_orderkey AS k, date_trunc('month', o_orderdate)::DATE AS m, o_orderkey % 9 AS n, o_orderkey % 3 AS a, o_orderkey // 3 % 3 AS b FROM orders), e AS (SELECT k, a, b, m + n::INT AS early, m + n::INT + 10 AS late FROM o),
+        s AS (SELECT k, late, early, CASE a WHEN 0 THEN strftime(late, '%-d %B %Y') WHEN 1 THEN strftime(late, '%b %-d, %Y') ELSE strftime(late, '%Y-%m-%d') END AS lt, CASE b WHEN 0 THEN strftime(early, '%-d %B %Y') WHEN 1 THEN strftime(early, '%B %-d,  %Y') ELSE strftime(early, '%Y-%m-%d') END AS et FROM e)
+        SELECT k, 1 AS n, late::VARCHAR AS date, instr('Due ' || lt, lt)::INT AS at, 'Due ' || lt || ' at noon.' AS sentence FROM s
+        UNION ALL SELECT k, 2, early::VARCHAR, (length('Due ' || lt || ' at noon. Then on ') + 1)::INT, 'Then on ' || et || ' it shut.' FROM s""")
+    def f53_apart(spark, sf):
+        o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.to_date(F.date_trunc("month", "o_orderdate")).alias("m"))
+        early = F.date_add("m", (F.col("k") % 9).cast("int"))
+        late = F.date_add(early, 10)  # 11 May where the other is 1 May: the one is found inside the other
+        as_text = lambda d, n, one, two: F.when(n == 0, F.date_format(d, one)).when(n == 1, F.date_format(d, two)).otherwise(F.date_format(d, "yyyy-MM-dd"))
+        a, b = F.col("k") % 3, F.floor(F.col("k") / 3) % 3
+        text = F.concat(F.lit("Due "), as_text(late, a, "d MMMM yyyy", "MMM d, yyyy"), F.lit(" at noon. Then on "), as_text(early, b, "d MMMM yyyy", "MMMM d,  yyyy"), F.lit(" it shut. Not on 31 February 2020, to Mayor 5, 2020, v1 May 20201; and the first again: "), F.date_format(late, "yyyy-MM-dd"))
+        found = o.select("k", text.alias("text")).select("k", "text", F.posexplode(dates.prose_dates(F.col("text"))).alias("n", "f"))
+        return found.select("k", (F.col("n") + 1).alias("n"), F.col("f.date").cast("string").alias("date"), F.col("f.at").alias("at"), dates.sentence_around(F.col("text"), F.col("f.at")).alias("sentence"))
+
     @reg.add("f54_say_days", """
         WITH n AS (SELECT DISTINCT (o_orderkey % 1500)::INT AS days FROM orders),
         s AS (SELECT days, floor(days / 7 + 0.5)::INT AS w, floor(days / 30 * 10 + 0.5) / 10 AS m, floor(days / 365 * 10 + 0.5) / 10 AS y FROM n)

@@ -6,9 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import dates, lexicons, text
-from ledgerloom.operators import governance, joins, mining
+from ledgerloom.operators import governance, joins, mining, vocabulary
+from ledgerloom.operators.clauses import ClauseWords, clause_place, clauses
 from ledgerloom.plans.registry import Registry
-from ledgerloom.session import table
+from ledgerloom.session import held, table
 
 # Lexicons of the test corpus.
 NOTICES = [("apache", "Apache License"), ("gpl", "General Public License"), ("mit", "MIT License"), ("cc", "CC BY"), ("rights", "rights reserved")]
@@ -27,6 +28,37 @@ def _case(patterns, tail):
     return "CASE " + " ".join(parts) + " END"
 
 
+# The words of clauses in the planted texts.
+WORDS = ClauseWords(
+    adverbs=("hereby", "therefore", "now"), negators=("do not", "decline to", "will not"), doubts=("without merit", "nothing in", "no basis"),
+    partial=("part", "portion", "finding"), full=("petition", "appeal", "decision"), determiners=("the", "this", "an"), standards=("petitions such as",),
+)
+# Three clauses in front of each document, by its number, among sentences that are none; the same in both languages.
+VERBS = ("order", "vacate", "affirm", "modify", "reverse", "remand", "dismiss")
+PLANTED = f"""
+c AS (SELECT doc_id, source, text, unnest([0, 1, 2]) AS j FROM documents),
+p AS (SELECT doc_id, j, length(text) AS own, {list(VERBS)}[(doc_id + 3 * j) % 7 + 1] AS verb, 'object ' || ((doc_id * (j + 1)) % 23) || [' portion', ' appeal', ' matter'][(doc_id + j) % 3 + 1] AS object, (doc_id + j) % 2 = 0 AS caps, (doc_id * 3 + j) % 5 = 0 AS negated,
+  ['partial', 'full', 'unknown'][(doc_id + j) % 3 + 1] AS scope, ['', 'hereby ', 'therefore now '][(doc_id // 2 + j) % 3 + 1] AS adverbs, ['Awe orders all.', 'We, order it.', 'Owe no thing. We.'][(doc_id + 2 * j) % 3 + 1] AS other FROM c),
+said AS (SELECT *, other || ' We ' || adverbs || CASE WHEN negated THEN 'do not ' ELSE '' END || CASE WHEN caps THEN upper(verb) ELSE verb END || ' the ' || object || '. ' AS sentence FROM p),
+f AS (SELECT doc_id, verb, object, caps, negated, scope, (coalesce(sum(length(sentence)) OVER (PARTITION BY doc_id ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(other) + 1)::INT AS begin,
+  (coalesce(sum(length(sentence)) OVER (PARTITION BY doc_id ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(other) + 1)::DOUBLE / (own + sum(length(sentence)) OVER (PARTITION BY doc_id)) AS place FROM said),
+d AS (SELECT doc_id, source, CASE WHEN doc_id % 4 = 0 THEN 'REMAND ORDER' ELSE 'FINAL ORDER' END AS title, CASE WHEN doc_id % 3 = 0 THEN 'denied' ELSE 'granted' END AS petition FROM documents)"""
+
+
+def planted(spark, sf):
+    k = F.col("doc_id")
+    pick = lambda names, n: F.element_at(F.array(*map(F.lit, names)), (n + 1).cast("int"))
+
+    def sentence(j):
+        verb = pick(VERBS, (k + 3 * j) % 7)
+        thing = F.concat(F.lit("object "), (k * (j + 1)) % 23, pick([" portion", " appeal", " matter"], (k + j) % 3))
+        other, adverbs = pick(["Awe orders all.", "We, order it.", "Owe no thing. We."], (k + 2 * j) % 3), pick(["", "hereby ", "therefore now "], (F.floor(k / 2) + j) % 3)
+        return F.concat(other, F.lit(" We "), adverbs, F.when((k * 3 + j) % 5 == 0, "do not ").otherwise(""), F.when((k + j) % 2 == 0, F.upper(verb)).otherwise(verb), F.lit(" the "), thing, F.lit(". "))
+
+    docs = table(spark, sf, "documents")
+    return docs.select("doc_id", "source", F.concat(*[sentence(j) for j in range(3)], "text").alias("text"))
+
+
 def register(reg: Registry) -> None:
     @reg.add("p1_first_match_label", f"SELECT doc_id, {_case(NOTICES, 4000)} AS label FROM documents")
     def p1(spark, sf):
@@ -98,11 +130,20 @@ def register(reg: Registry) -> None:
         sentence = F.concat_ws(" ", F.lit("Holder"), "c_name", F.lit("of"), "c_mktsegment")
         return table(spark, sf, "customer").select("c_custkey", text.redact(sentence, F.col("c_name")).alias("sentence"))
 
-    @reg.add("q6_leak_check", "SELECT c_custkey FROM customer WHERE c_custkey % 100 = 7")
+    @reg.add("q6_leak_check", """
+        SELECT c_custkey, CASE WHEN c_custkey % 10 = 7 THEN 'title' WHEN c_custkey % 10 = 3 THEN 'body,note' END AS leaks FROM customer WHERE c_custkey % 10 IN (3, 7)""")
     def q6(spark, sf):
-        sentence = F.concat_ws(" ", F.lit("Holder"), "c_name", F.lit("of"), "c_mktsegment")
-        kept = F.when(F.col("c_custkey") % 100 == 7, sentence).otherwise(text.redact(sentence, F.col("c_name")))
-        return governance.leaks(table(spark, sf, "customer").select("c_custkey", "c_name", kept.alias("sentence")), "sentence", "c_name").select("c_custkey")
+        c, k = table(spark, sf, "customer"), F.col("c_custkey") % 10
+        # Names that end in signs, hold the end of a quotation, or are the beginning of a longer word.
+        ending = F.element_at(F.array(*map(F.lit, ["", " Jr.", " (II)", r"\E.x", " & Co"])), (F.col("c_custkey") % 5 + 1).cast("int"))
+        own = F.concat("c_name", ending)
+        c = c.select("c_custkey", own.alias("own"), F.concat(F.lit("Holder "), own, F.lit(" of "), "c_mktsegment").alias("said"))
+        clean, longer = text.redact(F.col("said"), F.col("own")), F.concat(F.lit("The "), "own", F.lit("ville case"))
+        records = c.select(
+            "c_custkey", "own", F.when(k == 7, F.upper("said")).otherwise(clean).alias("title"), F.when(k == 3, F.col("said")).when(k == 5, longer).otherwise(clean).alias("body"),
+            F.when(k == 3, F.concat(F.lit("("), "own", F.lit(")"))).when(k == 4, F.lit(None)).otherwise(clean).alias("note"),
+        )
+        return governance.leaks(records, ["title", "body", "note"], "own").select("c_custkey", F.array_join("leaks", ",").alias("leaks"))
 
     @reg.add("q1_series_audit", """
         WITH m AS (SELECT o_custkey, strftime(o_orderdate, '%Y-%m') AS month, o_orderstatus AS v FROM orders),
@@ -142,13 +183,6 @@ def register(reg: Registry) -> None:
         )
         return governance.dispose(f, ["fees."], "cfr", ["as_of"]).select("o_orderkey", "category", "eligible", "flip")
 
-    @reg.add("q7_dual_reader", "SELECT 0::BIGINT AS only_left, 0::BIGINT AS only_right")
-    def q7(spark, sf):
-        p = table(spark, sf, "part").select("p_partkey", "p_name", "p_size")
-        csv = p.select(F.to_csv(F.struct("p_partkey", "p_name", "p_size")).alias("line")).select(F.from_csv("line", "p_partkey bigint, p_name string, p_size int").alias("r")).select("r.*")
-        count = lambda d, name: d.agg(F.count("*").alias(name))
-        return count(p.exceptAll(csv), "only_left").crossJoin(count(csv.exceptAll(p), "only_right"))  # one row each
-
     @reg.add("q8_population", """WITH d AS (SELECT count(c_custkey)::BIGINT AS c_custkey, count_if(trim(c_name) <> '')::BIGINT AS c_name, count(c_acctbal)::BIGINT AS c_acctbal FROM customer) UNPIVOT d ON c_custkey, c_name, c_acctbal INTO NAME "column" VALUE filled""")
     def q8(spark, sf):
         return governance.population(table(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal"))
@@ -246,7 +280,35 @@ def register(reg: Registry) -> None:
     @reg.add("d1_frames")
     def d1(spark, sf):
         said = F.concat_ws(" ", F.lit("In sum we hereby"), F.when(F.col("doc_id") % 2 == 0, "GRANT").otherwise("deny"), F.lit("the petition in part."), "text")
-        return mining.frames(table(spark, sf, "documents").select("doc_id", said.alias("text")))
+        return clauses(table(spark, sf, "documents").select("doc_id", said.alias("text")), WORDS)
+
+    @reg.add("d1_planted_clauses", f"WITH {PLANTED} SELECT doc_id, verb, object, caps, negated, scope, begin FROM f")
+    def d1_planted(spark, sf):
+        return clauses(planted(spark, sf), WORDS).select("doc_id", "verb", "object", "caps", "negated", "scope", "begin")
+
+    @reg.add("wl3_texts_to_rates", f"""
+        WITH {PLANTED},
+        v AS (SELECT doc_id, verb, count(*) AS occ, count_if(caps) AS c FROM f GROUP BY 1, 2),
+        verbs AS (SELECT verb, round(sum(c)::DOUBLE / sum(occ), 4) AS caps_ratio, round(count_if(title = 'REMAND ORDER')::DOUBLE / count(*) / (SELECT avg((title = 'REMAND ORDER')::INT) FROM d), 3) AS remand_lift FROM v JOIN d USING (doc_id) GROUP BY 1 HAVING count(*) >= 20),
+        objects AS (SELECT object, round(count_if(petition = 'denied')::DOUBLE / count(*), 4) AS deny_rate FROM (SELECT DISTINCT doc_id, object FROM f) JOIN d USING (doc_id) GROUP BY 1 HAVING count(*) >= 10),
+        s AS (SELECT f.*, caps_ratio, remand_lift, deny_rate, round(caps_ratio + 0.5::DOUBLE * caps::INT + 0.4::DOUBLE * (place < 0.15 OR place > 0.75)::INT + 0.25::DOUBLE * least(remand_lift / 4, 1.0::DOUBLE), 6) AS score FROM f JOIN verbs USING (verb) LEFT JOIN objects USING (object)),
+        b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, place, verb, object) AS n FROM s),
+        o AS (SELECT doc_id, verb, negated, CASE WHEN verb = 'order' THEN 'operative' WHEN deny_rate >= 0.5 THEN 'reasoning' WHEN deny_rate IS NOT NULL THEN 'operative' ELSE scope END AS scope FROM b WHERE n = 1 AND (caps_ratio > 0 OR remand_lift >= 2)),
+        r AS (SELECT d.source, CASE WHEN title = 'REMAND ORDER' OR (verb = 'remand' AND NOT negated) THEN 'remanded' WHEN verb = 'dismiss' AND NOT negated THEN 'dismissed' WHEN NOT negated AND scope <> 'reasoning' AND verb = 'reverse' THEN 'reversed'
+            WHEN NOT negated AND scope <> 'reasoning' AND verb = 'vacate' THEN 'vacated' WHEN NOT negated AND scope <> 'reasoning' AND verb = 'modify' THEN 'modified' WHEN NOT negated AND scope <> 'reasoning' AND verb = 'order' THEN 'corrective'
+            WHEN verb = 'affirm' OR petition = 'denied' OR negated OR scope = 'reasoning' THEN 'affirmed' ELSE '' END AS outcome FROM d LEFT JOIN o USING (doc_id))
+        SELECT source, outcome, count(*)::BIGINT AS n, round(count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY source), 4) AS share FROM r GROUP BY 1, 2""")
+    def wl3(spark, sf):
+        docs = planted(spark, sf)
+        k = F.col("doc_id")
+        labels = docs.select("doc_id", "source", F.when(k % 4 == 0, "REMAND ORDER").otherwise("FINAL ORDER").alias("title"), F.when(k % 3 == 0, "denied").otherwise("granted").alias("petition"))
+        found = held(clauses(docs, WORDS)).join(docs.select("doc_id", F.length("text").alias("n")), "doc_id").withColumn("place", clause_place(F.col("begin"), F.col("n")))
+        best = vocabulary.operative_clause(found, vocabulary.verbs(found, labels), vocabulary.objects(found, labels))
+        decided = labels.join(best, "doc_id", "left").withColumn("title", F.initcap("title"))
+        none = F.lit("")
+        result = mining.outcome(F.coalesce("verb", none), F.coalesce("scope", none), F.coalesce("negated", F.lit(False)), F.col("title"), F.col("petition"))
+        counts = decided.groupBy("source", result.alias("outcome")).agg(F.count("*").alias("n"))
+        return counts.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("source")), 4))
 
     outcome_inputs = """SELECT o_orderkey, CASE o_orderkey % 8 WHEN 0 THEN 'remand' WHEN 1 THEN 'dismiss' WHEN 2 THEN 'reverse' WHEN 3 THEN 'vacate' WHEN 4 THEN 'modify' WHEN 5 THEN 'order' WHEN 6 THEN 'affirm' ELSE '' END AS v,
       CASE o_orderkey % 3 WHEN 0 THEN 'operative' WHEN 1 THEN 'reasoning' ELSE 'unknown' END AS scope, o_orderkey % 5 = 0 AS neg, CASE o_orderkey % 7 WHEN 0 THEN 'Remand Order' WHEN 1 THEN 'Final Order' ELSE '' END AS title, CASE WHEN o_orderstatus = 'P' THEN 'denied' ELSE '' END AS pfr FROM orders"""

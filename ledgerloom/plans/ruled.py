@@ -79,7 +79,7 @@ def register(reg: Registry) -> None:
     def d3(spark, sf):
         k = F.col("o_orderkey") % 3
         body = F.when(k == 0, "x\nREMAND ORDER\nFINAL ORDER").when(k == 1, "the OPINION AND ORDER of REMAND ORDER").otherwise(F.concat(F.lit("Remand Order "), F.repeat(F.lit("word "), 1200), F.lit(" FINAL ORDER")))
-        return table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), mining.order_title(body).alias("title"))
+        return table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), mining.order_title(body, ("REMAND ORDER", "FINAL ORDER", "OPINION AND ORDER", "ORDER")).alias("title"))
 
     @reg.add("d4_petition_result", """
         SELECT l_orderkey AS doc_id, CASE WHEN arg_min(g, (NOT caps, l_linenumber)) THEN 'granted' ELSE 'denied' END AS petition
@@ -93,12 +93,21 @@ def register(reg: Registry) -> None:
         return mining.petition_result(line.select(F.col("l_orderkey").alias("doc_id"), verb.alias("verb"), (F.col("l_suppkey") % 2 == 0).alias("caps"), F.col("l_linenumber").alias("start")))
 
     @reg.add("d9_prongs_failed", """
-        SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '1' WHEN 1 THEN '23' WHEN 2 THEN '' ELSE '3' END AS prongs, p_partkey % 2 = 1 AS stopped FROM part""")
+        SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN '1' ELSE '' END || CASE WHEN p_partkey // 3 % 3 = 0 THEN '2' ELSE '' END || CASE WHEN p_partkey // 9 % 3 = 0 THEN '3' ELSE '' END AS prongs, p_partkey % 5 = 1 AS stopped FROM part""")
     def d9(spark, sf):
-        k = F.col("p_partkey") % 4
-        said = F.when(k == 0, "The Petitioner has not established the national importance of it.").when(k == 1, "He did not demonstrate that he is well-positioned. They failed to show that on balance it helps.").when(k == 2, "He has not shown it. The national importance is plain.").otherwise("It does not establish, as said before, why we should waive. It has not shown that waiving the requirement helps.")
-        said = F.concat(said, F.when(k % 2 == 1, " We decline to reach the second and third prongs.").otherwise(" We reach the prong."))
-        return table(spark, sf, "part").select("p_partkey", relevance.prongs_failed(said).alias("prongs"), relevance.stopped_early(said).alias("stopped"))
+        k = F.col("p_partkey")
+        # For each prong: found unmet, or only named near a finding about something else, or too far from it.
+        far = F.concat(F.lit(" has not shown, "), F.repeat(F.concat("p_name", F.lit(", ")), 20))
+        parts = [("public weight", "He has not shown the "), ("good  standing", "They FAILED to prove that of the "), ("balance of gains", "It has not  shown, as said, the ")]
+        said = []
+        for n, (name, finding) in enumerate(parts):
+            bit = F.floor(k / 3**n) % 3
+            met = F.concat(F.lit(f"The {name} is plain. He has not shown "), "p_name", F.lit(". "))
+            said.append(F.when(bit == 0, F.concat(F.lit(finding), F.lit(f"{name} of "), "p_name", F.lit(". "))).when(bit == 1, met).otherwise(F.concat(F.lit("It"), far, F.lit(f"the {name}. "))))
+        stop = F.when(k % 5 == 1, F.concat(F.lit("We need not reach "), "p_brand", F.lit(" or the remaining tests."))).when(k % 5 == 2, "We need not reach it. The remaining tests stand.").otherwise("We reach the remaining tests.")
+        prongs = (relevance.Prong(1, ("public weight",), 60), relevance.Prong(2, ("good standing",), 60), relevance.Prong(3, ("balance of gains",), 60))
+        text = F.concat(*said, stop)
+        return table(spark, sf, "part").select("p_partkey", relevance.prongs_failed(text, ("has not shown", "failed to prove"), prongs).alias("prongs"), relevance.stopped_early(text, ("need not reach",), ("remaining tests",)).alias("stopped"))
 
     @reg.add("d18_citations", """
         SELECT p_partkey, '8' AS title, '214.' || p_size AS section, 'h' AS paragraph FROM part UNION ALL SELECT p_partkey, '20', '655.' || (p_partkey % 9 + 1), NULL FROM part""")
@@ -123,19 +132,20 @@ def register(reg: Registry) -> None:
         section = F.concat(F.lit("214."), F.col("p_size") % 10)
         body = F.when(b == 0, F.concat(F.lit("Amend Sec. "), section, F.lit(" by revising paragraphs (h), (k)."))).when(b == 1, F.concat(F.lit("Section "), section, F.lit(" is amended."))).when(b == 2, "Revise Sec. 999.9 paragraph (h).").otherwise("No instruction.")
         cited = spark.createDataFrame([("8", "214.1", "h"), ("8", "214.2", "h"), ("8", "214.3", "c"), ("20", "214.4", "h"), ("8", "214.3", None)], "title string, section string, paragraph string")
-        return relevance.relevance(table(spark, sf, "part").select("p_partkey", title.alias("title"), body.alias("body")), cited, "p_partkey")
+        subjects = relevance.Subjects(("H-1B", "wage level*"), ("fee*", "biometric*"), ("naturalization", "asylum"))
+        return relevance.relevance(table(spark, sf, "part").select("p_partkey", title.alias("title"), body.alias("body")), cited, "p_partkey", subjects)
 
     @reg.add("d20_regions", """
         SELECT p_partkey, false AS in_flag, NULL AS kind, 'q-first' AS anchor, 4 AS line, '2026-09-15' AS date FROM part
         UNION ALL SELECT p_partkey, true, 'is-warn', 'q-first', CASE WHEN p_partkey % 2 = 0 THEN 6 ELSE 5 END, '2026-01-02' FROM part
-        UNION ALL SELECT p_partkey, false, NULL, 'mod-x', CASE WHEN p_partkey % 2 = 0 THEN 8 ELSE 7 END, '2025-03-04' FROM part""")
+        UNION ALL SELECT p_partkey, false, NULL, 'part-x', CASE WHEN p_partkey % 2 = 0 THEN 8 ELSE 7 END, '2025-03-04' FROM part""")
     def d20(spark, sf):
-        html = F.concat(F.lit('<html>\n<script>var d = "2020-01-01";\n</script>\n<h3 id="q-first">When</h3> by September 15, 2026'), F.when(F.col("p_partkey") % 2 == 0, "\n").otherwise(""), F.lit('<p>x</p>\n<div class="faq-flag is-warn" title="x">until 2026-01-02</div> no date\n'), F.lit('\n<section id="mod-x">from 4 March 2025</section>'))
-        found = relevance.regions(table(spark, sf, "part").select("p_partkey", html.alias("html")), "p_partkey", "html")
+        html = F.concat(F.lit('<html>\n<script>var d = "2020-01-01";\n</script>\n<h3 id="q-first" class="x">When</h3> by September 15, 2026'), F.when(F.col("p_partkey") % 2 == 0, "\n").otherwise(""), F.lit('<p>x</p>\n<div class="note-box is-warn" title="x">until 2026-01-02</div> no date\n'), F.lit('\n<section id="part-x">from 4 March 2025</section>'))
+        found = relevance.regions(table(spark, sf, "part").select("p_partkey", html.alias("html")), "p_partkey", "html", "note-box", "is-", ("q-", "part-"))
         return found.withColumn("date", F.col("date").cast("string"))
 
     @reg.add("d21_ruling_severity", """
         SELECT l_orderkey AS k, CASE WHEN bool_or(l_partkey % 10 = 0) THEN 'ACTION' ELSE 'WATCH' END AS severity FROM lineitem GROUP BY 1""")
     def d21(spark, sf):
         said = F.when(F.col("l_partkey") % 10 == 0, "MEMORANDUM and order").otherwise("Notice of appearance in borders")
-        return table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(relevance.entry_severity(F.collect_list(said)).alias("severity"))  # an order's lines
+        return table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(relevance.entry_severity(F.collect_list(said), ("memorandum", "order*")).alias("severity"))  # an order's lines

@@ -28,12 +28,14 @@ def register(reg: Registry) -> None:
         return table(spark, sf, "part").select("p_partkey", text.clause_sentence(whole, start, start + 8).alias("sentence"))
 
     @reg.add("f9_clean_occupation", """
-        SELECT p_partkey, CASE p_partkey % 6 WHEN 5 THEN p_name || ' engineer EB-2' ELSE p_name || ' engineer' END AS occupation FROM part""")
+        SELECT p_partkey, p_name || CASE p_size % 4 WHEN 0 THEN '' WHEN 1 THEN ' (' || p_brand || ')' WHEN 2 THEN ' (' || p_brand || ' (' || p_type || ') x)' ELSE ' ' || p_brand END AS occupation FROM part""")
     def f9(spark, sf):
-        base = F.concat("p_name", F.lit(" engineer"))
-        case = F.when(F.col("p_partkey") % 6 == 0, base).when(F.col("p_partkey") % 6 == 1, F.concat(base, F.lit(" under the employment-based second preference (EB-2")))
-        case = case.when(F.col("p_partkey") % 6 == 2, F.concat(base, F.lit("  who "))).when(F.col("p_partkey") % 6 == 3, F.concat(base, F.lit(" (science"))).when(F.col("p_partkey") % 6 == 4, F.concat(F.lit(", "), base, F.lit(";"))).otherwise(F.concat(base, F.lit(" EB-2)")))
-        return table(spark, sf, "part").select("p_partkey", text.clean_occupation(case).alias("occupation"))
+        p, size, k = table(spark, sf, "part"), F.col("p_size") % 4, F.col("p_partkey")
+        bracket = F.when(size == 1, F.concat(F.lit(" ("), "p_brand", F.lit(")"))).when(size == 2, F.concat(F.lit(" ("), "p_brand", F.lit(" ("), "p_type", F.lit(") x)"))).when(size == 3, F.concat(F.lit(" "), "p_brand")).otherwise("")
+        tail = F.when(k % 5 == 1, " under the  SECOND preference as claimed (x").when(k % 5 == 2, "  who ").when(k % 5 == 3, F.concat(F.lit(" ("), "p_type")).when(k % 5 == 4, " ;, ").otherwise("")
+        lead = F.when(k % 7 == 3, ") ").when(k % 7 == 4, ", - ").otherwise("")
+        worn = F.concat(lead, F.replace("p_name", F.lit(" "), F.lit("  ")), bracket, tail)
+        return p.select("p_partkey", text.clean_occupation(worn, (r"under\s+the\s+\w+\s+preference\b", r"who\b")).alias("occupation"))
 
     @reg.add("f10_scan_damage", """
         SELECT p_partkey, p_partkey % 3 = 0 AS damaged FROM part""")
@@ -42,14 +44,21 @@ def register(reg: Registry) -> None:
         return table(spark, sf, "part").select("p_partkey", text.scan_damage(worn).alias("damaged"))
 
     @reg.add("f11_first_good_capture", """
-        SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_name || ' engineer' WHEN 1 THEN p_name || ' maker' WHEN 2 THEN 'member of the professions' ELSE '' END AS occupation FROM part""")
+        SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN p_name || ' maker' WHEN 1 THEN p_name || ' smith' WHEN 2 THEN 'person of skill' WHEN 3 THEN p_brand || ' clerk' WHEN 4 THEN '' ELSE p_name || ' (' || p_brand || ')' END AS occupation FROM part""")
     def f11(spark, sf):
-        patterns = [r"(?i)The Petitioner,?\s+(?:an?|the)\s+([^,.;]{3,90}?),", r"(?i)seeks to employ the Beneficiary as\s+(?:an?|the)?\s*([^,.;]{3,70})"]
-        kind = F.col("p_partkey") % 4
-        body = F.when(kind == 0, F.concat(F.lit("The Petitioner, a "), "p_name", F.lit(" engineer, seeks.")))
-        body = body.when(kind == 1, F.concat(F.lit("The Petitioner, a person who is here, seeks to employ the Beneficiary as a "), "p_name", F.lit(" maker.")))
-        body = body.when(kind == 2, F.lit("The Petitioner, a member of the professions, asks.")).otherwise(F.concat(F.repeat(F.lit("x"), 3000), F.lit("The Petitioner, a baker, asks.")))
-        return table(spark, sf, "part").select("p_partkey", text.first_good(body, patterns, text.SENTENCE_PRONOUNS, r"(?i)^member of the professions").alias("occupation"))
+        patterns = [r"(?i)\bhired as an? ([^.,;]{3,90}?) (?:at|with)\b", r"(?i)\bthe work of an? ([^.,;]{3,90})"]
+        kind, name, brand = F.col("p_partkey") % 6, F.col("p_name"), F.col("p_brand")
+        many = F.concat_ws(" ", *[F.lit(f"word{n}") for n in range(13)])
+        bodies = [
+            F.concat(F.lit("In 2020 she was hired as a "), name, F.lit(" maker at "), brand, F.lit(". It is the work of a lifetime.")),
+            F.concat(F.lit("Hired as a guest that is early at noon, he does the work of a "), name, F.lit(" smith; "), brand),
+            F.concat(F.lit("Hired as a person of skill with "), brand, F.lit(", "), name),
+            F.concat(F.lit("He was hired as a person of skill at "), name, F.lit(". He does the work of a "), brand, F.lit(" clerk.")),
+            F.concat(F.lit("Hired as a "), many, F.lit(" at noon. "), F.repeat(F.lit("x"), 3000), F.lit(" hired as a "), name, F.lit(" at noon.")),
+            F.concat(F.lit("hired as a "), name, F.lit(" ("), brand, F.lit(") (and more at home")),
+        ]
+        body = F.element_at(F.array(*bodies), (kind + 1).cast("int"))
+        return table(spark, sf, "part").select("p_partkey", text.first_good(body, patterns, r"(?i)\b(that|is)\b", r"(?i)^person of skill").alias("occupation"))
 
     @reg.add("f12_status", """
         SELECT o_orderkey AS k, 'Certified-' || o_orderpriority AS status FROM orders""")
@@ -73,7 +82,7 @@ def register(reg: Registry) -> None:
         FROM (SELECT f.p_partkey, CASE WHEN contains(p_name, 'small ring') THEN ['ringlet'] ELSE [] END || own AS a FROM f JOIN part USING (p_partkey)) f""")
     def f19(spark, sf):
         query = F.concat(F.lit("What is the "), F.initcap("p_name"), F.lit("?"))
-        return table(spark, sf, "part").select("p_partkey", F.array_join(text.query_tokens(query, SYNONYMS), " ").alias("tokens"))
+        return table(spark, sf, "part").select("p_partkey", F.array_join(text.query_tokens(query, SYNONYMS, ("what", "is", "the")), " ").alias("tokens"))
 
     @reg.add("f23_labelled_cell", """
         SELECT o_orderkey AS k, 'A ' || o_orderpriority AS first, CASE WHEN o_orderkey % 2 = 0 THEN 'late: yes' END AS second FROM orders""")

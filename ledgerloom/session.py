@@ -28,15 +28,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def held(df: DataFrame) -> DataFrame:
-    """The rows as they are now, in the checkpoint folder that the session names in spark.checkpoint.dir.
+def shared_place(spark: SparkSession) -> str:
+    """The checkpoint folder that the session names in spark.checkpoint.dir.
 
     A local session without one gets a temporary folder; a cluster without one is an error, as its executors share none.
     """
-    spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None and not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def held(df: DataFrame) -> DataFrame:
+    """The rows as they are now, in the shared folder."""
+    shared_place(df.sparkSession)
     return df.checkpoint()

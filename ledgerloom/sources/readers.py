@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import dates, text
+from ledgerloom.sources.markup import html_tables, page_events  # noqa: F401
 
 # Namespace of spreadsheet parts, as the format fixes it.
 _SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -76,16 +77,6 @@ def listing_rows(pages: DataFrame, key: str, html: str) -> DataFrame:
     return rows.select(key, href.alias("href"), title.alias("title"), dated.alias("date")).filter((F.col("href") != "") & F.col("date").isNotNull())
 
 
-def page_events(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """key, at, kind, text: the text and the tables of a page in the order they stand (S16); a table's text is its rows' cells."""
-    body = F.regexp_replace(html, r"(?s)<!--.*?-->|<(script|style)\b.*?</\1>", " ")
-    parts = F.split(F.regexp_replace(body, r"(?is)(<table\b.*?</table>)", "\x01$1\x01"), "\x01")
-    events = pages.select(key, F.posexplode(parts).alias("at", "part"))
-    is_table = F.col("part").rlike(r"(?i)^<table\b")
-    shown = text.strip_html(F.col("part"))
-    return events.select(key, "at", F.when(is_table, "table").otherwise("text").alias("kind"), shown.alias("text")).filter(F.col("text") != "")
-
-
 def tree_matches(spark: SparkSession, folder: str, endings: list[str], skip: list[str], patterns: dict[str, str]) -> DataFrame:
     """path, pattern, line, text of each line of a tree's files that a named pattern finds (S27); folders in `skip` are left out."""
     read = spark.read.text(folder, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), "value")
@@ -154,16 +145,6 @@ def ordinal_year(year: Column) -> Column:
     return F.when(number.between(1, 22), number)
 
 
-def html_tables(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """key, table, caption, row, cells: all tables of each page, headers as row 0 (S14, S15); nested tables are read as their text."""
-    body = F.regexp_replace(html, r"(?s)<!--.*?-->|<(script|style)[^>]*>.*?</(script|style)>", " ")
-    tables = F.regexp_extract_all(body, F.lit(r"(?is)<table[^>]*>(.*?)</table>"), F.lit(1))
-    caption = text.strip_html(F.regexp_extract("t", r"(?is)<caption[^>]*>(.*?)</caption>", 1))
-    rows = pages.select(key, F.posexplode(tables).alias("table", "t")).select(key, "table", caption.alias("caption"), F.posexplode(F.regexp_extract_all("t", F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1))).alias("row", "r"))
-    clean = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"(?i)<br ?/?>|</p>|</li>|</div>", "\n"), r"<[^>]*>", ""), r"[ \t]+", " "))
-    return rows.select(key, "table", "caption", "row", F.transform(F.regexp_extract_all("r", F.lit(r"(?is)<t[hd][^>]*>(.*?)</t[hd]>"), F.lit(1)), clean).alias("cells"))
-
-
 def table_by_header(tables: DataFrame, key: str, needed: list[str], caption: str = "") -> DataFrame:
     """Body rows, as maps by header name, of each page's first table whose header has all the names and whose caption starts
     so, in any case (P26, P15)."""
@@ -182,7 +163,7 @@ def _cells(blob: bytes) -> Iterator[tuple[str, int, list[str]]]:
         names = set(book.namelist())
         shared = []
         if "xl/sharedStrings.xml" in names:
-            shared = ["".join(t.text or "" for t in si.iter(f"{_SHEET}t")) for si in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{_SHEET}si")]
+            shared = ["".join(t.text or "" for part in si if part.tag != f"{_SHEET}rPh" for t in part.iter(f"{_SHEET}t")) for si in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{_SHEET}si")]
         targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
         for sheet in ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{_SHEET}sheet"):
             part = targets[sheet.get(_RELATION)].lstrip("/")
@@ -198,7 +179,7 @@ def _cells(blob: bytes) -> Iterator[tuple[str, int, list[str]]]:
                     raw = value.text or "" if value is not None else "".join(t.text or "" for t in cell.iter(f"{_SHEET}t"))
                     if cell.get("t") == "s":
                         raw = shared[int(raw)]
-                    elif re.fullmatch(r"-?\d+\.0+", raw):
+                    elif cell.get("t", "n") == "n" and re.fullmatch(r"-?\d+\.0+", raw):
                         raw = raw.split(".")[0]
                     cells.append(raw)
                 yield sheet.get("name"), int(row.get("r") or 0), cells

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.sources.store import Audit, Store
+
 
 def write_csv(rows: DataFrame, path: str, fields: list[str]) -> None:
     """The listed columns only, with a header (K1)."""
@@ -103,24 +103,22 @@ def _replace(spark: SparkSession, moves: dict[str, str]) -> None:
         files.delete(path_of(old), True)
 
 
-def write_gated(rows: DataFrame, path: str, audit: Callable[[DataFrame], DataFrame], dry_run: bool = True) -> list:
-    """Writes only if the audit of the merged result finds nothing, and never in a dry run (K7); returns some violations."""
-    found = audit(rows).limit(20).collect()
-    if not found and not dry_run:
-        rows.write.mode("overwrite").parquet(path)
-    return found
+def write_gated(rows: DataFrame, folder: str, audit: Audit, dry_run: bool = True, table: str = "rows") -> list:
+    """Commits the merged rows to the store in a folder only if their audit finds nothing, and never in a dry run (K7).
+
+    Returns some violations. The rows may be made from the store's own; nothing of it is touched until the new state stands.
+    """
+    outcome = Store(rows.sparkSession, folder).commit({table: rows}, {table: audit}, dry_run=dry_run)
+    return outcome.violations.get(table, [])
 
 
-def write_tables(tables: dict[str, DataFrame], folder: str, valid: dict[str, Column]) -> None:
-    """Several tables or none (K8): each is written under a staging name and read back, then all are moved into place.
+def write_tables(tables: dict[str, DataFrame], folder: str, valid: dict[str, Column]) -> int:
+    """Several tables of a store or none (K8): all are written and read back, and then stand in one step. Returns the version.
 
-    What stood there is restored if a move fails; a run that dies between two moves leaves it under a name that ends in
-    `_replaced`.
+    A row for which the named condition does not hold is an error, and nothing changes.
     """
-    spark = next(iter(tables.values())).sparkSession
-    staged = {name: f"{folder}/_staged_{name}" for name in tables}
-    for name, rows in tables.items():
-        rows.write.mode("overwrite").parquet(staged[name])
-        if name in valid and spark.read.parquet(staged[name]).filter(~F.coalesce(valid[name], F.lit(False))).limit(1).count():
-            raise ValueError(f"{name} is not valid; nothing was replaced")
-    _replace(spark, {staged[name]: f"{folder}/{name}" for name in tables})
+    wrong = {name: (lambda rows, test=test: rows.filter(~F.coalesce(test, F.lit(False)))) for name, test in valid.items()}
+    outcome = Store(next(iter(tables.values())).sparkSession, folder).commit(tables, wrong)
+    if outcome.violations:
+        raise ValueError(f"{', '.join(sorted(outcome.violations))} not valid; nothing was replaced")
+    return outcome.version

@@ -5,6 +5,12 @@ import random
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import mining, series, vocabulary
+from ledgerloom.operators.clauses import ClauseWords, clauses
+
+WORDS = ClauseWords(
+    adverbs=("hereby", "also"), negators=("do not", "decline to"), doubts=("without merit", "nothing in", "no basis"), partial=("finding",),
+    full=("petition", "appeal"), determiners=("the", "an"), standards=("petitions such as",),
+)
 
 
 def test_capped_top_skips_without_using_quota(spark):
@@ -47,7 +53,7 @@ def test_frames_of_hand_made_clauses(spark):
         (6, "We grant petitions such as this one only when new evidence is shown."),
         (7, "There is nothing in the record, so we decline to vacate. And we order the agency's award"),
     ]
-    rows = {(r.doc_id, r.verb): r for r in mining.frames(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    rows = {(r.doc_id, r.verb): r for r in clauses(spark.createDataFrame(docs, "doc_id long, text string"), WORDS).collect()}
     assert set(rows) == {(1, "grant"), (2, "affirm"), (7, "order")}  # the standard's own wording and a verb without object say nothing
     one, two, seven = rows[1, "grant"], rows[2, "affirm"], rows[7, "order"]
     assert (one.caps, one.negated, one.scope, one.object) == (True, False, "full", "petition for review and")
@@ -59,7 +65,7 @@ def test_frames_of_hand_made_clauses(spark):
 
 def test_a_negative_left_context_negates(spark):
     docs = [(1, "Finding the claim without merit, we deny the appeal."), (2, "It is without merit. Now we deny the appeal.")]
-    got = {r.doc_id: r.negated for r in mining.frames(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    got = {r.doc_id: r.negated for r in clauses(spark.createDataFrame(docs, "doc_id long, text string"), WORDS).collect()}
     assert got == {1: True, 2: False}
 
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.sources import readers, sinks
+from ledgerloom.sources.store import Store
 
 
 def test_text_csv_and_json(spark, tmp_path):
@@ -90,18 +91,20 @@ def test_gated_and_joint_sinks(spark, tmp_path):
     rows = spark.range(3)
     bad = lambda d: d.filter("id = 2")
     path = str(tmp_path / "g")
-    assert len(sinks.write_gated(rows, path, bad, dry_run=False)) == 1 and not (tmp_path / "g").exists()
-    assert sinks.write_gated(rows.filter("id < 2"), path, bad) == [] and not (tmp_path / "g").exists()
-    assert sinks.write_gated(rows.filter("id < 2"), path, bad, dry_run=False) == [] and spark.read.parquet(path).count() == 2
+    assert len(sinks.write_gated(rows, path, bad, dry_run=False)) == 1 and Store(spark, path).state().version == 0
+    assert sinks.write_gated(rows.filter("id < 2"), path, bad) == [] and Store(spark, path).state().version == 0
+    assert sinks.write_gated(rows.filter("id < 2"), path, bad, dry_run=False) == [] and Store(spark, path).read("rows").count() == 2
     both = {"a": rows, "b": rows}
     sinks.write_tables(both, str(tmp_path / "j"), {"a": F.col("id") >= 0})
     with pytest.raises(ValueError):
         sinks.write_tables({"a": rows.limit(1), "b": rows}, str(tmp_path / "j"), {"b": F.col("id") > 0})
-    assert spark.read.parquet(str(tmp_path / "j/a")).count() == 3
+    assert Store(spark, str(tmp_path / "j")).read("a").count() == 3
     # A move that fails brings back what stood there.
+    for name in ("a", "b"):
+        rows.write.parquet(str(tmp_path / "m" / name))
     with pytest.raises(Exception):
-        sinks._replace(spark, {str(tmp_path / "j/b"): str(tmp_path / "j/a"), str(tmp_path / "j/none"): str(tmp_path / "j/c")})
-    assert spark.read.parquet(str(tmp_path / "j/a")).count() == 3
+        sinks._replace(spark, {str(tmp_path / "m/b"): str(tmp_path / "m/a"), str(tmp_path / "m/none"): str(tmp_path / "m/c")})
+    assert spark.read.parquet(str(tmp_path / "m/a")).count() == 3
 
 
 def test_atom_listings_events_trees_and_fallbacks(spark, tmp_path):
