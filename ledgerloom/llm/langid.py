@@ -54,10 +54,18 @@ def _vectors(codes: np.ndarray) -> np.ndarray:
 
 
 def _trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row and packed code of each trigram with a letter in its middle; texts and runs of other signs end in one space."""
+    """Row and packed code of each trigram with a letter in its middle; texts and runs of other signs end in one space.
+
+    Broken UTF-8 is read with replacement characters, which are no letters.
+    """
+    try:
+        read = data.tobytes().decode("utf-8")
+    except UnicodeDecodeError:
+        whole = [data[a:b].tobytes().decode("utf-8", "replace").encode() for a, b in zip(offsets[:-1], offsets[1:])]
+        read, data, offsets = b"".join(whole).decode(), np.frombuffer(b"".join(whole), np.uint8), np.cumsum([0, *map(len, whole)])
     starts = np.flatnonzero((data & 0xC0) != 0x80)
     rows = np.searchsorted(offsets, starts, side="right") - 1
-    text = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+    text = np.frombuffer(read.encode("utf-32-le"), np.uint32)
     letters = _letters()[text]
     # A space before and after each text, and no two spaces in a row.
     n = len(offsets) - 1

@@ -15,11 +15,13 @@ piece's sequence and offset are its place in the line.
 from __future__ import annotations
 
 import functools
+import json
 import os
 import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pandas as pd
@@ -29,6 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.components import remove_folder, shared_folder
+from ledgerloom.llm.tokens import MergeTransducer
 
 END_OF_TEXT = 2
 CAPACITY = 4096
@@ -50,6 +53,54 @@ _MARK = np.array([c in b".,;:!?" for c in range(256)])
 QUEUED = "doc_id long, source string, queue string, start long, length long, doc_tokens long, ids binary, task int, before long"
 
 
+class WordEndTransducer(MergeTransducer):
+    """The merge rules of a vocabulary that marks the ends of words, for words of the letters a to z.
+
+    A letter that ends its word is another symbol, here its byte with the high bit set, so the rules are those of plain bytes.
+    """
+
+    def __init__(self, path: str) -> None:
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
+        mark = model["end_of_word_suffix"]
+
+        def raw(token: str) -> bytes | None:
+            core, ends = token.removesuffix(mark), token.endswith(mark)
+            if not (core.isascii() and core.isalpha() and core.islower()):
+                return None
+            return core[:-1].encode() + bytes([ord(core[-1]) | ends << 7])
+
+        self.token_of = {r: i for t, i in model["vocab"].items() if (r := raw(t))}
+        self.bytes_of = {i: t for t, i in self.token_of.items()}
+        pairs = [(raw(a), raw(b)) for a, b in (m if isinstance(m, list) else m.split(" ") for m in model["merges"])]
+        self.merge_rank = {(self.token_of[a], self.token_of[b]): (rank, self.token_of[a + b]) for rank, (a, b) in enumerate(pairs) if a and b and a + b in self.token_of}
+        self.prefixes = {t[:k] for t in self.token_of for k in range(1, len(t) + 1)}
+        self.length = np.zeros(max(self.bytes_of) + 1, np.int32)
+        for i, t in self.bytes_of.items():
+            self.length[i] = len(t)
+        self.split = {}
+        for (left, right), (rank, token) in self.merge_rank.items():
+            self.split.setdefault(token, (rank, left, right))
+        self.fits, self.whole = {}, {}
+        self._reset()
+
+    def words(self, words: list[bytes]) -> tuple[np.ndarray, list[int]]:
+        """Ids of all words in a row, and where each word's begin and the last ones end."""
+        data = np.frombuffer(bytearray(b"".join(words)), np.uint8)
+        ends = np.cumsum([len(w) for w in words])
+        starts = np.concatenate([[0], ends[:-1]])
+        data[ends - 1] |= 128
+        _, last = self.run(data, starts, ends, True)
+        ids, floor, pos = np.full(len(data), -1, np.int64), starts, ends - 1  # a token stands at its last byte
+        while pos.size:
+            ids[pos] = last[pos]
+            pos = pos - self.length[last[pos]]
+            going = pos >= floor
+            pos, floor = pos[going], floor[going]
+        where = np.flatnonzero(ids >= 0)
+        return ids[where], np.searchsorted(where, np.concatenate([[0], ends])).tolist()
+
+
 class StretchIds:
     """Ids of whole texts, put together from the ids of their stretches, of which those met before are remembered.
 
@@ -69,6 +120,7 @@ class StretchIds:
         self.splits = self._ids([whole])[0] == b"".join(self._ids(parts))
         self.known: dict[bytes, bytes] = {}
         self.before: dict[bytes, bytes] = {}
+        self.merges = WordEndTransducer(path) if self.splits else None
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         code = "H" if self.kind.itemsize == 2 else "I"
@@ -91,22 +143,36 @@ class StretchIds:
                 end = next(ends)
                 text, at = slab[at:end], end
             lists.append(text.split())
-        self._meet(set().union(*lists))
-        found = [b"".join(map(self.known.__getitem__, own)) for own in lists]
+        stretches = list(chain.from_iterable(lists))
+        ids = list(map(self.known.get, stretches))
+        gaps = [k for k, i in enumerate(ids) if i is None]
+        if gaps:
+            self._meet({stretches[k] for k in gaps})
+            for k in gaps:
+                ids[k] = self.known[stretches[k]]
+        bounds = [0, *accumulate(map(len, lists))]
+        found = [b"".join(ids[a:b]) for a, b in pairwise(bounds)]
         if len(self.known) > MEMORY:
             self.known, self.before = {}, {s: i for s, i in self.known.items() if len(s) <= LONGEST} if len(self.known) <= 2 * MEMORY else {}
         return found
 
     def _meet(self, stretches: set[bytes]) -> None:
         """Finds ids for all of these. Once enough are remembered, they are those of the time before, which go unless met again."""
-        unmet = []
-        for stretch in stretches.difference(self.known):
+        unmet, words = [], []
+        for stretch in stretches:
             ids = self.before.get(stretch)
-            if ids is None:
-                unmet.append(stretch)
-            else:
+            if ids is not None:
                 self.known[stretch] = ids
+            elif len(stretch) <= LONGEST and stretch.isalpha() and stretch.islower():  # of bytes: a-z alone
+                words.append(stretch)
+            else:
+                unmet.append(stretch)
         self.known.update(zip(unmet, self._ids([s.decode("utf-8", "replace") for s in unmet]), strict=True))
+        if words:
+            ids, bounds = self.merges.words(words)
+            held = ids.astype(self.kind).tobytes()
+            size = self.kind.itemsize
+            self.known.update((w, held[size * a : size * b]) for w, (a, b) in zip(words, pairwise(bounds), strict=True))
 
 
 @functools.cache

@@ -43,7 +43,14 @@ def _distance(cosine: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2 - 2 * cosine))
 
 
+def _scaled(vectors: np.ndarray) -> np.ndarray:
+    """Each vector times the power of two that brings its largest component near one: squares then neither overflow nor vanish, and
+    as only exponents change, cosines are those of the vectors as they were."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, initial=0))[1][:, None])
+
+
 def _unit(vectors: np.ndarray) -> np.ndarray:
+    vectors = _scaled(vectors)
     return vectors / np.sqrt((vectors * vectors).sum(1))[:, None]
 
 
@@ -77,6 +84,7 @@ class Tree:
     """A shard in tree order; `ids[cut[i]:cut[i + 1]]` are the ids of row i, each as often as it counts."""
 
     def __init__(self, vectors: np.ndarray, split: np.ndarray, middle: np.ndarray, ids: np.ndarray, cut: np.ndarray) -> None:
+        vectors = _scaled(vectors)
         self.vectors, self.split, self.middle, self.ids, self.cut = vectors, split, middle, ids, cut
         self.lengths = np.sqrt((vectors * vectors).sum(1))
         self.unit = vectors / self.lengths[:, None]
@@ -89,6 +97,7 @@ class Search:
     """
 
     def __init__(self, tree: Tree, ids: np.ndarray, queries: np.ndarray, k: int, relaxation: float, floor: np.ndarray | None = None) -> None:
+        queries = _scaled(queries)
         self.tree, self.own, self.queries, self.k, self.relaxation = tree, ids, queries, k, relaxation
         self.lengths = np.sqrt((queries * queries).sum(1))
         self.unit = queries / self.lengths[:, None]

@@ -35,6 +35,8 @@ MOST_HELD = 400_000
 SENT_WORDS, SENT_BYTES = 500_000, 32_000_000
 #: Words of a block of texts, and of a partition of counted grams.
 BLOCK_WORDS, PART_WORDS = 4_000_000, 3_000_000
+#: Parts of a language whose best phrases are found side by side.
+TOP_PARTS = 64
 #: Fewest frequent words to a partition when they are numbered.
 RANKED = 100_000
 # A-Z in lower case, ends of pieces as line feeds, tabs as spaces, all else as it is.
@@ -339,8 +341,11 @@ class PhraseGraph:
         whole = scored.filter(F.col("longer").isNull() | (F.lit(100) * F.col("longer").cast("decimal(20,0)") < F.lit(share) * F.col("a").cast("decimal(20,0)")))
         rows = whole.select(F.struct("k1", "k2").alias("key"), F.array(*[_word(k) for k in range(1, 5)]).alias("ids"), "a", "l", "r", "score").checkpoint()
         named = _texts(self.words, rows).join(rows.drop("ids"), "key").join(self.sizes, "lang")
-        order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-        ranked = named.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+        # First the best of each of some parts of a language, then the best of those.
+        order = lambda *keys: Window.partitionBy("lang", *keys).orderBy(F.desc("score"), F.desc("a"), "phrase")
+        parts = named.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(TOP_PARTS)))
+        best = parts.withColumn("rank", F.row_number().over(order("part"))).filter(F.col("rank") <= top)
+        ranked = best.withColumn("rank", F.row_number().over(order())).filter(F.col("rank") <= top)
         return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 

@@ -66,6 +66,8 @@ class Trie:
                 node = self.next[node][c] if c else node
                 self.below[node] = max(self.below[node], limit)
         self.most = max(self.limit, default=0)
+        #: Characters of a word that decide: a term is no longer with its edits, and a word of one more is too long for it.
+        self.reach = max((len(t.rstrip("*")) + e for t, e in zip(terms, self.limit)), default=0) + 1
         self.letters = [int(np.bitwise_or.reduce(_bits()[list(t.rstrip("*").encode())], initial=0)) for t in terms]
 
     def possible(self, letters: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -183,7 +185,7 @@ class Scanner:
             key, k = int(keys[i]), first[i]
             code = self.memory.get(key)
             if code is None:
-                found = self.trie.match(low[starts[k] : ends[k]].tobytes().decode("utf-8", "replace"))
+                found = self.trie.match(low[starts[k] : min(ends[k], starts[k] + 4 * self.trie.reach)].tobytes().decode("utf-8", "replace"))
                 code = self.memory[key] = -1 if found is None else found[0] * 4 + found[1]
             codes[i] = code
         code = codes[which]

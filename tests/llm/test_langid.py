@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerloom.llm import langid
 from ledgerloom.llm.langid import DIMENSIONS, _letter_vector, fit_profiles, held_out, predict_language
 
 PARTS = {"aa": ["tion", "the", "ing", "wh"], "bb": ["ßen", "sch", "ü", "keit"], "cc": ["eau", "é", "ois", "que"]}
@@ -77,3 +78,13 @@ def test_blocks_of_trigrams_give_the_same_answers(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = {r.doc_id: (r.lang_pred, r.score) for r in predict_language(df, fit_profiles(df)).collect()}
     assert len(got) == 33 and got[901] == got[902] == ("und", 0.0)
+
+
+def test_broken_bytes_are_no_letters():
+    broken, mended = [b"caf\xff\xc3 latte", b"\xe2\x82", b"plain"], ["caf�� latte".encode(), "�".encode(), b"plain"]
+
+    def read(texts):
+        rows, codes = langid._trigrams(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+        return rows.tolist(), codes.tolist()
+
+    assert read(broken) == read(mended)

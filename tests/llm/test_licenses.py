@@ -70,3 +70,11 @@ def test_clause_texts_are_told_apart(spark):
     rows = [(i, "Copyright (c) 2020 Acme\n\n" + TEMPLATES[n].replace(". ", ".\n * ")) for i, n in enumerate(names)]
     got = {r.doc_id: r.license for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [got[i] for i in range(len(names))] == names
+
+
+def test_every_template_is_named_as_itself(spark):
+    docs = spark.createDataFrame([(name, text) for name, text in TEMPLATES.items()], "name string, text string")
+    got = {r.name: (r.license, r.dice) for r in scan_licenses(docs).collect()}
+    assert got == {name: (name, 1.0) for name in TEMPLATES}
+    notice = "Copyright (c) 2021, A. Holder\n\n" + TEMPLATES["ISC"].replace("copies. THE", "copies.\n\nTHE")
+    assert scan_licenses(spark.createDataFrame([("n", notice)], "name string, text string")).first().license == "ISC"

@@ -155,6 +155,15 @@ def test_stretches_have_the_ids_of_the_library():
     assert machine.encode([b"ab\xff cd"]) == machine.encode(["ab� cd".encode()])
 
 
+def test_words_of_letters_have_the_ids_of_the_library():
+    rng, library = random.Random(4), Tokenizer.from_file(PATH)
+    machine = StretchIds(PATH).merges
+    syllables = ["th", "er", "ing", "a", "qu", "xz", "tion", "o", "ss", "berg", "aaa", "zq"]
+    words = ["".join(rng.choice(syllables) for _ in range(rng.randint(1, 9))) for _ in range(3000)] + list("abcxyz") + ["a" * 64, "aaaa", "hello", "internationalization"]
+    ids, bounds = machine.words([w.encode() for w in words])
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [e.ids for e in library.encode_batch(words, add_special_tokens=False)]
+
+
 def test_whole_texts_of_a_vocabulary_that_keeps_white_space(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     rows = [(i, "some words\n\n of a text " * i, "a") for i in range(40)]

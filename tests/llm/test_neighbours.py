@@ -74,3 +74,17 @@ def test_few_candidates_ties_and_empty(spark):
     got = nearest_neighbours(df, df.filter("vec_id = 0")).collect()
     assert sorted((r.rank, r.vec_id, r.score) for r in got) == [(1, 2, 1.0), (2, 2, 1.0), (3, 3, 1.0)]
     assert nearest_neighbours(df.limit(0), df).count() == 0 and nearest_neighbours(df, df.limit(0)).count() == 0
+
+
+def test_lengths_whose_squares_overflow_or_vanish(spark):
+    rng = np.random.default_rng(8)
+    plain = rng.normal(size=(60, 5))
+    scales = [1e200, 1e-200, 1.0, 1e300, 3e-310]
+    rows = [(k, (v * scales[k % 5]).tolist()) for k, v in enumerate(plain)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = nearest_neighbours(vectors, vectors.filter("vec_id % 20 = 0")).collect()
+    assert len(got) == 15
+    unit = plain / np.sqrt((plain * plain).sum(1))[:, None]
+    for q in (0, 20, 40):
+        best = [k for k in np.argsort(-(unit @ unit[q]), kind="stable").tolist() if k != q][:5]
+        assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == best

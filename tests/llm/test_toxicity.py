@@ -1,5 +1,6 @@
 import random
 import re
+import time
 from functools import cache
 
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from ledgerloom.llm.toxicity import ADDRESS, REPORTING, WINDOW, ToxicityModel, Trie, _letter_sets, choose_terms, edits_allowed, fit_toxicity, score_toxicity, toxic_spans
+from ledgerloom.llm.toxicity import ADDRESS, REPORTING, WINDOW, Scanner, ToxicityModel, Trie, _letter_sets, choose_terms, edits_allowed, fit_toxicity, score_toxicity, toxic_spans
 
 
 @cache
@@ -143,3 +144,15 @@ def test_scores_equal_a_plain_version(spark):
     for r in got:
         assert r.toxicity == pytest.approx(1 / (1 + np.exp(-(_plain_features(r.text, terms) @ weights + bias)))), r.doc_id
     assert len(got) == len(rows)
+
+
+def test_a_very_long_word_takes_no_longer_than_its_beginning():
+    trie = Trie(["abcde*", "longestterm", "xyz"])
+    began = time.perf_counter()
+    data = np.frombuffer(b"abcde" + b"f" * 10_000_000 + b" longestterms " + b"q" * 10_000_000, np.uint8)
+    hits = [(h[1], h[3]) for h in Scanner(trie).hits(data, np.array([0, len(data)]))]
+    assert hits == [(0, 0), (10_000_006, 1)] and time.perf_counter() - began < 6
+    rng = random.Random(3)
+    for _ in range(300):  # what lies beyond the reach changes nothing
+        word = "".join(rng.choice("abcdex") for _ in range(rng.randint(trie.reach, 40)))
+        assert trie.match(word) == trie.match(word[: trie.reach]) == trie.match(word + "x" * 50)
