@@ -21,7 +21,7 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import accumulate, chain, pairwise
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.components import remove_folder, shared_folder
-from ledgerloom.llm.tokens import MergeTransducer
+from ledgerloom.llm.tokens import LONG_BYTES, MergeTransducer
 
 END_OF_TEXT = 2
 CAPACITY = 4096
@@ -43,37 +43,40 @@ PART_TOKENS = 4_000_000
 MOST_SOURCES = 1_000_000
 #: Rows of (task, source) that are sent to the tasks; more are joined by a shuffle.
 MOST_STARTS = 200_000
-#: Stretches of text whose ids are remembered, twice so many at most, in some 150 MB, and the longest of them.
-MEMORY, LONGEST = 400_000, 64
+#: Stretches of text whose ids are remembered, twice so many at most, in some 100 MB, and the longest of them.
+MEMORY, LONGEST = 200_000, 64
 SLAB_BYTES = 2_000_000
 #: Added to deficits, as a target that is a whole number may come out a little less in floating point.
 ROUNDING = 0.01
-_ALNUM = np.array([chr(c).isalnum() and c < 128 for c in range(256)])
-_MARK = np.array([c in b".,;:!?" for c in range(256)])
+_DIGIT = np.array([48 <= c <= 57 for c in range(256)])
 QUEUED = "doc_id long, source string, queue string, start long, length long, doc_tokens long, ids binary, task int, before long"
 
 
 class WordEndTransducer(MergeTransducer):
-    """The merge rules of a vocabulary that marks the ends of words, for words of the letters a to z.
+    """The merge rules of a vocabulary that marks the ends of words, for words of a to z and the small letters from ß to ÿ.
 
-    A letter that ends its word is another symbol, here its byte with the high bit set, so the rules are those of plain bytes.
+    What ends its word is another symbol, here its byte with the high bit turned, so the rules are those of plain bytes.
     """
 
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as file:
             model = json.load(file)["model"]
         mark = model["end_of_word_suffix"]
+        # Byte-level files write bytes as printable characters: printable Latin-1 as itself, the rest from 256 on.
+        plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        byte_of = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(sorted(set(range(256)) - set(plain)))}
 
         def raw(token: str) -> bytes | None:
-            core, ends = token.removesuffix(mark), token.endswith(mark)
-            if not (core.isascii() and core.isalpha() and core.islower()):
+            core = bytes(byte_of[c] for c in token.removesuffix(mark))
+            ends = token.endswith(mark)
+            if not core or not _WORDY[list(core)].all() or ends and core[-1] == 0xC3:
                 return None
-            return core[:-1].encode() + bytes([ord(core[-1]) | ends << 7])
+            return core[:-1] + bytes([core[-1] ^ ends << 7])
 
-        self.token_of = {r: i for t, i in model["vocab"].items() if (r := raw(t))}
+        self.token_of = {r: i for t, i in model["vocab"].items() if not t.startswith("<|") and (r := raw(t))}
         self.bytes_of = {i: t for t, i in self.token_of.items()}
         pairs = [(raw(a), raw(b)) for a, b in (m if isinstance(m, list) else m.split(" ") for m in model["merges"])]
-        self.merge_rank = {(self.token_of[a], self.token_of[b]): (rank, self.token_of[a + b]) for rank, (a, b) in enumerate(pairs) if a and b and a + b in self.token_of}
+        self.merge_rank = {(self.token_of[a], self.token_of[b]): (rank, self.token_of[a + b]) for rank, (a, b) in enumerate(pairs) if a in self.token_of and b in self.token_of and a + b in self.token_of}
         self.prefixes = {t[:k] for t in self.token_of for k in range(1, len(t) + 1)}
         self.length = np.zeros(max(self.bytes_of) + 1, np.int32)
         for i, t in self.bytes_of.items():
@@ -84,30 +87,36 @@ class WordEndTransducer(MergeTransducer):
         self.fits, self.whole = {}, {}
         self._reset()
 
-    def words(self, words: list[bytes]) -> tuple[np.ndarray, list[int]]:
-        """Ids of all words in a row, and where each word's begin and the last ones end."""
-        data = np.frombuffer(bytearray(b"".join(words)), np.uint8)
-        ends = np.cumsum([len(w) for w in words])
-        starts = np.concatenate([[0], ends[:-1]])
-        data[ends - 1] |= 128
-        _, last = self.run(data, starts, ends, True)
-        ids, floor, pos = np.full(len(data), -1, np.int64), starts, ends - 1  # a token stands at its last byte
+    def last_bytes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words at these places, and the place of each id's last byte."""
+        marked = data.copy()
+        marked[ends - 1] ^= 128
+        _, last = self.run(marked, starts, ends, True)
+        ids, floor, pos = np.full(len(data), -1, np.int64), starts, ends - 1
         while pos.size:
             ids[pos] = last[pos]
             pos = pos - self.length[last[pos]]
             going = pos >= floor
             pos, floor = pos[going], floor[going]
         where = np.flatnonzero(ids >= 0)
-        return ids[where], np.searchsorted(where, np.concatenate([[0], ends])).tolist()
+        return ids[where], where
 
 
-class StretchIds:
-    """Ids of whole texts, put together from the ids of their stretches, of which those met before are remembered.
+#: Bytes of words that the transducer reads; kinds of bytes: a gap, of a word, a sign or digit of its own, all else.
+_WORDY = np.array([97 <= c <= 122 or c == 0xC3 or 0x9F <= c <= 0xBF and c != 0xB7 for c in range(256)])
+_GAP, _WORD, _SINGLE, _OTHER = 0, 1, 2, 3
+_KIND = np.array([_GAP if c == 32 or 9 <= c <= 13 else _WORD if 97 <= c <= 122 else _SINGLE if 33 <= c <= 126 and c != 39 else _OTHER for c in range(256)], np.uint8)
+
 
-    A vocabulary whose normaliser drops white space and case and whose splitter starts anew where a letter or digit is followed by
-    one of .,;:!? has the same ids for what lies between such places in every text. Only ASCII is lower-cased here, and only
-    in texts without marks that combine with a letter (U+0300 to U+036F, whose first byte is CC or CD) and without `<|`, which begins
-    special tokens. That the vocabulary is of this kind is tried once on a sample; another vocabulary is given whole texts.
+class StretchIds:
+    """Ids of whole texts of a vocabulary that drops white space and case and splits letters, single digits and runs of other signs.
+
+    Such a vocabulary never looks across white space, so the ids of a text are those of its stretches in a row. Most stretches are
+    words of letters with single signs or digits among them: their words all run through the transducer side by side. Any
+    other stretch, one with an apostrophe or other letters or two signs together, is given to the library once and remembered.
+    Case is lowered here in A-Z and À-Þ only, and only in texts without marks that combine with a letter (U+0300 to
+    U+036F, whose first byte is CC or CD) and without `<|`, which begins special tokens; other texts are stretches for the library. That
+    the vocabulary is of this kind is tried once on a sample; another vocabulary is given whole texts.
     """
 
     def __init__(self, path: str) -> None:
@@ -116,11 +125,15 @@ class StretchIds:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.library = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2") if self.library.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        whole, parts = "Some  WORDS,\tit's\r\n5: é. \x0b\x0c?! ok!?", ["some", "words", ",", "it's", "5", ":", "é.", "?!", "ok", "!?"]
+        whole, parts = "Some  WÖRDS,\tit's\r\n57: é. \x0b\x0c?! ok!? a-b c_d", ["some", "wörds", ",", "it's", "5", "7", ":", "é", ".", "?!", "ok", "!?", "a", "-", "b", "c", "_", "d"]
         self.splits = self._ids([whole])[0] == b"".join(self._ids(parts))
-        self.known: dict[bytes, bytes] = {}
-        self.before: dict[bytes, bytes] = {}
-        self.merges = WordEndTransducer(path) if self.splits else None
+        if self.splits:
+            self.merges = WordEndTransducer(path)
+            own = self._ids([chr(c) for c in range(128)])
+            self.single = np.array([np.frombuffer(i, self.kind)[0] if len(i) == self.kind.itemsize else -1 for i in own] + [-1] * 128, np.int64)
+            self.kinds = np.where((_KIND == _SINGLE) & (self.single < 0), _OTHER, _KIND).astype(np.uint8)
+        self.known: dict[bytes, np.ndarray] = {}
+        self.before: dict[bytes, np.ndarray] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         code = "H" if self.kind.itemsize == 2 else "I"
@@ -131,49 +144,65 @@ class StretchIds:
         if not self.splits:
             return self._ids([t.decode("utf-8", "replace") for t in texts])
         plain = [b"<|" not in t and b"\xcc" not in t and b"\xcd" not in t for t in texts]
-        slab = b"\n".join([t for t, p in zip(texts, plain, strict=True) if p]).lower()
-        data = np.frombuffer(slab, np.uint8)
-        cuts = np.flatnonzero(_ALNUM[data[:-1]] & _MARK[data[1:]]) + 1
-        slab = np.insert(data, cuts, 32).tobytes()
-        ends = np.cumsum([len(t) + 1 for t, p in zip(texts, plain, strict=True) if p])
-        ends = iter((ends + np.searchsorted(cuts, ends)).tolist())
-        lists, at = [], 0
-        for text, p in zip(texts, plain, strict=True):
-            if p:
-                end = next(ends)
-                text, at = slab[at:end], end
-            lists.append(text.split())
-        stretches = list(chain.from_iterable(lists))
-        ids = list(map(self.known.get, stretches))
-        gaps = [k for k, i in enumerate(ids) if i is None]
-        if gaps:
-            self._meet({stretches[k] for k in gaps})
-            for k in gaps:
-                ids[k] = self.known[stretches[k]]
-        bounds = [0, *accumulate(map(len, lists))]
-        found = [b"".join(ids[a:b]) for a, b in pairwise(bounds)]
+        data = np.frombuffer(bytearray(b"\n".join(t.lower() if p else t for t, p in zip(texts, plain, strict=True)) + b"\n"), np.uint8)
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        kinds = self.kinds[data]
+        pair = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0xBF) & (data[1:] != 0x97) & (data[1:] != 0xB7))
+        capital = pair[data[pair + 1] <= 0x9E]
+        for text in np.flatnonzero(~np.array(plain)):  # texts for the library as they are
+            kinds[ends[text] - 1 - len(texts[text]) : ends[text] - 1] = np.where(kinds[ends[text] - 1 - len(texts[text]) : ends[text] - 1] == _GAP, _GAP, _OTHER)
+        whole = np.repeat(np.array(plain), np.diff(np.concatenate([[0], ends])))
+        pair, capital = pair[whole[pair]], capital[whole[capital]]
+        data[capital + 1] += 0x20
+        kinds[pair] = kinds[pair + 1] = _WORD
+
+        # Stretches, and which of them hold what the transducer does not read.
+        filled = np.concatenate([[False], kinds != _GAP, [False]])
+        edges = np.flatnonzero(filled[1:] != filled[:-1])
+        starts, stops = edges[::2], edges[1::2]
+        if not len(starts):
+            return [b""] * len(texts)
+        odd = kinds == _OTHER
+        odd[:-1] |= (kinds[:-1] == _SINGLE) & (kinds[1:] == _SINGLE) & ~(_DIGIT[data[:-1]] | _DIGIT[data[1:]])
+        letters = np.concatenate([[False], kinds == _WORD, [False]])
+        turns = np.flatnonzero(letters[1:] != letters[:-1])
+        begin, end = turns[::2], turns[1::2]
+        odd[begin[end - begin > LONG_BYTES]] = True
+        strange = np.logical_or.reduceat(odd, starts)
+        of_word = np.searchsorted(starts, begin, side="right") - 1
+        clean = ~strange[of_word]
+        ids, places = self.merges.last_bytes(data, begin[clean], end[clean])
+        signs = np.flatnonzero(kinds == _SINGLE)
+        signs = signs[~strange[np.searchsorted(starts, signs, side="right") - 1]]
+        parts, at = [ids, self.single[data[signs]]], [places, signs]
+        if strange.any():
+            rest = np.flatnonzero(strange)
+            raw = data.tobytes()
+            found = self._meet([raw[a:b] for a, b in zip(starts[rest].tolist(), stops[rest].tolist(), strict=True)])
+            parts.append(np.concatenate(found).astype(np.int64))
+            at.append(np.repeat(starts[rest], [len(f) for f in found]))
+        where = np.concatenate(at)
+        order = np.argsort(where, kind="stable")
+        flat = np.concatenate(parts)[order].astype(self.kind).tobytes()
+        cuts = (np.searchsorted(where[order], np.concatenate([[0], ends])) * self.kind.itemsize).tolist()
+        return [flat[a:b] for a, b in pairwise(cuts)]
+
+    def _meet(self, stretches: list[bytes]) -> list[np.ndarray]:
+        """Ids of each of these. Once enough are remembered, they are those of the time before, which go unless met again."""
+        new = []
+        for stretch in set(stretches).difference(self.known):
+            ids = self.before.get(stretch)
+            if ids is None:
+                new.append(stretch)
+            else:
+                self.known[stretch] = ids
+        for stretch, ids in zip(new, self._ids([s.decode("utf-8", "replace") for s in new]), strict=True):
+            self.known[stretch] = np.frombuffer(ids, self.kind)
+        found = [self.known[s] for s in stretches]
         if len(self.known) > MEMORY:
             self.known, self.before = {}, {s: i for s, i in self.known.items() if len(s) <= LONGEST} if len(self.known) <= 2 * MEMORY else {}
         return found
 
-    def _meet(self, stretches: set[bytes]) -> None:
-        """Finds ids for all of these. Once enough are remembered, they are those of the time before, which go unless met again."""
-        unmet, words = [], []
-        for stretch in stretches:
-            ids = self.before.get(stretch)
-            if ids is not None:
-                self.known[stretch] = ids
-            elif len(stretch) <= LONGEST and stretch.isalpha() and stretch.islower():  # of bytes: a-z alone
-                words.append(stretch)
-            else:
-                unmet.append(stretch)
-        self.known.update(zip(unmet, self._ids([s.decode("utf-8", "replace") for s in unmet]), strict=True))
-        if words:
-            ids, bounds = self.merges.words(words)
-            held = ids.astype(self.kind).tobytes()
-            size = self.kind.itemsize
-            self.known.update((w, held[size * a : size * b]) for w, (a, b) in zip(words, pairwise(bounds), strict=True))
-
 
 @functools.cache
 def stretch_ids(path: str) -> StretchIds:

@@ -157,11 +157,13 @@ def test_stretches_have_the_ids_of_the_library():
 
 def test_words_of_letters_have_the_ids_of_the_library():
     rng, library = random.Random(4), Tokenizer.from_file(PATH)
-    machine = StretchIds(PATH).merges
-    syllables = ["th", "er", "ing", "a", "qu", "xz", "tion", "o", "ss", "berg", "aaa", "zq"]
-    words = ["".join(rng.choice(syllables) for _ in range(rng.randint(1, 9))) for _ in range(3000)] + list("abcxyz") + ["a" * 64, "aaaa", "hello", "internationalization"]
-    ids, bounds = machine.words([w.encode() for w in words])
-    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [e.ids for e in library.encode_batch(words, add_special_tokens=False)]
+    machine = StretchIds(PATH)
+    syllables = ["th", "er", "ing", "a", "qu", "xz", "tion", "o", "ss", "berg", "aaa", "zq", "é", "ü", "ß", "ÿ", "Ñ", "À", "T"]
+    joints = [" "] * 12 + [". ", ", ", "-", "'", "_", "5", "12 ", "\n", "×", "÷", "€", " ?!", "..", "Œ", "ª", "Þ", "@"]
+    texts = ["".join("".join(rng.choice(syllables) for _ in range(rng.randint(1, 6))) + rng.choice(joints) for _ in range(rng.randint(0, 40))) for _ in range(400)]
+    texts += ["a" * 64, "a" * 300 + " b", "é" * 200, "\xc3".encode("latin-1").decode("latin-1"), "", " ", "5", "--", "x"]
+    for text, ids in zip(texts, machine.encode([t.encode() for t in texts]), strict=True):
+        assert np.frombuffer(ids, machine.kind).tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
 def test_whole_texts_of_a_vocabulary_that_keeps_white_space(spark):
