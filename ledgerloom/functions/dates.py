@@ -21,13 +21,13 @@ def fiscal_quarter(day: Column) -> Column:
     return F.concat(F.lit("FY"), F.year(later), F.lit("Q"), F.quarter(later))
 
 
-def cutoff(token: Column, pivot: int = 100) -> Column:
+def cutoff(token: Column, pivot: int = 100, short_day: bool = True) -> Column:
     """A bulletin token as 'CURRENT', an ISO date, or null for unavailable and unreadable.
 
-    Two-digit years from `pivot` on are in the 1900s; with 100 all are in the 2000s.
+    Two-digit years from `pivot` on are in the 1900s; with 100 all are in the 2000s. Without short_day a day has two digits.
     """
     t = F.upper(F.trim(token))
-    day, month, year = (F.regexp_extract(t, r"^(\d{1,2})([A-Z]{3})(\d{2})$", i) for i in (1, 2, 3))
+    day, month, year = (F.regexp_extract(t, rf"^(\d{{{1 if short_day else 2},2}})([A-Z]{{3}})(\d{{2}})$", i) for i in (1, 2, 3))
     century = F.when(F.try_to_number(year, F.lit("99")) >= pivot, "19").otherwise("20")
     text = F.concat(century, year, F.lit("-"), _month(month), F.lit("-"), F.lpad(day, 2, "0"))
     return F.when(t.isin("C", "CURRENT"), "CURRENT").otherwise(F.when(day != "", F.try_to_date(text, "yyyy-MM-dd").cast("string")))

@@ -47,9 +47,10 @@ def doc_key(docket: Column, file: Column) -> Column:
     return F.concat(F.translate(docket, "/", "_"), F.lit("__"), F.substring(F.sha2(file, 256), 1, 10))
 
 
-def signature(headline: Column, stop: tuple[str, ...]) -> Column:
-    """Distinct tokens of a headline without stop words."""
+def signature(headline: Column, stop: tuple[str, ...], outlets: bool = False) -> Column:
+    """Distinct tokens of a headline without stop words, and with `outlets` without the outlet's name after its last dash or bar."""
     plain = F.regexp_replace(F.lower(headline), r"[$,]", "")
+    plain = F.regexp_replace(plain, r"\s[-–—|]\s(?!.*\s[-–—|]\s)[^\n]{1,60}$", "") if outlets else plain
     words = F.regexp_extract_all(plain, F.lit(r"[a-z0-9]+(?:-[a-z0-9]+)*"), F.lit(0))
     return F.array_distinct(F.filter(words, lambda w: ~w.isin(*stop)))
 

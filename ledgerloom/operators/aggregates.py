@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.session import held
+
 
 def counts_with_share(rows: DataFrame, key: str, blank: str = "(blank)") -> DataFrame:
     """Rows of each key with their share of all; null and empty keys have one label (A1)."""
@@ -41,9 +43,42 @@ def quorum(votes: DataFrame, cell: list[str], value: str, source: str) -> DataFr
     return grouped.select(*cell, F.when(F.col("values") == 1, F.col("__v")).alias("value"), confidence.alias("confidence"), "sources")
 
 
+#: Different values of a range when quantiles are looked for.
+RANGE_VALUES = 200_000
+
+
+def exact_quantiles(rows: DataFrame, key: list[str], value: str, shares: list[float], range_values: int = RANGE_VALUES) -> DataFrame:
+    """key, share, quantile: exact quantiles of each group's values that are not null, between two values in proportion.
+
+    Equal values are counted before they move. The counts are cut into ranges of (key, value), so a group of any size lies in as
+    many ranges as it needs; the ranges' sums tell which of them holds a quantile, and only those are put in order. key may be
+    empty: the whole table is a group. A group without values gives no row.
+    """
+    keyed = rows.select(F.struct(*key, F.lit(0).alias("__one")).alias("k"), F.col(value).alias("v")).filter("v IS NOT NULL")
+    counted = keyed.groupBy("k", "v").agg(F.count("*").alias("n"))
+    counted = held(counted)
+    ranges = max(1, -(-counted.count() // range_values))
+    placed = held(counted.repartitionByRange(ranges, "k", "v").withColumn("part", F.spark_partition_id()))
+    parts = placed.groupBy("k", "part").agg(F.sum("n").alias("n"))
+    along = Window.partitionBy("k").orderBy("part")
+    parts = parts.withColumn("before", F.sum("n").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")).withColumn("total", F.sum("n").over(Window.partitionBy("k")))
+    wanted = parts.withColumn("share", F.explode(F.array(*map(F.lit, shares)))).withColumn("h", F.col("share") * (F.col("total") - 1))
+    ends = F.array(F.struct(F.floor("h").alias("place"), F.lit(0).alias("upper")), F.struct(F.ceil("h").alias("place"), F.lit(1).alias("upper")))
+    wanted = wanted.withColumn("end", F.explode(ends)).filter((F.col("end.place") >= F.col("before")) & (F.col("end.place") < F.col("before") + F.col("n")))
+    wanted = wanted.select("k", "part", "before", "share", "h", "end.place", "end.upper")
+    inside = Window.partitionBy("k", "part").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ordered = placed.join(wanted.select("k", "part").distinct(), ["k", "part"], "left_semi").withColumn("upto", F.sum("n").over(inside))
+    met = ordered.join(wanted, ["k", "part"]).filter((F.col("place") >= F.col("before") + F.col("upto") - F.col("n")) & (F.col("place") < F.col("before") + F.col("upto")))
+    side = lambda u: F.max(F.when(F.col("upper") == u, F.col("v"))).cast("double")
+    found = met.groupBy("k", "share", "h").agg(side(0).alias("low"), side(1).alias("high"))
+    return found.select(*[F.col("k")[c].alias(c) for c in key], "share", (F.col("low") + (F.col("h") - F.floor("h")) * (F.col("high") - F.col("low"))).alias("quantile"))
+
+
 def exact_median(rows: DataFrame, key: list[str], value: str) -> DataFrame:
     """n (all rows) and the median of the values that are not negative, rounded half to even (A12, traps B17 and B19)."""
-    return rows.groupBy(*key).agg(F.count("*").alias("n"), F.bround(F.percentile(F.when(F.col(value) >= 0, F.col(value)), 0.5)).cast("long").alias("median")).filter("median IS NOT NULL")
+    counts = rows.groupBy(*key).agg(F.count("*").alias("n"))
+    medians = exact_quantiles(rows.filter(F.col(value) >= 0), key, value, [0.5]).select(*key, F.bround("quantile").cast("long").alias("median"))
+    return counts.join(medians, key)
 
 
 def suppressed_band(counted: DataFrame, group: str, count: str, below: int = 11) -> DataFrame:

@@ -20,6 +20,32 @@ def series_audit(rows: DataFrame, key: str, month: str, value: str, legal: Colum
     return twice.unionByName(wrong).unionByName(gaps)
 
 
+def series_shape(records: DataFrame, key: str, months: str, values: str) -> DataFrame:
+    """Violations (rule, key, detail) of series kept as two lists: missing or empty, of different lengths, months out of order (Q1)."""
+    m, v = F.coalesce(months, F.array().cast("array<string>")), F.coalesce(F.size(values), F.lit(0))
+    missing = F.when((F.size(m) == 0) | (v <= 0), F.struct(F.lit("missing").alias("rule"), F.lit("").alias("detail")))
+    lengths = F.when((F.size(m) != v) & (F.size(m) > 0) & (v > 0), F.struct(F.lit("length").alias("rule"), F.concat_ws("/", F.size(m).cast("string"), v.cast("string")).alias("detail")))
+    turned = F.filter(F.zip_with(F.slice(m, 1, F.greatest(F.size(m) - 1, F.lit(0))), F.slice(m, 2, F.greatest(F.size(m) - 1, F.lit(0))), lambda a, b: F.struct((a > b).alias("t"), b.alias("b"))), lambda x: x["t"])
+    order = F.when(F.size(turned) > 0, F.struct(F.lit("unsorted").alias("rule"), F.get(turned, F.lit(0))["b"].alias("detail")))
+    return records.select(F.col(key), F.inline(F.array_compact(F.array(missing, lengths, order)))).select("rule", key, "detail")
+
+
+def dead_branches(rows: DataFrame, column: str, names: list[str]) -> DataFrame:
+    """name, n of each value that a rule may give, 0 for those it never gave; and of values that it may not give, as unlisted (Q8)."""
+    counts = rows.groupBy(column).agg(F.count("*").alias("n")).withColumnRenamed(column, "name")
+    listed = rows.sparkSession.createDataFrame([(n,) for n in names], "name string")
+    return counts.join(F.broadcast(listed.withColumn("listed", F.lit(True))), "name", "full").select("name", F.coalesce("n", F.lit(0)).alias("n"), F.col("listed").isNotNull().alias("listed"))
+
+
+def source_registry(registry: DataFrame, findings: DataFrame, source: str, path: str) -> DataFrame:
+    """Findings with their source's tier and whether it may be fetched (X4), and `covered`: whether what it covers (exact paths or all below
+    them) holds the finding's path. registry: source_id, tier, coverage (paths), auto_fetchable; a source that is not in it covers nothing."""
+    known = F.broadcast(registry.select(F.col("source_id").alias(source), "tier", "coverage", "auto_fetchable"))  # a registry is a short list
+    joined = findings.join(known, source, "left")
+    held_ = F.exists("coverage", lambda c: (F.col(path) == c) | F.startswith(F.col(path), F.concat(c, F.lit("."))))
+    return joined.withColumn("covered", F.coalesce(held_, F.lit(False))).withColumn("auto_fetchable", F.coalesce("auto_fetchable", F.lit(False))).drop("coverage")
+
+
 def methodology(stored: DataFrame, strict: DataFrame, loose: DataFrame, key: str, counts: list[str], median: str) -> DataFrame:
     """One row: how each definition agrees with the stored quarters and which is chosen (Q3, RC6)."""
 
@@ -105,9 +131,20 @@ def staleness(last: Column, expected: Column) -> Column:
     return F.greatest(F.lit(0), index(expected) - index(last))
 
 
-def identical(a: DataFrame, b: DataFrame) -> bool:
-    """Whether two extracted tables hold the same rows, which says one was read twice (Q9)."""
-    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+def identical_tables(rows: DataFrame, table: str, cells: list[str]) -> DataFrame:
+    """table, same_as: extracted tables that hold the same rows as one with a smaller name, however ordered, which says that one was read
+    twice (Q9). Rows are compared as a bag by count and sums of digests; no table is gathered in one place."""
+    row = F.sha2(F.to_json(F.struct(*cells), {"ignoreNullFields": "false"}), 256)
+    sums = [F.sum(F.conv(F.substring(row, at, 12), 16, 10).cast("decimal(38,0)")).alias(f"s{at}") for at in (1, 13, 25, 37)]
+    digests = rows.groupBy(table).agg(F.count("*").alias("n"), *sums)
+    first = F.min(table).over(Window.partitionBy("n", "s1", "s13", "s25", "s37"))
+    return digests.select(table, first.alias("same_as")).filter(F.col(table) != F.col("same_as"))
+
+
+def same_rows(a: DataFrame, b: DataFrame) -> bool:
+    """Whether two tables hold the same rows."""
+    both = a.withColumn("__side", F.lit(1)).unionByName(b.withColumn("__side", F.lit(-1)))
+    return both.groupBy(*a.columns).agg(F.sum("__side").alias("d")).filter("d <> 0").isEmpty()
 
 
 def health(figures: dict[str, Column]) -> Column:
@@ -135,9 +172,11 @@ def flat_variables(rows: DataFrame, names: dict[str, str]) -> DataFrame:
     return rows.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for n, c in names.items()])
 
 
-def column_difference(a: DataFrame, b: DataFrame) -> tuple[list[str], list[str]]:
-    """Columns only in the first table and only in the second."""
-    return sorted(set(a.columns) - set(b.columns)), sorted(set(b.columns) - set(a.columns))
+def column_difference(records: DataFrame, key: str, first: str, second: str) -> DataFrame:
+    """key, side, name: names of a record that only the first or only the second of two maps has, such as a row of a CSV and of a JSON
+    file (J26)."""
+    only = lambda a, b, side: F.transform(F.array_except(F.map_keys(a), F.map_keys(b)), lambda n: F.struct(F.lit(side).alias("side"), n.alias("name")))
+    return records.select(key, F.inline(F.concat(only(first, second, "first"), only(second, first, "second"))))
 
 
 def leaf_in(path: Column, names: list[str]) -> Column:
@@ -199,7 +238,7 @@ def guarded_apply(store: DataFrame, changes: DataFrame, run_date: str, preserved
     value = F.when(F.col("set"), F.col("new")).when(F.col("flipped") & (F.col("value") == "false"), "true").otherwise(F.col("value"))
     value = F.when(F.col("path") == "meta.version", next_patch(F.col("value"))).when(F.col("path") == "meta.last_verified", run_date).otherwise(value)
     after = after.select("path", value.alias("value"))
-    if not identical(subtree_digest(store, preserved), subtree_digest(after, preserved)):
+    if not same_rows(subtree_digest(store, preserved), subtree_digest(after, preserved)):
         raise ValueError("a preserved subtree would change")
     return after
 

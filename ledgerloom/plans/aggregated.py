@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators import aggregates as agg
 from ledgerloom.plans.registry import Registry
-from ledgerloom.session import table
+from ledgerloom.session import held, table
 
 TOKENS = "[^a-z]+"
 
@@ -153,8 +153,17 @@ def register(reg: Registry) -> None:
         from ledgerloom.operators.series import lag_delta
 
         m = table(spark, sf, "orders").groupBy("o_orderpriority", F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.count("*").alias("n"))
-        p = lambda q: F.round(F.percentile("delta", q), 6)
-        return lag_delta(m, "o_orderpriority", "month", "n").groupBy("o_orderpriority").agg(p(0.25).alias("p25"), p(0.5).alias("p50"), p(0.75).alias("p75"), F.count_if(F.col("delta") < 0).alias("retro"), (F.count("delta") >= 24).alias("usable"))
+        deltas = held(lag_delta(m, "o_orderpriority", "month", "n"))
+        found = agg.exact_quantiles(deltas, ["o_orderpriority"], "delta", [0.25, 0.5, 0.75])
+        at = lambda q: F.round(F.max(F.when(F.col("share") == q, F.col("quantile"))), 6)
+        wide = found.groupBy("o_orderpriority").agg(at(0.25).alias("p25"), at(0.5).alias("p50"), at(0.75).alias("p75"))
+        rest = deltas.groupBy("o_orderpriority").agg(F.count_if(F.col("delta") < 0).alias("retro"), (F.count("delta") >= 24).alias("usable"))
+        return rest.join(wide, "o_orderpriority", "left").select("o_orderpriority", "p25", "p50", "p75", "retro", "usable")
+
+    @reg.add("a20_quantiles_of_all", """
+        SELECT unnest([0.0, 0.1, 0.5, 0.75, 0.999, 1.0])::DOUBLE AS share, unnest(quantile_cont(l_extendedprice, [0.0, 0.1, 0.5, 0.75, 0.999, 1.0])) AS quantile FROM lineitem""")
+    def a20_all(spark, sf):
+        return agg.exact_quantiles(table(spark, sf, "lineitem"), [], "l_extendedprice", [0.0, 0.1, 0.5, 0.75, 0.999, 1.0])  # one group of all rows
 
     @reg.add("a21_kpis", """
         WITH m AS (SELECT mode(o_orderpriority) AS x FROM (SELECT o_orderpriority FROM orders ORDER BY o_orderpriority)), t AS (SELECT o_orderpriority AS top, count(*) AS n FROM orders GROUP BY 1 ORDER BY n DESC, 1 LIMIT 1)

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.plans import aggregated, dated, fed, joined, listed, mined, paged, ruled, sequenced, streamed, worded
+from ledgerloom.plans import aggregated, audited, dated, fed, indexed, joined, listed, mined, paged, ruled, sequenced, streamed, worded
 from ledgerloom.plans.registry import Registry
 
-PARTS = (joined, aggregated, sequenced, mined, dated, worded, ruled, fed, listed, streamed, paged)
+PARTS = (joined, aggregated, sequenced, mined, dated, worded, ruled, fed, listed, streamed, paged, indexed, audited)
 
 
 def registry() -> Registry:

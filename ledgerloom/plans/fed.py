@@ -161,13 +161,6 @@ def register(reg: Registry) -> None:
         last = table(spark, sf, "orders").groupBy("o_custkey").agg(F.max("o_orderdate").alias("d"))
         return last.select("o_custkey", governance.staleness(dates.fiscal_quarter(F.col("d")), F.lit("FY1999Q1")).alias("behind"))
 
-    @reg.add("q9_identical_tables", "SELECT true AS same, false AS other")
-    def q9(spark, sf):
-        n = table(spark, sf, "nation").select("n_nationkey", "n_name")
-        same = governance.identical(n, n.orderBy(F.desc("n_name")))
-        other = governance.identical(n, n.withColumn("n_name", F.when(F.col("n_nationkey") == 3, "x").otherwise(F.col("n_name"))))
-        return spark.createDataFrame([(same, other)], "same boolean, other boolean")
-
     @reg.add("q10_health_notes", """
         SELECT o_custkey, f IS NOT NULL OR p IS NOT NULL AS parse_ok, concat_ws(';', CASE WHEN f IS NULL THEN 'filled is null' END, CASE WHEN p IS NULL THEN 'partial is null' END) AS notes
         FROM (SELECT o_custkey, max(o_orderkey) FILTER (o_orderstatus = 'F' AND o_orderkey % 8 = 0) AS f, max(o_orderkey) FILTER (o_orderstatus = 'P' AND o_orderkey % 8 = 1) AS p FROM orders GROUP BY 1)""")

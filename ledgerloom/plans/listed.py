@@ -52,12 +52,6 @@ def register(reg: Registry) -> None:
     def j25(spark, sf):
         return table(spark, sf, "documents").select("doc_id").join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_anti")
 
-    @reg.add("j26_column_difference", "SELECT 'first' AS side, 'o_orderpriority' AS name UNION ALL SELECT 'second', 'extra'")
-    def j26(spark, sf):
-        o = table(spark, sf, "orders")
-        first, second = governance.column_difference(o, o.drop("o_orderpriority").withColumn("extra", F.lit(1)))
-        return spark.createDataFrame([("first", n) for n in first] + [("second", n) for n in second], "side string, name string")
-
     @reg.add("a27_text_fields", """
         SELECT 'text' AS name, count_if(length(text) > 25 AND contains(text, ' '))::BIGINT AS n FROM documents UNION ALL SELECT 'lang', count_if(length(lang) > 25 AND contains(lang, ' ')) FROM documents""")
     def a27(spark, sf):
@@ -138,11 +132,15 @@ def register(reg: Registry) -> None:
         return governance.handled(table(spark, sf, "events"), "event_type", {"error": make(F.max)} | {k: make(F.min) for k in ("click", "view", "purchase", "signup")})
 
     @reg.add("f43_century_pivot", """
-        SELECT o_orderkey AS k, CASE WHEN year(o_orderdate) % 100 >= 70 THEN '19' ELSE '20' END || strftime(o_orderdate, '%y-%m-%d') AS pivoted, '20' || strftime(o_orderdate, '%y-%m-%d') AS plain FROM orders WHERE strftime(o_orderdate, '%m-%d') <> '02-29'""")
+        WITH t AS (SELECT o_orderkey AS k, o_orderdate AS d, o_orderkey % 2 = 0 OR day(o_orderdate) > 9 AS long, strftime(o_orderdate, '%y')::INT AS y FROM orders)
+        SELECT k, CASE WHEN y >= 70 THEN '19' ELSE '20' END || strftime(d, '%y-%m-%d') AS pivoted, '20' || strftime(d, '%y-%m-%d') AS plain, CASE WHEN long THEN '20' || strftime(d, '%y-%m-%d') END AS two_digits,
+          CASE WHEN long THEN CASE WHEN y >= 95 THEN '19' ELSE '20' END || strftime(d, '%y-%m-%d') END AS both FROM t""")
     def f43(spark, sf):
-        o = table(spark, sf, "orders").filter(F.date_format("o_orderdate", "MM-dd") != "02-29")
+        o, k = table(spark, sf, "orders"), F.col("o_orderkey")
         token = F.upper(F.date_format("o_orderdate", "ddMMMyy"))
-        return o.select(F.col("o_orderkey").alias("k"), dates.cutoff(token, 70).alias("pivoted"), dates.cutoff(token).alias("plain"))
+        token = F.when(k % 2 == 0, token).otherwise(F.regexp_replace(token, "^0", ""))
+        kinds = {"pivoted": (70, True), "plain": (100, True), "two_digits": (100, False), "both": (95, False)}
+        return o.select(k.alias("k"), *[dates.cutoff(token, *kind).alias(name) for name, kind in kinds.items()])
 
     @reg.add("f59_candidate_urls", """
         WITH m AS (SELECT DISTINCT date_trunc('month', o_orderdate) AS m FROM orders)
