@@ -161,9 +161,9 @@ def register(reg: Registry) -> None:
         return rest.join(wide, "o_orderpriority", "left").select("o_orderpriority", "p25", "p50", "p75", "retro", "usable")
 
     @reg.add("a20_quantiles_of_all", """
-        SELECT unnest([0.0, 0.1, 0.5, 0.75, 0.999, 1.0])::DOUBLE AS share, unnest(quantile_cont(l_extendedprice, [0.0, 0.1, 0.5, 0.75, 0.999, 1.0])) AS quantile FROM lineitem""")
+        SELECT unnest([0.0, 0.1, 0.5, 0.75, 0.999, 1.0])::DOUBLE AS share, round(unnest(quantile_cont(l_extendedprice, [0.0, 0.1, 0.5, 0.75, 0.999, 1.0])), 6) AS quantile FROM lineitem""")
     def a20_all(spark, sf):
-        return agg.exact_quantiles(table(spark, sf, "lineitem"), [], "l_extendedprice", [0.0, 0.1, 0.5, 0.75, 0.999, 1.0])  # one group of all rows
+        return agg.exact_quantiles(table(spark, sf, "lineitem"), [], "l_extendedprice", [0.0, 0.1, 0.5, 0.75, 0.999, 1.0]).withColumn("quantile", F.round("quantile", 6))  # one group of all rows
 
     @reg.add("a21_kpis", """
         WITH m AS (SELECT mode(o_orderpriority) AS x FROM (SELECT o_orderpriority FROM orders ORDER BY o_orderpriority)), t AS (SELECT o_orderpriority AS top, count(*) AS n FROM orders GROUP BY 1 ORDER BY n DESC, 1 LIMIT 1)
