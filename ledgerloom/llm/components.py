@@ -2,18 +2,47 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of rows that go to a Python worker at a time: Spark counts rows, and rows may be long texts.
+BATCH_BYTES = 8 << 20
+
+
+def give_back() -> None:
+    """Returns what a Python worker has freed to the system: workers are kept for later stages, which may need the memory elsewhere."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library without it
+        pass
+
+
+def given_back(batches_of: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The same function of batches, which gives memory back at its end."""
+
+    def work(batches: Iterator) -> Iterator:
+        yield from batches_of(batches)
+        give_back()
+
+    return work
+
+
 def shared_folder(spark: SparkSession) -> None:
-    """Checkpoints go to the folder the cluster names in spark.checkpoint.dir.
+    """Batches for Python workers are bounded by bytes, and checkpoints go to the folder the cluster names in spark.checkpoint.dir.
 
     Only a local session, whose executors are this machine, may do without: it gets a temporary folder. A cluster that
     names none is an error, as its executors share no folder of one machine.
     """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if spark.sparkContext.getCheckpointDir() is not None:
         return
     named = spark.conf.get("spark.checkpoint.dir", None)

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.components import shared_folder
+from ledgerloom.llm.components import given_back, shared_folder
 
 LEAST_DOCS, TOP, SCALE = 3, 200, 10**9
 SHARD_TERMS = 50_000
@@ -211,7 +211,7 @@ def term_documents(docs: DataFrame) -> DataFrame:
                     yield out()
         yield out()
 
-    return docs.mapInArrow(counted, "lang string, term binary, docs long")
+    return docs.mapInArrow(given_back(counted), "lang string, term binary, docs long")
 
 
 def kept_terms(docs: DataFrame, least_docs: int = LEAST_DOCS, shard_terms: int = SHARD_TERMS) -> DataFrame:
@@ -326,7 +326,7 @@ def recount_sent(docs: DataFrame, shards: DataFrame, numbers: dict[tuple[str, st
                     tally = _Tally()
         yield _count_rows(*tally.merged(), size)
 
-    return docs.mapInArrow(counted, _COUNTS)
+    return docs.mapInArrow(given_back(counted), _COUNTS)
 
 
 def recount_dealt(docs: DataFrame, shards: DataFrame, numbers: dict[tuple[str, str], int], begins: dict[str, list[tuple[bytes, int, int]]]) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.components import remove_folder, shared_folder
+from ledgerloom.llm.components import given_back, remove_folder, shared_folder
 from ledgerloom.llm.tokens import LONG_BYTES, MergeTransducer
 
 END_OF_TEXT = 2
@@ -246,7 +246,7 @@ def queued_pieces(docs: DataFrame, tokenizer_path: str, most: int = CAPACITY, do
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "source", "queue", "start", "length", "doc_tokens", "ids", "task", "before"])
 
     given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").cast("binary").alias("text"), F.col(source).cast("string").alias("source"))
-    return given.mapInArrow(cut, QUEUED)
+    return given.mapInArrow(given_back(cut), QUEUED)
 
 
 class Mixture:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.components import connected_components, shared_folder
+from ledgerloom.llm.components import connected_components, given_back, shared_folder
 from ledgerloom.llm.tokens import text_slices
 from ledgerloom.llm.words import LOWER, SLICE_BYTES, hashes, mix, spans, windows
 
@@ -91,7 +91,7 @@ def _signed(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(place, mask=np.append(size == 0, False)), pa.array(signature.ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays([ids.slice(start, end - start), pa.array(size.astype(np.int64)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), lists], names=["doc", "n_shingles", "d1", "d2", "signature"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).cast("string").alias("text")).mapInArrow(sign, "doc long, n_shingles long, d1 long, d2 long, signature array<long>")
+    return docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).cast("string").alias("text")).mapInArrow(given_back(sign), "doc long, n_shingles long, d1 long, d2 long, signature array<long>")
 
 
 def _by_key(rows: DataFrame, table: DataFrame, often: int) -> DataFrame:
@@ -176,7 +176,7 @@ def _confirm(cells: DataFrame, share: int) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
 
-    return cells.select("family", "cell", "doc", "shingles").repartition("family", "cell").sortWithinPartitions("family", "cell").mapInArrow(confirm, "a long, b long")
+    return cells.select("family", "cell", "doc", "shingles").repartition("family", "cell").sortWithinPartitions("family", "cell").mapInArrow(given_back(confirm), "a long, b long")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -191,7 +191,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
                 found, cut = shingle_sets(data, offsets, width)
                 yield pa.RecordBatch.from_arrays([*[c.slice(start, end - start) for c in others], pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(found.view(np.int64)))], names=[*rest, "shingles"])
 
-    return docs.mapInArrow(shingle, schema)
+    return docs.mapInArrow(given_back(shingle), schema)
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, share: int = 80) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.components import shared_folder
+from ledgerloom.llm.components import give_back, given_back, shared_folder
 from ledgerloom.llm.tokens import text_slices, transducer
 
 END_OF_TEXT = 2
@@ -164,7 +164,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, doc_i
                     names_.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names_)
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(cut, schema)
+    shared_folder(docs.sparkSession)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(given_back(cut), schema)
 
 
 def pack_pieces(cut: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES) -> DataFrame:
@@ -188,6 +189,7 @@ def pack_pieces(cut: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SH
         for k, members in enumerate(pack(lengths, capacity)):
             sequence[members] = base + k
             offset[members] = np.cumsum(lengths[members]) - lengths[members]
+        give_back()
         return batch.select(columns).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
     return dealt.groupBy("shard").applyInArrow(place, full.schema).unionByName(full)

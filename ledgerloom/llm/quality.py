@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.components import shared_folder
+from ledgerloom.llm.components import given_back, shared_folder
 from ledgerloom.llm.tokens import text_slices
 from ledgerloom.llm.words import SLICE_BYTES, hashes, mix, per_row, spans, windows
 
@@ -110,7 +110,8 @@ def text_features(docs: DataFrame, text: str = "text", keep_text: bool = True) -
             columns = [pa.array(np.concatenate([p[c] for p in parts]) if parts else np.zeros(0, np.int64)) for c in FEATURES]
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in kept] + columns, names=[*kept, *FEATURES])
 
-    return docs.mapInArrow(measured, schema)
+    shared_folder(docs.sparkSession)
+    return docs.mapInArrow(given_back(measured), schema)
 
 
 def votes() -> dict[str, Column]:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.components import shared_folder
+from ledgerloom.llm.components import given_back, shared_folder
 from ledgerloom.llm.tokens import text_slices
 from ledgerloom.llm.words import LOWER, SLICE_BYTES, hashes, mix
 
@@ -275,7 +275,7 @@ def _items(labelled: DataFrame, wanted: list[str] | None) -> DataFrame:
                 if seen:
                     yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in seen]), pa.array(np.array([c for _, c in seen], np.uint64).view(np.int64))], names=["item", "context"])
 
-    return labelled.select(F.col("text").cast("string")).mapInArrow(emit, "item string, context long")
+    return labelled.select(F.col("text").cast("string")).mapInArrow(given_back(emit), "item string, context long")
 
 
 def choose_terms(support: dict[str, int]) -> list[str]:
@@ -330,7 +330,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, pe
                 found = scan.features(data, offsets)
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(start, end - start), *[pa.array(np.ascontiguousarray(c)) for c in found.T]], names=["toxic", *FEATURES])
 
-    measured = sample.select("text", "toxic").mapInArrow(measure, "toxic int, " + ", ".join(f"{f} double" for f in FEATURES))
+    measured = sample.select("text", "toxic").mapInArrow(given_back(measure), "toxic int, " + ", ".join(f"{f} double" for f in FEATURES))
     table = measured.groupBy("toxic", *[F.round(f, 3).alias(f) for f in FEATURES]).count().collect()  # at most the sample
     if not table:
         return ToxicityModel([], np.zeros(len(FEATURES)), -2.0)
@@ -367,7 +367,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", ke
             parts = [model.score(scan.features(data, offsets)) for _, _, data, offsets in text_slices(batch.column(batch.schema.get_field_index(text)), SLICE_BYTES)]
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in kept] + [pa.array(np.concatenate(parts) if parts else np.zeros(0))], names=[*kept, "toxicity"])
 
-    return docs.mapInArrow(score, schema)
+    return docs.mapInArrow(given_back(score), schema)
 
 
 def toxic_spans(docs: DataFrame, model: ToxicityModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
