@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import io
+import random
 
 import pytest
 import zstandard
@@ -67,3 +68,22 @@ def test_broken_records_are_flagged():
     assert warc.parse_record(good)[-1] is None and warc.parse_record(warc.record_bytes(1, None, b"abc", 9, True))[3] == 9
     for bad in (good[:-1], good + b"x", good.replace(b"abc", b"abd"), good.replace(b"WARC/1.1", b"WRAC/1.1"), good.replace(b"WARC-Date", b"WARC-Dote"), good.replace(b"Content-Length: 3", b"Content-Length: 4"), b"", b"\xff\r\n\r\n", good.replace(b"response\r\nWARC-R", b"request\r\nWARC-R")):
         assert warc.parse_record(bad)[-1]
+
+
+def test_equal_to_a_plain_grouping_of_pages(spark):
+    rng = random.Random(12)
+    bodies = [None, "", "<p>é</p>", "hot", "x" * 70_000] + [f"<html>{'ab' * rng.randint(1, 50)}</html>" for _ in range(12)]
+    rows = [(k * 3 % 211, f"http://h/{k}", "hot" if k % 3 == 0 else rng.choice(bodies)) for k in range(150)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    folder = warc.archive_folder(spark)
+    read = warc.read_archives(warc.write_archives(pages, folder, warc.train_dictionary(pages)), folder, keep_payload=False, strict=True)
+    newest = {}
+    for page, _, html in rows:
+        newest[html or ""] = max(newest.get(html or "", -1), page)
+    want = set()
+    for page, _, html in rows:
+        payload = (html or "").encode()
+        first = newest[html or ""]
+        want.add((page, len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode(), "response" if page == first else "revisit", None if page == first else first))
+    got = [(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in read.collect()]
+    assert len(got) == len(rows) and set(got) == want
