@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.dates import let
+
 
 def section(text: Column, start: str, stop: str) -> Column:
     """The text between the first heading and the next stop heading behind it, or the rest; null without the heading."""
@@ -42,21 +44,29 @@ def table_rows(pages: DataFrame, key: str, slice_: Column, markers: list[tuple[s
     A row starts with a label (pattern: category) at the line's start; the columns come from the lines above the first row. A
     row with more or fewer tokens than columns gives one reject, never a guess; of rows with one category the first stands.
     """
-    lines = F.split(slice_, "\n")
     label = r"(?i)^\s*(" + "|".join(labels) + r")\b"
-    is_row = lambda line: line.rlike(label) & (F.size(F.regexp_extract_all(line, F.lit(token), F.lit(1))) > 0)
-    found = pages.select(F.col(key).alias("key"), lines.alias("lines")).withColumn("first", F.array_position(F.transform("lines", is_row), True)).filter("first > 0")
-    header = F.slice("lines", F.greatest(F.lit(1), F.col("first").cast("int") - header_lines), F.least(F.lit(header_lines), F.col("first").cast("int") - 1))
-    found = found.withColumn("order", column_order(header, markers)).filter(F.size("order") > 0)
-    rows = found.select("key", "order", F.posexplode(F.slice("lines", F.col("first").cast("int"), F.size("lines"))).alias("at", "line")).filter(F.col("line").rlike(label))
-    named = F.lower(F.regexp_extract("line", label, 1))
-    tokens = F.regexp_extract_all(F.regexp_replace("line", label, ""), F.lit(token), F.lit(1))
-    rows = rows.select("key", "order", "at", canonical(named, labels).alias("category"), tokens.alias("tokens"))
-    rows = rows.withColumn("fits", F.size("tokens") == F.size("order"))
-    good = rows.filter("fits").withColumn("n", F.row_number().over(Window.partitionBy("key", "category").orderBy("at"))).filter("n = 1")
-    cells = good.select(F.col("key").alias(key), "category", F.inline(F.arrays_zip(F.col("order").alias("column"), F.col("tokens").alias("token"))), F.lit(None).cast("string").alias("problem"))
-    bad = rows.filter("NOT fits").select(F.col("key").alias(key), "category", F.lit(None).cast("string").alias("column"), F.lit(None).cast("string").alias("token"), F.format_string("%d tokens for %d columns", F.size("tokens"), F.size("order")).alias("problem"))
-    return cells.unionByName(bad)
+
+    def read(line: Column) -> Column:
+        """A line's label, or blank, and the tokens behind it; in lines without a label nothing is sought."""
+        name = F.lower(F.regexp_extract(line, label, 1))
+        return F.struct(name.alias("label"), F.when(name != "", F.regexp_extract_all(F.regexp_replace(line, label, ""), F.lit(token), F.lit(1))).alias("tokens"))
+
+    def laid_out(lines: Column, rows: Column) -> Column:
+        first = F.array_position(F.transform(rows, lambda r: F.coalesce(F.size(r["tokens"]) > 0, F.lit(False))), True).cast("int")
+        header = F.slice(lines, F.greatest(F.lit(1), first - header_lines), F.least(F.lit(header_lines), first - 1))
+        body = lambda order: F.transform(F.filter(F.slice(rows, first, F.size(rows)), lambda r: r["label"] != ""), lambda r, i: F.struct(i.alias("at"), order.alias("order"), canonical(r["label"], labels).alias("category"), r["tokens"].alias("tokens")))
+        return F.when(first > 0, let(column_order(header, markers), lambda order: F.when(F.size(order) > 0, body(order))))
+
+    # Lines are split and read once, rows leave in one piece, and one pass over them gives cells and rejects.
+    every = let(F.split(slice_, "\n"), lambda lines: let(F.transform(lines, read), lambda rows: laid_out(lines, rows)))
+    rows = pages.select(F.col(key).alias("key"), F.inline(every))
+    fits = F.size("tokens") == F.size("order")
+    first = F.row_number().over(Window.partitionBy("key", "category", "fits").orderBy("at"))
+    kept = rows.withColumn("fits", fits).withColumn("n", first).filter("n = 1 OR NOT fits")
+    cells = F.transform(F.arrays_zip(F.col("order").alias("column"), F.col("tokens").alias("token")), lambda c: F.struct(c["column"].alias("column"), c["token"].alias("token"), F.lit(None).cast("string").alias("problem")))
+    problem = F.format_string("%d tokens for %d columns", F.size("tokens"), F.size("order"))
+    reject = F.array(F.struct(F.lit(None).cast("string").alias("column"), F.lit(None).cast("string").alias("token"), problem.alias("problem")))
+    return kept.select(F.col("key").alias(key), "category", F.inline(F.when(F.col("fits"), cells).otherwise(reject)))
 
 
 def row_lookup(rows: Column, needles: dict[str, str]) -> Column:

@@ -201,14 +201,14 @@ def register(reg: Registry) -> None:
         return table(spark, sf, "part").select("p_partkey", F.get_json_object(block, "$.changes").cast("long").alias("changes"))
 
     @reg.add("q5_guarded_apply", """
-        SELECT 'cat.' || n_nationkey || '.date' AS path, CASE WHEN n_nationkey % 2 = 0 THEN 'new' ELSE n_name END AS value FROM nation UNION ALL SELECT 'cat.' || n_nationkey || '.verified', CASE WHEN n_nationkey % 4 = 0 THEN 'true' ELSE 'false' END FROM nation
-        UNION ALL SELECT 'cat.' || n_nationkey || '.note', 'added' FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT * FROM (VALUES ('meta.version', '0.2.8'), ('meta.last_verified', '2024-03-01'), ('kept.a', '1'), ('kept.b.c', '2'))""")
+        SELECT 'cat.' || c_custkey || '.date' AS path, CASE WHEN c_custkey % 2 = 0 THEN 'new' ELSE c_name END AS value FROM customer UNION ALL SELECT 'cat.' || c_custkey || '.verified', CASE WHEN c_custkey % 4 = 0 THEN 'true' ELSE 'false' END FROM customer
+        UNION ALL SELECT 'cat.' || c_custkey || '.note', 'added' FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT * FROM (VALUES ('meta.version', '0.2.8'), ('meta.last_verified', '2024-03-01'), ('kept.a', '1'), ('kept.b.c', '2'))""")
     def q5(spark, sf):
-        n, at = table(spark, sf, "nation"), F.concat(F.lit("cat."), "n_nationkey")
+        n, at = table(spark, sf, "customer"), F.concat(F.lit("cat."), "c_custkey")
         leaf = lambda name: F.concat(at, F.lit(f".{name}")).alias("path")
         meta = spark.createDataFrame([("meta.version", "0.2.7"), ("meta.last_verified", "2024-01-01"), ("kept.a", "1"), ("kept.b.c", "2")], "path string, value string")
-        store = n.select(leaf("date"), F.col("n_name").alias("value")).unionByName(n.select(leaf("verified"), F.lit("false").alias("value"))).unionByName(meta)
-        even, flip = n.filter("n_nationkey % 2 = 0"), (F.col("n_nationkey") % 4 == 0).alias("flip")
+        store = n.select(leaf("date"), F.col("c_name").alias("value")).unionByName(n.select(leaf("verified"), F.lit("false").alias("value"))).unionByName(meta)
+        even, flip = n.filter("c_custkey % 2 = 0"), (F.col("c_custkey") % 4 == 0).alias("flip")
         changes = even.select(leaf("date"), F.lit("new").alias("value"), flip).unionByName(even.select(leaf("note"), F.lit("added").alias("value"), F.lit(False).alias("flip")))
         return governance.guarded_apply(store, changes, AS_OF, ["kept"])
 
