@@ -97,11 +97,9 @@ def register(reg: Registry) -> None:
     )
 
     alarms = lambda rows: rows.select("key", F.date_format("at", "yyyy-MM-dd").alias("day"), "level")
-    far = F.lit("2100-01-01").cast("timestamp")
-
     def log(rows):  # as far as a stream's watermark would come
         newest = rows.agg(F.max("at").alias("newest"))
-        found = states.alarm_log(rows, far).join(F.broadcast(newest)).filter(F.col("at") <= F.col("newest"))  # one row
+        found = states.alarm_log(rows, F.lit("2100-01-01").cast("timestamp")).join(F.broadcast(newest)).filter(F.col("at") <= F.col("newest"))  # one row
         return found.select("key", "at", "level")
 
     due = "seen + to_days((k % 120 - 20)::INT)"
