@@ -5,10 +5,12 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from html import unescape
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -51,21 +53,60 @@ def nested_series(spark: SparkSession, path: str) -> DataFrame:
     return categories.select("month", "chart", "category", F.explode("k").alias("country", "token"))
 
 
+_XML_NAMES = frozenset(("amp", "lt", "gt", "quot", "apos"))
+
+
+def _feed_rows(feed: str) -> Iterator[tuple]:
+    """title, link, published and source of a feed's items, tags by their names whatever their namespaces; those before a break in the
+    feed's form if it has one."""
+    known = lambda m: m[0] if m[1] in _XML_NAMES else unescape(m[0]) if unescape(m[0]) != m[0] else f"&amp;{m[1]};"
+    parser = ElementTree.XMLPullParser(("start", "end"))
+    local = lambda e: e.tag.rpartition("}")[2] if isinstance(e.tag, str) else ""
+    try:
+        parser.feed(re.sub(r"&(\w+);", known, feed.lstrip("\ufeff \t\r\n")))
+        events = parser.read_events()
+        depth = 0
+        for event, element in events:
+            if local(element) not in ("item", "entry"):
+                continue
+            depth += 1 if event == "start" else -1
+            if event == "end" and depth == 0:
+                yield _feed_item(element, local)
+                element.clear()
+    except ElementTree.ParseError:
+        return
+
+
+def _feed_item(item: ElementTree.Element, local: Callable) -> tuple:
+    texts: dict[str, str] = {}
+    links: list[tuple[bool, str]] = []
+    for child in item:
+        name, value = local(child), "".join(child.itertext()).strip()
+        if name == "link":
+            target = value or child.get("href")
+            if target:
+                links.append((child.get("rel") not in (None, "alternate"), target))
+        elif value:
+            texts.setdefault(name, value)
+    when = next((texts[n] for n in ("pubDate", "published", "updated", "date") if n in texts), None)
+    return texts.get("title"), min(links, key=lambda x: x[0])[1] if links else None, when, texts.get("source")
+
+
 def feed_items(spark: SparkSession, path: str) -> DataFrame:
     """title, link, published, source of the items of RSS 2.0 and the entries of Atom feeds, byte order marks or not.
 
-    A feed is one row, as feeds are short; its items are cut out of the text.
+    A feed is one row, as feeds are short, and is read by events: namespaces, CDATA and attributes are the format's own. Named entities of
+    HTML count as their characters. A feed that breaks off gives the items before.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "^\ufeff", "").alias("feed"))
-    items = whole.select(F.explode(F.regexp_extract_all("feed", F.lit(r"(?s)<(item|entry)\b[^>]*>(.*?)</\1>"), F.lit(2))).alias("i"))
 
-    def tag(*names: str) -> Column:
-        found = [F.regexp_extract("i", rf"(?s)<{n}\b[^>]*>(.*?)</{n}>", 1) for n in names]
-        plain = [text.strip_html(F.regexp_replace(c, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1")) for c in found]
-        return F.coalesce(*[F.when(c != "", c) for c in plain])
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [row for feed in batch.column(0).to_pylist() for row in _feed_rows(feed or "")]
+            columns = list(zip(*rows, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["title", "link", "published", "source"])
 
-    link = F.coalesce(tag("link"), F.nullif(F.regexp_extract("i", r"<link\b[^>]*\bhref=[\"']([^\"']+)", 1), F.lit("")))
-    return items.select(tag("title").alias("title"), link.alias("link"), tag("pubDate", "published", "updated").alias("published"), tag("source").alias("source"))
+    items = spark.read.text(path, wholetext=True).select("value").mapInArrow(read, "title string, link string, published string, source string")
+    return items.select(*[F.nullif(text.strip_html(F.col(c)), F.lit("")).alias(c) if c in ("title", "source") else F.col(c) for c in items.columns])
 
 
 def listing_rows(pages: DataFrame, key: str, html: str) -> DataFrame:

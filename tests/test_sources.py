@@ -131,3 +131,15 @@ def test_atom_listings_events_trees_and_fallbacks(spark, tmp_path):
     said = spark.createDataFrame([(" https://x.org/a ",), ("1st 01JAN20 C\n2nd C C",), ("1.5 months",), ("Sep-2024",), ("what",)], "t string")
     assert [r[0] for r in said.select(readers.pasted(F.col("t"))).collect()] == ["link", "bulletin", "wait", "month", "other"]
     assert [r[0] for r in spark.range(2004, 2028).select(readers.ordinal_year(F.col("id"))).collect()] == [None, *range(22, 0, -1), None]
+
+
+def test_feeds_with_namespaces_sections_and_breaks(spark, tmp_path):
+    rss = """\ufeff<?xml version="1.0"?><rss xmlns:dc="http://purl.org/dc/elements/1.1/" xmlns:a="http://www.w3.org/2005/Atom"><channel><title>Feed</title>
+      <item><title><![CDATA[One </item> & <b>bold</b>]]></title><a:link rel="self" href="self"/><link>u1</link><dc:date>2024-01-02</dc:date><source url="x">S &eacute;</source></item>
+      <item><dc:title>Two&nbsp;&unknown;</dc:title><link>u2</link><pubDate>Mon</pubDate><dc:date>later</dc:date></item><item/></channel></rss>"""
+    atom = """<feed xmlns="http://www.w3.org/2005/Atom"><entry><title type="html">T &lt;i&gt;x&lt;/i&gt;</title><link rel="edit" href="e"/><link href="h"/><updated>d2</updated><published>d1</published></entry><entry><title>broken</entry>"""
+    (tmp_path / "r.xml").write_text(rss)
+    (tmp_path / "a.xml").write_text(atom)
+    (tmp_path / "n.xml").write_text("no feed")
+    got = [tuple(r) for r in readers.feed_items(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted([("One & bold", "u1", "2024-01-02", "S é"), ("Two &unknown;", "u2", "Mon", None), (None, None, None, None), ("T x", "h", "d1", None)], key=str)
