@@ -81,7 +81,7 @@ def _feed_item(item: ElementTree.Element, local: Callable) -> tuple:
     texts: dict[str, str] = {}
     links: list[tuple[bool, str]] = []
     for child in item:
-        name, value = local(child), "".join(child.itertext()).strip()
+        name, value = local(child), "".join(child.itertext()).replace("\xa0", " ").strip()
         if name == "link":
             target = value or child.get("href")
             if target:
