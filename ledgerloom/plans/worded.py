@@ -38,9 +38,10 @@ def register(reg: Registry) -> None:
         return p.select("p_partkey", text.clean_occupation(worn, (r"under\s+the\s+\w+\s+preference\b", r"who\b")).alias("occupation"))
 
     @reg.add("f10_scan_damage", """
-        SELECT p_partkey, p_partkey % 3 = 0 AS damaged FROM part""")
+        SELECT p_partkey, p_partkey % 7 IN (0, 1, 2, 6) AS damaged FROM part""")
     def f10(spark, sf):
-        worn = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("v1s10n "), "p_name")).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("10 01 "), "p_name"))
+        mark = F.element_at(F.array(*map(F.lit, ["v1s10n", "x0", "1a", "10 01", "2b", "0", "I0"])), (F.col("p_partkey") % 7 + 1).cast("int"))
+        worn = F.when(F.col("p_size") % 2 == 0, F.concat_ws(" ", "p_name", mark, "p_type")).otherwise(F.concat_ws(" ", mark, "p_type", "p_name", F.lit("of 2 or 34")))
         return table(spark, sf, "part").select("p_partkey", text.scan_damage(worn).alias("damaged"))
 
     @reg.add("f11_first_good_capture", """
@@ -85,10 +86,13 @@ def register(reg: Registry) -> None:
         return table(spark, sf, "part").select("p_partkey", F.array_join(text.query_tokens(query, SYNONYMS, ("what", "is", "the")), " ").alias("tokens"))
 
     @reg.add("f23_labelled_cell", """
-        SELECT o_orderkey AS k, 'A ' || o_orderpriority AS first, CASE WHEN o_orderkey % 2 = 0 THEN 'late: yes' END AS second FROM orders""")
+        SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 = 0 THEN 'again: ' || o_custkey ELSE o_custkey || ' ' || o_orderpriority END AS first, CASE WHEN o_orderkey % 2 = 1 THEN strftime(o_orderdate, '%Y-%m-%d') END AS second FROM orders""")
     def f23(spark, sf):
-        cell = F.concat(F.lit("h-1b: old\nnothing here\n : blank\nH-1B: A "), "o_orderpriority", F.when(F.col("o_orderkey") % 2 == 0, "\n perm :late: yes").otherwise(""))
-        return table(spark, sf, "orders").withColumn("m", text.labelled(cell)).select(F.col("o_orderkey").alias("k"), F.try_element_at("m", F.lit("H-1B")).alias("first"), F.try_element_at("m", F.lit("PERM")).alias("second"))
+        k = F.col("o_orderkey")
+        perm = F.when(k % 2 == 1, F.concat(F.lit("\n perm :"), F.date_format("o_orderdate", "yyyy-MM-dd"))).otherwise("")
+        noise = F.when(k % 3 == 0, F.concat(F.lit("\nno label "), "o_custkey")).when(k % 3 == 1, F.concat(F.lit("\n : "), "o_custkey")).otherwise(F.concat(F.lit("\nperms: "), "o_custkey"))
+        cell = F.concat(F.lit("H-1b :  "), "o_custkey", F.lit(" "), "o_orderpriority", F.lit(" "), perm, noise, F.when(k % 5 == 0, F.concat(F.lit("\nh-1B: again: "), "o_custkey")).otherwise(""))
+        return table(spark, sf, "orders").withColumn("m", text.labelled(cell)).select(k.alias("k"), F.try_element_at("m", F.lit("H-1B")).alias("first"), F.try_element_at("m", F.lit("PERM")).alias("second"))
 
     @reg.add("f24_escapes", r"""
         SELECT o_orderkey AS k, '<b>&amp;' AS plain, '&lt;b class=&quot;' || o_orderpriority || '&quot;&gt;&amp;amp;' AS html, '\*' || o_orderpriority || '\_\[x\]' AS markdown, format('{:,}', o_custkey * 1000) AS shown FROM orders""")
@@ -97,21 +101,30 @@ def register(reg: Registry) -> None:
         return table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.lit("<b>&amp;").alias("plain"), html.alias("html"), text.markdown_escape(F.concat(F.lit("*"), "o_orderpriority", F.lit("_[x]"))).alias("markdown"), text.thousands(F.col("o_custkey") * 1000).alias("shown"))
 
     @reg.add("f25_next_patch", """
-        SELECT o_orderkey AS k, CASE o_orderkey % 3 WHEN 0 THEN '1.' || o_custkey || '.' || (o_orderkey + 1) WHEN 1 THEN 'v' || o_orderkey || '.1' ELSE '1.2.1' END AS version FROM orders""")
+        SELECT o_orderkey AS k, CASE o_orderkey % 6 WHEN 0 THEN '1.' || o_custkey || '.' || (o_orderkey + 1) WHEN 1 THEN 'v' || o_orderkey || '.1' WHEN 2 THEN o_custkey || '.2.1' WHEN 3 THEN '0' || o_custkey || '.7.' || (o_orderkey + 1) WHEN 4 THEN '1.' || o_custkey || '.3.4.1' ELSE '1.2.-' || o_orderkey || '.1' END AS version FROM orders""")
     def f25(spark, sf):
-        version = F.when(F.col("o_orderkey") % 3 == 0, F.format_string("1.%d.%d", "o_custkey", "o_orderkey")).when(F.col("o_orderkey") % 3 == 1, F.format_string("v%d", "o_orderkey")).otherwise("1.2")
-        return table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), text.next_patch(version).alias("version"))
+        k, c = F.col("o_orderkey"), F.col("o_custkey")
+        kinds = [F.format_string("1.%d.%d", c, k), F.format_string("v%d", k), F.format_string("%d.2", c), F.format_string(" 0%d.7.%d ", c, k), F.format_string("1.%d.3.4", c), F.format_string("1.2.-%d", k)]
+        return table(spark, sf, "orders").select(k.alias("k"), text.next_patch(F.element_at(F.array(*kinds), (k % 6 + 1).cast("int"))).alias("version"))
 
     @reg.add("f27_first_link", """
-        SELECT page_id, CASE page_id % 3 WHEN 0 THEN url WHEN 1 THEN 'https://x.org/Unsubscribe' ELSE '' END AS link FROM pages""")
+        WITH l AS (SELECT page_id, url, 'https://x.org/' || ['Unsubscribe', 'my/PREFERENCES', 'a/subscriber/z', 'Removal'][page_id % 4 + 1] || '?p=' || page_id AS bad FROM pages)
+        SELECT page_id, CASE page_id % 5 WHEN 0 THEN url WHEN 1 THEN bad WHEN 2 THEN 'http://plain/' || page_id WHEN 3 THEN '' ELSE url END AS link FROM l""")
     def f27(spark, sf):
-        links = F.when(F.col("page_id") % 3 == 0, F.array(F.lit("mailto:a"), F.lit("https://x.org/Unsubscribe"), "url", F.lit("http://last"))).when(F.col("page_id") % 3 == 1, F.array(F.lit("https://x.org/Unsubscribe"), F.lit("ftp://y"))).otherwise(F.array().cast("array<string>"))
-        return table(spark, sf, "pages").select("page_id", text.first_link(links).alias("link"))
+        k = F.col("page_id")
+        bad = F.concat(F.lit("https://x.org/"), F.element_at(F.array(*map(F.lit, ["Unsubscribe", "my/PREFERENCES", "a/subscriber/z", "Removal"])), (k % 4 + 1).cast("int")), F.lit("?p="), k)
+        plain, mail = F.concat(F.lit("http://plain/"), k), F.concat(F.lit("mailto:"), k)
+        lists = [F.array(mail, bad, F.col("url"), plain), F.array(bad, F.concat(F.lit("ftp://"), k)), F.array(bad, plain, F.col("url")), F.array(mail, F.concat(F.lit("/page/"), k)), F.array(F.col("url"), bad)]
+        return table(spark, sf, "pages").select("page_id", text.first_link(F.element_at(F.array(*lists), (k % 5 + 1).cast("int"))).alias("link"))
 
     @reg.add("f28_bare_title", """
-        SELECT p_partkey, p_name || ' (old)' AS title FROM part""")
+        SELECT p_partkey, CASE p_partkey % 5 WHEN 3 THEN p_name || ' (PDF, ' || p_size || ' KB) of ' || p_brand WHEN 4 THEN p_name || ' (old) ' || p_brand ELSE p_name || ' ' || p_brand END AS title FROM part""")
     def f28(spark, sf):
-        return table(spark, sf, "part").select("p_partkey", text.bare_title(F.concat("p_name", F.lit(" (old) (PDF, 120 KB) "))).alias("title"))
+        base, k = F.concat_ws(" ", "p_name", "p_brand"), F.col("p_partkey") % 5
+        sized = F.concat(F.lit(" (PDF, "), "p_size", F.lit(" KB)"))
+        title = F.when(k == 0, F.concat(base, sized)).when(k == 1, F.concat(base, F.lit("(pdf)"))).when(k == 2, F.concat(base, F.lit("  (Pdf, "), F.col("p_size") / 10, F.lit(" MB)  ")))
+        title = title.when(k == 3, F.concat("p_name", sized, F.lit(" of "), "p_brand")).otherwise(F.concat("p_name", F.lit(" (old) "), "p_brand", sized))
+        return table(spark, sf, "part").select("p_partkey", text.bare_title(title).alias("title"))
 
     @reg.add("f29_route", """
         SELECT o_orderkey AS k, CASE WHEN o_orderkey % 2 = 0 THEN 'advanced_degree' ELSE '' END || CASE WHEN o_orderkey % 3 = 0 THEN '+exceptional' ELSE '' END AS route FROM orders""")
@@ -119,10 +132,12 @@ def register(reg: Registry) -> None:
         return table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), text.route(F.col("o_orderkey") % 2 == 0, F.col("o_orderkey") % 3 == 0).alias("route"))
 
     @reg.add("f30_confidence_tier", """
-        SELECT o_orderkey AS k, CASE o_orderkey % 5 WHEN 0 THEN 'unverified' WHEN 1 THEN 'verified' WHEN 2 THEN 'unverified' ELSE 'aggregator' END AS tier FROM orders""")
+        SELECT o_orderkey AS k, CASE WHEN o_orderkey % 4 = 0 THEN 'unverified' WHEN o_custkey % 5 IN (0, 1) THEN 'verified' WHEN o_custkey % 5 = 2 THEN 'unverified' ELSE 'aggregator' END AS tier FROM orders""")
     def f30(spark, sf):
-        k = F.col("o_orderkey") % 5
-        note = F.when(k <= 1, "Tier-1 and single-source").when(k == 2, "a Single-Source").when(k == 3, "other")
+        k = F.col("o_orderkey") % 4
+        marks = ["Tier-1", "TIER-1 and single-source", "a Single-Source", "tier 1, single source", "tier-2"]
+        mark = F.element_at(F.array(*map(F.lit, marks)), (F.col("o_custkey") % 5 + 1).cast("int"))
+        note = F.when((F.col("o_custkey") % 5 == 4) & (k == 3), F.lit(None)).otherwise(F.concat("o_orderpriority", F.lit(" by "), mark, F.lit(", read on "), F.date_format("o_orderdate", "yyyy-MM-dd")))
         return table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), text.confidence_tier(F.when(k == 0, F.lit(False)).when(k == 1, F.lit(True)), note).alias("tier"))
 
     @reg.add("f31_relevance_dots", """
