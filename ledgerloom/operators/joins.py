@@ -153,6 +153,20 @@ def similar_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str
     return links.join(member(l, left_id, "ma"), "ma").join(member(r, right_id, "mb"), "mb").select(left_id, right_id, F.round("jaccard", 6).alias("jaccard"))
 
 
+def similar_classes(rows: DataFrame, id_: str, tokens: str, at_least: float) -> DataFrame:
+    """id, class_id, links: for each row the smallest id of the rows with its set, and how many other rows are as similar as `at_least` by
+    token-set Jaccard, equal sets included (J16). No pair of rows is made; rows with an empty set are not in the result."""
+    own = rows.select(F.col(id_).alias("id"), F.array_sort(F.array_distinct(tokens)).alias("s")).filter(F.size("s") > 0)
+    _, members, ranked = _distinct_sets(own)
+    members = held(members)
+    sizes = members.groupBy("m").agg(F.count("*").alias("rows"), F.min("id").alias("class_id"))
+    found = _met(ranked, _rarest(ranked, at_least), at_least).filter(F.col("jaccard") >= at_least).select("ma", "mb")
+    both = found.unionByName(found.select(F.col("mb").alias("ma"), F.col("ma").alias("mb")))
+    others = both.join(sizes.select(F.col("m").alias("mb"), "rows"), "mb").groupBy("ma").agg(F.sum("rows").alias("others"))
+    classes = sizes.join(others.withColumnRenamed("ma", "m"), "m", "left").select("m", "class_id", (F.col("rows") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
+    return members.join(classes, "m").select(F.col("id").alias(id_), "class_id", "links")
+
+
 def similar_self_pairs(rows: DataFrame, id_: str, tokens: str, at_least: float, distinctive: tuple[str, ...] = (), rare: tuple[str, ...] = ()) -> DataFrame:
     """a, b, jaccard of all pairs a < b of one table that are the same story (J16, RC10).
 

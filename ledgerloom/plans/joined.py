@@ -41,15 +41,15 @@ def register(reg: Registry) -> None:
         return c.join(o, c.c_custkey == o.o_custkey, "left_anti").select("c_custkey", "c_name")
 
     @reg.add("j5_upsert_conflicts", """
-        WITH s AS (SELECT CAST(ts AS DATE) AS d, count(*)::BIGINT AS n FROM events WHERE user_id % 2 = 0 AND day(ts) <= 20 GROUP BY 1),
-        f AS (SELECT CAST(ts AS DATE) AS d, count(*)::BIGINT AS n FROM events WHERE user_id % 2 = 1 AND day(ts) > 10 GROUP BY 1)
+        WITH s AS (SELECT CAST(ts AS DATE) AS d, count(*)::BIGINT AS n FROM events WHERE event_type <> 'error' AND user_id < 100 GROUP BY 1), f AS (SELECT CAST(ts AS DATE) AS d, count(*)::BIGINT AS n FROM events WHERE NOT (event_type <> 'error' AND user_id < 100) GROUP BY 1)
         SELECT CAST(coalesce(s.d, f.d) AS VARCHAR) AS day, coalesce(s.n, f.n) AS n,
           CASE WHEN f.d IS NULL THEN 'kept' WHEN s.d IS NULL THEN 'added' WHEN s.n = f.n THEN 'same' ELSE 'conflict' END AS status
         FROM s FULL JOIN f ON s.d = f.d""")
     def j5(spark, sf):
         e = table(spark, sf, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
         daily = lambda d: d.groupBy("day").agg(F.count("*").alias("n"))
-        return joins.upsert(daily(e.filter("user_id % 2 = 0 AND day(ts) <= 20")), daily(e.filter("user_id % 2 = 1 AND day(ts) > 10")), "day", "n")
+        stored = (F.col("event_type") != "error") & (F.col("user_id") < 100)  # each event is on one of the two sides
+        return joins.upsert(daily(e.filter(stored)), daily(e.filter(~stored)), "day", "n")
 
     @reg.add("j5_upsert_halves", """
         WITH e AS (SELECT user_id, CAST(ts AS DATE) AS d FROM events), m AS (SELECT min(d) + ((max(d) - min(d)) // 2)::INT AS m FROM e),
@@ -133,13 +133,13 @@ def register(reg: Registry) -> None:
         return table(spark, sf, "orders").select("o_orderkey", position.alias("position"))
 
     @reg.add("j16_similarity_pairs", """
-        WITH t AS (SELECT p_partkey AS id, list_distinct(string_split(lower(p_name || ' ' || p_type || ' ' || p_brand), ' ')) AS s FROM part)
-        SELECT a.id AS a, b.id AS b, round(len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s)))::DOUBLE, 6) AS jaccard FROM t a JOIN t b ON a.id % 2 = 0 AND b.id % 2 = 1
-        WHERE len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s)))::DOUBLE >= 0.6""")
+        WITH t AS (SELECT p_partkey AS id, list_distinct(string_split(lower(p_name || ' ' || p_type || ' ' || p_brand), ' ')) AS s FROM part),
+        k AS (SELECT id, list_sort(s) AS s, min(id) OVER (PARTITION BY list_sort(s)) AS class_id, count(*) OVER (PARTITION BY list_sort(s)) AS n FROM t), c AS (SELECT DISTINCT class_id, s, n FROM k),
+        l AS (SELECT a.class_id, sum(b.n) AS others FROM c a JOIN c b ON a.class_id <> b.class_id WHERE len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s)))::DOUBLE >= 0.6 GROUP BY 1)
+        SELECT id AS p_partkey, k.class_id, (n - 1 + coalesce(others, 0))::BIGINT AS links FROM k LEFT JOIN l USING (class_id)""")
     def j16(spark, sf):
-        p = table(spark, sf, "part").select("p_partkey", F.array_distinct(F.split(F.lower(F.concat_ws(" ", "p_name", "p_type", "p_brand")), " ")).alias("s"))
-        even, odd = p.filter("p_partkey % 2 = 0").withColumnRenamed("p_partkey", "a"), p.filter("p_partkey % 2 = 1").withColumnRenamed("p_partkey", "b")
-        return joins.similar_pairs(even, odd, "a", "b", "s", 0.6)
+        p = table(spark, sf, "part").select("p_partkey", F.split(F.lower(F.concat_ws(" ", "p_name", "p_type", "p_brand")), " ").alias("s"))
+        return joins.similar_classes(p, "p_partkey", "s", 0.6)
 
     distinctive, rare = ("anvil", "gizmo", "widget", "promo", "economy", "blue"), ("brand#3", "brand#14")
     listed = lambda names: "[" + ", ".join(f"'{n}'" for n in names) + "]"

@@ -157,11 +157,12 @@ def register(reg: Registry) -> None:
     def o9(spark, sf):
         return ranking.rotation(table(spark, sf, "supplier").select("s_suppkey"), ["s_suppkey"], 33, 7)
 
-    shifted = "u AS (SELECT event_id, user_id, event_type, 0 AS gen FROM events WHERE event_id < 6000 UNION ALL SELECT event_id, user_id, 'shifted', 1 FROM events WHERE event_id >= 4000)"
+    shifted = "u AS (SELECT event_id, user_id, event_type, 0 AS gen FROM events UNION ALL SELECT event_id // 2, user_id, 'halved', 1 FROM events)"
 
     def copies(spark, sf):
-        e = table(spark, sf, "events").select("event_id", "user_id", "event_type")
-        return e.filter("event_id < 6000").withColumn("gen", F.lit(0)).unionByName(e.filter("event_id >= 4000").withColumn("event_type", F.lit("shifted")).withColumn("gen", F.lit(1)))
+        """All events, and all again under half their numbers."""
+        e = table(spark, sf, "events").select("event_id", "user_id", "event_type").withColumn("gen", F.lit(0))
+        return e.unionByName(e.withColumn("event_id", F.floor(F.col("event_id") / 2)).withColumn("event_type", F.lit("halved")).withColumn("gen", F.lit(1)))
 
     @reg.add("u1_union_all", f"WITH {shifted} SELECT gen, count(*)::BIGINT AS n FROM u GROUP BY 1")
     def u1(spark, sf):
