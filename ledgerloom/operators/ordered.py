@@ -23,7 +23,7 @@ def numbered(rows: DataFrame, order: list[Column | str], name: str = "place") ->
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
     offsets = parts.groupBy("__part").agg(F.count("*").alias("__rows")).select("__part", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__before"))
     local = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
-    return parts.withColumn("__local", local).join(F.broadcast(offsets), "__part").withColumn(name, (F.col("__before") + F.col("__local")).cast("int")).drop("__part", "__local", "__before")
+    return parts.withColumn("__local", local).join(F.broadcast(offsets), "__part").withColumn(name, (F.col("__before") + F.col("__local")).cast("long")).drop("__part", "__local", "__before")
 
 
 def carried(rows: DataFrame, order: list[Column | str], value: Column, name: str) -> DataFrame:

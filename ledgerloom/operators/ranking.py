@@ -43,4 +43,4 @@ def rotation(rows: DataFrame, order: list[str], day: int, budget: int) -> DataFr
     """The `budget` rows whose turn it is on a day of the year, round robin."""
     placed = numbered(rows, order, "__i")
     turn = F.pmod(F.col("__i") - 1 - F.lit(day * budget), F.lit(max(1, placed.count())))
-    return placed.withColumn("turn", turn.cast("int")).filter(F.col("turn") < budget).drop("__i")
+    return placed.withColumn("turn", turn).filter(F.col("turn") < budget).withColumn("turn", F.col("turn").cast("int")).drop("__i")

@@ -182,7 +182,7 @@ def register(reg: Registry) -> None:
     @reg.add("j21_positional_join", """
         WITH m AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, o_orderstatus AS s, count(*)::BIGINT AS n FROM orders GROUP BY 1, 2),
         a AS (SELECT row_number() OVER (ORDER BY month) AS pos, month, n FROM m WHERE s = 'F'), b AS (SELECT row_number() OVER (ORDER BY month) AS pos, month, n FROM m WHERE s = 'O')
-        SELECT pos::INT AS pos, a.month AS month_f, a.n AS n_f, b.month AS month_o, b.n AS n_o FROM a JOIN b USING (pos)""")
+        SELECT pos::BIGINT AS pos, a.month AS month_f, a.n AS n_f, b.month AS month_o, b.n AS n_o FROM a JOIN b USING (pos)""")
     def j21(spark, sf):
         m = table(spark, sf, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month"), "o_orderstatus").agg(F.count("*").alias("n"))
         side = lambda s: m.filter(F.col("o_orderstatus") == s.upper()).select(F.col("month").alias(f"month_{s}"), F.col("n").alias(f"n_{s}"))

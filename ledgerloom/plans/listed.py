@@ -71,7 +71,7 @@ def register(reg: Registry) -> None:
 
     @reg.add("o10_matrix_modes", """
         WITH r AS (SELECT n_nationkey, n_name, sum(CASE c_mktsegment WHEN 'HOUSEHOLD' THEN 2 WHEN 'MACHINERY' THEN 1 ELSE 0 END)::BIGINT AS risk FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1, 2)
-        SELECT n_name, row_number() OVER (ORDER BY risk DESC, n_name)::INT AS by_risk, row_number() OVER (ORDER BY n_name)::INT AS by_name FROM r""")
+        SELECT n_name, row_number() OVER (ORDER BY risk DESC, n_name)::BIGINT AS by_risk, row_number() OVER (ORDER BY n_name)::BIGINT AS by_name FROM r""")
     def o10(spark, sf):
         from ledgerloom.operators.ordered import numbered
 

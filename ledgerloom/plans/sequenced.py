@@ -128,7 +128,7 @@ def register(reg: Registry) -> None:
         return top.withColumn("place", F.row_number().over(Window.orderBy(*order))).select("event_id", "place")
 
     @reg.add("o3_blanks_last", """
-        SELECT event_id, row_number() OVER (ORDER BY CASE WHEN event_type = 'view' THEN NULL ELSE value END DESC NULLS LAST, event_id)::INT AS place FROM events""")
+        SELECT event_id, row_number() OVER (ORDER BY CASE WHEN event_type = 'view' THEN NULL ELSE value END DESC NULLS LAST, event_id)::BIGINT AS place FROM events""")
     def o3(spark, sf):
         e = table(spark, sf, "events").select("event_id", F.when(F.col("event_type") != "view", F.col("value")).alias("v"))
         return numbered(e, [F.desc_nulls_last("v"), "event_id"]).select("event_id", "place")
