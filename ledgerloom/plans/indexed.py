@@ -40,7 +40,7 @@ def register(reg: Registry) -> None:
     @reg.add("o5_many_searches", f"""
         WITH e AS (SELECT page_id AS id, lower(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS t, lower(url) AS s, lower(regexp_extract(html, '<div class="ad">([^<]*)</div>', 1)) AS b, page_id % 5 = 0 AS q FROM pages),
         f AS (SELECT *, {flat('t')} AS ft, {flat('s')} AS fs, {flat('b')} AS fb, regexp_extract_all(t, '[a-z0-9-]+') AS ws FROM e),
-        a AS (SELECT id AS query, list_filter([left(ws[1], 5), ws[2], right(ws[3], 3)], lambda x: x IS NOT NULL AND x <> '') AS tokens FROM f WHERE id % 3 = 0),
+        a AS (SELECT id AS query, list_filter([left(ws[1], 5), ws[2], right(ws[3], 3)], lambda x: x IS NOT NULL AND x <> '') AS tokens FROM f WHERE id % 10 = 0),
         x AS (SELECT query, tokens, f.*, unnest(tokens) AS w FROM a CROSS JOIN f),
         y AS (SELECT *, CASE WHEN instr(t, w) = 1 THEN 26 WHEN instr(t, w) > 1 THEN 18 ELSE 0 END + CASE WHEN contains(s, w) THEN 6 ELSE 0 END AS plain, contains(b, w) AS inside, CASE WHEN instr(ft, w) = 1 THEN 22 WHEN instr(ft, w) > 1 THEN 16 WHEN contains(fs, w) THEN 5 ELSE 0 END AS flat FROM x),
         z AS (SELECT *, CASE WHEN plain = 0 AND NOT inside THEN flat ELSE plain END AS own, plain = 0 AND NOT inside AND flat = 0 AND contains(fb, w) AS late FROM y),
@@ -53,7 +53,7 @@ def register(reg: Registry) -> None:
         index = SearchIndex.build(entries, f"{shared_place(spark)}/index-{uuid.uuid4().hex}")
         words = F.regexp_extract_all(F.lower("title"), F.lit("[a-z0-9-]+"), F.lit(0))
         tokens = F.array(F.substring(F.get(words, F.lit(0)), 1, 5), F.get(words, F.lit(1)), F.right(F.get(words, F.lit(2)), F.lit(3)))
-        asked = entries.filter("id % 3 = 0").select(F.col("id").alias("query"), F.filter(tokens, lambda t: t.isNotNull() & (t != "")).alias("tokens"))  # searches, against all entries
+        asked = entries.filter("id % 10 = 0").select(F.col("id").alias("query"), F.filter(tokens, lambda t: t.isNotNull() & (t != "")).alias("tokens"))  # searches, against all entries
         return index.search(asked)
 
     @reg.add("p5_one_pass", f"""
