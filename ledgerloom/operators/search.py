@@ -4,19 +4,31 @@ An entry's text is found wherever a token stands in it, also inside words and ov
 those of its runs of one, two and three letters, plain and folded: what holds a token holds all runs of the token. For each
 token the list of its rarest run is read, and the entries on these lists are scored by the rule itself; any other entry has no hit and
 scores nothing. The index is built once; a search reads the lists of its tokens and the entries on them.
+
+Very many searches at once would meet nearly all entries on their lists, a row for each pair. Beyond as many rows on the lists as there are
+entries, all entries are read once instead: slices of them look up their own substrings among the tokens, and each slice gives the best of
+each search only, so nothing that is moved grows with the pairs.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
+from math import ceil
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.session import held
+
 #: Folders that the lists are dealt to, so that a search opens those of its runs only.
 BUCKETS = 64
 #: Runs of a search that are named to the reader of the lists; more are left to the join.
 MOST_NAMED, FEW = 20_000, 200
+#: Entries of a slice at least, slices without need, entries of a slice at most, and searches of a slice at most.
+LEAST_SLICE, SLICES, MOST_SLICE, MOST_ASKED = 2_000, 32, 50_000, 50_000
 FIELDS = ("title", "section", "body", "flat_title", "flat_section", "flat_body")
 
 
@@ -57,6 +69,76 @@ def score_of(tokens: Column) -> Column:
     return F.get(scored, F.lit(0)).cast("int")
 
 
+def _stand_in(text: str, tokens: set[str], lengths: list[int]) -> set[str]:
+    """The tokens that stand in a text."""
+    return {t for n in lengths if n <= len(text) for t in (text[i : i + n] for i in range(len(text) - n + 1)) if t in tokens}
+
+
+def _points(token: str, found: tuple[set[str], ...], fields: tuple[str, ...]) -> tuple[int, int]:
+    """A token's points and body points in an entry that holds it, as in score_of; either is more than 0."""
+    title, section, body, flat_title, flat_section, _ = (token in f for f in found)
+    own = (26 if fields[0].startswith(token) else 18 if title else 0) + (6 if section else 0)
+    if own or body:
+        return own, 4 if body else 0
+    flat = 22 if fields[3].startswith(token) else 16 if flat_title else 5 if flat_section else 0
+    return flat, 0 if flat else 3
+
+
+def _hits(fields: Iterable[tuple[str, ...]], tokens: set[str]) -> dict[str, np.ndarray]:
+    """By token: place, points and body points of the entries that hold it."""
+    lengths, by = sorted({len(t) for t in tokens}), {}
+    for place, own in enumerate(fields):
+        found = tuple(_stand_in(f, tokens, lengths) for f in own)
+        for token in set().union(*found):
+            by.setdefault(token, []).append((place, *_points(token, found, own)))
+    return {token: np.array(rows, np.int32).T for token, rows in by.items()}
+
+
+def _phrases(texts: Iterable[str], phrases: set[str]) -> dict[str, list[int]]:
+    """By phrase: places of the texts that hold it."""
+    lengths, by = sorted({len(p) for p in phrases}), {}
+    for place, text in enumerate(texts):
+        for phrase in _stand_in(text, phrases, lengths):
+            by.setdefault(phrase, []).append(place)
+    return by
+
+
+def _best_of_slice(top: int):
+    """From a slice of entries and one of searches (search, tokens) to the best `top` entries of each: search, id, score."""
+
+    def best(entries: pd.DataFrame, searches: pd.DataFrame) -> pd.DataFrame:
+        entries = entries.sort_values("id")
+        ids, n, asked = entries["id"].to_numpy(), len(entries), [[*map(str, t)] for t in searches["tokens"]]
+        hits = _hits(zip(*(entries[c] for c in FIELDS)), {t for own in asked for t in own})
+        phrases = [" ".join(own) for own in asked]
+        titled = _phrases(entries["title"], {p for p in phrases if len(p) > 2})
+        joined = _phrases(entries["flat_title"], {p.replace(" ", "") for p in phrases if len(p) > 2})
+        more, late = 5 * entries["question"].to_numpy(np.int64), np.arange(n)[::-1]
+        out = []
+        for search, own, phrase in zip(searches["search"], asked, phrases):
+            rows = [hits[t] for t in own if t in hits]
+            if not rows:
+                continue
+            points, body, hit = np.zeros((3, n), np.int64)
+            for place, p, b in rows:
+                points[place] += p
+                body[place] += b
+                hit[place] += 1
+            if len(phrase) > 2:
+                bonus = np.zeros(n, np.int64)
+                bonus[joined.get(phrase.replace(" ", ""), [])] = 52
+                bonus[titled.get(phrase, [])] = 60
+                points += bonus
+            score = points + np.minimum(body, 12) + (44 * hit + len(own)) // (2 * len(own)) + more
+            at = np.flatnonzero(hit)
+            order = score[at] * n + late[at]  # the better score, then the smaller id
+            at = at[np.argpartition(order, len(at) - top)[-top:]] if len(at) > top else at
+            out.append(pd.DataFrame({"search": search, "id": ids[at], "score": score[at]}))
+        return pd.concat(out) if out else pd.DataFrame({"search": [], "id": [], "score": []})
+
+    return best
+
+
 @dataclass(frozen=True)
 class SearchIndex:
     """An index in a folder of any file system that Spark reads: entries by id, lists of ids by run, and the lists' lengths."""
@@ -82,8 +164,11 @@ class SearchIndex:
     def _lists(self) -> DataFrame:
         return self.spark.read.schema("id long, gram string, bucket int").parquet(f"{self.folder}/lists")
 
-    def candidates(self, queries: DataFrame) -> DataFrame:
-        """From (query, tokens) to (query, tokens, id): entries on the list of the rarest run of some token."""
+    def _entries(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/entries")
+
+    def _rarest(self, queries: DataFrame) -> DataFrame:
+        """query, token, gram, n: the rarest run of each token that is on all lists it needs, and its length."""
         tokens = queries.select("query", F.explode(F.array_distinct("tokens")).alias("token")).filter("token <> ''")
         length = F.least(F.length("token"), F.lit(3))
         parts = F.when(length == 1, runs(F.col("token"), 1)).when(length == 2, runs(F.col("token"), 2)).otherwise(runs(F.col("token"), 3))
@@ -91,8 +176,11 @@ class SearchIndex:
         lengths = self.spark.read.schema("gram string, n long, bucket int").parquet(f"{self.folder}/lengths")
         sized = self._pruned(lengths, needed).join(needed, "gram", "right")
         # A run without a list tells that its token is nowhere.
-        rarest = sized.groupBy("query", "token").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("gram"), F.min(F.coalesce("n", F.lit(0))).alias("n")).filter("n > 0")
-        chosen = rarest.select("query", "gram").distinct()
+        return sized.groupBy("query", "token").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("gram"), F.min(F.coalesce("n", F.lit(0))).alias("n")).filter("n > 0")
+
+    def candidates(self, queries: DataFrame) -> DataFrame:
+        """From (query, tokens) to (query, tokens, id): entries on the list of the rarest run of some token."""
+        chosen = self._rarest(queries).select("query", "gram").distinct()
         met = self._pruned(self._lists(), chosen).join(chosen, "gram").select("query", "id").distinct()
         return met.join(queries.select("query", "tokens"), "query")
 
@@ -110,10 +198,29 @@ class SearchIndex:
     def search(self, queries: DataFrame, top: int = 12) -> DataFrame:
         """query, rank, id, score: the best entries of each query (query, tokens) that score more than nothing, ties to the smaller id.
 
-        Tokens are lower-case; their order matters to the phrase only. Repeated queries are one.
+        Tokens are lower-case; their order matters to the phrase only. Empty tokens are left out, and repeated queries are one. Queries with
+        the same tokens are searched for once.
         """
-        queries = queries.dropDuplicates(["query"])
-        entries = self.spark.read.parquet(f"{self.folder}/entries")
-        scored = self.candidates(queries).join(entries, "id").select("query", "id", score_of(F.col("tokens")).alias("score")).filter("score > 0")
-        order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-        return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).select("query", "rank", "id", "score")
+        queries = queries.select("query", F.filter("tokens", lambda t: t != "").alias("tokens")).dropDuplicates(["query"]).filter(F.size("tokens") > 0)
+        queries = held(queries)
+        searches = held(queries.select("tokens").distinct().withColumn("search", F.monotonically_increasing_id()))
+        entries, asked = self._entries().count(), searches.count()
+        listed = self._rarest(searches.withColumnRenamed("search", "query")).agg(F.sum("n")).first()[0] or 0
+        scored = self._from_lists(searches) if listed <= entries else self._from_slices(searches, top, entries, asked)
+        order = Window.partitionBy("search").orderBy(F.desc("score"), "id")
+        best = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+        return best.join(searches, "search").select("tokens", "rank", "id", "score").join(queries, "tokens").select("query", "rank", "id", "score")
+
+    def _from_lists(self, searches: DataFrame) -> DataFrame:
+        """search, id, score of the entries on the searches' lists."""
+        met = self.candidates(searches.withColumnRenamed("search", "query")).join(self._entries(), "id")
+        return met.select(F.col("query").alias("search"), "id", score_of(F.col("tokens")).alias("score")).filter("score > 0")
+
+    def _from_slices(self, searches: DataFrame, top: int, entries: int, asked: int) -> DataFrame:
+        """search, id, score of the best `top` entries of each slice of all entries."""
+        wide, deep = max(min(ceil(entries / LEAST_SLICE), SLICES), ceil(entries / MOST_SLICE)), ceil(asked / MOST_ASKED)
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+        left = self._entries().withColumn("e", dealt("id", wide)).withColumn("s", every(deep))
+        right = searches.withColumn("s", dealt("search", deep)).withColumn("e", every(wide))
+        return left.groupBy("e", "s").cogroup(right.groupBy("e", "s")).applyInPandas(_best_of_slice(top), "search long, id long, score int")

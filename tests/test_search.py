@@ -6,6 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text
+from ledgerloom.operators import search
 from ledgerloom.operators.search import SearchIndex
 
 ENTRIES = "id long, title string, section string, body string, question boolean"
@@ -66,3 +67,20 @@ def test_a_search_reads_the_lists_of_its_tokens(spark, tmp_path):
     assert again.search(asked.filter("query = 'q'")).count() == 1
     empty = SearchIndex.build(spark.createDataFrame([], ENTRIES), str(tmp_path / "none"))
     assert empty.search(asked).count() == 0
+
+
+def test_many_searches_make_no_row_for_each_pair(spark, tmp_path, monkeypatch):
+    entries, rng = made(150, 5), random.Random(6)
+    tokens = ["green", "car", "h1b", "h-1b", "fees", "of", "what is", "i140", "processing", "xgreen", "漢"]
+    queries = [(q, [rng.choice(tokens) for _ in range(rng.randint(0, 4))] + [""] * (q % 9 == 0)) for q in range(200)]
+    index = SearchIndex.build(spark.createDataFrame(entries, ENTRIES), str(tmp_path / "index"))
+    monkeypatch.setattr(search, "LEAST_SLICE", 40)
+    monkeypatch.setattr(search, "MOST_ASKED", 70)
+    monkeypatch.setattr(SearchIndex, "candidates", None)
+    got = {}
+    for r in index.search(spark.createDataFrame(queries, "query long, tokens array<string>"), 5).collect():
+        got.setdefault(r.query, []).append((r["rank"], r.id, r.score))
+    for query, own in queries:
+        own = [t for t in own if t]
+        scored = sorted((-s, e[0]) for e in entries if own and (s := plain(own, *e[1:])) > 0)[:5]
+        assert sorted(got.get(query, [])) == [(k, i, -s) for k, (s, i) in enumerate(scored, 1)], own
