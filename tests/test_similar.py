@@ -62,3 +62,19 @@ def test_queries_take_in_whole_tables(spark, tmp_path):
     assert {r.gen: r.n for r in queries["u1_union_all_shifted"](spark, folder).collect()} == {0: 901, 1: 901}
     assert sum(r.n for r in queries["j5_upsert_halves"](spark, folder).filter("status IN ('kept', 'added', 'same', 'conflict')").collect()) > 0
     assert sorted((r.doc_id, r.seed) for r in queries["d17_greedy_cluster"](spark, folder).collect()) == [(0, 0), (1, 0), (2, 2), (3, 2), (4, 4), (5, 5)]
+
+
+def test_pairs_that_share_a_rare_word_are_not_moved(spark):
+    rng = random.Random(7)
+    rows = [(i, ["rare", *rng.sample([f"w{k}" for k in range(3000)], rng.randint(20, 40))]) for i in range(60)]
+    rows += [(100 + i, [*t[: len(t) - i % 9], f"x{i}"]) for i, (_, t) in enumerate(rows[:30])]
+    own = spark.createDataFrame(rows, "id long, t array<string>").selectExpr("id", "array_sort(array_distinct(t)) AS s")
+    _, members, ranked = joins._distinct_sets(own)
+    ids = {r.m: r.id for r in members.collect()}
+    at = {i: {*t} for i, t in rows}
+    for at_least in (0.3, 0.6, 0.9):
+        want = {(i, j) for i in at for j in at if i < j and len(at[i] & at[j]) / len(at[i] | at[j]) >= at_least}
+        pairs = lambda found: [tuple(sorted((ids[r.ma], ids[r.mb]))) for r in found.collect()]  # noqa: B023, E731
+        made, kept = pairs(joins._possible(ranked, at_least)), pairs(joins._similar(ranked, at_least))
+        assert sorted(kept) == sorted(want) and want <= {*made} and len(made) == len({*made})
+        assert len(made) <= len(want) + 20  # all share a word
