@@ -45,13 +45,20 @@ def amended(text: Column) -> Column:
     """
     number, sign = r"(\d{2,3}[a-z]?\.\d+[a-z]?)", r"(?:section|sec\.?|§+)\s*"
     instruction = rf"(?i)\b(?:(?:amend|revis|add)[a-z]*\s+{sign}{number}|{sign}{number}\s+(?:is|are)\s+(?:amended|revised|added))"
+    # Only what is not a single space is replaced, as most white space is.
+    plain = F.regexp_replace(text, r"\s{2,}|[^\S ]", " ")
     # One mark before each instruction, with its section, of which either place in the pattern holds one.
-    blocks = F.slice(F.split(F.regexp_replace(F.regexp_replace(text, r"\s+", " "), instruction, "\x01$1$2\x02"), "\x01"), 2, 1 << 30)
+    blocks = F.slice(F.split(F.regexp_replace(plain, instruction, "\x01$1$2\x02"), "\x01"), 2, 1 << 30)
     body = lambda b: F.substring_index(b, "\x02", -1)
-    last = lambda b, i: F.when(i == F.size(blocks) - 1, F.substring(body(b), 1, LAST_BLOCK)).otherwise(body(b))
     lists = lambda b: F.regexp_extract_all(b, F.lit(r"(?i)\bparagraphs?((?:\s*(?:,|and|or)?\s*\([a-z0-9]+\))+)"), F.lit(1))
     letters = lambda b: F.array_distinct(F.regexp_extract_all(F.array_join(lists(b), " "), F.lit(r"\(([a-z0-9]+)\)"), F.lit(1)))
-    return F.transform(blocks, lambda b, i: F.struct(F.substring_index(b, "\x02", 1).alias("section"), letters(last(b, i)).alias("paragraphs")))
+
+    def found(own: Column) -> Column:
+        last = lambda b, i: F.when(i == F.size(own) - 1, F.substring(body(b), 1, LAST_BLOCK)).otherwise(body(b))
+        return F.transform(own, lambda b, i: F.struct(F.substring_index(b, "\x02", 1).alias("section"), letters(last(b, i)).alias("paragraphs")))
+
+    # The blocks are named by the outer function; written out in the inner one, they would be made again for each of them.
+    return F.get(F.transform(F.array(blocks), found), F.lit(0))
 
 
 def markers(text: Column, words: tuple[str, ...]) -> Column:

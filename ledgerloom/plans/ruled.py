@@ -120,7 +120,9 @@ def register(reg: Registry) -> None:
     def d18_amended(spark, sf):
         tail = F.when(F.col("p_partkey") % 2 == 0, " is amended by revising paragraph (c).").otherwise(F.concat(F.lit(" is amended by "), F.repeat(F.lit("words "), 500), F.lit("paragraph (c).")))
         body = F.concat(F.lit("1. Amend Sec. 214."), "p_size", F.lit(" as follows: revise paragraphs (f) and\n(h). 2. Section 655.731"), tail)
-        return table(spark, sf, "part").select("p_partkey", F.explode(relevance.amended(body)).alias("a")).select("p_partkey", "a.section", F.array_join(F.array_sort("a.paragraphs"), ",").alias("paragraphs"))
+        # The texts are made of a few bytes a row, so that a file is one task unless its rows are dealt out.
+        parts = table(spark, sf, "part").select("p_partkey", "p_size").repartition(4 * spark.sparkContext.defaultParallelism, "p_partkey")
+        return parts.select("p_partkey", F.explode(relevance.amended(body)).alias("a")).select("p_partkey", "a.section", F.array_join(F.array_sort("a.paragraphs"), ",").alias("paragraphs"))
 
     @reg.add("d19_relevance", f"""
         WITH {RULE}, e AS (SELECT k, t, b, b = 0 AND s IN (1, 2) AS exact, b < 2 AND s IN (1, 2, 3) AS near, b = 3 AS nothing FROM r),
