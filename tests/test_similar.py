@@ -78,3 +78,30 @@ def test_pairs_that_share_a_rare_word_are_not_moved(spark):
         made, kept = pairs(joins._possible(ranked, at_least)), pairs(joins._similar(ranked, at_least))
         assert sorted(kept) == sorted(want) and want <= {*made} and len(made) == len({*made})
         assert len(made) <= len(want) + 20  # all share a word
+
+
+def test_class_pairs_and_members_are_all_pairs(spark):
+    rows = [(i, t) for i, t in _rows(200, 5)] + [(1000 + i, ["fee", "lottery", "a"]) for i in range(40)]  # a set of many rows
+    df = spark.createDataFrame(rows, "k long, t array<string>")
+    got = joins.similar_class_pairs(df, "k", "t", 0.6, DISTINCTIVE, RARE).collect()
+    first = {r.b: r.a for r in got if r.copy}
+    linked = {(r.a, r.b): r.jaccard for r in got if not r.copy}
+    assert len(got) == len(first) + len(linked) and not {*first} & {k for pair in linked for k in pair}
+    sets = [(k, {*t}) for k, t in rows if t]
+    heads = {}
+    for k, s in sets:
+        heads.setdefault(frozenset(s), k)
+    assert first == {k: heads[frozenset(s)] for k, s in sets if heads[frozenset(s)] != k}
+    want = {(i, j): round(len(a & b) / len(a | b), 6) for i, a in sets for j, b in sets if i < j and _same(a, b)}
+    at = lambda k: first.get(k, k)
+    back = {(i, j): 1.0 if at(i) == at(j) else linked[min(at(i), at(j)), max(at(i), at(j))] for i, _ in sets for j, _ in sets if i < j and (at(i) == at(j) or (min(at(i), at(j)), max(at(i), at(j))) in linked)}
+    assert back == want and len(got) < len(want)
+
+
+def test_copies_of_parts_are_not_made_into_all_pairs(spark, tmp_path):
+    folder = str(tmp_path)
+    parts = [(i, f"blue {'ring' if i % 2 else 'rod'}", "SMALL", "Brand#7") for i in range(300)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_type string, p_brand string").write.parquet(f"{folder}/part.parquet")
+    got = catalog.registry().queries["j16_similarity_self_pairs"](spark, folder).collect()
+    assert sorted((r.b, r.a) for r in got if r.copy) == [(i, i % 2) for i in range(2, 300)]
+    assert [(r.a, r.b, r.jaccard) for r in got if not r.copy] == [(0, 1, 0.6)]
