@@ -174,62 +174,80 @@ def ring_stream(values: DataFrame, size: int = 12) -> DataFrame:
 
 
 class _Alarms(StatefulProcessor):
-    """List state by key: alarms to come of its newest row, with a timer for each."""
+    """List state by bucket of keys: alarms to come of the newest row of each key, in microseconds, with a timer at the first of them."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.coming = handle.getListState("coming", "at long, level string")
+        self.coming = handle.getListState("coming", "key string, at long, level string")
 
-    def _pending(self) -> list[tuple[int, str]]:
-        return [(c[0], c[1]) for c in self.coming.get()] if self.coming.exists() else []
-
-    def _keep(self, pending: list[tuple[int, str]]) -> None:
-        for timer in self.handle.listTimers():
-            self.handle.deleteTimer(timer)
+    def _keep(self, pending: list[tuple[str | None, int, str]], watermark: int) -> None:
+        """Holds the alarms and sets the timer; one that the watermark has passed is due in this very batch."""
         if pending:
             self.coming.put(pending)
-            for at, _ in pending:
-                self.handle.registerTimer(at)
+            self.handle.registerTimer(max(-(-min(at for _, at, _ in pending) // 1000), watermark))
         else:
             self.coming.clear()
 
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        pending = self._pending()
-        for row in sorted(rows, key=lambda r: (r.at, r.n)):
-            now = _millis(row.at)
-            for at, level in pending:  # due before this row, though the watermark had not told yet
+    def handleInputRows(self, key: tuple, rows: Iterator, timerValues) -> Iterator:
+        pending: dict[str | None, list[tuple[int, str]]] = {}
+        for of, at, level in self.coming.get():
+            pending.setdefault(of, []).append((at, level))
+        read, rung = [], []
+        for frame in rows:
+            read.extend(zip(frame["micros"].tolist(), frame["n"].tolist(), frame["key"].tolist(), frame["dues"], frame["levels"]))
+        for now, _, of, dues, levels in sorted(read, key=lambda r: r[:2]):
+            for at, level in pending.pop(of, ()):  # due before this row, though the watermark had not told yet
                 if at < now:
-                    yield _Alarm(key[0], _moment(at), level)
-            alarms = sorted((_millis(a["at"]), a["level"]) for a in row.alarms or [])
-            for at, level in alarms:
+                    rung.append((of, at, level))
+            coming = []
+            for at, level in sorted(zip(map(int, dues), levels)):
                 if at <= now:
-                    yield _Alarm(key[0], row.at, level)
-            pending = [a for a in alarms if a[0] > now]
-        self._keep(pending)
+                    rung.append((of, now, level))
+                else:
+                    coming.append((at, level))
+            if coming:
+                pending[of] = coming
+        for timer in self.handle.listTimers():
+            self.handle.deleteTimer(timer)
+        self._keep([(of, at, level) for of, alarms in pending.items() for at, level in alarms], timerValues.getCurrentWatermarkInMs())
+        yield from _rung(rung)
 
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        now, pending = expiredTimerInfo.getExpiryTimeInMs(), self._pending()
-        for at, level in pending:
-            if at <= now:
-                yield _Alarm(key[0], _moment(at), level)
-        rest = [a for a in pending if a[0] > now]
-        if rest:
-            self.coming.put(rest)
-        else:
-            self.coming.clear()
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator:
+        watermark = timerValues.getCurrentWatermarkInMs()
+        pending = list(self.coming.get())
+        self._keep([a for a in pending if a[1] > watermark * 1000], watermark)
+        yield from _rung([a for a in pending if a[1] <= watermark * 1000])
 
     def close(self) -> None:
         pass
 
 
-ALARM = "key string, at timestamp, level string"
+def _rung(alarms: list[tuple[str | None, int, str]]) -> Iterator:
+    import pandas as pd
+
+    if alarms:
+        yield pd.DataFrame(alarms, columns=["key", "at", "level"])
+
 
+ALARM = "key string, at long, level string"
 
-def alarm_stream(rows: DataFrame, late: str = "0 seconds") -> DataFrame:
+
+def alarm_stream(rows: DataFrame, late: str = "0 seconds", buckets: int = 4096) -> DataFrame:
     """Alarms (key, at, level) of a stream of rows (key, at, n, alarms): those of a row that are due at its own time at once, the others
     when the watermark passes them, also if the key gets no new row. A key's newer row, by at and n, takes the place of the older with
-    its alarms (T9, T10)."""
-    return rows.withWatermark("at", late).groupBy("key").transformWithState(statefulProcessor=_Alarms(), outputStructType=ALARM, outputMode="Append", timeMode="EventTime")
+    its alarms (T9, T10).
+
+    State, timers and batches of rows between Spark and Python are those of a bucket of keys, as each costs more than the work on a
+    key's few rows. A task holds one bucket's rows of a batch and its alarms to come at a time; `buckets` stays as it is for a checkpoint.
+    Rows are read as pandas frames, so a row's own time after 2262-04-11 is an error; its alarms may be later.
+    """
+    bucket = F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int")
+    first = lambda c: F.coalesce(c, F.lit(-(2**63)))
+    part = lambda of, kind: F.coalesce(F.transform("alarms", of), F.array().cast(kind)).alias
+    dues, levels = part(lambda a: F.unix_micros(a["at"]), "array<long>")("dues"), part(lambda a: a["level"], "array<string>")("levels")
+    flat = rows.withWatermark("at", late).select(bucket.alias("bucket"), "key", "at", first(F.unix_micros("at")).alias("micros"), first(F.col("n").cast("long")).alias("n"), dues, levels)
+    found = flat.groupBy("bucket").transformWithStateInPandas(statefulProcessor=_Alarms(), outputStructType=ALARM, outputMode="Append", timeMode="EventTime")
+    return found.select("key", F.timestamp_micros("at").alias("at"), "level")
 
 
 def alarm_log(rows: DataFrame, until: Column) -> DataFrame:

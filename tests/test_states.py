@@ -117,3 +117,38 @@ def test_stamps_grow_old(spark, tmp_path):
     log = states.alarm_log(with_alarms(spark.createDataFrame([r for b in rows for r in b], schema)), F.lit(day(92)))
     assert rows_of(got) == rows_of(log)
     assert {(r.key, (r.at - day(0)).days) for r in log.filter("level = 'ACTION'").collect()} == {("none", 0), ("old", 0), ("fresh", 91)}
+
+
+def test_alarms_of_many_keys_share_state_and_timers(spark, tmp_path):
+    rng, schema = random.Random(8), "key string, at timestamp, n long, due timestamp, flagged boolean"
+    n, batches = 0, []
+    for d in range(0, 120, 20):
+        rows = []
+        for k in [None, *(f"k{k}" for k in range(90))]:
+            for _ in range(rng.randint(0, 3)):
+                n += 1
+                at = day(d + rng.randint(1, 19)) + datetime.timedelta(microseconds=rng.randint(0, 3))
+                rows.append((k, at, n, rng.choice([None, at + rng.randint(-20, 99) * DAY]), rng.random() < 0.6))
+        batches.append([*rows, ("tick", day(d + 20), n, None, None)])
+    with_alarms = lambda d: d.select("key", "at", "n", states.horizon_alarms(F.col("at"), F.col("due"), F.col("flagged")).alias("alarms"))
+    got = streamed(spark, tmp_path, batches, schema, lambda s: states.alarm_stream(with_alarms(s), buckets=4))
+    log = states.alarm_log(with_alarms(spark.createDataFrame([r for b in batches for r in b], schema)), F.lit(day(120)))
+    assert rows_of(got) == rows_of(log) and got.filter("key IS NULL").count()
+
+    source, timers = str(tmp_path / "in"), []
+    stream = states.alarm_stream(with_alarms(spark.readStream.schema(schema).parquet(source)), buckets=4)
+    query = stream.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "again")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    for progress in query.recentProgress:
+        timers += [op.customMetrics["numRegisteredTimers"] for op in progress.stateOperators]
+    assert 0 < max(timers) <= 4  # one of a bucket, not one of each alarm
+
+
+def test_alarms_far_away(spark, tmp_path):
+    schema = "key string, at timestamp, n long, stamp timestamp"
+    far = datetime.datetime(2261, 12, 1)
+    rows = [[("page", day(0), 1, datetime.datetime(2290, 1, 1)), ("none", day(0), 2, None)], [("tick", far, 3, None)]]
+    with_alarms = lambda d: d.select("key", "at", "n", states.stamp_alarms(F.col("at"), F.col("stamp"), 90).alias("alarms"))
+    got = streamed(spark, tmp_path, rows, schema, lambda s: states.alarm_stream(with_alarms(s)))
+    log = states.alarm_log(with_alarms(spark.createDataFrame([r for b in rows for r in b], schema)), F.lit(far))
+    assert rows_of(got) == rows_of(log)
