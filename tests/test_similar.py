@@ -105,3 +105,29 @@ def test_copies_of_parts_are_not_made_into_all_pairs(spark, tmp_path):
     got = catalog.registry().queries["j16_similarity_self_pairs"](spark, folder).collect()
     assert sorted((r.b, r.a) for r in got if r.copy) == [(i, i % 2) for i in range(2, 300)]
     assert [(r.a, r.b, r.jaccard) for r in got if not r.copy] == [(0, 1, 0.6)]
+
+
+def test_classes_keep_the_pairs_of_different_sets(spark):
+    rows = [(i, t) for i, t in _rows(200, 6)] + [(1000 + i, ["fee", "lottery", "a"]) for i in range(40)]  # a set of many rows
+    got = joins.similar_classes(spark.createDataFrame(rows, "k long, t array<string>"), "k", "t", 0.6).collect()
+    sets = [(k, {*t}) for k, t in rows if t]
+    heads = {}
+    for k, s in sets:
+        heads.setdefault(frozenset(s), k)
+    like = lambda a, b: len(a & b) / len(a | b)
+    links = {k: sum(j != k and like(s, o) >= 0.6 for j, o in sets) for k, s in sets}
+    want = [(k, heads[frozenset(s)], links[k], heads[frozenset(s)], 1.0) for k, s in sets]
+    want += [(i, i, links[i], j, round(like(a, b), 6)) for a, i in heads.items() for b, j in heads.items() if i < j and like(a, b) >= 0.6]
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) > len(sets)
+
+
+def test_parts_with_the_same_number_of_links_differ_by_their_pairs(spark, tmp_path):
+    found = []
+    for pairs in (((1, 2), (3, 4)), ((1, 3), (2, 4))):  # every part has one link in both tables
+        folder = str(tmp_path / f"{pairs[0][1]}")
+        parts = [(i, f"name{k} more{k} also{k} ring", "SMALL", f"Brand#{x}") for k, pair in enumerate(pairs) for x, i in enumerate(pair)]
+        spark.createDataFrame(parts, "p_partkey long, p_name string, p_type string, p_brand string").write.parquet(f"{folder}/part.parquet")
+        got = catalog.registry().queries["j16_similarity_pairs"](spark, folder).collect()
+        assert sorted((r.p_partkey, r.class_id, r.links) for r in got if r.similar_to == r.class_id) == [(i, i, 1) for i in (1, 2, 3, 4)]
+        found.append({(r.class_id, r.similar_to): r.jaccard for r in got if r.similar_to != r.class_id})
+    assert found == [{(1, 2): 0.714286, (3, 4): 0.714286}, {(1, 3): 0.714286, (2, 4): 0.714286}]
